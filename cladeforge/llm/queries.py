@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, pii, quality, sharding, urls
+from . import fingerprint, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1,
         "op2_sharding": sharding.op2,
+        "op3_toxicity": toxicity.op3,
+        "op4_ngram_join": ngram_join.op4,
+        "op5_sentencepiece": sentencepiece_codec.op5,
         "op6_quality": quality.op6,
         "op7_mixing": mixing.op7,
         "op8_urls": urls.op8,
