@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, toxicity, urls
+from . import fingerprint, mixing, ngram_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": quality.op6,
         "op7_mixing": mixing.op7,
         "op8_urls": urls.op8,
+        "op9_suffix_dedup": suffix_dedup.op9,
         "op10_fingerprint": fingerprint.op10,
     }
 
