@@ -18,12 +18,14 @@ link is lost, whatever the data.
 
 Which pairs are looked at. First each set and the smallest one under each of
 its keys. Pairs that pass the bound are verified on the sets themselves, and
-verified links make components. Then, under every key that still has several
-components, an R-tree over its points finds the pairs across components that
-pass the bound; those are verified too. Pairs within a component need no
-look, so a group of near copies costs as many pairs as it has members, not
-the square. Keys with very many points are split into blocks, and each pair
-of blocks is a task of its own.
+verified links make components. Then, under keys that still have several
+components, an R-tree over the points finds for each set its nearest partners
+in other components; those are verified. Last, the R-trees of the keys that
+are still open give every pair across components that passes the bound, and
+all of these are verified. Pairs within a component need no look, so a group
+of near copies costs about as many pairs as it has members, not the square.
+Keys with very many points are split into blocks, and each pair of blocks is
+a task of its own.
 
 Free style: shingles and the R-tree are numpy on Arrow batches, joins and
 components are DataFrame operations.
@@ -49,12 +51,18 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-GROUPS = 32
+GROUPS = 128
 LEAF, FAN = 32, 8
 #: Size classes grow by this factor.
 CLASS = 1.5
 #: Points of one key that one task takes together.
 BLOCK = 20_000
+#: Pairs that a task holds before it hands them on.
+HELD = 500_000
+#: Points of one key among which a set looks for its nearest partners.
+NEAR_BLOCK = 2_000
+#: Partners that a set is verified with before all remaining pairs are looked at.
+NEAREST = 3
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MOST_KEPT = 1_000_000
 
@@ -140,7 +148,7 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def digest(docs: DataFrame, n: int, least: int, with_keys: bool) -> DataFrame:
-    """doc_id, n_shingles, sig (null for an empty set); with_keys: point and keys too."""
+    """doc_id, n_shingles, sig (null for an empty set); with_keys: keys too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
@@ -151,25 +159,26 @@ def digest(docs: DataFrame, n: int, least: int, with_keys: bool) -> DataFrame:
                 out = [part.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())]
                 if with_keys:
                     none = np.zeros(0, np.int64)
-                    out.append(lists([np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for h in sets], pa.int32()))
                     out.append(lists([signed(meeting_keys(h, least)) if len(h) else none for h in sets], pa.int64()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "sig", "point", "keys"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "sig", "keys"][: len(out)])
 
-    schema = "doc_id bigint, n_shingles bigint, sig binary" + (", point array<int>, keys array<bigint>" if with_keys else "")
+    schema = "doc_id bigint, n_shingles bigint, sig binary" + (", keys array<bigint>" if with_keys else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, hashes of documents (doc_id, text)."""
+    """id, n, hashes, point of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists([signed(s.hashes(t)) for t in part.column(1).to_pylist()], pa.int64())], ["id", "hashes"])
+                sets = [s.hashes(t) for t in part.column(1).to_pylist()]
+                points = [np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), lists([signed(h) for h in sets], pa.int64()), lists(points, pa.int32())], ["id", "n", "hashes", "point"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, hashes array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint, hashes array<bigint>, point array<int>")
 
 
 def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: int) -> np.ndarray:
@@ -225,11 +234,33 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides:
             yield a[p], b[q]
 
 
-def searched(rows: DataFrame, least: int) -> DataFrame:
+def nearest(pairs: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray, asks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the index pairs, those with the `most` nearest partners of each point that asks."""
+    if not pairs:
+        return np.zeros(0, int), np.zeros(0, int)
+    p, q = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
+    far = np.concatenate([np.abs(points[a] - points[b]).sum(1) for a, b in pairs])
+    p, q, far = np.r_[p, q], np.r_[q, p], np.r_[far, far]
+    keep = asks[p]
+    p, q, far = p[keep], q[keep], far[keep]
+    order = np.lexsort((q, far, p))
+    p, q = p[order], q[order]
+    place = np.arange(len(p)) - np.searchsorted(p, p)
+    return p[place < most], q[place < most]
+
+
+def distinct(a_ids: list[np.ndarray], b_ids: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def searched(rows: DataFrame, least: int, most: int | None) -> DataFrame:
     """a, b (a < b): pairs across components that the R-trees of the keys let through.
 
-    rows: key, part (a pair of blocks), side, id, n, comp, point, dealt by key
-    and part and sorted by them.
+    rows: key, part (a pair of blocks), side, id, n, comp, asks, point, dealt
+    by key and part and sorted by them. most: only so many nearest partners of
+    each point that asks; None: all pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,21 +269,22 @@ def searched(rows: DataFrame, least: int) -> DataFrame:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if not table.num_rows:
                 return
-            key, part, side, ids, n, comp = (table.column(i).to_numpy() for i in range(6))
-            points = table.column(6).combine_chunks()
-            points = np.asarray(points.flatten()).reshape(-1, GROUPS)
+            key, part, side, ids, n, comp, asks = (table.column(i).to_numpy() for i in range(7))
+            points = np.asarray(table.column(7).combine_chunks().flatten()).reshape(-1, GROUPS)
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            a_ids, b_ids = [], []
+            a_ids, b_ids, size = [], [], 0
             for s, e in zip(new, [*new[1:], len(key)], strict=True):
                 if e - s > 1:
-                    for p, q in tree_pairs(points[s:e], n[s:e], comp[s:e], side[s:e], least):
+                    pairs = tree_pairs(points[s:e], n[s:e], comp[s:e], side[s:e], least)
+                    for p, q in pairs if most is None else [nearest(list(pairs), points[s:e], asks[s:e], most)]:
                         a_ids.append(ids[s + p])
                         b_ids.append(ids[s + q])
-            if a_ids:
-                a, b = np.concatenate(a_ids), np.concatenate(b_ids)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                for at in range(0, len(pairs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000, 0]), pa.array(pairs[at : at + 100_000, 1])], ["a", "b"])
+                        size += len(p)
+                        if size >= HELD:
+                            yield distinct(a_ids, b_ids)
+                            a_ids, b_ids, size = [], [], 0
+            if size:
+                yield distinct(a_ids, b_ids)
 
         for b in batches:
             if not b.num_rows:
@@ -275,6 +307,33 @@ def searched(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def open_keys(met: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met with comp, and the keys that still have several components: key, m (points)."""
+    named = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    named = common.cut(named)
+    return named, named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+
+
+def dealt_rows(named: DataFrame, keys: DataFrame, spots: DataFrame, asking: DataFrame | None) -> DataFrame:
+    """Rows for searched(): the points under the keys, those of large keys in blocks.
+
+    asking (id, key): who looks for partners, in its own block of the key. If
+    None, all pairs are wanted: each pair of blocks is a part.
+    """
+    rows = named.join(keys, "key")
+    if asking is None:
+        rows = rows.withColumn("asks", F.lit(True))
+    else:
+        rows = rows.join(asking.withColumn("a", F.lit(True)), ["id", "key"], "left").withColumn("asks", F.coalesce("a", F.lit(False)))
+    rows = rows.join(spots, "id")
+    blocks = F.ceil(F.col("m") / (BLOCK if asking is None else NEAR_BLOCK)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if asking is None else F.col("own"))
+    part = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
+    rows = rows.select("key", part.alias("part"), F.col("own").alias("side"), "id", "n", "comp", "asks", "point")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose sets (id, hashes) are alike enough."""
     left = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
@@ -290,7 +349,7 @@ def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     by_set = base.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("id"))
     # equal sets have equal keys: one row a set is left before keys are dealt
     full = digest(docs, n, least, True).where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    points = full.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    points = full.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
     dealt = points.select("id", F.explode("keys").alias("key"))
     per_key = Window.partitionBy("key")
     met = dealt.withColumn("first", F.min("id").over(per_key)).withColumn("last", F.max("id").over(per_key)).where("first < last").select("key", "id", "first")
@@ -298,29 +357,25 @@ def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     ids = met.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     sets = common.cut(shingle_sets(texts, n))
-    size = F.size("hashes").cast("bigint")
-    group = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.size(F.filter("hashes", lambda h: h.bitwiseAND(F.lit(GROUPS - 1)) == g)))
-    spots = common.cut(sets.select("id", size.alias("n"), group.alias("point")))
-    # first round: each set and the smallest under its keys
+    spots = sets.select("id", "n", "point")
+    # each set and the smallest under its keys
     stars = met.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sa, sb = (spots.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     stars = stars.join(sb, "b").join(sa, "a").where((100 + least) * bound >= least * (F.col("na") + F.col("nb"))).select("a", "b")
     links = common.cut(verified(stars, sets, least))
     comp = components(links)
-    # second round: keys with several components
-    named = met.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    named = common.cut(named)
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
-    rows = named.join(open_keys, "key").join(spots, "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
-    rows = rows.select("key", part.alias("part"), F.col("own").alias("side"), "id", "n", "comp", "point")
-    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-    more = common.cut(verified(searched(rows, least).distinct(), sets, least))
-    comp = components(links.unionByName(more))
+    # the nearest partners of each set in other components, under one of its open keys: first the largest, then any
+    for choice in (F.struct("m", "key"), F.struct(F.xxhash64("key", "id"), "key")):
+        named, keys = open_keys(met, comp)
+        asking = common.cut(named.join(keys, "key").groupBy("id").agg(F.max_by("key", choice).alias("key")))
+        near = searched(dealt_rows(named, keys.join(asking.select("key").distinct(), "key"), spots, asking), least, NEAREST)
+        links = common.cut(links.unionByName(verified(near.distinct(), sets, least)))
+        comp = components(links)
+    # all pairs that are left under keys with several components
+    named, keys = open_keys(met, comp)
+    more = verified(searched(dealt_rows(named, keys, spots, None), least, None).distinct(), sets, least)
+    comp = components(common.cut(links.unionByName(more)))
     whole = by_set.join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("sig").alias("s"), F.coalesce("comp", "id").alias("comp"))
     out = base.join(whole, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
