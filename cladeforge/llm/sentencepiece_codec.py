@@ -29,6 +29,7 @@ like an output is replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,10 @@ from pyspark.sql import types as T
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Stretches whose ids a worker remembers.
-MOST_KEPT = 400_000
+#: Stretches whose ids a worker remembers, and pairs of pieces.
+MOST_KEPT = 600_000
+#: Stretches of so many characters at most are remembered, and searched at once.
+SHORT = 64
 #: Bound of a vocabulary, so that it may be sent to every worker.
 MOST_PIECES = 2_000_000
 
@@ -78,6 +81,7 @@ class Codec:
         self.stretch = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.kept: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -141,12 +145,41 @@ class Codec:
                     back.pop(j, None), last.pop(j, None), best.pop(j, None)
                 done = meet
 
+    def short_segments(self, text: str) -> list[str]:
+        """segments() of a BPE model for a text that is committed as a whole: the same search, from each boundary ahead."""
+        n = len(text)
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
+        ids, prefixes, pairs, whole = self.ids, self.prefixes, self.pairs, self.whole
+        for j in range(n):
+            left = last[j]
+            for i in range(j + 1, n + 1):
+                piece = text[j:i]
+                if last[i] is None and (i == j + 1 or piece in ids):
+                    fits = whole.get(piece)
+                    if fits is None:
+                        fits = self.reachable(piece)
+                    if fits and j:
+                        fits = pairs.get((left, piece))
+                        if fits is None:
+                            fits = self.apart(left, piece)
+                    if fits:
+                        last[i] = piece
+                if piece not in prefixes:
+                    break
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(last[n])
+        return out[::-1]
+
     def ids_of(self, stretch: str) -> bytes:
         """The ids of a stretch, as 32-bit integers."""
         known = self.kept.get(stretch)
         if known is None:
             ids: list[int] = []
-            for piece in self.segments(stretch):
+            short = self.kind == "bpe" and len(stretch) <= SHORT
+            for piece in self.short_segments(stretch) if short else self.segments(stretch):
                 i = self.ids.get(piece)
                 if i is not None:
                     ids.append(i)
@@ -154,8 +187,8 @@ class Codec:
                     ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
                 else:
                     ids.append(self.unknown)
-            known = np.array(ids, np.int32).tobytes()
-            if len(stretch) <= 64:
+            known = array("i", ids).tobytes()
+            if len(stretch) <= SHORT:
                 if len(self.kept) >= MOST_KEPT:
                     self.kept.clear()
                 self.kept[stretch] = known
