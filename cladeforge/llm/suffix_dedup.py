@@ -5,12 +5,11 @@ also starts somewhere else, in the same document or another one. Matches do
 not cross documents.
 
 Finding the places. Each string of `length` bytes holds a gram of `GRAM` bytes
-whose hash is the least in it; equal strings hold equal ones. Such grams are
-the anchors of a document, about one in 70 bytes. Anchors that occur once in
-the corpus cannot lie in a repeated string; only around the others, in the
-window of bytes that a string through the anchor can reach, is there anything
-to look for. Windows with the same anchor and the same bytes are one: all
-their strings are repeated, and one of them stands for all in what follows.
+whose hash is the least in it, its anchor; equal strings have equal ones. An
+anchor serves a run of starts, about 70; the bytes of their strings are its
+window. Strings whose anchor occurs once in the corpus are not repeated. All
+strings of windows with the same anchor and the same bytes are; one such
+window stands for all in what follows.
 
 Suffix arrays. Different windows with the same anchor go to the same shard.
 A shard is one text of whole windows; its suffix array is refined in the way
@@ -33,7 +32,6 @@ extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +44,9 @@ from . import common
 
 LENGTH, GRAM = 200, 64
 #: Bytes that are worked on together: of texts, and of windows in a shard.
-BATCH, SHARD = 4 << 20, 2 << 20
+BATCH, SHARD = 4 << 20, 1 << 20
 #: Windows of one anchor in a shard; further ones go to other shards.
-MOST_WINDOWS = 6_000
+MOST_WINDOWS = 4_000
 
 _values = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,44 +65,55 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def sliding(x: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
-    """f over each run of w elements; len(x) - w + 1 results."""
+def least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum over each run of w elements; len(x) - w + 1 results."""
     n = len(x) - w + 1
-    padded = np.concatenate([x, np.full(-len(x) % w, fill, x.dtype)]).reshape(-1, w)
-    ahead = f.accumulate(padded, axis=1).ravel()
-    behind = f.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(behind[:n], ahead[w - 1 : w - 1 + n])
+    padded = np.concatenate([x, np.full(-len(x) % w, (1 << 64) - 1, np.uint64)]).reshape(-1, w)
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()
+    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the text, position and hash of each anchor."""
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position and hash of each anchor, and the first and last start of the strings that it is the anchor of.
+
+    A string's anchor is the gram with the least 33 bits of hash in it, the
+    leftmost of several; the low 31 bits of what is compared are the place.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(b) < length:
-        return none, none, none
+        return none, none, none, none, none
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_values[b] * powers(_BASE, len(b)), out=sums[1:])
     v = (sums[gram:] - sums[:-gram]) * powers(_INVERSE, len(b) - gram + 1)
+    del sums
     v ^= v >> np.uint64(29)
     v *= np.uint64(0xBF58476D1CE4E5B9)
-    v ^= v >> np.uint64(32)
-    np.maximum(v, np.uint64(1), out=v)
-    w = length - gram + 1
-    least = sliding(v, w, np.minimum, (1 << 64) - 1)
+    place = np.uint64((1 << 31) - 1)
+    low = least_in_windows((v & ~place) | np.arange(len(v), dtype=np.uint64), length - gram + 1)
+    at = (low & place).astype(np.int64)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    # a string that crosses the end of its text is none: nothing equals 0
-    crosses = np.arange(len(least)) + length > ends[owner[: len(least)]]
-    least[crosses] = 0
-    edge = np.zeros(w - 1, np.uint64)
-    best = sliding(np.concatenate([edge, least, edge]), w, np.maximum, 0)
-    at = np.flatnonzero(best == v)
-    return owner[at], at - (ends - sizes)[owner[at]], v[at].view(np.int64)
-
-
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of an array of symbols 0..256, by Larsson-Sadakane refinement."""
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    # strings that cross the end of their text are none
+    own = owner[: len(at)]
+    start = np.flatnonzero(np.arange(len(at)) + length <= ends[own])
+    if not len(start):
+        return none, none, none, none, none
+    new = np.flatnonzero(np.r_[True, (at[start][1:] != at[start][:-1]) | (own[start][1:] != own[start][:-1])])
+    first, last = start[new], start[np.r_[new[1:] - 1, len(start) - 1]]
+    at, own = at[first], own[first].astype(np.int64)
+    base = (ends - sizes)[own]
+    return own, at - base, v[at].view(np.int64), first - base, last - base
+
+
+def suffix_array(text: np.ndarray, order_of: int | None = None) -> np.ndarray:
+    """Order of the suffixes of an array of symbols 0..256, by Larsson-Sadakane refinement.
+
+    order_of: suffixes that agree on so many symbols may stay in the order of
+    the text.
+    """
     n = len(text)
     padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(7, np.int64)])  # 0: past the end
     key = np.zeros(n, np.int64)
@@ -120,7 +129,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     h = 7
     # places in the array whose group has more than one suffix
     open_at = np.flatnonzero(~(new & np.r_[new[1:], True]))
-    while len(open_at):
+    while len(open_at) and (order_of is None or h < order_of):
         group = sa[open_at]
         key = rank[group] * (n + 2) + rank[np.minimum(group + h, n)] + 1
         order = np.argsort(key, kind="stable")
@@ -139,10 +148,10 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     at = np.arange(n)
-    follows = before > 0
-    follows[0] = False
-    follows[follows] = text[at[follows] - 1] == text[before[follows] - 1]
-    follows[1:] &= text[:-1] != 0
+    # a pair that is the one before it moved by a symbol, if that one had a symbol in common
+    follows = np.zeros(n, bool)
+    follows[1:] = (before[:-1] >= 0) & (before[1:] == before[:-1] + 1) & (text[:-1] != 0)
+    follows[1:] &= text[:-1] == text[np.maximum(before[:-1], 0)]
     heads = np.flatnonzero(~follows)
     # symbols in eights, so that most comparisons are of whole words
     padded = np.concatenate([text, np.zeros(8, text.dtype)])
@@ -186,69 +195,65 @@ def repeated_starts(windows: list[bytes], doc: np.ndarray, origin: np.ndarray, m
     comes from; many: whether its bytes occur at several places.
     """
     sizes = np.array([len(w) for w in windows], np.int64)
-    text = np.zeros(int(sizes.sum()) + len(windows), np.int16)
+    text = np.frombuffer(b"\0".join(windows) + b"\0", np.uint8).astype(np.int16) + 1
     ends = np.cumsum(sizes + 1)
     begins = ends - sizes - 1
-    joined = np.frombuffer(b"\0".join(windows) + b"\0", np.uint8)
-    text[:] = joined
-    text += 1
     text[ends - 1] = 0
-    sa = suffix_array(text)
-    lcp = common_prefixes(text, sa)
-    owner = np.repeat(np.arange(len(windows)), sizes + 1)[sa]
+    sa = suffix_array(text, length)
+    same = common_prefixes(text, sa) >= length
+    owner = np.repeat(np.arange(len(windows), dtype=np.int32), sizes + 1)[sa]
     inner = sa - begins[owner]
+    del sa
     whole = inner + length <= sizes[owner]
     # classes of equal strings: runs of neighbours with `length` common bytes
-    group = np.cumsum(~(lcp >= length)) - 1
-    owner, inner, group = owner[whole], inner[whole], group[whole]
+    group = (np.cumsum(~same) - 1)[whole]
+    owner, inner = owner[whole], inner[whole]
     if not len(owner):
         return owner, inner, np.zeros(0, bool)
     new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    place = origin[owner] + inner
     twice = np.maximum.reduceat(many[owner].astype(np.int8), new) > 0
-    for x in (doc[owner], place):
+    for x in (doc[owner], origin[owner] + inner):
         twice |= np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
     return owner, inner, np.repeat(twice, np.diff(np.r_[new, len(owner)]))
 
 
-def located(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, pos, anchor of all documents: th tells rows of one doc_id with different texts apart."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, th, body: th, a hash of the text, tells rows of one doc_id with different texts apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.cast("binary").alias("body"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, texts, th in grouped(b, 0, 1):
-                t, pos, h = anchors(texts, length)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(th[t]), pa.array(pos.astype(np.int32)), pa.array(h)], ["doc_id", "th", "pos", "anchor"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, th bigint, pos int, anchor bigint")
-
-
-def grouped(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    """Parts of a batch of about BATCH bytes, with their texts and the hashes of those."""
-    column = batch.column(text_at).cast(pa.binary())
+def in_parts(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of about BATCH bytes, with their texts."""
     at, size, texts = 0, 0, []
-    for k in range(batch.num_rows):
-        texts.append(column[k].as_py() or b"")
+    for k, t in enumerate(batch.column(text_at)):
+        texts.append(t.as_py())
         size += len(texts[-1])
         if size >= BATCH or k + 1 == batch.num_rows:
-            yield batch.slice(at, k + 1 - at), texts, np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            yield batch.slice(at, k + 1 - at), texts
             at, size, texts = k + 1, 0, []
 
 
-def windows_of(cand: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, pos, anchor, ctx: the hash of the bytes around each place, with its lengths."""
-    reach = length - GRAM
+def located(texts: DataFrame, length: int, with_place: bool) -> DataFrame:
+    """anchor of all strings of `length` bytes; with_place: where they start and what they hold.
+
+    doc_id, th, lo, n: the starts, from lo on, that the anchor stands for; ctx:
+    the hash of all bytes of their strings, the window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, ths, places, marks = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
-            for k, t in enumerate(b.column(2)):
-                t, pos = t.as_py() or b"", places[k]
-                ctx = [xxhash.xxh3_64_intdigest(t[max(0, p - reach) : p + length] + b"%d" % min(p, reach)) for p in pos]
-                n = len(pos)
-                yield pa.RecordBatch.from_arrays([pa.array([docs[k]] * n, pa.int64()), pa.array([ths[k]] * n, pa.int64()), pa.array(pos, pa.int32()), pa.array(marks[k], pa.int64()), pa.array(np.array(ctx, np.uint64).view(np.int64))], ["doc_id", "th", "pos", "anchor", "ctx"])
+            for part, bodies in in_parts(b, 2):
+                own, _, mark, first, last = anchors(bodies, length)
+                out = [pa.array(mark)]
+                if with_place:
+                    digest = xxhash.xxh3_64_intdigest
+                    ctx = [digest(bodies[t][a : z + length]) for t, a, z in zip(own.tolist(), first.tolist(), last.tolist(), strict=True)]
+                    at = pa.array(own)
+                    out += [part.column(0).take(at), part.column(1).take(at), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(np.array(ctx, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(out, ["anchor", "doc_id", "th", "lo", "n", "ctx"][: len(out)])
 
-    return cand.select("doc_id", "th", F.col("text").cast("binary").alias("text"), "pos", "anchor").mapInArrow(run, "doc_id bigint, th bigint, pos int, anchor bigint, ctx bigint")
+    return texts.mapInArrow(run, "anchor bigint" + (", doc_id bigint, th bigint, lo int, n int, ctx bigint" if with_place else ""))
 
 
 def same_doc(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -256,114 +261,134 @@ def same_doc(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame
     return left.join(right, left["doc_id"].eqNullSafe(right["d"]) & (left["th"] == right["t"]), how).drop("d", "t")
 
 
-def shards(rows: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, spans, singles: repeated strings of the windows of each shard.
-
-    rows: anchor, shard, split, doc_id, th, pos, many, bytes, dealt and sorted
-    by anchor and shard. spans: covered bytes; singles: where the anchor has
-    several shards, start and hash of the strings not found repeated.
-    """
-    reach = length - GRAM
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    single = pa.list_(pa.struct([("s", pa.int32()), ("h", pa.binary())]))
+#: What a shard gives: a window's repeated spans (anchor null), or packed strings that it has once.
+SHARD_ROWS = pa.schema([("anchor", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("docs", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("hashes", pa.binary())])
+SHARD_SCHEMA = "anchor bigint, bucket int, doc_id bigint, th bigint, spans array<struct<s:int,e:int>>, docs array<bigint>, ths array<bigint>, starts array<int>, hashes binary"
+
+
+def sharded(rows: DataFrame, length: int) -> DataFrame:
+    """SHARD_SCHEMA of rows anchor, shard, shards, doc_id, th, lo, many, bytes, dealt and sorted by anchor and shard."""
+
+    def spans_and_rest(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        mark, shards, ids, ths, lo, many = (t.column(c).to_pylist() for c in ("anchor", "shards", "doc_id", "th", "lo", "many"))
+        windows = t.column("bytes").to_pylist()
+        numbers: dict = {}
+        doc = np.array([numbers.setdefault(x, len(numbers)) for x in zip(ids, ths, strict=True)])
+        owner, inner, twice = repeated_starts(windows, doc, np.array(lo), np.array(many), length)
+        order = np.lexsort((inner, owner))
+        owner, inner, twice = owner[order], inner[order], twice[order]
+        edge = np.searchsorted(owner, np.arange(len(windows) + 1))
+        out: list[dict] = []
+        rest: dict[tuple[int, int], list] = {}
+        for k in range(len(windows)):
+            s, f = inner[edge[k] : edge[k + 1]], twice[edge[k] : edge[k + 1]]
+            if not many[k] and f.any():
+                out.append({"doc_id": ids[k], "th": ths[k], "spans": [{"s": a + lo[k], "e": b + lo[k]} for a, b in runs(s[f], length)]})
+            if shards[k] > 1:
+                for x in s[~f].tolist():
+                    h = xxhash.xxh3_128_digest(windows[k][x : x + length])
+                    rest.setdefault((mark[k], (h[0] * 256 + h[1]) % shards[k]), []).append((ids[k], ths[k], x + lo[k], h))
+        for (anchor, bucket), x in rest.items():
+            i, t_, starts, h = zip(*x, strict=True)
+            out.append({"anchor": anchor, "bucket": bucket, "docs": i, "ths": t_, "starts": starts, "hashes": b"".join(h)})
+        for at in range(0, len(out), 5000):
+            yield pa.RecordBatch.from_pylist(out[at : at + 5000], SHARD_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         size, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            mark, shard = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.flatnonzero(np.r_[last != (mark[0], shard[0]), (mark[1:] != mark[:-1]) | (shard[1:] != shard[:-1])])
+            ends = np.cumsum([len(x.as_py()) for x in b.column(7)])
+            at = 0
+            for k in new.tolist():
+                # a whole anchor ends before k
+                done = size + int(ends[k - 1] if k else 0) - int(ends[at - 1] if at else 0)
+                if done >= SHARD:
+                    yield from spans_and_rest(pa.Table.from_batches([*held, b.slice(at, k - at)]))
+                    held, size, at = [], 0, k
+            held.append(b.slice(at))
+            size += int(ends[-1]) - int(ends[at - 1] if at else 0)
+            last = (mark[-1], shard[-1])
+        if held:
+            yield from spans_and_rest(pa.Table.from_batches(held))
 
-        def done() -> pa.RecordBatch:
-            texts = [r["bytes"] for r in held]
-            numbers: dict = {}
-            doc = np.array([numbers.setdefault((r["doc_id"], r["th"]), len(numbers)) for r in held])
-            origin = np.array([max(0, r["pos"] - reach) for r in held])
-            owner, inner, twice = repeated_starts(texts, doc, origin, np.array([r["many"] for r in held]), length)
-            order = np.lexsort((inner, owner))
-            owner, inner, twice = owner[order], inner[order], twice[order]
-            edge = np.searchsorted(owner, np.arange(len(held) + 1))
-            spans, ones = [], []
-            for k, r in enumerate(held):
-                s, f = inner[edge[k] : edge[k + 1]], twice[edge[k] : edge[k + 1]]
-                spans.append([{"s": a + int(origin[k]), "e": b + int(origin[k])} for a, b in runs(s[f], length)] if not r["many"] else [])
-                ones.append([{"s": int(x) + int(origin[k]), "h": xxhash.xxh3_128_digest(texts[k][x : x + length])} for x in s[~f]] if r["split"] else [])
-            return pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in held], pa.int64()), pa.array([r["th"] for r in held], pa.int64()), pa.array(spans, kind), pa.array(ones, single)], ["doc_id", "th", "spans", "singles"])
+    return rows.mapInArrow(run, SHARD_SCHEMA)
+
+
+def merged_shards(rows: DataFrame) -> DataFrame:
+    """doc_id, th, s: strings that several shards of an anchor have once each.
+
+    rows: anchor, bucket, docs, ths, starts, hashes. Those of one anchor and
+    range of hashes meet; each string is looked up among all by binary search.
+    """
 
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows < 2:
+            return
+        ids, ths, starts = (np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in t.column(c)]) for c in ("docs", "ths", "starts"))
+        h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.dtype([("a", "<u8"), ("b", "<u8")]))
+        order = np.lexsort((h["b"], h["a"]))
+        a = h["a"][order]
+        several = np.searchsorted(a, a, "right") - np.searchsorted(a, a, "left") > 1
+        order = order[several]
+        a, b = h["a"][order], h["b"][order]
+        if not len(order):
+            return
+        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        twice = np.zeros(len(new), bool)
+        for x in (ids[order], ths[order], starts[order]):
+            twice |= np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
+        order = order[np.repeat(twice, np.diff(np.r_[new, len(order)]))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(ths[order]), pa.array(starts[order].astype(np.int32))], ["doc_id", "th", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
-            for r in b.to_pylist():
-                key = (r["anchor"], r["shard"])
-                if held and key != last and size >= SHARD:
-                    yield done()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["bytes"])
+            mark, bucket = b.column(0).to_pylist(), b.column(1).to_pylist()
+            at = 0
+            for k, key in enumerate(zip(mark, bucket, strict=True)):
+                if last is not None and key != last:
+                    yield from found(pa.Table.from_batches([*held, b.slice(at, k - at)]))
+                    held, at = [], k
                 last = key
+            if at < b.num_rows:
+                held.append(b.slice(at))
         if held:
-            yield done()
+            yield from found(pa.Table.from_batches(held))
 
-    span = "array<struct<s:int,e:int>>"
-    return rows.mapInArrow(run, f"doc_id bigint, th bigint, spans {span}, singles array<struct<s:int,h:binary>>")
+    packed = rows.where("anchor is not null").select("anchor", "bucket", "docs", "ths", "starts", "hashes")
+    return packed.repartition("anchor", "bucket").sortWithinPartitions("anchor", "bucket").mapInArrow(run, "doc_id bigint, th bigint, s int")
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th, text, spans (array of start, end in bytes, may overlap) for the documents with bytes to remove."""
-    reach = length - GRAM
-    found = located(docs, length)
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    marks = found.join(twice, "anchor").groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("pos", "anchor")).alias("m"))
-    marks = marks.select("d", "t", F.col("m.pos").alias("pos"), F.col("m.anchor").alias("anchor"))
-    texts = docs.select("doc_id", "text").mapInArrow(hashed, "doc_id bigint, th bigint, text string")
-    cand = common.cut(same_doc(texts, marks))
-    around = common.cut(windows_of(cand, length))
-    kinds = around.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("one"))
-    kinds = common.cut(kinds)
-    # strings in windows whose bytes are at several places
-    several = kinds.where("n > 1").select("anchor", "ctx")
-    resolved = around.join(several, ["anchor", "ctx"]).select("doc_id", "th", F.greatest(F.lit(0), F.col("pos") - reach).alias("s"), (F.col("pos") + length).alias("e"))
+    """doc_id, th, body, spans (array of start, end in bytes, may overlap) for the documents with bytes to remove."""
+    texts = keyed(docs)
+    # written, so that the join below is an ordinary one, whose hot anchors can be split
+    twice = common.cut(located(texts, length, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
+    around = common.cut(located(texts, length, True).join(twice, "anchor"))
+    kinds = common.cut(around.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "lo", "n")).alias("one")))
+    # windows whose bytes are at several places
+    several = kinds.where("c > 1").select("anchor", "ctx")
+    resolved = around.join(several, ["anchor", "ctx"]).select("doc_id", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
     # anchors with different windows: one of each kind goes to the shards
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    reps = kinds.join(mixed, "anchor").select("anchor", "m", (F.col("n") > 1).alias("many"), "one.doc_id", "one.th", "one.pos")
-    asked = reps.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("anchor", "m", "many", "pos")).alias("w"))
-    bodies = cand.select("doc_id", "th", F.col("text").cast("binary").alias("body")).dropDuplicates(["doc_id", "th"])
-    rows = same_doc(bodies, asked).select("doc_id", "th", "body", F.explode("w").alias("w"))
-    start = F.greatest(F.lit(0), F.col("w.pos") - reach)
-    n_shards = F.ceil(F.col("w.m") / MOST_WINDOWS).cast("int")
-    rows = rows.select(F.col("w.anchor").alias("anchor"), F.pmod(F.xxhash64("doc_id", "w.pos"), n_shards).cast("int").alias("shard"), (n_shards > 1).alias("split"), "doc_id", "th", F.col("w.pos").alias("pos"), F.col("w.many").alias("many"), F.substr("body", start + 1, F.col("w.pos") + length - start).alias("bytes"))
-    rows = rows.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
-    sharded = common.cut(shards(rows, length))
-    alone = sharded.select("doc_id", "th", F.explode("spans").alias("x")).select("doc_id", "th", "x.s", "x.e")
-    ones = sharded.select("doc_id", "th", F.explode("singles").alias("x")).select("doc_id", "th", "x.s", "x.h")
-    merged = merged_shards(ones).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+    shards = F.ceil(F.col("m") / MOST_WINDOWS).cast("int")
+    reps = kinds.join(mixed, "anchor").select("anchor", shards.alias("shards"), (F.col("c") > 1).alias("many"), "one.*")
+    asked = reps.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("anchor", "shards", "many", "lo", "n")).alias("w"))
+    rows = same_doc(texts, asked).select("doc_id", "th", "body", F.explode("w").alias("w"))
+    shard = F.pmod(F.xxhash64("doc_id", "w.lo"), F.col("w.shards")).cast("int")
+    rows = rows.select(F.col("w.anchor").alias("anchor"), shard.alias("shard"), F.col("w.shards").alias("shards"), "doc_id", "th", F.col("w.lo").alias("lo"), F.col("w.many").alias("many"), F.substr("body", F.col("w.lo") + 1, F.col("w.n") - 1 + length).alias("bytes"))
+    # rows of one doc_id and text are one document here: their strings are all repeated, and found so
+    out = common.cut(sharded(rows.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard"), length))
+    alone = out.where("anchor is null").select("doc_id", "th", F.explode("spans").alias("x")).select("doc_id", "th", "x.s", "x.e")
+    merged = merged_shards(out).select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
     spans = resolved.unionByName(alone).unionByName(merged).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    return same_doc(cand.select("doc_id", "th", "text"), spans)
-
-
-def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part, _, th in grouped(b, 0, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), part.column(1)], ["doc_id", "th", "text"])
-
-
-def merged_shards(ones: DataFrame) -> DataFrame:
-    """doc_id, th, s: strings that shards have once each, but several shards have.
-
-    The shards' strings meet by ranges of their hash, sorted; each is looked
-    up among the others by binary search.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        h = np.array([int.from_bytes(x[:8], "big") for x in table.column("h").to_pylist()], np.uint64)
-        ordered = np.sort(h)
-        many = np.searchsorted(ordered, h, "right") - np.searchsorted(ordered, h, "left") > 1
-        part = table.filter(pa.array(many))
-        yield from part.to_batches()
-
-    near = ones.repartition(F.substr("h", F.lit(1), F.lit(8))).mapInArrow(run, ones.schema)
-    # the search is by half of the hash; the whole one and different places decide
-    places = near.groupBy("h").agg(F.min(F.struct("doc_id", "th", "s")).alias("lo"), F.max(F.struct("doc_id", "th", "s")).alias("hi")).where("lo <> hi").select("h")
-    return near.join(places, "h").select("doc_id", "th", "s")
+    return same_doc(texts, spans)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -374,32 +399,23 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for k in range(b.num_rows):
                 body = b.column(2)[k].as_py()
                 at, removed, n, out = 0, 0, 0, []
-                for x in sorted((x["s"], min(x["e"], len(body))) for x in b.column(3)[k].as_py()):
-                    if x[0] > at or not n:
-                        out.append(body[at : x[0]])
+                for s, e in sorted((x["s"], x["e"]) for x in b.column(3)[k].as_py()):
+                    if s > at or not n:
+                        out.append(body[at:s])
                         n += 1
-                        removed += x[1] - x[0]
-                        at = x[1]
-                    elif x[1] > at:
-                        removed += x[1] - at
-                        at = x[1]
-                kept = b"".join([*out, body[at:]])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([kept], pa.binary()), pa.array([removed], pa.int64()), pa.array([n], pa.int64())], ["doc_id", "th", "kept", "n_removed", "n_spans"])
+                        removed += e - s
+                        at = e
+                    elif e > at:
+                        removed += e - at
+                        at = e
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([b"".join([*out, body[at:]])], pa.binary()), pa.array([removed], pa.int64()), pa.array([n], pa.int64())], ["doc_id", "th", "kept", "n_removed", "n_spans"])
 
-    t = repeated(docs, length).select("doc_id", "th", F.col("text").cast("binary").alias("text"), "spans")
-    return t.mapInArrow(run, "doc_id bigint, th bigint, kept binary, n_removed bigint, n_spans bigint")
+    return repeated(docs, length).mapInArrow(run, "doc_id bigint, th bigint, kept binary, n_removed bigint, n_spans bigint")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    cut_down = cleaned(docs).groupBy("doc_id", "th").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first(F.sha2("kept", 256)).alias("sha"))
-    cut_down = cut_down.withColumnsRenamed({"doc_id": "d", "th": "t"})
-    base = docs.mapInArrow(summed, "doc_id bigint, th bigint, n_bytes bigint, whole string")
+    cut_down = cleaned(docs).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first(F.sha2("kept", 256)).alias("sha"))
+    base = keyed(docs).select("doc_id", "th", F.octet_length("body").cast("bigint").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
     out = same_doc(base, cut_down, "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
-
-
-def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part, texts, th in grouped(b, 0, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(th), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "th", "n_bytes", "whole"])
