@@ -12,9 +12,11 @@ bounds them all by its upper corner.
 Where points meet. Linked sets of at most `u` shingles differ in at most
 2u(100 - least) / (100 + least) shingles. Shingles are dealt by hash into one
 part more than that, so at least one part of a linked pair is the same in
-both: its hash is the key under which the two meet. u is the upper end of a
-size class; a set that can link into the next class also goes there. So no
-link is lost, whatever the data.
+both: its hash is the key under which the two meet (a few parts more make
+sure that one of these is not empty). u is the upper end of a size class; a
+set that can link into the next class also goes there. So no link is lost,
+whatever the data. Keys are combined within a task and sent packed, so copies
+and common keys cost at most a row for each task.
 
 Which pairs are looked at. First each set and the smallest one under each of
 its keys. Pairs that pass the bound are verified on the sets themselves, and
@@ -32,9 +34,9 @@ components are DataFrame operations.
 
 Defined results: null and empty texts have an empty set and link with
 nothing, their component is their own doc_id; a text with fewer words than n
-has its word sequence as one shingle; repeated rows are one document; rows
-that share a doc_id but not a text link as one document; a null doc_id has no
-component (null); an empty table gives an empty result; extra columns are
+has its word sequence as one shingle; repeated rows are one document; of rows
+that share a doc_id but not a text, each has its size, and their component is
+that of the links found for any of them; a null doc_id has no component (null); an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -45,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -58,7 +60,7 @@ CLASS = 1.5
 #: Points of one key that one task takes together.
 BLOCK = 20_000
 #: Pairs that a task holds before it hands them on.
-HELD = 500_000
+HELD = 1_000_000
 #: Points of one key among which a set looks for its nearest partners.
 NEAR_BLOCK = 2_000
 #: Partners that a set is verified with before all remaining pairs are looked at.
@@ -122,19 +124,38 @@ def size_classes(n: int, least: int) -> list[tuple[int, int]]:
     return out
 
 
+def parts_of(upper: int, least: int) -> tuple[int, int]:
+    """Parts of a class, and how many of them may be empty in a set without its keys missing a partner.
+
+    One part more than sets can differ in would do, but a part that is empty
+    in both sets tells nothing about them. With `spare` parts more, a linked
+    pair has a part in common that is not empty, if one of the two has no
+    more than `spare` empty parts.
+    """
+    parts = differ_most(upper, least) + 1
+    if parts == 1:
+        return 1, 0
+    spare = int(np.ceil(2 * parts * np.exp(-upper / CLASS / parts)))
+    return parts + spare, spare
+
+
 def meeting_keys(h: np.ndarray, least: int) -> np.ndarray:
-    """The keys of a set of hashes: one for each part, in each of its classes."""
+    """The keys of a set of hashes: one for each part that has some, in each of its classes.
+
+    A set with more empty parts than are spare has the empty ones' keys too.
+    """
     keys = []
     spread = mixed(h + MIX1)
     for k, upper in size_classes(len(h), least):
-        parts = differ_most(upper, least) + 1
+        parts, spare = parts_of(upper, least)
         part = (spread % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
         np.add.at(total, part, mixed(h))
         other = np.zeros(parts, np.uint64)
         np.bitwise_xor.at(other, part, spread)
-        # an empty part has a key as well: it is a part in which two sets can be the same
-        keys.append(mixed(mixed(total + other * MIX2) + np.uint64(k << 40) + np.arange(parts, dtype=np.uint64)))
+        key = mixed(mixed(total + other * MIX2) + np.uint64(k << 40) + np.arange(parts, dtype=np.uint64))
+        full = np.bincount(part, minlength=parts) > 0
+        keys.append(key if parts - full.sum() > spare else key[full])
     return np.concatenate(keys)
 
 
@@ -147,8 +168,15 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def digest(docs: DataFrame, n: int, least: int, with_keys: bool) -> DataFrame:
-    """doc_id, n_shingles, sig (null for an empty set); with_keys: keys too."""
+def point_of(h: np.ndarray) -> tuple[np.ndarray, int]:
+    """Counts by group as bytes times a scale; scaled counts are rounded up, so that bounds stay bounds."""
+    counts = np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    scale = max(1, -(-int(counts.max()) // 127))
+    return -(-counts // scale), scale
+
+
+def digest(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, sig (null for an empty set), point and scale of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
@@ -156,29 +184,135 @@ def digest(docs: DataFrame, n: int, least: int, with_keys: bool) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = [s.hashes(t) for t in part.column(1).to_pylist()]
-                out = [part.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary())]
-                if with_keys:
-                    none = np.zeros(0, np.int64)
-                    out.append(lists([signed(meeting_keys(h, least)) if len(h) else none for h in sets], pa.int64()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "sig", "keys"][: len(out)])
+                points = [point_of(h) for h in sets]
+                sig = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(sig, pa.binary()), lists([p.astype(np.int8) for p, _ in points], pa.int8()), pa.array([x for _, x in points], pa.int32())], ["doc_id", "n_shingles", "sig", "point", "scale"])
 
-    schema = "doc_id bigint, n_shingles bigint, sig binary" + (", keys array<bigint>" if with_keys else "")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, point array<tinyint>, scale int")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, n, hashes, point of documents (doc_id, text)."""
+    """id, hashes of documents (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sets = [s.hashes(t) for t in part.column(1).to_pylist()]
-                points = [np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for h in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(h) for h in sets], pa.int64()), lists([signed(h) for h in sets], pa.int64()), lists(points, pa.int32())], ["id", "n", "hashes", "point"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists([signed(s.hashes(t)) for t in part.column(1).to_pylist()], pa.int64())], ["id", "hashes"])
+
+    return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
+
+
+PACKED = ["bucket", "local", "keys", "base", "ids", "firsts"]
+
+
+def packed(keys: np.ndarray, ids: np.ndarray, firsts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+    """Entries by bucket of their key, packed: keys of 8 bytes, ids as offsets from the least, as short as they can be."""
+    bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    keys, ids, bucket = keys[order], ids[order], bucket[order]
+    firsts = ids if firsts is None else firsts[order]
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    base = int(min(ids.min(), firsts.min()))
+    span = int(max(ids.max(), firsts.max())) - base
+    kind = np.uint16 if span < 1 << 16 else np.uint32 if span < 1 << 32 else np.uint64
+    short, short_firsts = (ids - base).astype(kind), (firsts - base).astype(kind)
+    local = firsts is not ids
+    rows = [(slice(a, z)) for a, z in zip(at, [*at[1:], len(keys)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array([local] * len(rows)), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([base] * len(rows), pa.int64()), pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([short_firsts[r].tobytes() if local else b"" for r in rows], pa.binary())], PACKED)
+
+
+def dealt_keys(docs: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
+    """Keys of the sets of documents, packed by bucket.
+
+    What a task has seen of a set is not dealt again, and sets of a task that
+    meet under a key are told there and then (local): only the smallest of
+    them goes on for that key. So neither a group of copies nor a common key
+    sends more rows than there are tasks.
+    """
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, n bigint, hashes array<bigint>, point array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(n)
+        seen: set[bytes] = set()
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate([k for k, _ in held])
+            ids = np.repeat(np.array([i for _, i in held], np.int64), [len(k) for k, _ in held])
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            first = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            yield packed(keys[new], ids[new], None, buckets)
+            several = ~new | np.r_[~new[1:], False]
+            if several.any():
+                yield packed(keys[several], ids[several], first[several], buckets)
+
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            for i, t in zip(ids, b.column(1), strict=True):
+                h = s.hashes(t.as_py())
+                if i is None or not len(h):
+                    continue
+                sig = xxhash.xxh3_128_digest(h.tobytes())
+                if sig in seen:
+                    continue
+                if len(seen) >= MOST_KEPT:
+                    seen.clear()
+                seen.add(sig)
+                held.append((meeting_keys(h, least), i))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield from flushed()
+                    held, size = [], 0
+        if held:
+            yield from flushed()
+
+    return docs.mapInArrow(run, "bucket bigint, local boolean, keys binary, base bigint, ids binary, firsts binary")
+
+
+def meetings(dealt: DataFrame) -> DataFrame:
+    """key, id, first: sets under keys that several have, and the smallest of them (or of those of a task)."""
+
+    def unpacked(keys: bytes, base: int, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        k = np.frombuffer(keys, np.uint64)
+        width = len(ids) // max(1, len(k))
+        return k, np.frombuffer(ids, {2: np.uint16, 4: np.uint32, 8: np.uint64}[width]).astype(np.int64) + base
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+
+        def told(keys: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(ids), pa.array(firsts)], ["key", "id", "first"])
+
+        def found() -> Iterator[pa.RecordBatch]:
+            keys, ids = (np.concatenate([x[c] for x in held]) for c in (0, 1))
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            several = ~new | np.r_[~new[1:], False]
+            if several.any():
+                first = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+                yield told(keys[several], ids[several], first[several])
+
+        for b in batches:
+            for bucket, local, keys, base, ids, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and bucket != last:
+                    yield from found()
+                    held = []
+                last = bucket
+                k, i = unpacked(keys, base, ids)
+                if local:
+                    yield told(k, i, unpacked(keys, base, firsts)[1])
+                else:
+                    held.append((k, i))
+        if held:
+            yield from found()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, id bigint, first bigint")
 
 
 def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: int) -> np.ndarray:
@@ -258,8 +392,8 @@ def distinct(a_ids: list[np.ndarray], b_ids: list[np.ndarray]) -> pa.RecordBatch
 def searched(rows: DataFrame, least: int, most: int | None) -> DataFrame:
     """a, b (a < b): pairs across components that the R-trees of the keys let through.
 
-    rows: key, part (a pair of blocks), side, id, n, comp, asks, point, dealt
-    by key and part and sorted by them. most: only so many nearest partners of
+    rows: key, part (a pair of blocks), side, id, n, comp, asks, scale, point,
+    dealt by key and part and sorted by them. most: only so many nearest partners of
     each point that asks; None: all pairs.
     """
 
@@ -269,8 +403,8 @@ def searched(rows: DataFrame, least: int, most: int | None) -> DataFrame:
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if not table.num_rows:
                 return
-            key, part, side, ids, n, comp, asks = (table.column(i).to_numpy() for i in range(7))
-            points = np.asarray(table.column(7).combine_chunks().flatten()).reshape(-1, GROUPS)
+            key, part, side, ids, n, comp, asks, scale = (table.column(i).to_numpy() for i in range(8))
+            points = np.asarray(table.column(8).combine_chunks().flatten()).reshape(-1, GROUPS) * scale.astype(np.int64)[:, None]
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             a_ids, b_ids, size = [], [], 0
             for s, e in zip(new, [*new[1:], len(key)], strict=True):
@@ -330,53 +464,54 @@ def dealt_rows(named: DataFrame, keys: DataFrame, spots: DataFrame, asking: Data
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if asking is None else F.col("own"))
     part = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
-    rows = rows.select("key", part.alias("part"), F.col("own").alias("side"), "id", "n", "comp", "asks", "point")
+    rows = rows.select("key", part.alias("part"), F.col("own").alias("side"), "id", "n", "comp", "asks", "scale", "point")
     return rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sets (id, hashes) are alike enough."""
+def verified(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFrame:
+    """The pairs (a, b) of documents whose sets are alike enough. Sets are made of the documents in question only."""
+    pairs = common.cut(pairs.distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = common.cut(shingle_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), n))
     left = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    t = pairs.join(left, "b").join(right, "a")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return t.withColumn("_s", shared).where((100 + least) * F.col("_s") >= least * (F.size("ha") + F.size("hb"))).select("a", "b").distinct()
+    t = pairs.join(left, "b").join(right, "a").withColumn("_s", shared)
+    return common.cut(t.where((100 + least) * F.col("_s") >= least * (F.size("ha") + F.size("hb"))).select("a", "b").distinct())
 
 
 def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    base = common.cut(digest(docs, n, least, False))
-    by_set = base.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("id"))
-    # equal sets have equal keys: one row a set is left before keys are dealt
-    full = digest(docs, n, least, True).where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    points = full.groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    dealt = points.select("id", F.explode("keys").alias("key"))
-    per_key = Window.partitionBy("key")
-    met = dealt.withColumn("first", F.min("id").over(per_key)).withColumn("last", F.max("id").over(per_key)).where("first < last").select("key", "id", "first")
-    met = common.cut(met)
-    ids = met.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = common.cut(shingle_sets(texts, n))
-    spots = sets.select("id", "n", "point")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    base = common.cut(digest(docs, n))
+    # as many buckets as keep one at about HELD keys: a set has about 2.2 keys for each shingle that may differ
+    shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = int(shingles * 4.4 * (100 - least) / (100 + least) / HELD) + 1
+    met = common.cut(meetings(dealt_keys(docs, n, least, buckets)))
+    spots = base.where("sig is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "scale", "point").dropDuplicates(["id"])
+    spots = common.cut(spots.join(met.select("id").distinct(), "id", "left_semi"))
     # each set and the smallest under its keys
     stars = met.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    sa, sb = (spots.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    stars = stars.join(sb, "b").join(sa, "a").where((100 + least) * bound >= least * (F.col("na") + F.col("nb"))).select("a", "b")
-    links = common.cut(verified(stars, sets, least))
+    sa, sb = (spots.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in ("id", "n", "scale", "point")]) for x in "ab")
+    minima = F.zip_with("point_a", "point_b", lambda x, y: F.least(x * F.col("scale_a"), y * F.col("scale_b")))
+    bound = F.aggregate(minima, F.lit(0), lambda acc, x: acc + x)
+    stars = stars.join(sb, "b").join(sa, "a").where((100 + least) * bound >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    links = verified(stars, docs, n, least)
+    comp = components(links)
+    # the nearest partners of each set in other components, under two of its open keys: the largest, and any
+    named, keys = open_keys(met, comp)
+    under = named.join(keys, "key").groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("x"), F.max_by("key", F.xxhash64("key", "id")).alias("y"))
+    asking = common.cut(under.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("key")))
+    near = searched(dealt_rows(named, keys.join(asking.select("key").distinct(), "key"), spots, asking), least, NEAREST)
+    links = links.unionByName(verified(near, docs, n, least))
     comp = components(links)
-    # the nearest partners of each set in other components, under one of its open keys: first the largest, then any
-    for choice in (F.struct("m", "key"), F.struct(F.xxhash64("key", "id"), "key")):
-        named, keys = open_keys(met, comp)
-        asking = common.cut(named.join(keys, "key").groupBy("id").agg(F.max_by("key", choice).alias("key")))
-        near = searched(dealt_rows(named, keys.join(asking.select("key").distinct(), "key"), spots, asking), least, NEAREST)
-        links = common.cut(links.unionByName(verified(near.distinct(), sets, least)))
-        comp = components(links)
     # all pairs that are left under keys with several components
     named, keys = open_keys(met, comp)
-    more = verified(searched(dealt_rows(named, keys, spots, None), least, None).distinct(), sets, least)
-    comp = components(common.cut(links.unionByName(more)))
-    whole = by_set.join(comp.withColumnRenamed("node", "id"), "id", "left").select(F.col("sig").alias("s"), F.coalesce("comp", "id").alias("comp"))
+    links = links.unionByName(verified(searched(dealt_rows(named, keys, spots, None), least, None), docs, n, least))
+    comp = components(links)
+    # sets that are equal are one point, of whatever document it has its name
+    every = base.where("sig is not null").join(comp, F.col("doc_id") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("comp", "doc_id").alias("comp"))
+    whole = common.cut(every.groupBy("s").agg(F.min("comp").alias("comp")))
     out = base.join(whole, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
