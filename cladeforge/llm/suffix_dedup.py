@@ -19,8 +19,8 @@ from Kasai's rule in its permuted form: where the characters before two
 neighbours agree, the prefix is one shorter than the one before. Neighbours
 with `length` common bytes, at different places, are repeats. An anchor with
 very many different windows is dealt over several shards. These are merged by
-binary search: a shard's strings that have no repeat within it are looked for
-in the sorted strings of the other shards, which meet by the range of a hash.
+binary search: each shard's different strings are looked for among the sorted
+strings of the other shards, which meet by the range of a hash.
 
 Free style: numpy on Arrow batches; the rest are DataFrame operations.
 
@@ -188,8 +188,8 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(starts[b - 1]) + length) for a, b in zip(new, [*new[1:], len(starts)], strict=True)]
 
 
-def repeated_starts(windows: list[bytes], doc: np.ndarray, origin: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a shard's windows: index and start of each string, and whether it is known to start at two places.
+def repeated_starts(windows: list[bytes], doc: np.ndarray, origin: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's windows: index and start of each string, whether it is known to start at two places, and whether it is the first of its equals.
 
     doc, origin: the document (a number) and the position that each window
     comes from; many: whether its bytes occur at several places.
@@ -209,12 +209,14 @@ def repeated_starts(windows: list[bytes], doc: np.ndarray, origin: np.ndarray, m
     group = (np.cumsum(~same) - 1)[whole]
     owner, inner = owner[whole], inner[whole]
     if not len(owner):
-        return owner, inner, np.zeros(0, bool)
+        return owner, inner, np.zeros(0, bool), np.zeros(0, bool)
     new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     twice = np.maximum.reduceat(many[owner].astype(np.int8), new) > 0
     for x in (doc[owner], origin[owner] + inner):
         twice |= np.minimum.reduceat(x, new) != np.maximum.reduceat(x, new)
-    return owner, inner, np.repeat(twice, np.diff(np.r_[new, len(owner)]))
+    head = np.zeros(len(owner), bool)
+    head[new] = True
+    return owner, inner, np.repeat(twice, np.diff(np.r_[new, len(owner)])), head
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -261,7 +263,7 @@ def same_doc(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame
     return left.join(right, left["doc_id"].eqNullSafe(right["d"]) & (left["th"] == right["t"]), how).drop("d", "t")
 
 
-#: What a shard gives: a window's repeated spans (anchor null), or packed strings that it has once.
+#: What a shard gives: a window's repeated spans (anchor null), or its different strings, packed.
 SHARD_ROWS = pa.schema([("anchor", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("docs", pa.list_(pa.int64())), ("ths", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("hashes", pa.binary())])
 SHARD_SCHEMA = "anchor bigint, bucket int, doc_id bigint, th bigint, spans array<struct<s:int,e:int>>, docs array<bigint>, ths array<bigint>, starts array<int>, hashes binary"
 
@@ -274,18 +276,18 @@ def sharded(rows: DataFrame, length: int) -> DataFrame:
         windows = t.column("bytes").to_pylist()
         numbers: dict = {}
         doc = np.array([numbers.setdefault(x, len(numbers)) for x in zip(ids, ths, strict=True)])
-        owner, inner, twice = repeated_starts(windows, doc, np.array(lo), np.array(many), length)
+        owner, inner, twice, head = repeated_starts(windows, doc, np.array(lo), np.array(many), length)
         order = np.lexsort((inner, owner))
-        owner, inner, twice = owner[order], inner[order], twice[order]
+        owner, inner, twice, head = owner[order], inner[order], twice[order], head[order]
         edge = np.searchsorted(owner, np.arange(len(windows) + 1))
         out: list[dict] = []
         rest: dict[tuple[int, int], list] = {}
         for k in range(len(windows)):
-            s, f = inner[edge[k] : edge[k + 1]], twice[edge[k] : edge[k + 1]]
+            s, f, one = (x[edge[k] : edge[k + 1]] for x in (inner, twice, head))
             if not many[k] and f.any():
                 out.append({"doc_id": ids[k], "th": ths[k], "spans": [{"s": a + lo[k], "e": b + lo[k]} for a, b in runs(s[f], length)]})
             if shards[k] > 1:
-                for x in s[~f].tolist():
+                for x in s[one].tolist():
                     h = xxhash.xxh3_128_digest(windows[k][x : x + length])
                     rest.setdefault((mark[k], (h[0] * 256 + h[1]) % shards[k]), []).append((ids[k], ths[k], x + lo[k], h))
         for (anchor, bucket), x in rest.items():
@@ -320,7 +322,7 @@ def sharded(rows: DataFrame, length: int) -> DataFrame:
 
 
 def merged_shards(rows: DataFrame) -> DataFrame:
-    """doc_id, th, s: strings that several shards of an anchor have once each.
+    """doc_id, th, s: strings that several shards of an anchor have.
 
     rows: anchor, bucket, docs, ths, starts, hashes. Those of one anchor and
     range of hashes meet; each string is looked up among all by binary search.
