@@ -65,6 +65,8 @@ HELD = 1_000_000
 NEAR_BLOCK = 2_000
 #: Partners that a set is verified with before all remaining pairs are looked at.
 NEAREST = 3
+#: Ids that are broadcast at most, and bits of the map that stands for more of them (16 MB).
+FEW, BITS = 10_000, 1 << 27
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MOST_KEPT = 1_000_000
 
@@ -191,17 +193,37 @@ def digest(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, point array<tinyint>, scale int")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, hashes of documents (doc_id, text)."""
+def shingle_sets(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
+    """id, hashes of the documents (doc_id, text) with the given ids, and perhaps of a few others.
+
+    Few ids are broadcast. Many are told to the scan by a bitmap of their
+    hashes, whose size is fixed: it may let others pass, which the join with
+    the pairs leaves out, but no text is shuffled.
+    """
+    ids = common.cut(ids)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place")
+    bits = None
+    if ids.count() <= FEW:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
+    else:
+        spot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+        words = ids.select(F.shiftright(spot, 5).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("bigint"), (spot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        bitmap = np.zeros(BITS >> 5, np.uint32)
+        rows = words.toPandas()
+        bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
         for b in batches:
+            if bits is not None:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0))
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists([signed(s.hashes(t)) for t in part.column(1).to_pylist()], pa.int64())], ["id", "hashes"])
 
-    return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
+    return docs.select("doc_id", "text", place).mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
 PACKED = ["bucket", "local", "keys", "base", "ids", "firsts"]
@@ -471,8 +493,8 @@ def dealt_rows(named: DataFrame, keys: DataFrame, spots: DataFrame, asking: Data
 def verified(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFrame:
     """The pairs (a, b) of documents whose sets are alike enough. Sets are made of the documents in question only."""
     pairs = common.cut(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.cut(shingle_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), n))
+    # both joins read the same exchange of the sets
+    sets = shingle_sets(docs, n, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     left = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
     right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     shared = F.size(F.array_intersect("ha", "hb"))
