@@ -18,9 +18,8 @@ counts are aggregated before they are shuffled.
 
 Defined results: null text is empty and has no spans; repeated rows each get
 their spans; repeated doc_ids with different texts are kept apart by a hash of
-the text; an empty table gives an empty result; columns of the input that
-clash with working columns (which begin with "_") are not allowed, any other
-extra columns pass through sanitised().
+the text; an empty table gives an empty result; extra columns of any name pass
+through sanitised().
 """
 
 from __future__ import annotations
@@ -145,6 +144,7 @@ def term_spans(text: Column, spans: Column, levels: Column) -> Column:
 
 def spans(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, _key, _spans (base) and _all (with terms), for each row of docs."""
+    docs = docs.select("doc_id", "text")
     t = detected(docs)
     some = F.size("_spans") > 0
     t = common.cut(t.select("doc_id", "_key", "_spans", F.when(some, F.col("_text")).alias("_text")))
@@ -173,11 +173,13 @@ def replaced(text: Column, all_spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, **limits) -> DataFrame:
     """docs with the spans of each text replaced; documents without spans keep their text."""
-    hits = spans(docs, **limits).where(F.size("_all") > 0).groupBy("doc_id", "_key").agg(F.first("_all").alias("_all"))
+    hits = spans(docs.select("doc_id", "text"), **limits).where(F.size("_all") > 0).groupBy("doc_id", "_key").agg(F.first("_all").alias("_all"))
     hits = hits.withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    t = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    t = t.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    return t.withColumn("text", F.when(F.col("_all").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("_all")))).select(*docs.columns)
+    t = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    t = t.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    t = t.join(hits, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    text = F.when(F.col("_all").isNull(), F.col("_text")).otherwise(replaced(F.col("_text"), F.col("_all")))
+    return t.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -72,11 +72,10 @@ def normalised(line: Column) -> Column:
 
 
 def doc_lines(docs: DataFrame, host_column: str) -> DataFrame:
-    """doc_id, host, text_hash, line, n: the distinct normalised lines of each document, with their words."""
-    t = docs.select("doc_id", F.col(host_column).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("raw"))
+    """doc_id, host, text_hash, at, line, n: each line with a word, its place, the hash of its normalised form, its words."""
+    t = docs.select("doc_id", F.col(host_column).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
     t = t.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    t = t.select("doc_id", "host", "text_hash", F.xxhash64(normalised(F.col("raw"))).alias("line"), F.size(common.words(F.col("raw"))).alias("n"))
-    return t
+    return t.select("doc_id", "host", "text_hash", "at", F.xxhash64(normalised(F.col("raw"))).alias("line"), F.size(common.words(F.col("raw"))).alias("n"))
 
 
 def frequent_lines(lines: DataFrame, least_docs: int, share: float) -> DataFrame:
@@ -88,19 +87,40 @@ def frequent_lines(lines: DataFrame, least_docs: int, share: float) -> DataFrame
     return both.where(F.col("in_docs") > F.greatest(F.lit(float(least_docs)), F.lit(share) * F.col("host_docs"))).select("host", "line")
 
 
+def removed_lines(docs: DataFrame, host_column: str, least_docs: int, share: float) -> DataFrame:
+    """r_doc, r_text (hash of the text), n_removed (words), places: what each document loses."""
+    lines = doc_lines(docs, host_column)
+    often = frequent_lines(lines, least_docs, share).withColumnsRenamed({"host": "h", "line": "l"})
+    hit = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "inner")
+    # repeated rows hold a line at the same place: it counts once
+    once = hit.groupBy(F.col("doc_id").alias("r_doc"), F.col("text_hash").alias("r_text"), "at").agg(F.first("n").alias("n"))
+    return once.groupBy("r_doc", "r_text").agg(F.sum("n").alias("n_removed"), F.collect_set("at").alias("places"))
+
+
+def verdict(n_words: Column, n_removed: Column, base_failed: Column, least_words: int, least_left: float) -> Column:
+    left = n_words - n_removed
+    return ~base_failed & (left >= least_words) & (left >= least_left * n_words)
+
+
 def quality(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 10, least_left: float = 0.3) -> DataFrame:
     """One row for each row of docs: the base figures, n_line_words (words in removed lines) and kept."""
-    lines = doc_lines(docs, host_column)
-    often = frequent_lines(lines, least_docs, share).withColumnRenamed("host", "h").withColumnRenamed("line", "l")
-    removed = lines.join(often, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "inner")
-    removed = removed.groupBy(F.col("doc_id").alias("r_doc"), F.col("text_hash").alias("r_text")).agg(F.sum("n").alias("n_removed"))
-    t = base(docs).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_t"]
-    t = t.select(*keep).join(removed, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("_t") == F.col("r_text")), "left")
-    t = t.withColumn("n_line_words", F.least(F.coalesce("n_removed", F.lit(0)), F.col("n_words")).cast("bigint"))
-    left = F.col("n_words") - F.col("n_line_words")
-    depleted = (left < least_words) | (left < least_left * F.col("n_words"))
-    return t.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_t", "r_doc", "r_text", "n_removed")
+    removed = removed_lines(docs, host_column, least_docs, share).drop("places")
+    t = base(docs.select("doc_id", "text")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    t = t.drop("text").join(removed, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("_t") == F.col("r_text")), "left")
+    t = t.withColumn("n_line_words", F.coalesce("n_removed", F.lit(0)).cast("bigint"))
+    t = t.withColumn("kept", verdict(F.col("n_words"), F.col("n_line_words"), F.col("base_failed"), least_words, least_left))
+    return t.drop("_t", "r_doc", "r_text", "n_removed")
+
+
+def cleaned(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 10, least_left: float = 0.3) -> DataFrame:
+    """docs that are kept, without the lines above their host's limit."""
+    removed = removed_lines(docs, host_column, least_docs, share)
+    t = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    t = base(t).join(removed, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("_t") == F.col("r_text")), "left")
+    t = t.where(verdict(F.col("n_words"), F.coalesce("n_removed", F.lit(0)), F.col("base_failed"), least_words, least_left))
+    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("places"), i))
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return t.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of linked ones: that with the smallest doc_id. Five-word shingles, four fifths alike."""
     groups = ngram_join.ngram_join(docs.select("doc_id", "text"), n=5, least=80)
     # a document that stands for its group, one row of it
-    keep = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("d")).distinct()
-    t = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    keep = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    t = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
     return t.dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
@@ -36,9 +36,9 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    t = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
-    return t.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__from")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    t = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__from")))
+    return t.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def pieces_encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
