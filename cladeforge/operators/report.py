@@ -90,3 +90,30 @@ def kmer_averages(sizes: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     t = t.withColumn("s1", s1).withColumn("s2", s2).withColumn("_b", below).withColumn("_w", weight)
     s3 = F.when(F.col("_b") + F.col("_w") == 0, 0.0).otherwise((F.coalesce("s1", F.lit(0.0)) * F.col("_b") + F.coalesce("s2", F.lit(0.0)) * F.col("_w")) / (F.col("_b") + F.col("_w")))
     return t.select("taxon", "s1", "s2", s3.alias("s3"))
+
+
+def averages_report(counts: DataFrame, sizes: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Report rows with rounded averages of genome sizes: s1, s2, s3."""
+    averages = kmer_averages(sizes, taxonomy).select("taxon", *[F.round(F.coalesce(c, F.lit(0.0))).cast("bigint").alias(c) for c in ("s1", "s2", "s3")])
+    return report_rows(counts, taxonomy).join(averages, "taxon", "left")
+
+
+def filtered(rows: DataFrame, taxonomy: Taxonomy, depth: int | None = None, least_percent: float = 0.0, clade: int | None = None) -> DataFrame:
+    """Report rows down to a depth, of at least a percentage, in the clade of a taxon."""
+    t = rows.where(F.col("percent") >= least_percent)
+    if depth is not None:
+        t = t.join(taxonomy.table.where(F.col("depth") <= depth).select("taxon"), "taxon", "left_semi")
+    if clade is not None:
+        root = taxonomy.table.where(F.col("taxon") == clade).select(F.col("pre").alias("_p"), F.col("end").alias("_e"))
+        below = taxonomy.table.join(F.broadcast(root), F.col("pre").between(F.col("_p"), F.col("_e"))).select("taxon")
+        t = t.join(below, "taxon", "left_semi")
+    return t
+
+
+def label_stats(labels: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """One row: unknown taxa of labels, those inside the tree, valid ones, nodes of the tree they imply."""
+    taxa = labels.select("taxon").distinct()
+    known = taxa.join(taxonomy.table.select("taxon", "leaf"), "taxon", "left")
+    size = taxonomy.closure_up(taxa).agg(F.count(F.lit(1)).alias("tree_size"))
+    t = known.agg(F.count_if(F.col("leaf").isNull()).alias("unknown"), F.count_if(~F.col("leaf")).alias("inner_taxa"), F.count("leaf").alias("valid"))
+    return t.crossJoin(size)  # one row each

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet
 from ..functions.alphabet import Scheme
-from ..operators import bracken, classify, compare, dynamic, minimizers, report
-from ..operators.taxonomy import Taxonomy, rank_table
+from ..operators import bracken, classify, compare, dynamic, kmers as kmer_tables, minimizers, report
+from ..operators.taxonomy import DEPTH, Taxonomy, rank_table
 from ..sources import sequences
 from . import fixtures as fx
-from .oracle import S, kmers, resolved, revcomp, with_
+from .oracle import S, kmers, renamed, resolved, revcomp, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,18 +170,32 @@ def _words(spark, sf, m=S.m):
 
 @query(f"SELECT least(w, {revcomp('w')}) AS word, count(*) AS n FROM {GW} GROUP BY 1")
 def seq_canonical_mmers(spark, sf):
-    return _words(spark, sf).groupBy(alphabet.canonical(F.col("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return kmer_tables.counts(fx.genomes(spark, sf), S.m)
 
 
 @query("SELECT word, count(*) AS n FROM (SELECT substr(nt, pos, 8) AS word FROM (SELECT nt, unnest(range(1, length(nt) - 6)) AS pos FROM genomes)) GROUP BY word")
 def seq_kmer_counts(spark, sf):
-    return _words(spark, sf, 8).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return kmer_tables.counts(fx.genomes(spark, sf), 8, canonical=False)
 
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT substr(nt, pos, 9) AS word FROM (SELECT nt, unnest(range(1, length(nt) - 7)) AS pos FROM genomes)) WHERE word <= {revcomp('word')} GROUP BY word")
 def seq_kmers_forward(spark, sf):
-    t = _words(spark, sf, 9).where(F.col("word") <= alphabet.reverse_complement(F.col("word")))
-    return t.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return kmer_tables.kmers(fx.genomes(spark, sf), 9, forward_only=True).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS word, CAST(sum(a) AS BIGINT) AS n FROM (SELECT substr(nt, pos, 12) AS w, a FROM (SELECT nt, taxon % 7 + 1 AS a, unnest(range(1, length(nt) - 10)) AS pos FROM genomes)) GROUP BY 1")
+def seq_kmer_abundance(spark, sf):
+    return kmer_tables.counts(fx.genomes(spark, sf).withColumn("a", F.col("taxon") % 7 + 1), 12, abundance="a")
+
+
+@query("""SELECT header, pos, CAST(mn AS BIGINT) AS minimizer FROM (SELECT header, pos, min(CASE WHEN substr(w, 1, 1) <> 'A' THEN ascii(substr(w, 2, 1)) * 1000 + ascii(substr(w, 3, 1)) END) OVER q AS mn, count(*) OVER q AS c
+    FROM (SELECT header, pos, substr(nt, pos, 3) AS w FROM (SELECT header, nt, unnest(range(1, length(nt) - 1)) AS pos FROM genomes)) WINDOW q AS (PARTITION BY header ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE c = 5""")
+def seq_minimizers_by_table(spark, sf):
+    """A lookup table of the 48 motifs of three letters that do not begin with A."""
+    letters = spark.createDataFrame([(x,) for x in "ACGT"], "x string")
+    motifs = letters.where("x <> 'A'").select(F.col("x").alias("a")).crossJoin(letters.select(F.col("x").alias("b"))).crossJoin(letters.select(F.col("x").alias("c")))  # 48 rows
+    table = motifs.select(F.concat("a", "b", "c").alias("motif"), (F.ascii("b") * 1000 + F.ascii("c")).cast("bigint").alias("rank"))
+    return kmer_tables.minimizers_by_table(fx.genomes(spark, sf), table, 7, 3).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 NOSPACE = Scheme(S.k, S.m, 0)
@@ -537,10 +551,15 @@ def rpt_label_stats(spark, sf):
     k = F.col("s_suppkey")
     tax = fx.taxonomy(spark, sf)
     lab = fx.table(spark, sf, "supplier").select(F.when(k % 3 == 0, 100 + k % 25).when(k % 3 == 1, 10000 + k).otherwise(70000 + k).cast("int").alias("taxon")).distinct()
-    known = lab.join(tax.table.select("taxon", "leaf"), "taxon", "left")
-    size = tax.closure_up(lab).agg(F.count(F.lit(1)).alias("tree_size"))
-    t = known.agg(F.count_if(F.col("leaf").isNull()).alias("unknown"), F.count_if(~F.col("leaf")).alias("inner_taxa"), F.count("leaf").alias("valid"))
-    return t.crossJoin(size)  # one row each
+    return report.label_stats(lab, tax)
+
+
+@query("SELECT CAST(x.a AS INTEGER) AS taxon, count(*) AS clade FROM cls c JOIN anc x USING (taxon) WHERE x.a IN (SELECT taxon FROM anc WHERE a = 12) AND x.a IN (SELECT taxon FROM tree WHERE depth <= 7) GROUP BY x.a", resolved(0.15))
+def rpt_filtered(spark, sf):
+    """The report of one family, down to genus."""
+    t = classify.classify(fx.reads(spark, sf), fx.index(spark, sf), [0.15], with_details=False)
+    rows = report.report_rows(t.groupBy("taxon").agg(F.count(F.lit(1)).alias("n")), fx.taxonomy(spark, sf))
+    return report.filtered(rows, fx.taxonomy(spark, sf), DEPTH["genus"], 0.0, 12).select("taxon", "clade")
 
 
 # Two steps
@@ -604,7 +623,14 @@ def dyn_index(spark, sf):
     return dynamic.dynamic_index(fx.genomes(spark, sf), fx.labels(spark, sf), base, taxa).records
 
 
-@query(None)
+# the second classification: the same expressions over the second index
+SECOND = {
+    "idx2": "SELECT mn AS id1, CAST(CASE WHEN min(tax) = max(tax) THEN min(tax) WHEN min(spe) = max(spe) THEN min(spe) WHEN min(gen) = max(gen) THEN min(gen) WHEN min(fam) = max(fam) THEN min(fam) ELSE 1 END AS INTEGER) AS taxon FROM gmin WHERE tax IN (SELECT c.taxon FROM keep k JOIN anc c ON c.a = k.taxon) GROUP BY mn",
+    **renamed(("hits", "per_read", "per_taxon", "scores", "tops", "lcas", "lifts"), resolved(0.15), "2", idx="idx2"),
+}
+
+
+@query("SELECT taxon, count(*) AS n FROM cls2 GROUP BY taxon", DETECTED | SECOND)
 def dyn_classify(spark, sf):
     t = dynamic.two_step(fx.reads(spark, sf), fx.genomes(spark, sf), fx.labels(spark, sf), fx.index(spark, sf), READS, thresholds=[0.15], with_details=False)
     return t.groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))
@@ -612,6 +638,17 @@ def dyn_classify(spark, sf):
 
 # Weights
 
+# every window of 40 letters of every genome as a read
+WINDOWS = renamed(
+    ("rk_w", "rk_p", "rk", "rk_g", "rk_spans", "rspans", "spans", "hits", "per_read", "per_taxon", "scores", "tops", "lcas", "lifts"), resolved(0.0), "w", reads="windows"
+) | {"windows": "SELECT taxon || ':' || p AS header, substr(nt, p, 40) AS nt FROM (SELECT taxon, nt, unnest(range(1, length(nt) - 38)) AS p FROM genomes)"}
+
+
+@query("SELECT taxon AS dest, CAST(split_part(title, ':', 1) AS INTEGER) AS source, count(*) AS n FROM clsw GROUP BY 1, 2", WINDOWS)
+def brk_short_reads(spark, sf):
+    return bracken.weights(fx.genomes(spark, sf), fx.labels(spark, sf), fx.index(spark, sf), 40)
+
+
 @query(None)
 def brk_source_dest(spark, sf):
     return bracken.weights(fx.genomes(spark, sf), fx.labels(spark, sf), fx.index(spark, sf), 100)

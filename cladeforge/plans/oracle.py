@@ -105,6 +105,14 @@ def resolved(confidence: float, name: str = "cls", groups: int = 2) -> dict[str,
     }
 
 
+def renamed(names: tuple[str, ...], more: dict[str, str], mark: str, **others: str) -> dict[str, str]:
+    """Copies of expressions under names with a mark, that refer to each other, and to others as told."""
+    texts = {n: CTES[n] for n in names} | more
+    change = {n: n + mark for n in texts} | others
+    pattern = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(sorted(change, key=len, reverse=True)) + r")\b")
+    return {n + mark: pattern.sub(lambda m: f"{m[1]} {change[m[2]]}", t) for n, t in texts.items()}
+
+
 def with_(query: str, extra: dict[str, str] | None = None) -> str:
     """The query behind the expressions it needs, each once, in order of need."""
     known = CTES | (extra or {})
