@@ -68,7 +68,8 @@ NEAREST = 3
 #: Ids that are broadcast at most, and bits of the map that stands for more of them (16 MB).
 FEW, BITS = 10_000, 1 << 27
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-MOST_KEPT = 1_000_000
+#: Word hashes, and sets seen, that a task remembers.
+MOST_KEPT = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -207,7 +208,7 @@ def shingle_sets(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
         docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
     else:
         spot = F.pmod(F.xxhash64("id"), F.lit(BITS))
-        words = ids.select(F.shiftright(spot, 5).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("bigint"), (spot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        words = ids.select(F.shiftright(spot, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
         bitmap = np.zeros(BITS >> 5, np.uint32)
         rows = words.toPandas()
         bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
