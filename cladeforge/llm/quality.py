@@ -102,7 +102,7 @@ def verdict(n_words: Column, n_removed: Column, base_failed: Column, least_words
     return ~base_failed & (left >= least_words) & (left >= least_left * n_words)
 
 
-def quality(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 10, least_left: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 5, least_left: float = 0.3) -> DataFrame:
     """One row for each row of docs: the base figures, n_line_words (words in removed lines) and kept."""
     removed = removed_lines(docs, host_column, least_docs, share).drop("places")
     t = base(docs.select("doc_id", "text")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -112,7 +112,7 @@ def quality(docs: DataFrame, host_column: str = "source", least_docs: int = 50,
     return t.drop("_t", "r_doc", "r_text", "n_removed")
 
 
-def cleaned(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 10, least_left: float = 0.3) -> DataFrame:
+def cleaned(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 5, least_left: float = 0.3) -> DataFrame:
     """docs that are kept, without the lines above their host's limit."""
     removed = removed_lines(docs, host_column, least_docs, share)
     t = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
