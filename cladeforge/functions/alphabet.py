@@ -22,7 +22,12 @@ for _letters, _code in (("Aa", 0), ("Cc", 1), ("Gg", 2), ("TtUu", 3), (" \t\r\n\
 
 @dataclass(frozen=True)
 class Scheme:
-    """How minimizers are chosen: k-mers of k letters, m-mers of m, s spaces; words of at most 31 letters."""
+    """How minimizers are chosen: k-mers of k letters, m-mers of m, s spaces.
+
+    Words of at most 31 letters are a bigint, right aligned. Wider ones (to
+    128 letters) are an array of bigints that hold 32 letters each, left
+    aligned, and are compared as unsigned numbers.
+    """
 
     k: int = 35
     m: int = 31
@@ -31,11 +36,30 @@ class Scheme:
     toggle: int = TOGGLE
 
     def __post_init__(self) -> None:
-        if not 1 <= self.m <= min(31, self.k):
-            raise ValueError("m must be from 1 to 31, and at most k")
+        if not 1 <= self.m <= min(128, self.k):
+            raise ValueError("m must be from 1 to 128, and at most k")
         if not 0 <= self.spaces <= self.m // 2:
             raise ValueError("spaces must be from 0 to half of m")
 
+    @property
+    def wide(self) -> bool:
+        return self.m > 31
+
+    @property
+    def rests(self) -> list[int]:
+        """Letters in each word of a wide code."""
+        return [min(32, self.m - at) for at in range(0, self.m, 32)]
+
+    @property
+    def xor_words(self) -> list[int]:
+        """The toggle for each word; a last word that is not full has its low bits, left aligned."""
+        return [(self.toggle << 64 - 2 * r) & ((1 << 64) - 1) for r in self.rests]
+
+    @property
+    def space_words(self) -> list[int]:
+        whole = self.space_mask << 2 * (32 * len(self.rests) - self.m)
+        return [(whole >> 64 * j) & ((1 << 64) - 1) for j in range(len(self.rests) - 1, -1, -1)]
+
     @property
     def full(self) -> int:
         return (1 << 2 * self.m) - 1

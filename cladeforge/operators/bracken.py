@@ -129,6 +129,7 @@ def distribution_lines(weights: DataFrame) -> DataFrame:
     return t.select("dest", F.concat_ws("\t", "dest", F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["source"], x["n"], x["total"])), " ")).alias("line"))
 
 
+# Fixed value: the header of the weights format.
 HEADER = "mapped_taxid\tgenome_taxids:kmers_mapped:total_genome_kmers"
 
 

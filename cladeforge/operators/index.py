@@ -16,8 +16,16 @@ KEY = "id1"
 VERSION = 1
 
 
+def id_columns(scheme: Scheme) -> list[str]:
+    return [f"id{j + 1}" for j in range(len(scheme.rests))]
+
+
+def signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
 class MinimizerIndex:
-    """records: id1 bigint, taxon int."""
+    """records: id1 (bigint, or array<bigint> of wide minimizers), taxon int. Files have a column id1, id2 ... for each word."""
 
     def __init__(self, records: DataFrame, scheme: Scheme, taxonomy: Taxonomy):
         self.records, self.scheme, self.taxonomy = records, scheme, taxonomy
@@ -45,7 +53,12 @@ class MinimizerIndex:
         if spaces <= self.scheme.spaces:
             raise ValueError(f"spaces must be over {self.scheme.spaces}")
         scheme = self.scheme.respaced(spaces)
-        masked = self.records.select(F.col(KEY).bitwiseAND(F.lit(scheme.space_mask)).alias(KEY), "taxon")
+        if scheme.wide:
+            masks = F.array(*[F.lit(signed(w)) for w in scheme.space_words])
+            key = F.zip_with(KEY, masks, lambda a, b: a.bitwiseAND(b))
+        else:
+            key = F.col(KEY).bitwiseAND(F.lit(scheme.space_mask))
+        masked = self.records.select(key.alias(KEY), "taxon")
         return MinimizerIndex(self.taxonomy.lca(masked, [KEY]), scheme, self.taxonomy)
 
     # storing
@@ -54,7 +67,9 @@ class MinimizerIndex:
         """Bucketed Parquet at path, and path.json with the scheme."""
         spark = self.records.sparkSession
         name = f"index_{uuid.uuid4().hex}"
-        self.records.repartition(buckets, KEY).write.mode("overwrite").option("path", path).bucketBy(buckets, KEY).format("parquet").saveAsTable(name)
+        ids = id_columns(self.scheme)
+        rows = self.records.select(*[F.get(KEY, F.lit(j)).alias(c) for j, c in enumerate(ids)], "taxon") if self.scheme.wide else self.records
+        rows.repartition(buckets, *ids).write.mode("overwrite").option("path", path).bucketBy(buckets, *ids).format("parquet").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")
         text = json.dumps({"version": VERSION, "k": self.scheme.k, "m": self.scheme.m, "spaces": self.scheme.spaces, "canonical": self.scheme.canonical, "toggle": str(self.scheme.toggle), "buckets": buckets})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.json")
@@ -67,8 +82,10 @@ class MinimizerIndex:
             raise ValueError(f"index of version {params['version']}, this is {VERSION}")
         scheme = Scheme(params["k"], params["m"], params["spaces"], params["canonical"], int(params["toggle"]))
         name = f"index_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {name} ({KEY} BIGINT, taxon INT) USING PARQUET CLUSTERED BY ({KEY}) INTO {params['buckets']} BUCKETS LOCATION '{path}'")
-        return cls(spark.table(name), scheme, taxonomy)
+        ids = id_columns(scheme)
+        spark.sql(f"CREATE TABLE {name} ({', '.join(f'{c} BIGINT' for c in ids)}, taxon INT) USING PARQUET CLUSTERED BY ({', '.join(ids)}) INTO {params['buckets']} BUCKETS LOCATION '{path}'")
+        records = spark.table(name)
+        return cls(records.select(F.array(*ids).alias(KEY), "taxon") if scheme.wide else records, scheme, taxonomy)
 
     def compatible(self, other: MinimizerIndex, strict: bool = True) -> bool:
         a, b = self.scheme, other.scheme

@@ -53,11 +53,45 @@ def least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def wide_words(codes: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Codes of all words of over 31 letters: a row for each 32 letters of them, left aligned."""
+    n = len(codes) - scheme.m + 1
+    full = codes.astype(np.uint64)
+    for half in (1, 2, 4, 8, 16):
+        # words of twice as many letters; past the end they are padded
+        full = (full << np.uint64(2 * half)) | np.r_[full[half:], np.zeros(half, np.uint64)]
+    out = []
+    for j, r in enumerate(scheme.rests):
+        w = full[32 * j : 32 * j + n]
+        out.append(w if r == 32 else w & np.uint64((1 << 64) - (1 << 64 - 2 * r)))
+    return np.stack(out)
+
+
+def wide_ranks(codes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of the priorities of all words, and the priorities (rows of words) by number."""
+    w = wide_words(codes, scheme)
+    if scheme.canonical:
+        other = wide_words(3 - codes[::-1], scheme)[:, ::-1]
+        less = np.zeros(w.shape[1], bool)
+        for a, b in zip(other[::-1], w[::-1], strict=True):
+            less = (a < b) | ((a == b) & less)
+        w = np.where(less, other, w)
+    for j, (x, s) in enumerate(zip(scheme.xor_words, scheme.space_words, strict=True)):
+        w[j] = (w[j] ^ np.uint64(x)) & np.uint64(s)
+    order = np.lexsort(w[::-1])
+    w = w[:, order]
+    new = np.r_[True, (w[:, 1:] != w[:, :-1]).any(0)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, w[:, new].T.copy().view(np.int64)
+
+
 def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
     """Super-mers and ambiguous stretches of sequences, in order.
 
     text: index of the sequence; flag; location: offset of its first letter,
-    white space left out; kmers; minimizer (0 where ambiguous).
+    white space left out; kmers; minimizer (0 where ambiguous). Wide
+    minimizers are numbers here, and `words` has the codes by number.
     """
     k, m = scheme.k, scheme.m
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -66,9 +100,9 @@ def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
     if (codes == 5).any():
         keep = codes != 5
         codes, owner = codes[keep], owner[keep]
-    none = np.zeros(0, np.int64)
+    none, words = np.zeros(0, np.int64), np.zeros((1, len(scheme.rests)), np.int64)
     if not len(codes):
-        return {"text": none, "flag": none, "location": none, "kmers": none, "minimizer": none}
+        return {"text": none, "flag": none, "location": none, "kmers": none, "minimizer": none, "words": words}
     first = np.searchsorted(owner, np.arange(len(texts)))
     good = codes < 4
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (good[1:] != good[:-1])])
@@ -78,10 +112,14 @@ def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
     out = [(owner[new[odd]], np.full(odd.sum(), AMBIGUOUS), new[odd], length[odd] - (k - 1), np.zeros(odd.sum(), np.int64))]
     sound = long & good[new]
     if sound.any():
-        word = rolling(codes & 3, m, True)
-        if scheme.canonical:
-            word = np.minimum(word, rolling(3 - (codes & 3), m, False))
-        rank = least_in_windows((word ^ scheme.xor_mask) & scheme.space_mask, k - m + 1)
+        if scheme.wide:
+            word, words = wide_ranks(codes & 3, scheme)
+        else:
+            word = rolling(codes & 3, m, True)
+            if scheme.canonical:
+                word = np.minimum(word, rolling(3 - (codes & 3), m, False))
+            word = (word ^ scheme.xor_mask) & scheme.space_mask
+        rank = least_in_windows(word, k - m + 1)
         start, count = new[sound], length[sound] - (k - 1)
         # positions of all k-mers of sound stretches
         at = np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
@@ -91,7 +129,20 @@ def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
     text, flag, location, kmers, minimizer = (np.concatenate(c) for c in zip(*out, strict=True))
     order = np.argsort(location, kind="stable")
     text = text[order]
-    return {"text": text, "flag": flag[order], "location": location[order] - first[text], "kmers": kmers[order], "minimizer": minimizer[order]}
+    return {"text": text, "flag": flag[order], "location": location[order] - first[text], "kmers": kmers[order], "minimizer": minimizer[order], "words": words}
+
+
+def key_type(scheme: Scheme) -> str:
+    return "array<bigint>" if scheme.wide else "bigint"
+
+
+def key_column(minimizer: np.ndarray, words: np.ndarray, scheme: Scheme, absent: np.ndarray | None = None) -> pa.Array:
+    """Minimizers as an Arrow column: bigints, or arrays of them; null where absent."""
+    if not scheme.wide:
+        return pa.array(minimizer, mask=absent)
+    rows = words[minimizer]
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()), mask=None if absent is None else pa.array(absent))
 
 
 def parts(batch: pa.RecordBatch, columns: list[int]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes | None]]]]:
@@ -136,12 +187,12 @@ def spans(reads: DataFrame, scheme: Scheme) -> DataFrame:
                 if len(sound):
                     differs[sound] = np.r_[True, (read[sound][1:] != read[sound][:-1]) | (minimizer[sound][1:] != minimizer[sound][:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(read)), pa.array(ordinal.astype(np.int32)), pa.array(flag.astype(np.int32)), pa.array(differs), pa.array(kmers.astype(np.int32)), pa.array(minimizer, mask=flag != SEQUENCE)],
+                    [part.column(0).take(pa.array(read)), pa.array(ordinal.astype(np.int32)), pa.array(flag.astype(np.int32)), pa.array(differs), pa.array(kmers.astype(np.int32)), key_column(minimizer, s["words"], scheme, flag != SEQUENCE)],
                     ["title", "ordinal", "flag", "is_distinct", "kmers", "minimizer"],
                 )
 
     columns = ["header", "nucleotides", *(["nucleotides2"] if paired else [])]
-    return reads.select(*columns).mapInArrow(run, "title string, ordinal int, flag int, is_distinct boolean, kmers int, minimizer bigint")
+    return reads.select(*columns).mapInArrow(run, f"title string, ordinal int, flag int, is_distinct boolean, kmers int, minimizer {key_type(scheme)}")
 
 
 def tagged_minimizers(sequences: DataFrame, tag: str, scheme: Scheme, counted: bool = False) -> DataFrame:
@@ -164,13 +215,13 @@ def tagged_minimizers(sequences: DataFrame, tag: str, scheme: Scheme, counted: b
                 number = tags.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[text]
                 order = np.lexsort((minimizer, number))
                 head = np.flatnonzero(np.r_[True, (number[order][1:] != number[order][:-1]) | (minimizer[order][1:] != minimizer[order][:-1])])
-                out = [tags.take(pa.array(text[order][head])), pa.array(minimizer[order][head])]
+                out = [tags.take(pa.array(text[order][head])), key_column(minimizer[order][head], s["words"], scheme)]
                 if counted:
                     out += [pa.array(np.diff(np.r_[head, len(order)])), pa.array(np.add.reduceat(kmers[order], head))]
                 yield pa.RecordBatch.from_arrays(out, [tag, "minimizer", "n", "kmers"][: len(out)])
 
     extra = ", n bigint, kmers bigint" if counted else ""
-    return sequences.select(tag, "nucleotides").mapInArrow(run, f"{tag} {kind}, minimizer bigint{extra}")
+    return sequences.select(tag, "nucleotides").mapInArrow(run, f"{tag} {kind}, minimizer {key_type(scheme)}{extra}")
 
 
 def positions(sequences: DataFrame, scheme: Scheme) -> DataFrame:
@@ -182,9 +233,9 @@ def positions(sequences: DataFrame, scheme: Scheme) -> DataFrame:
                 s = supermers([t or b"" for t in texts[0]], scheme)
                 ok = s["flag"] == SEQUENCE
                 kmers = s["kmers"][ok]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s["text"][ok])), pa.array(s["location"][ok]), pa.array(kmers + scheme.k - 1), pa.array(kmers), pa.array(s["minimizer"][ok])], ["header", "location", "length", "kmers", "minimizer"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s["text"][ok])), pa.array(s["location"][ok]), pa.array(kmers + scheme.k - 1), pa.array(kmers), key_column(s["minimizer"][ok], s["words"], scheme)], ["header", "location", "length", "kmers", "minimizer"])
 
-    return sequences.select("header", "nucleotides").mapInArrow(run, "header string, location bigint, length bigint, kmers bigint, minimizer bigint")
+    return sequences.select("header", "nucleotides").mapInArrow(run, f"header string, location bigint, length bigint, kmers bigint, minimizer {key_type(scheme)}")
 
 
 # The same as DataFrame operations, for words of A, C, G, T only.

@@ -63,6 +63,7 @@ def report_line(headers: bool = True) -> Column:
     return F.concat_ws("\t", F.format_string("%6.2f", "percent"), "clade", "own", "rank", "taxon", "name")
 
 
+# Fixed value: the header of the report format.
 HEADER = "#Perc\tAggregate\tIn taxon\tRank\tTaxon\tName"
 
 
