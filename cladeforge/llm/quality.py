@@ -125,3 +125,22 @@ def cleaned(docs: DataFrame, host_column: str = "source", least_docs: int = 50,
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return quality(common.documents(spark, sf_dir))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+win AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1) GROUP BY rid),
+ln AS (SELECT * FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY rid),
+nl AS (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[^\p{L}\p{M}0]+', ' ', 'g')) AS line, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM ln),
+hosts AS (SELECT host, count(DISTINCT text) AS docs FROM nl GROUP BY host),
+often AS (SELECT x.host, x.line FROM (SELECT host, line, count(DISTINCT text) AS c FROM nl GROUP BY host, line) x JOIN hosts h ON x.host IS NOT DISTINCT FROM h.host WHERE c > 50 AND c > greatest(50, 0.01 * docs)),
+cut AS (SELECT rid, sum(n) AS n FROM nl JOIN often o ON nl.host IS NOT DISTINCT FROM o.host AND nl.line = o.line GROUP BY rid),
+f AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_line_words
+      FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN cut USING (rid)),
+g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - n_line_words >= 5 AND n_words - n_line_words >= 0.3 * n_words AS kept FROM g
+"""
