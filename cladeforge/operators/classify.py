@@ -31,46 +31,57 @@ def find_hits(spans: DataFrame, index: MinimizerIndex, with_minimizer: bool = Fa
     return sound.unionByName(other)
 
 
-def group_hits(hits: DataFrame, index: MinimizerIndex) -> DataFrame:
-    """title, hits (ordered: ordinal, taxon, count, path), n_distinct (hit groups)."""
-    paths = index.taxonomy.table.select("taxon", "path")
-    t = hits.join(paths, "taxon", "left")
-    group = F.array_sort(F.collect_list(F.struct("ordinal", "taxon", "count", "path")))
-    return t.groupBy("title").agg(group.alias("hits"), F.count_if(F.col("is_distinct") & (F.col("taxon") != NONE)).alias("n_distinct"))
+def group_hits(hits: DataFrame) -> DataFrame:
+    """title, hits (ordered: ordinal, taxon, count), n_distinct (hit groups)."""
+    group = F.array_sort(F.collect_list(F.struct("ordinal", "taxon", "count")))
+    return hits.groupBy("title").agg(group.alias("hits"), F.count_if(F.col("is_distinct") & (F.col("taxon") != NONE)).alias("n_distinct"))
 
 
-def total_kmers(hits: Column) -> Column:
-    """k-mers of a read, ambiguous ones too, without the border."""
-    return F.aggregate(hits, F.lit(0), lambda acc, h: acc + F.when(h["taxon"] == BORDER_TAXON, 0).otherwise(h["count"]))
+def gather(hits: DataFrame, index: MinimizerIndex, with_hits: bool) -> DataFrame:
+    """title, taxa (taxon, n, path), total, n_distinct and, if asked for, hits: a row for each read.
+
+    Hits are dealt by read once. They are summed by taxon there, so that the
+    resolution meets each taxon of a read once, with its path.
+    """
+    dealt = hits.repartition("title")
+    more = [F.collect_list(F.struct("ordinal", "count")).alias("at")] if with_hits else []
+    per = dealt.groupBy("title", "taxon").agg(F.sum("count").cast("int").alias("n"), F.count_if(F.col("is_distinct") & (F.col("taxon") != NONE)).alias("d"), *more)
+    per = per.join(index.taxonomy.table.select("taxon", "path"), "taxon", "left")
+    total = F.sum(F.when(F.col("taxon") == BORDER_TAXON, 0).otherwise(F.col("n"))).alias("total")
+    out = per.groupBy("title").agg(F.collect_list(F.struct("taxon", "n", "path", *(["at"] if with_hits else []))).alias("all"), total, F.sum("d").alias("n_distinct"))
+    taxa = F.filter("all", lambda x: x["path"].isNotNull()).alias("taxa")
+    ordered = F.array_sort(F.flatten(F.transform("all", lambda x: F.transform(x["at"], lambda a: F.struct(a["ordinal"].alias("ordinal"), x["taxon"].alias("taxon"), a["count"].alias("count"))))))
+    return out.select("title", taxa, "total", "n_distinct", *([ordered.alias("hits")] if with_hits else []))
 
 
-def resolve(hits: Column, required: Column) -> Column:
-    """The taxon of a read from its hits.
+def ladder(taxa: Column) -> Column:
+    """The way up from the best taxon of a read: array of (taxon, clade: k-mers at or below it).
 
     A taxon's score is the number of k-mers on its way to the root. Taxa with
-    the best score are joined in their lowest common ancestor; from there the
-    answer moves up until the clade below it holds `required` k-mers. NONE (0)
-    if that never happens, or nothing was hit.
+    the best score are joined in their lowest common ancestor.
     """
-    real = F.filter(hits, lambda h: h["path"].isNotNull())
 
-    def score(path: Column, all_hits: Column) -> Column:
-        return F.aggregate(all_hits, F.lit(0), lambda acc, o: acc + F.when(F.array_contains(path, o["taxon"]), o["count"]).otherwise(0))
+    def score(path: Column, every: Column) -> Column:
+        return F.aggregate(every, F.lit(0), lambda acc, o: acc + F.when(F.array_contains(path, o["taxon"]), o["n"]).otherwise(0))
 
-    def clade(taxon: Column, all_hits: Column) -> Column:
-        return F.aggregate(all_hits, F.lit(0), lambda acc, o: acc + F.when(F.array_contains(o["path"], taxon), o["count"]).otherwise(0))
+    def clade(taxon: Column, every: Column) -> Column:
+        return F.aggregate(every, F.lit(0), lambda acc, o: acc + F.when(F.array_contains(o["path"], taxon), o["n"]).otherwise(0))
 
-    def answer(r: Column) -> Column:
-        scored = F.transform(r, lambda h: F.struct(score(h["path"], r).alias("score"), h["path"].alias("path")))
+    def way(every: Column) -> Column:
+        scored = F.transform(every, lambda x: F.struct(score(x["path"], every).alias("score"), x["path"].alias("path")))
         best = F.aggregate(
             scored,
             F.struct(F.lit(0).alias("score"), F.array().cast("array<int>").alias("path")),
             lambda acc, x: F.when(x["score"] > acc["score"], x).when(x["score"] == acc["score"], F.struct(acc["score"].alias("score"), F.array_intersect(acc["path"], x["path"]).alias("path"))).otherwise(acc),
         )["path"]
-        up = F.filter(F.reverse(best), lambda t: clade(t, r) >= required)
-        return F.coalesce(F.get(up, F.lit(0)), F.lit(NONE))
+        return F.transform(F.reverse(best), lambda t: F.struct(t.alias("taxon"), clade(t, every).alias("clade")))
+
+    return F.get(F.transform(F.array(taxa), way), F.lit(0))
 
-    return F.get(F.transform(F.array(real), answer), F.lit(0))
+
+def resolve(steps: Column, required: Column) -> Column:
+    """The first taxon on the way up (see ladder) whose clade holds `required` k-mers; NONE (0) if there is none."""
+    return F.coalesce(F.get(F.filter(steps, lambda x: x["clade"] >= required), F.lit(0))["taxon"], F.lit(NONE))
 
 
 def sample_of(title: Column, regex: str | None) -> Column:
@@ -109,25 +120,26 @@ def lengths(pairs: Column, k: int) -> Column:
     return F.when(cut == 0, summed(pairs)).otherwise(both)
 
 
-def classify_grouped(grouped: DataFrame, k: int, thresholds: Sequence[float] = (0.0,), min_hit_groups: int = 2, sample_regex: str | None = None, with_details: bool = True) -> DataFrame:
+def classify_gathered(gathered: DataFrame, k: int, thresholds: Sequence[float] = (0.0,), min_hit_groups: int = 2, sample_regex: str | None = None, with_details: bool = True) -> DataFrame:
     """title, sample, threshold, classified, taxon (and length, details) for each read and threshold, in one pass."""
     if any(not 0 <= t <= 1 for t in thresholds):
         raise ValueError("confidence must be from 0 to 1")
-    t = grouped.withColumn("total", total_kmers(F.col("hits")))
+    # reads with too few hit groups are not resolved; the way up is the same for all thresholds
+    enough = F.col("n_distinct") >= min_hit_groups
+    t = gathered.withColumn("_steps", F.when(enough, ladder(F.col("taxa"))))
     if with_details:
         pairs = F.col("_pairs")
         t = t.withColumn("_pairs", merged_hits(F.col("hits"))).withColumn("length", lengths(pairs, k)).withColumn("details", details(pairs)).drop("_pairs")
     t = t.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    enough = F.col("n_distinct") >= min_hit_groups
-    taxon = F.when(enough, resolve(F.col("hits"), F.ceil(F.col("threshold") * F.col("total")))).otherwise(F.lit(NONE))
+    taxon = resolve(F.col("_steps"), F.ceil(F.col("threshold") * F.col("total")))
     t = t.withColumn("taxon", taxon.cast("int")).withColumn("classified", F.col("taxon") != NONE).withColumn("sample", sample_of(F.col("title"), sample_regex))
     return t.select("title", "sample", "threshold", "classified", "taxon", *(["length", "details"] if with_details else []))
 
 
 def classify(reads: DataFrame, index: MinimizerIndex, thresholds: Sequence[float] = (0.0,), min_hit_groups: int = 2, sample_regex: str | None = None, with_details: bool = True, with_unclassified: bool = True) -> DataFrame:
     """Reads (header, nucleotides, nucleotides2 or none) classified by an index."""
-    grouped = group_hits(find_hits(minimizers.spans(reads, index.scheme), index), index)
-    out = classify_grouped(grouped, index.scheme.k, thresholds, min_hit_groups, sample_regex, with_details)
+    gathered = gather(find_hits(minimizers.spans(reads, index.scheme), index), index, with_details)
+    out = classify_gathered(gathered, index.scheme.k, thresholds, min_hit_groups, sample_regex, with_details)
     return out if with_unclassified else out.where("classified")
 
 

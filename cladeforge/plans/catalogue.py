@@ -458,7 +458,7 @@ def cls_hits(spark, sf):
 
 @query("SELECT title, string_agg(taxon || ':' || count, ' ' ORDER BY ordinal) AS hits, count(*) FILTER (is_distinct AND taxon <> 0) AS n_distinct FROM hits GROUP BY title")
 def cls_grouped_hits(spark, sf):
-    g = classify.group_hits(_hits(spark, sf), fx.index(spark, sf))
+    g = classify.group_hits(_hits(spark, sf))
     return g.select("title", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["taxon"], h["count"])), " ").alias("hits"), "n_distinct")
 
 
@@ -477,14 +477,14 @@ def cls_per_read(spark, sf):
 
 @query(f"{DETAILS} FROM runs GROUP BY title", RUNS)
 def cls_hit_details(spark, sf):
-    g = classify.group_hits(_hits(spark, sf), fx.index(spark, sf))
+    g = classify.group_hits(_hits(spark, sf))
     return g.select("title", classify.details(classify.merged_hits(F.col("hits"))).alias("details"))
 
 
 @query(f"SELECT header AS title, (coalesce(a, 0) + {S.k - 1}) || '|' || (coalesce(b, 0) + {S.k - 1}) AS length FROM reads LEFT JOIN (SELECT title AS header, sum(kmers) AS a FROM rspans GROUP BY title) USING (header) LEFT JOIN (SELECT header, count(*) AS b FROM mk GROUP BY header) USING (header)", kmers("mk", "(SELECT header, nt2 AS nt FROM reads)"))
 def cls_length_string_paired(spark, sf):
     hits = classify.find_hits(minimizers.spans(fx.reads(spark, sf, paired=True), S), fx.index(spark, sf))
-    g = classify.group_hits(hits, fx.index(spark, sf))
+    g = classify.group_hits(hits)
     return g.select("title", classify.lengths(classify.merged_hits(F.col("hits")), S.k).alias("length"))
 
 

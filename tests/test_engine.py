@@ -305,5 +305,5 @@ def test_bad_arguments(spark):
         with pytest.raises(ValueError):
             Scheme(*a)
     with pytest.raises(ValueError):
-        classify.classify_grouped(spark.createDataFrame([], "title string, hits array<struct<ordinal:int,taxon:int,count:int,path:array<int>>>, n_distinct bigint"), 35, [1.5])
+        classify.classify_gathered(spark.createDataFrame([], "title string, taxa array<struct<taxon:int,n:int,path:array<int>>>, total bigint, n_distinct bigint"), 35, [1.5])
     assert classify.threshold_texts([0, 0.15, 0.5]) == ["0.00", "0.15", "0.50"]
