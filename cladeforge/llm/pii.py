@@ -190,3 +190,44 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in range(4)]
     return t.select("doc_id", *counts, F.sha2(joined(F.col("_spans")).cast("binary"), 256).alias("base_sha256"), joined(F.col("_all")).alias("spans"))
+
+
+def _found_sql(name: str, source: str, pattern: str, kind: int) -> str:
+    """Matches of a pattern in SQL: their starts are the lengths of what stands before them."""
+    return f"""{name} AS (SELECT doc_id, {kind} AS k, v, s, s + length(v) AS e FROM (
+  SELECT doc_id, m[i] AS v, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM {source}))))"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_WORDS = r"regexp_extract_all({}, '\p{{L}}{{3,}}')"
+OP1_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{_found_sql("email", "d", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0)},
+{_found_sql("ip", "d", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 1)},
+{_found_sql("card", "d", r"[0-9]([\x20-]?[0-9])+", 2)},
+{_found_sql("phone", "d", r"\+[0-9][\x20().0-9-]+[0-9]", 3)},
+base AS MATERIALIZED (
+  SELECT * FROM email
+  UNION ALL SELECT * FROM ip WHERE len(list_filter(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN true ELSE CAST('0' || ltrim(x, '0') AS INTEGER) > 255 END)) = 0
+  UNION ALL SELECT * FROM card WHERE length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length({_DIGITS})), lambda i:
+    CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({_DIGITS}), i + 1, 1) AS INTEGER) WHEN CAST(substr(reverse({_DIGITS}), i + 1, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse({_DIGITS}), i + 1, 1) AS INTEGER) - 9
+         ELSE 2 * CAST(substr(reverse({_DIGITS}), i + 1, 1) AS INTEGER) END)) % 10 = 0
+  UNION ALL SELECT * FROM phone WHERE length({_DIGITS}) BETWEEN 10 AND 15),
+near AS (SELECT doc_id, k || ':' || CASE WHEN k >= 2 THEN {_DIGITS} ELSE lower(v) END AS e,
+    {_WORDS.format("CASE WHEN s > 160 THEN regexp_replace(substr(text, s - 159, 160), '^\\p{L}+', '') ELSE substr(text, 1, s) END")} AS l,
+    {_WORDS.format("CASE WHEN e + 160 < length(text) THEN regexp_replace(substr(text, e + 1, 160), '\\p{L}+$', '') ELSE substr(text, e + 1, 160) END")} AS r FROM base JOIN d USING (doc_id)),
+mentions AS MATERIALIZED (SELECT DISTINCT doc_id, e, lower(t) AS t FROM (SELECT doc_id, e, unnest(list_concat(l[greatest(1, len(l) - 5):len(l)], r[1:6])) AS t FROM near)),
+n_e AS (SELECT e, count(DISTINCT doc_id) AS n_e FROM near GROUP BY e),
+n_et AS (SELECT e, t, count(*) AS n_et FROM mentions GROUP BY e, t HAVING count(*) >= 3),
+n_t AS (SELECT t, count(*) AS n_t FROM (SELECT unnest(list_distinct({_WORDS.format("lower(text)")})) AS t FROM d) GROUP BY t),
+flagged AS (SELECT e, t FROM n_et JOIN n_e USING (e) JOIN n_t USING (t), (SELECT count(*) AS n FROM d) WHERE n_e < n AND log2(n * n_et / (CAST(n_e AS DOUBLE) * n_t)) / log2(n / n_e) >= 0.5),
+hit AS (SELECT DISTINCT doc_id, t FROM mentions JOIN flagged USING (e, t)),
+marked AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+{_found_sql("word", "marked", chr(92) + "p{L}{3,}", 4)},
+term AS (SELECT w.* FROM word w JOIN hit h ON h.doc_id = w.doc_id AND h.t = lower(w.v) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+every AS (SELECT doc_id, k, s, ['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || s || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM term)),
+told AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    string_agg(x, ',' ORDER BY s, k) FILTER (k < 4) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (doc_id)
+"""

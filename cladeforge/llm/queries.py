@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.OP2_SQL, "op4_ngram_join": ngram_join.OP4_SQL, "op6_quality": quality.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op1_pii": pii.OP1_SQL, "op2_sharding": sharding.OP2_SQL, "op4_ngram_join": ngram_join.OP4_SQL, "op6_quality": quality.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
