@@ -194,44 +194,38 @@ def digest(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, point array<tinyint>, scale int")
 
 
-def shingle_sets(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
-    """id, hashes of the documents (doc_id, text) with the given ids, and perhaps of a few others.
+def some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents (doc_id, text) with the given ids, and perhaps of a few others.
 
     Few ids are broadcast. Many are told to the scan by a bitmap of their
     hashes, whose size is fixed: it may let others pass, which the join with
-    the pairs leaves out, but no text is shuffled.
+    the pairs leaves out, but only wanted texts are shuffled.
     """
     ids = common.cut(ids)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place")
-    bits = None
     if ids.count() <= FEW:
-        docs = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    else:
-        spot = F.pmod(F.xxhash64("id"), F.lit(BITS))
-        words = ids.select(F.shiftright(spot, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-        bitmap = np.zeros(BITS >> 5, np.uint32)
-        rows = words.toPandas()
-        bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
-        bits = docs.sparkSession.sparkContext.broadcast(bitmap)
+        return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    spot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = ids.select(F.shiftright(spot, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (spot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = words.toPandas()
+    bitmap = np.zeros(BITS >> 5, np.uint32)
+    bitmap[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler(n)
         for b in batches:
-            if bits is not None:
-                at = b.column(2).to_numpy()
-                b = b.filter(pa.array((bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0))
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists([signed(s.hashes(t)) for t in part.column(1).to_pylist()], pa.int64())], ["id", "hashes"])
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0))
+            if b.num_rows:
+                yield b.select([0, 1]).rename_columns(["id", "text"])
 
-    return docs.select("doc_id", "text", place).mapInArrow(run, "id bigint, hashes array<bigint>")
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place")).mapInArrow(run, "id bigint, text string")
 
 
 PACKED = ["bucket", "local", "keys", "base", "ids", "firsts"]
 
 
 def packed(keys: np.ndarray, ids: np.ndarray, firsts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """Entries by bucket of their key, packed: keys of 8 bytes, ids as offsets from the least, as short as they can be."""
+    """Entries by bucket of their key, packed: the low 6 bytes of keys, ids as offsets from the least, as short as they can be."""
     bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     keys, ids, bucket = keys[order], ids[order], bucket[order]
@@ -242,8 +236,9 @@ def packed(keys: np.ndarray, ids: np.ndarray, firsts: np.ndarray | None, buckets
     kind = np.uint16 if span < 1 << 16 else np.uint32 if span < 1 << 32 else np.uint64
     short, short_firsts = (ids - base).astype(kind), (firsts - base).astype(kind)
     local = firsts is not ids
-    rows = [(slice(a, z)) for a, z in zip(at, [*at[1:], len(keys)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array([local] * len(rows)), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([base] * len(rows), pa.int64()), pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([short_firsts[r].tobytes() if local else b"" for r in rows], pa.binary())], PACKED)
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    rows = [slice(a, z) for a, z in zip(at, [*at[1:], len(keys)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array([local] * len(rows)), pa.array([low[r].tobytes() for r in rows], pa.binary()), pa.array([base] * len(rows), pa.int64()), pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([short_firsts[r].tobytes() if local else b"" for r in rows], pa.binary())], PACKED)
 
 
 def dealt_keys(docs: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
@@ -299,8 +294,11 @@ def dealt_keys(docs: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
 def meetings(dealt: DataFrame) -> DataFrame:
     """key, id, first: sets under keys that several have, and the smallest of them (or of those of a task)."""
 
-    def unpacked(keys: bytes, base: int, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-        k = np.frombuffer(keys, np.uint64)
+    def unpacked(bucket: int, keys: bytes, base: int, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        # the bucket stands for the rest of the key: keys that agree in both meet, and are told apart when verified
+        whole = np.zeros((len(keys) // 6, 8), np.uint8)
+        whole[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+        k = whole.view("<u8").ravel() | np.uint64((bucket & 0xFFFF) << 48)
         width = len(ids) // max(1, len(k))
         return k, np.frombuffer(ids, {2: np.uint16, 4: np.uint32, 8: np.uint64}[width]).astype(np.int64) + base
 
@@ -327,9 +325,9 @@ def meetings(dealt: DataFrame) -> DataFrame:
                     yield from found()
                     held = []
                 last = bucket
-                k, i = unpacked(keys, base, ids)
+                k, i = unpacked(bucket, keys, base, ids)
                 if local:
-                    yield told(k, i, unpacked(keys, base, firsts)[1])
+                    yield told(k, i, unpacked(bucket, keys, base, firsts)[1])
                 else:
                     held.append((k, i))
         if held:
@@ -492,15 +490,33 @@ def dealt_rows(named: DataFrame, keys: DataFrame, spots: DataFrame, asking: Data
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFrame:
-    """The pairs (a, b) of documents whose sets are alike enough. Sets are made of the documents in question only."""
+    """The pairs (a, b) of documents whose sets are alike enough.
+
+    Texts travel, not sets: they are half as large, and compress.
+    """
     pairs = common.cut(pairs.distinct())
-    # both joins read the same exchange of the sets
-    sets = shingle_sets(docs, n, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    left = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    t = pairs.join(left, "b").join(right, "a").withColumn("_s", shared)
-    return common.cut(t.where((100 + least) * F.col("_s") >= least * (F.size("ha") + F.size("hb"))).select("a", "b").distinct())
+    # both joins read the same exchange of the texts
+    texts = some_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    left = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(n)
+        last, mine = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                keep = []
+                for ta, tb in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if ta != last:
+                        last, mine = ta, s.hashes(ta)
+                    other = s.hashes(tb)
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    keep.append((100 + least) * both >= least * (len(mine) + len(other)))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    t = pairs.join(left, "b").join(right, "a").select("a", "b", "ta", "tb")
+    return common.cut(t.mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
