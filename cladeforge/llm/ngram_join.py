@@ -59,8 +59,8 @@ LEAF, FAN = 32, 8
 CLASS = 1.5
 #: Points of one key that one task takes together.
 BLOCK = 20_000
-#: Pairs that a task holds before it hands them on.
-HELD = 1_000_000
+#: Keys or pairs that a task holds before it hands them on; also about the keys of a bucket.
+HELD = 250_000
 #: Points of one key among which a set looks for its nearest partners.
 NEAR_BLOCK = 2_000
 #: Partners that a set is verified with before all remaining pairs are looked at.
@@ -320,7 +320,8 @@ def meetings(dealt: DataFrame) -> DataFrame:
                 yield told(keys[several], ids[several], first[several])
 
         for b in batches:
-            for bucket, local, keys, base, ids, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in range(b.num_rows):
+                bucket, local, keys, base, ids, firsts = (c[row].as_py() for c in b.columns)
                 if held and bucket != last:
                     yield from found()
                     held = []
