@@ -548,10 +548,14 @@ def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     # all pairs that are left under keys with several components
     named, keys = open_keys(met, comp)
     links = links.unionByName(verified(searched(dealt_rows(named, keys, spots, None), least, None), docs, n, least))
-    comp = components(links)
-    # sets that are equal are one point, of whatever document it has its name
-    every = base.where("sig is not null").join(comp, F.col("doc_id") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("comp", "doc_id").alias("comp"))
-    whole = common.cut(every.groupBy("s").agg(F.min("comp").alias("comp")))
+    # sets that are equal are one point: a document with links, or with several texts, is tied to the smallest that has its set
+    every = base.where("sig is not null and doc_id is not null").select(F.col("sig").alias("s"), F.col("doc_id").alias("id"))
+    lowest = common.cut(every.groupBy("s").agg(F.min("id").alias("lo")))
+    several = every.groupBy("id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("id")
+    tied = links.select(F.explode(F.array("a", "b")).alias("id")).unionByName(several).distinct()
+    same = every.join(tied, "id").join(lowest, "s").where("lo <> id").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    comp = components(links.unionByName(same))
+    whole = lowest.join(comp, F.col("lo") == F.col("node"), "left").select("s", F.coalesce("comp", "lo").alias("comp"))
     out = base.join(whole, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 

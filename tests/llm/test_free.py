@@ -74,6 +74,23 @@ def test_ngram_join_in_blocks(spark, docs, monkeypatch):
     assert got == naive.linked_components({d: t for d, t, _ in docs}, 3, 90)
 
 
+@pytest.mark.parametrize("ids", [(7, 10, 3, 4), (7, 10, 3), (7, 10, 4)])
+def test_ngram_join_copies_in_any_order(spark, ids):
+    """Copies with smaller ids come later in a task than those that are dealt."""
+    one = " ".join(f"v{k}" for k in range(200))
+    two = one.replace("v100", "other")
+    rows = [(d, t, "s") for d, t in zip(ids, (one, two, two if ids[2] == 4 else one, two), strict=False)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, rows).coalesce(1)).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
+def test_ngram_join_several_texts(spark):
+    """A doc_id with two texts joins the copies of both."""
+    one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "vw")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, [(9, one, "s"), (9, two, "s"), (8, one, "s"), (5, two, "s")])).collect()}
+    assert got == {9: 5, 8: 5, 5: 5}
+
+
 def test_null_id(spark):
     got = ngram_join.ngram_join(frame(spark, [(None, "a b c d", "s"), (3, "a b c d", "s"), (4, "x y z", "s")])).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 2, 0), (3, 2, 3), (4, 1, 4)]
