@@ -12,13 +12,15 @@ with blocks in permuted order; only the last block is cut, within itself, at
 a document. So no running sum crosses more than one block, however large a
 source is.
 
-Splitting tree: the exact numbers of blocks that a source gives are split
-among the output shards by a binary tree. At each node the left half gets
-half of the node's blocks, and how many of them come from each source is one
-draw from the multivariate hypergeometric distribution, made source by
-source. A shard's quota then names a run of the source's permuted blocks:
-runs are disjoint and cover all. Within a shard, rows are ordered by a second
-hash (the local shuffle).
+Splitting tree: the exact numbers of blocks that the mix takes of a source are
+split among the output shards by a binary tree, those of full passes and those
+of the remainder apart. At each node the left half gets half of the node's
+blocks, and how many of them come from each source is one draw from the
+multivariate hypergeometric distribution, made source by source. A shard's
+quota then names a run of the source's permuted blocks, pass after pass: runs
+are disjoint and cover what is taken, and a document is taken once for each
+run that its block is in. Within a shard, copies are ordered by a second hash
+(the local shuffle).
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are never repeated and count nothing;
@@ -120,10 +122,11 @@ def splitting_tree(quotas: DataFrame, levels: int, seed: int = 7) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0, levels: int = 3, block_docs: int = 64, seed: int = 7) -> DataFrame:
-    """doc_id, u, source, size, source_size, target, copies, shard, place: one row a document of docs.
+    """doc_id, u, source, size, source_size, target, copies, draws: one row a document of docs.
 
     copies: how often the mix takes the document, at most `most` times (a
-    whole number). shard: where its block goes; place: order in the shard.
+    whole number). draws: for each copy, the shard of the run that takes it
+    and its place, the order in the shard.
     """
     sizes = common.cut(sized(docs))
     per = targets(sizes, weights, share, most)
@@ -142,15 +145,30 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     edge = edge.groupBy("source", "u", "doc_id", "rest", "c_before", "c_block").agg(F.sum("size").alias("size")).withColumn("after", F.col("c_before") + F.sum("size").over(Window.partitionBy("source").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
     # documents up to the one with which the source is nearest to its remainder
     cuts = edge.groupBy("source", "c_block").agg(F.max(F.when(F.col("after") - F.col("size") / 2 <= F.col("rest"), F.struct("u", "doc_id"))).alias("upto"))
-    tree = splitting_tree(per.select("source", F.col("n_blocks").alias("blocks")), levels, seed)
     plan = per.join(cuts.withColumnRenamed("source", "k_source"), F.col("source").eqNullSafe(F.col("k_source")), "left").drop("k_source")
-    plan = plan.join(tree.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+    # blocks of the remainder: up to the one that is cut, if that one gives a document
+    part = F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("c_block").isNull(), F.col("n_blocks")).otherwise(F.col("c_block") + F.col("upto").isNotNull().cast("int"))
+    plan = common.cut(plan.withColumn("full", F.col("whole") * F.col("n_blocks")).withColumn("part", part.cast("bigint")))
+    for k, quota in enumerate(("full", "part")):
+        tree = splitting_tree(plan.select("source", F.col(quota).alias("blocks")), levels, seed + k).select(F.col("source").alias("t_source"), F.col("bounds").alias(f"{quota}_runs"))
+        plan = plan.join(tree, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
     plan = common.cut(plan)
     out = sizes.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source")), "inner").drop("s").withColumn("block", F.least(block, F.col("n_blocks") - 1))
-    extra = F.when(F.col("rest") <= 0, F.lit(0)).when(F.col("c_block").isNull(), F.lit(1)).when(F.col("block") < F.col("c_block"), F.lit(1)).when((F.col("block") == F.col("c_block")) & F.col("upto").isNotNull() & ((F.col("u") < F.col("upto.u")) | ((F.col("u") == F.col("upto.u")) & F.col("doc_id").eqNullSafe(F.col("upto.doc_id"))) | ((F.col("u") == F.col("upto.u")) & (F.col("doc_id") < F.col("upto.doc_id")))), F.lit(1)).otherwise(F.lit(0))
-    copies = F.when(F.col("size") == 0, F.least(F.lit(1), F.col("whole") + extra)).otherwise(F.least(F.col("whole") + extra, F.lit(int(most)))).cast("int")
-    shard = F.size(F.filter("bounds", lambda b: b <= F.col("block"))) - 1
-    return out.select("doc_id", "u", "source", "size", "source_size", "target", copies.alias("copies"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), "u").alias("place"))
+    before_cut = (F.col("u") < F.col("upto.u")) | ((F.col("u") == F.col("upto.u")) & (F.col("doc_id").eqNullSafe(F.col("upto.doc_id")) | (F.col("doc_id") < F.col("upto.doc_id"))))
+    uncut = F.col("c_block").isNull() | (F.col("block") != F.col("c_block")) | F.coalesce(before_cut, F.lit(False))
+
+    def drawn(runs: str, at: Column, times: Column) -> Column:
+        """The copy that a run takes of the block at a position, if one does."""
+        shard = F.size(F.filter(runs, lambda b: b <= at)) - 1
+        copy = F.struct(shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed), "u", times).alias("place"))
+        return F.when(at < F.element_at(runs, -1), F.array(copy)).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>"))
+
+    passes = F.when(F.col("whole") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).otherwise(F.array().cast("array<bigint>"))
+    full = F.flatten(F.transform(passes, lambda k: drawn("full_runs", k * F.col("n_blocks") + F.col("block"), k)))
+    part = F.when(uncut, drawn("part_runs", F.col("block"), F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<struct<shard:int,place:bigint>>"))
+    draws = F.slice(F.concat(full, part), F.lit(1), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.lit(int(most))))
+    out = out.withColumn("draws", draws)
+    return out.select("doc_id", "u", "source", "size", "source_size", "target", F.size("draws").alias("copies"), "draws")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

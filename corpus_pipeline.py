@@ -35,10 +35,11 @@ def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__from")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    """Documents as often as the mix takes them, shard after shard, each in the order of its local shuffle."""
+    plan = mixing.mix(docs).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__from")).agg(F.max(F.struct("copies", "draws")).alias("__most")).where("__most.copies > 0")
     t = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__from")))
-    return t.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    t = t.withColumn("__draw", F.explode("__most.draws"))
+    return t.orderBy("__draw.shard", "__draw.place").select(*docs.columns)
 
 
 def pieces_encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

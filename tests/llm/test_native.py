@@ -153,6 +153,22 @@ def test_mixing(spark, docs, table):
     assert mixing.op7(spark, f"{table}/empty").count() == 0
 
 
+def test_mixing_follows_the_tree(spark):
+    """Shards share what the mix takes, not the sources; blocks of a run go together; the pipeline writes in that order."""
+    import corpus_pipeline
+
+    rows = [(i, f"w{i} " * 5, f"s{i % 3}") for i in range(1200)]
+    got = mixing.mix(frame(spark, rows), block_docs=4).select("doc_id", "source", "copies", "draws").collect()
+    assert all(len(r.draws) == r.copies for r in got)
+    shards = Counter(d.shard for r in got for d in r.draws)
+    assert set(shards) == set(range(8)) and max(shards.values()) < 1.5 * min(shards.values())
+    # a source that gives less than it has is in all shards
+    few = [r for r in got if r.source == "s1"]
+    assert 0 < sum(r.copies for r in few) < 400 and {d.shard for r in few for d in r.draws} == set(range(8))
+    want = [d for _, d in sorted(((x.shard, x.place), r.doc_id) for r in mixing.mix(frame(spark, rows)).collect() for x in r.draws)]
+    assert [r.doc_id for r in corpus_pipeline.sources_mixed(spark, frame(spark, rows), "").collect()] == want
+
+
 def test_splitting_tree(spark):
     quotas = [("a", 1000), ("b", 300), ("c", 1), (None, 64), ("z", 0)]
     t = mixing.splitting_tree(spark.createDataFrame(quotas, "source string, blocks bigint"), 3)
