@@ -14,7 +14,7 @@ Where points meet. Linked sets of at most `u` shingles differ in at most
 part more than that, so at least one part of a linked pair is the same in
 both: its hash is the key under which the two meet (a few parts more make
 sure that one of these is not empty). u is the upper end of a size class; a
-set that can link into the next class also goes there. So no link is lost,
+set that can link into further classes also goes there. So no link is lost,
 whatever the data. Keys are combined within a task and sent packed, so copies
 and common keys cost at most a row for each task.
 
@@ -122,8 +122,9 @@ def size_classes(n: int, least: int) -> list[tuple[int, int]]:
     while upper < n:
         k, upper = k + 1, int(upper * CLASS) + 1
     out = [(k, upper)]
-    if 100 * n >= least * (upper + 1):
-        out.append((k + 1, int(upper * CLASS) + 1))
+    while 100 * n >= least * (upper + 1):
+        k, upper = k + 1, int(upper * CLASS) + 1
+        out.append((k, upper))
     return out
 
 

@@ -91,6 +91,13 @@ def test_ngram_join_several_texts(spark):
     assert got == {9: 5, 8: 5, 5: 5}
 
 
+def test_linked_sizes_share_a_class():
+    for least in (30, 60, 80):
+        for n in range(1, 200):
+            mine = {k for k, _ in ngram_join.size_classes(n, least)}
+            assert all(mine & {k for k, _ in ngram_join.size_classes(m, least)} for m in range(n, 100 * n // least + 1)), (n, least)
+
+
 def test_null_id(spark):
     got = ngram_join.ngram_join(frame(spark, [(None, "a b c d", "s"), (3, "a b c d", "s"), (4, "x y z", "s")])).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 2, 0), (3, 2, 3), (4, 1, 4)]
