@@ -2,21 +2,29 @@
 
 A document is the set of its distinct n-word shingles; two documents link
 when their Jaccard likeness is at least `least` per cent. Exact copies are
-one point: sets are first grouped by a 128-bit hash.
+one node: sets are first grouped by a 128-bit hash, and the smallest doc_id
+that has a set stands for it.
 
 Points. Shingles are hashed into `GROUPS` groups; the counts of a set's
 shingles by group are its point. Two sets share at most the sum of the
 coordinate minima of their points, and an R-tree node that covers many points
 bounds them all by its upper corner.
 
-Where points meet. Linked sets of at most `u` shingles differ in at most
-2u(100 - least) / (100 + least) shingles. Shingles are dealt by hash into one
-part more than that, so at least one part of a linked pair is the same in
-both: its hash is the key under which the two meet (a few parts more make
-sure that one of these is not empty). u is the upper end of a size class; a
-set that can link into further classes also goes there. So no link is lost,
-whatever the data. Keys are combined within a task and sent packed, so copies
-and common keys cost at most a row for each task.
+Where points meet. Order all shingles of the corpus by how many sets hold
+them, rare ones first. Two linked sets of sizes n and m share least per cent
+of either, so the first shingle that they share, in that order, is among the
+first n - ceil(least * n / 100) + 1 of the one and the like number of the
+other: that shingle is the key under which the two meet. Shingles that only
+one set holds come first and meet nobody, so a set with enough of them needs
+no key at all. No link is lost, whatever the data.
+
+How the order is found. Shingles go to buckets by hash, packed, with the ids
+of their sets; a bucket counts and drops what only one set holds. The others
+return to buckets of ids, where each set picks its keys. A shingle that many
+sets of one task hold goes to its bucket as a count; the list of its sets
+stays aside and meets the sum of the counts later, so no bucket gathers the
+sets of a very common shingle. Keys are combined within a task in the same
+way, so copies and common keys cost at most a row for each task.
 
 Which pairs are looked at. First each set and the smallest one under each of
 its keys. Pairs that pass the bound are verified on the sets themselves, and
@@ -36,8 +44,9 @@ Defined results: null and empty texts have an empty set and link with
 nothing, their component is their own doc_id; a text with fewer words than n
 has its word sequence as one shingle; repeated rows are one document; of rows
 that share a doc_id but not a text, each has its size, and their component is
-that of the links found for any of them; a null doc_id has no component (null); an empty table gives an empty result; extra columns are
-ignored.
+that of the links found for any of them; a null doc_id has no component (null);
+equally rare shingles are ordered by hash; rows may come in any order; an
+empty table gives an empty result; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -55,8 +64,6 @@ from .components import components
 
 GROUPS = 128
 LEAF, FAN = 32, 8
-#: Size classes grow by this factor.
-CLASS = 1.5
 #: Points of one key that one task takes together.
 BLOCK = 20_000
 #: Keys or pairs that a task holds before it hands them on; also about the keys of a bucket.
@@ -65,6 +72,12 @@ HELD = 250_000
 NEAR_BLOCK = 2_000
 #: Partners that a set is verified with before all remaining pairs are looked at.
 NEAREST = 3
+#: Shingles that a task holds before it hands them on, and about those of a bucket.
+TOKENS_HELD, TOKENS_IN_BUCKET = 2_000_000, 1_000_000
+#: A shingle that so many of the sets a task holds have is sent as a count.
+HOT = 16
+#: Ids of copies that are broadcast at most, to leave them out early.
+MOST_COPIES = 200_000
 #: Ids that are broadcast at most, and bits of the map that stands for more of them (16 MB).
 FEW, BITS = 10_000, 1 << 27
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -111,56 +124,9 @@ class Shingler:
         return np.unique(h)
 
 
-def differ_most(size: int, least: int) -> int:
-    """Most shingles in which two linked sets of at most `size` shingles can differ."""
-    return 2 * size * (100 - least) // (100 + least)
-
-
-def size_classes(n: int, least: int) -> list[tuple[int, int]]:
-    """(class, upper end) for the classes in which a set of n shingles meets others."""
-    k, upper = 0, 8
-    while upper < n:
-        k, upper = k + 1, int(upper * CLASS) + 1
-    out = [(k, upper)]
-    while 100 * n >= least * (upper + 1):
-        k, upper = k + 1, int(upper * CLASS) + 1
-        out.append((k, upper))
-    return out
-
-
-def parts_of(upper: int, least: int) -> tuple[int, int]:
-    """Parts of a class, and how many of them may be empty in a set without its keys missing a partner.
-
-    One part more than sets can differ in would do, but a part that is empty
-    in both sets tells nothing about them. With `spare` parts more, a linked
-    pair has a part in common that is not empty, if one of the two has no
-    more than `spare` empty parts.
-    """
-    parts = differ_most(upper, least) + 1
-    if parts == 1:
-        return 1, 0
-    spare = int(np.ceil(2 * parts * np.exp(-upper / CLASS / parts)))
-    return parts + spare, spare
-
-
-def meeting_keys(h: np.ndarray, least: int) -> np.ndarray:
-    """The keys of a set of hashes: one for each part that has some, in each of its classes.
-
-    A set with more empty parts than are spare has the empty ones' keys too.
-    """
-    keys = []
-    spread = mixed(h + MIX1)
-    for k, upper in size_classes(len(h), least):
-        parts, spare = parts_of(upper, least)
-        part = (spread % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, mixed(h))
-        other = np.zeros(parts, np.uint64)
-        np.bitwise_xor.at(other, part, spread)
-        key = mixed(mixed(total + other * MIX2) + np.uint64(k << 40) + np.arange(parts, dtype=np.uint64))
-        full = np.bincount(part, minlength=parts) > 0
-        keys.append(key if parts - full.sum() > spare else key[full])
-    return np.concatenate(keys)
+def key_count(n: np.ndarray, least: int) -> np.ndarray:
+    """How many of a set's n shingles, rarest first, are its keys."""
+    return n - -(-least * n // 100) + 1
 
 
 def lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
@@ -242,32 +208,94 @@ def packed(keys: np.ndarray, ids: np.ndarray, firsts: np.ndarray | None, buckets
     return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array([local] * len(rows)), pa.array([low[r].tobytes() for r in rows], pa.binary()), pa.array([base] * len(rows), pa.int64()), pa.array([short[r].tobytes() for r in rows], pa.binary()), pa.array([short_firsts[r].tobytes() if local else b"" for r in rows], pa.binary())], PACKED)
 
 
-def dealt_keys(docs: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
-    """Keys of the sets of documents, packed by bucket.
+def offsets(ids: np.ndarray) -> tuple[int, np.ndarray]:
+    """The least id, and all as offsets from it, as short as they can be."""
+    base = int(ids.min())
+    span = int(ids.max()) - base
+    return base, (ids - base).astype(np.uint16 if span < 1 << 16 else np.uint32 if span < 1 << 32 else np.uint64)
+
+
+def from_offsets(base: int, packed_ids: bytes, n: int) -> np.ndarray:
+    kind = {2: np.uint16, 4: np.uint32, 8: np.uint64}[len(packed_ids) // n]
+    return np.frombuffer(packed_ids, kind).astype(np.int64) + base
+
+
+def planes(sorted_low: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as steps, byte by byte: the upper bytes compress."""
+    steps = np.diff(sorted_low, prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint64).astype(np.uint32)
+
+
+def slices(sorted_values: np.ndarray) -> list[slice]:
+    """Runs of equal values."""
+    if not len(sorted_values):
+        return []
+    at = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return [slice(int(a), int(z)) for a, z in zip(at, [*at[1:], len(sorted_values)], strict=True)]
+
+
+#: Kinds of rows: entries of shingles or sets, counts of hot shingles, sets of hot shingles, sizes of sets.
+ENTRIES, COUNTS, HOT_LIST, SIZES = range(4)
+ROW = "kind int, bucket bigint, token bigint, base bigint, ids binary, tokens binary, ranks binary"
+ROW_NAMES = [c.split()[0] for c in ROW.split(", ")]
+
+
+def row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ROW_NAMES)
+
 
-    What a task has seen of a set is not dealt again, and sets of a task that
-    meet under a key are told there and then (local): only the smallest of
-    them goes on for that key. So neither a group of copies nor a common key
-    sends more rows than there are tasks.
+def dealt_tokens(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Shingles of the sets of documents with the ids of the sets, packed by bucket.
+
+    A shingle is known by its bucket and 32 bits of its hash: if two agree in
+    both, they count as one, which makes keys more common, not wrong.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(n)
-        seen: set[bytes] = set()
+        # the smallest id of each set so far: it may be the one that stands for the set
+        seen: dict[bytes, int] = {}
         held: list[tuple[np.ndarray, int]] = []
         size = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([k for k, _ in held])
-            ids = np.repeat(np.array([i for _, i in held], np.int64), [len(k) for k, _ in held])
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            new = np.r_[True, keys[1:] != keys[:-1]]
-            first = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-            yield packed(keys[new], ids[new], None, buckets)
-            several = ~new | np.r_[~new[1:], False]
-            if several.any():
-                yield packed(keys[several], ids[several], first[several], buckets)
+            h = np.concatenate([x for x, _ in held])
+            ids = np.repeat(np.array([i for _, i in held], np.int64), [len(x) for x, _ in held])
+            held.clear()
+            token = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+            order = np.argsort(token, kind="stable")
+            token, ids = token[order], ids[order]
+            del h, order
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            count = np.diff(np.r_[start, len(token)])
+            hot = count >= HOT
+            rows = []
+            for a, c in zip(start[hot].tolist(), count[hot].tolist(), strict=True):
+                base, short = offsets(ids[a : a + c])
+                # anywhere but in one place: it waits for the count
+                rows.append((HOT_LIST, buckets + int(ids[a]) % buckets, int(token[a]), base, bytes([short.itemsize]) + short.tobytes(), b"", b""))
+                if len(rows) >= 5_000:
+                    yield row_batch(rows)
+                    rows = []
+            counted, counts = token[start[hot]], count[hot]
+            few = np.repeat(~hot, count)
+            token, ids = token[few], ids[few]
+            for kind, values, others in ((COUNTS, counted, counts), (ENTRIES, token, ids)):
+                bucket, low = (values >> np.uint64(32)).astype(np.int64), (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                for r in slices(bucket):
+                    base, short = offsets(others[r])
+                    rows.append((kind, int(bucket[r.start]), None, base, short.tobytes(), planes(low[r]), b""))
+                    if len(rows) >= 200:
+                        yield row_batch(rows)
+                        rows = []
+            if rows:
+                yield row_batch(rows)
 
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -276,20 +304,194 @@ def dealt_keys(docs: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
                 if i is None or not len(h):
                     continue
                 sig = xxhash.xxh3_128_digest(h.tobytes())
-                if sig in seen:
+                if seen.get(sig, i + 1) <= i:
                     continue
                 if len(seen) >= MOST_KEPT:
                     seen.clear()
-                seen.add(sig)
-                held.append((meeting_keys(h, least), i))
-                size += len(held[-1][0])
-                if size >= HELD:
+                seen[sig] = i
+                held.append((h, i))
+                size += len(h)
+                if size >= TOKENS_HELD:
+                    yield from flushed()
+                    size = 0
+        if held:
+            yield from flushed()
+
+    return docs.mapInArrow(run, ROW)
+
+
+def buckets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of a sorted partition, one list for each bucket."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in range(b.num_rows):
+            r = tuple(c[row].as_py() for c in b.columns)
+            if held and held[-1][1] != r[1]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def by_id(ids: np.ndarray, tokens: np.ndarray, ranks: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries (id, shingle, rank) packed by bucket of their id."""
+    bucket = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, ids, tokens, ranks = (x[order] for x in (bucket, ids, tokens, ranks))
+    low = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+    rows = []
+    for r in slices(bucket):
+        base, short = offsets(ids[r])
+        rows.append((ENTRIES, int(bucket[r.start]), None, base, short.tobytes(), low[r].tobytes(), ranks[r].tobytes()))
+    for at in range(0, len(rows), 500):
+        yield row_batch(rows[at : at + 500])
+
+
+def rank_of(df: np.ndarray) -> np.ndarray:
+    """How common a shingle is, in steps of an eighth of a doubling."""
+    return np.minimum(255, 8 * np.log2(np.maximum(df, 1))).astype(np.uint8)
+
+
+def shared_tokens(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Shingles that several sets hold: their sets by bucket of id, and the counts and lists of hot ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            yield from by_id(*(np.concatenate([x[c] for x in held]) for c in range(3)), buckets)
+            held.clear()
+
+        for rows in buckets_in(batches):
+            aside = [r for r in rows if r[0] == HOT_LIST]
+            for at in range(0, len(aside), 5_000):
+                yield row_batch(aside[at : at + 5_000])
+            rows = [r for r in rows if r[0] != HOT_LIST]
+            if not rows:
+                continue
+            lows = [from_planes(r[5]) for r in rows]
+            values = [from_offsets(r[3], r[4], len(x)) for r, x in zip(rows, lows, strict=True)]
+            counts = np.concatenate([v if r[0] == COUNTS else np.ones(len(v), np.int64) for r, v in zip(rows, values, strict=True)])
+            ids = np.concatenate([np.full(len(v), np.iinfo(np.int64).min) if r[0] == COUNTS else v for r, v in zip(rows, values, strict=True)])
+            low = np.concatenate(lows)
+            order = np.argsort(low, kind="stable")
+            low, ids, counts = low[order], ids[order], counts[order]
+            start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+            df = np.repeat(np.add.reduceat(counts, start), np.diff(np.r_[start, len(low)]))
+            token = np.uint64(rows[0][1] << 32) | low.astype(np.uint64)
+            is_hot = ids == np.iinfo(np.int64).min
+            if is_hot.any():
+                told, first = np.unique(token[is_hot], return_index=True)
+                number = df[is_hot][first]
+                for at in range(0, len(told), 5_000):
+                    yield row_batch([(COUNTS, 0, int(t), int(c), b"", b"", b"") for t, c in zip(told[at : at + 5_000], number[at : at + 5_000], strict=True)])
+            keep = (df > 1) & ~is_hot
+            if keep.any():
+                held.append((ids[keep], token[keep], rank_of(df[keep])))
+                size += int(keep.sum())
+                if size >= TOKENS_IN_BUCKET:
                     yield from flushed()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flushed()
 
-    return docs.mapInArrow(run, "bucket bigint, local boolean, keys binary, base bigint, ids binary, firsts binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROW)
+
+
+def hot_entries(table: DataFrame, buckets: int) -> DataFrame:
+    """The lists of hot shingles as entries by bucket of id, now that the counts are known."""
+    counts = table.where(F.col("kind") == COUNTS).select("token", F.col("base").alias("df"))
+    lists_of = table.where(F.col("kind") == HOT_LIST).select("token", "base", "ids").join(counts, "token")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2_000):
+                token, base, ids, df = (c.to_pylist() for c in b.slice(at, 2_000).columns)
+                # the first byte of a list is the width of its ids
+                each = [from_offsets(x, y[1:], (len(y) - 1) // y[0]) for x, y in zip(base, ids, strict=True)]
+                many = [len(x) for x in each]
+                yield from by_id(np.concatenate(each), np.repeat(np.array(token, np.uint64), many), np.repeat(rank_of(np.array(df)), many), buckets)
+
+    return lists_of.mapInArrow(run, ROW)
+
+
+def packed_sizes(sets: DataFrame, buckets: int) -> DataFrame:
+    """Sizes of the sets (id, n), packed by bucket of id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            bucket = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, ids, n = bucket[order], ids[order], n[order]
+            yield row_batch([(SIZES, int(bucket[r.start]), None, 0, ids[r].astype("<i8").tobytes(), n[r].astype("<i8").tobytes(), b"") for r in slices(bucket)])
+
+    return sets.select("id", "n").mapInArrow(run, ROW)
+
+
+def dealt_keys(rows: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Keys of the sets, packed by bucket, from entries and sizes by bucket of id.
+
+    Sets of a task that meet under a key are told there and then (local): only
+    the smallest of them goes on for that key. So a common key sends no more
+    rows than there are tasks. Sets without a size are copies of others and
+    have no keys; those of size -1 have all their shared shingles as keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            keys, ids = (np.concatenate([x[c] for x in held]) for c in (0, 1))
+            held.clear()
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            first = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            yield packed(keys[new], ids[new], None, buckets)
+            several = ~new | np.r_[~new[1:], False]
+            if several.any():
+                yield packed(keys[several], ids[several], first[several], buckets)
+
+        for group in buckets_in(batches):
+            sized, entries = ([r for r in group if r[0] == kind] for kind in (SIZES, ENTRIES))
+            if not sized or not entries:
+                continue
+            known, n = (np.concatenate([np.frombuffer(r[c], "<i8") for r in sized]) for c in (4, 5))
+            order = np.argsort(known)
+            known, n = known[order], n[order]
+            ids = np.concatenate([from_offsets(r[3], r[4], len(r[6])) for r in entries])
+            token = np.zeros((len(ids), 8), np.uint8)
+            token[:, :7] = np.concatenate([np.frombuffer(r[5], np.uint8) for r in entries]).reshape(-1, 7)
+            token = token.view("<u8").ravel()
+            rank = np.concatenate([np.frombuffer(r[6], np.uint8) for r in entries])
+            at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            ok = known[at] == ids
+            ids, token, rank, n_of = ids[ok], token[ok], rank[ok], n[at[ok]]
+            order = np.lexsort((token, rank, ids))
+            ids, token, n_of = ids[order], token[order], n_of[order]
+            runs = slices(ids)
+            start = np.repeat([r.start for r in runs], [r.stop - r.start for r in runs])
+            shared = np.repeat([r.stop - r.start for r in runs], [r.stop - r.start for r in runs])
+            if not len(ids):
+                continue
+            # those that no other set holds come first
+            place = np.arange(len(ids)) - start + (n_of - shared)
+            keep = (n_of < 0) | (place < key_count(n_of, least))
+            held.append((mixed(token[keep]), ids[keep]))
+            size += int(keep.sum())
+            if size >= HELD:
+                yield from flushed()
+                size = 0
+        if size:
+            yield from flushed()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket bigint, local boolean, keys binary, base bigint, ids binary, firsts binary")
 
 
 def meetings(dealt: DataFrame) -> DataFrame:
@@ -521,16 +723,38 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, least: int) -> DataFrame
     return common.cut(t.mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def corners(points: DataFrame) -> DataFrame:
+    """One row for each id of points with several sets: the upper corner of their points and the least of their sizes."""
+    each = points.select("id", "n", "scale", F.posexplode("point").alias("at", "v"))
+    each = each.groupBy("id", "at").agg(F.min("n").alias("n"), F.max(F.col("v") * F.col("scale")).alias("v"))
+    whole = each.groupBy("id").agg(F.min("n").alias("n"), F.ceil(F.greatest(F.lit(1), F.max("v")) / 127).cast("int").alias("scale"), F.array_sort(F.collect_list(F.struct("at", "v"))).alias("all"))
+    return whole.select("id", "n", "scale", F.transform("all", lambda x: F.ceil(x["v"] / F.col("scale")).cast("tinyint")).alias("point"))
+
+
 def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = common.cut(digest(docs, n))
-    # as many buckets as keep one at about HELD keys: a set has about 2.2 keys for each shingle that may differ
-    shingles = base.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = int(shingles * 4.4 * (100 - least) / (100 + least) / HELD) + 1
-    met = common.cut(meetings(dealt_keys(docs, n, least, buckets)))
-    spots = base.where("sig is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "scale", "point").dropDuplicates(["id"])
-    spots = common.cut(spots.join(met.select("id").distinct(), "id", "left_semi"))
+    full = base.where("sig is not null and doc_id is not null")
+    # the smallest doc_id of each set stands for it
+    lowest = common.cut(full.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.first("n_shingles").alias("n")))
+    several = common.cut(full.groupBy(F.col("doc_id").alias("id")).agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("id"))
+    sets = lowest.groupBy(F.col("lo").alias("id")).agg(F.max("n").alias("n")).join(several.withColumn("many", F.lit(True)), "id", "left")
+    sets = common.cut(sets.select("id", F.when(F.col("many"), F.lit(-1)).otherwise(F.col("n")).cast("bigint").alias("n")))
+    copies = full.select(F.col("doc_id").alias("id")).distinct().join(sets, "id", "left_anti")
+    some = docs
+    if copies.count() <= MOST_COPIES:
+        some = docs.join(F.broadcast(copies), F.col("doc_id") == F.col("id"), "left_anti")
+    shingles = lowest.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions, shingles // TOKENS_IN_BUCKET + 1)
+    shared = common.cut(shared_tokens(dealt_tokens(some, n, buckets), buckets))
+    entries = shared.where(F.col("kind") == ENTRIES).unionByName(hot_entries(shared, buckets)).unionByName(packed_sizes(sets, buckets))
+    met = common.cut(meetings(dealt_keys(entries, least, buckets)))
+    common.drop(shared)
+    points = full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "scale", "point")
+    points = points.join(several, "id", "left_anti").dropDuplicates(["id"]).unionByName(corners(points.join(several, "id", "left_semi")))
+    spots = common.cut(points.join(met.select("id").distinct(), "id", "left_semi"))
     # each set and the smallest under its keys
     stars = met.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sa, sb = (spots.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in ("id", "n", "scale", "point")]) for x in "ab")
@@ -545,18 +769,16 @@ def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     asking = common.cut(under.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("key")))
     near = searched(dealt_rows(named, keys.join(asking.select("key").distinct(), "key"), spots, asking), least, NEAREST)
     links = links.unionByName(verified(near, docs, n, least))
+    common.drop(named, asking)
     comp = components(links)
     # all pairs that are left under keys with several components
     named, keys = open_keys(met, comp)
     links = links.unionByName(verified(searched(dealt_rows(named, keys, spots, None), least, None), docs, n, least))
-    # sets that are equal are one point: a document with links, or with several texts, is tied to the smallest that has its set
-    every = base.where("sig is not null and doc_id is not null").select(F.col("sig").alias("s"), F.col("doc_id").alias("id"))
-    lowest = common.cut(every.groupBy("s").agg(F.min("id").alias("lo")))
-    several = every.groupBy("id").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("id")
-    tied = links.select(F.explode(F.array("a", "b")).alias("id")).unionByName(several).distinct()
-    same = every.join(tied, "id").join(lowest, "s").where("lo <> id").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    common.drop(named, met, spots)
+    # a doc_id with several texts ties their sets
+    same = full.join(several.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").join(lowest, "sig").where("lo <> doc_id").select(F.col("lo").alias("a"), F.col("doc_id").alias("b"))
     comp = components(links.unionByName(same))
-    whole = lowest.join(comp, F.col("lo") == F.col("node"), "left").select("s", F.coalesce("comp", "lo").alias("comp"))
+    whole = lowest.join(comp, F.col("lo") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("comp", "lo").alias("comp"))
     out = base.join(whole, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 

@@ -68,7 +68,7 @@ def test_ngram_join_other_limits(spark, docs, n, least):
 
 def test_ngram_join_in_blocks(spark, docs, monkeypatch):
     """Keys with more points than a block, tasks that flush often, no nearest partners."""
-    for name, value in (("BLOCK", 7), ("NEAR_BLOCK", 5), ("HELD", 500), ("NEAREST", 0), ("FEW", 0), ("BITS", 1 << 12)):
+    for name, value in (("BLOCK", 7), ("NEAR_BLOCK", 5), ("HELD", 500), ("NEAREST", 0), ("FEW", 0), ("BITS", 1 << 12), ("TOKENS_HELD", 3000), ("TOKENS_IN_BUCKET", 2000), ("HOT", 5), ("MOST_COPIES", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, docs)).collect()}
     assert got == naive.linked_components({d: t for d, t, _ in docs}, 3, 90)
@@ -89,13 +89,42 @@ def test_ngram_join_several_texts(spark):
     one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "vw")
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, [(9, one, "s"), (9, two, "s"), (8, one, "s"), (5, two, "s")])).collect()}
     assert got == {9: 5, 8: 5, 5: 5}
-
-
-def test_linked_sizes_share_a_class():
-    for least in (30, 60, 80):
-        for n in range(1, 200):
-            mine = {k for k, _ in ngram_join.size_classes(n, least)}
-            assert all(mine & {k for k, _ in ngram_join.size_classes(m, least)} for m in range(n, 100 * n // least + 1)), (n, least)
+    # and what is like either of them
+    near = [(9, one, "s"), (9, two, "s"), (20, one.replace("v0 ", "x "), "s"), (21, two.replace("w49", "y"), "s"), (22, "a b c d", "s")]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, near)).collect()}
+    assert got == {9: 9, 20: 9, 21: 9, 22: 22}
+
+
+def test_linked_sets_share_a_key():
+    """In any one order of the shingles, the first that linked sets share is a key of both."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        least = int(rng.integers(20, 101))
+        order = rng.permutation(60)
+        a = set(rng.choice(60, rng.integers(1, 50), replace=False).tolist())
+        b = set(x for x in a if rng.random() > 0.15) | set(rng.choice(60, rng.integers(0, 5), replace=False).tolist())
+        if b and 100 * len(a & b) >= least * len(a | b):
+            first = min(order[x] for x in a & b)
+            for s in (a, b):
+                assert first in sorted(order[x] for x in s)[: int(ngram_join.key_count(np.array([len(s)]), least)[0])]
+
+
+@pytest.mark.parametrize("hot", [2, 16])
+def test_ngram_join_unlike_sizes_and_hot_shingles(spark, monkeypatch, hot):
+    """Sets of 20 and 33 words at 60 per cent; a passage that most texts hold; ids in no order, far apart, below 0."""
+    for name, value in (("HOT", hot), ("TOKENS_HELD", 4000), ("TOKENS_IN_BUCKET", 700), ("MOST_COPIES", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = []
+    for k in range(25):
+        words = [f"p{k}x{j}" for j in range(33)]
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(words[:20]), "s")]
+    passage = some_text(40)
+    rows += [(1000 + k, f"{passage} {some_text(60)}", "s") for k in range(60)] + [(2000 + k, f"{passage} tail {'x' * (k % 3)}", "s") for k in range(60)]
+    RNG.shuffle(rows)
+    rows = [(d * 10**15 - 5 * 10**17, t, s) for d, t, s in rows]
+    for n, least in ((1, 60), (3, 90)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows).repartition(3), n, least).collect()}
+        assert got == naive.linked_components({d: t for d, t, _ in rows}, n, least)
 
 
 def test_null_id(spark):
