@@ -30,7 +30,8 @@ Which pairs are looked at. First each set and the smallest one under each of
 its keys. Pairs that pass the bound are verified on the sets themselves, and
 verified links make components. Then, under keys that still have several
 components, an R-tree over the points finds for each set its nearest partners
-in other components; those are verified. Last, the R-trees of the keys that
+in other components; those are verified (where such keys have few points, this
+is left out, as the next step finds all). Last, the R-trees of the keys that
 are still open give every pair across components that passes the bound, and
 all of these are verified. Pairs within a component need no look, so a group
 of near copies costs about as many pairs as it has members, not the square.
@@ -78,6 +79,8 @@ TOKENS_HELD, TOKENS_IN_BUCKET = 2_000_000, 1_000_000
 HOT = 16
 #: Ids of copies that are broadcast at most, to leave them out early.
 MOST_COPIES = 200_000
+#: Pairs of points a row under open keys up to which all pairs are looked at without looking for nearest partners first.
+FEW_PAIRS = 4
 #: Ids that are broadcast at most, and bits of the map that stands for more of them (16 MB).
 FEW, BITS = 10_000, 1 << 27
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -763,16 +766,18 @@ def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     stars = stars.join(sb, "b").join(sa, "a").where((100 + least) * bound >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     links = verified(stars, docs, n, least)
     comp = components(links)
-    # the nearest partners of each set in other components, under two of its open keys: the largest, and any
     named, keys = open_keys(met, comp)
-    under = named.join(keys, "key").groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("x"), F.max_by("key", F.xxhash64("key", "id")).alias("y"))
-    asking = common.cut(under.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("key")))
-    near = searched(dealt_rows(named, keys.join(asking.select("key").distinct(), "key"), spots, asking), least, NEAREST)
-    links = links.unionByName(verified(near, docs, n, least))
-    common.drop(named, asking)
-    comp = components(links)
+    rows, pairs = keys.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+    if (pairs or 0) > FEW_PAIRS * (rows or 0):
+        # large keys: first the nearest partners of each set in other components, under two of its open keys, the largest and any
+        under = named.join(keys, "key").groupBy("id").agg(F.max_by("key", F.struct("m", "key")).alias("x"), F.max_by("key", F.xxhash64("key", "id")).alias("y"))
+        asking = common.cut(under.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("key")))
+        near = searched(dealt_rows(named, keys.join(asking.select("key").distinct(), "key"), spots, asking), least, NEAREST)
+        links = links.unionByName(verified(near, docs, n, least))
+        common.drop(named, asking)
+        comp = components(links)
+        named, keys = open_keys(met, comp)
     # all pairs that are left under keys with several components
-    named, keys = open_keys(met, comp)
     links = links.unionByName(verified(searched(dealt_rows(named, keys, spots, None), least, None), docs, n, least))
     common.drop(named, met, spots)
     # a doc_id with several texts ties their sets

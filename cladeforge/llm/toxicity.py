@@ -5,8 +5,8 @@ second person, shares of capitals and punctuation, rates of disguised
 spelling. The lexicon is a few plain insults and what is learned from
 labelled documents: words and word beginnings that toxic ones hold far more
 often. Training takes at most `MOST_ROWS` labelled rows, those with the lowest
-hash of their doc_id: one part of them teaches the lexicon, another the trees,
-a third the isotonic calibration. Scoring is one narrow pass over all texts,
+hash of their doc_id: half of them teach the lexicon, three tenths the trees,
+a fifth the isotonic calibration. Scoring is one narrow pass over all texts,
 whole, without a shuffle; only the model, of bounded size, is sent out.
 
 Free style: trees and features are numpy and Python on Arrow batches.
@@ -14,8 +14,11 @@ Free style: trees and features are numpy and Python on Arrow batches.
 Defined results: null text is an empty text, which has a score as all others;
 without usable labels, or with one class only, every score is the share of
 toxic labels (0 without labels); repeated labels of a document count as toxic
-if one does; repeated rows are scored alike; extra columns are kept by
-scored(), and columns named score, predicted or held_out are replaced.
+if one does; repeated rows are scored alike; of terms that as many toxic
+documents hold, the first by code point go into a full lexicon; equal raw
+scores share one calibrated score; an empty table gives an empty result; extra
+columns are kept by scored(), and columns named score, predicted or held_out
+are replaced.
 """
 
 from __future__ import annotations
@@ -194,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     # the bound of the sample makes it fit for broadcasting
     known = known.orderBy("h", "doc_id").limit(most_rows)
-    part = (F.pmod(F.floor(F.col("h") / 64), F.lit(10))).cast("int").alias("part")
+    part = F.pmod(F.shiftright("h", 6), F.lit(10)).cast("int").alias("part")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", part)
     rows = common.cut(rows)
 

@@ -68,7 +68,7 @@ def test_ngram_join_other_limits(spark, docs, n, least):
 
 def test_ngram_join_in_blocks(spark, docs, monkeypatch):
     """Keys with more points than a block, tasks that flush often, no nearest partners."""
-    for name, value in (("BLOCK", 7), ("NEAR_BLOCK", 5), ("HELD", 500), ("NEAREST", 0), ("FEW", 0), ("BITS", 1 << 12), ("TOKENS_HELD", 3000), ("TOKENS_IN_BUCKET", 2000), ("HOT", 5), ("MOST_COPIES", 0)):
+    for name, value in (("BLOCK", 7), ("NEAR_BLOCK", 5), ("HELD", 500), ("NEAREST", 0), ("FEW", 0), ("BITS", 1 << 12), ("TOKENS_HELD", 3000), ("TOKENS_IN_BUCKET", 2000), ("HOT", 5), ("MOST_COPIES", 0), ("FEW_PAIRS", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, docs)).collect()}
     assert got == naive.linked_components({d: t for d, t, _ in docs}, 3, 90)
