@@ -316,3 +316,23 @@ def test_pipeline(spark, tmp_path):
     last = kept["SentencePiece encoding"]
     assert last.where("not round_trip").count() == 0 and last.count() == kept["mixing"].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == last.count()
+
+
+def test_pipeline_edges(spark, docs, tmp_path):
+    """Null and repeated doc_ids, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "vw")
+    rows = [(7, one, "s"), (7, two, "s"), (None, "a b", "s"), (None, "c d", "s"), (None, one, "s"), (8, one, "s"), (9, two + " tail", "s"), (7, one, "s"), (3, None, "s"), (4, "", None)]
+    left = stages["n-gram Jaccard join"](spark, frame(spark, rows), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(7, one), (7, two), (0, "a b"), (0, "c d"), (0, one), (3, ""), (4, "")])
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for some in ([], rows):
+        kept = frame(spark, some)
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, kept, str(tmp_path))
+            assert name == corpus_pipeline.STAGES[-1][0] or after.columns == kept.columns
+            after.write.mode("overwrite").parquet(f"{tmp_path}/{name}-{len(some)}")
+            kept = spark.read.parquet(f"{tmp_path}/{name}-{len(some)}")
+        assert bool(some) == bool(kept.count())

@@ -47,6 +47,7 @@ def docs(spark):
     rows += [(100 + i, t, "s0") for i, t in enumerate(PERSONAL)]
     rows += [(200, None, "s1"), (201, "", None), (202, " \n\t ", "s1"), (203, some_text(30000), "s2"), (None, "no id here", "s3"), (204, "one", None)]
     rows += [(300 + i, "the very same text again and again " * 4 + "write to same@copy.example.com now", "s0") for i in range(30)]
+    rows += [(340 + i, f"number {i} says write to same@copy.example.com now", "s1") for i in range(4)]
     rows += [(5, rows[5][1], "s1")] * 2
     return rows
 
@@ -80,6 +81,31 @@ def test_pii(spark, docs, table):
     assert pii.op1(spark, f"{table}/empty").count() == 0
 
 
+SECRETS = [("token = 5d190bd7c06284de91015a36974748794293dd8a. The end", "5d190bd7c06284de91015a36974748794293dd8a"), ("password=b7db7aa4a5fcc78305 x", "b7db7aa4a5fcc78305"), ("a1a1a1a1a1a1a1a1 abcdefghijklmnopqrstuv 1234567890123456", None), ("longuser12name34567@mail.example.com", None), ("x A1b2C3d4E5f6G7h8 y A1b2C3d4E5f6G7h", "A1b2C3d4E5f6G7h8")]
+
+
+def test_pii_secrets_and_what_reveals_them(spark):
+    """Secrets seen once are known by their kind; a word that stands only by them is removed, in different texts, not in copies."""
+    rows = [(i, t, "s") for i, (t, _) in enumerate(SECRETS)]
+    rows += [(10 + i, f"here is my keyword {RNG.randrange(16**40):040x} a plain thing {i}", "s") for i in range(5)]
+    rows += [(20 + i, "copied word f0e1d2c3b4a5968778695a4b3c2d1e0f", "s") for i in range(5)]
+    rows += [(100 + i, f"a plain thing said by the end of day {i}", "s") for i in range(200)]
+    got = {r.doc_id: [(x.k, r_text[x.s : x.e], x.v) for x in r._all] for r in pii.spans(frame(spark, rows)).collect() for r_text in [rows[[d for d, _, _ in rows].index(r.doc_id)][1]]}
+    for i, (_, secret) in enumerate(SECRETS):
+        assert [w for k, w, _ in got[i] if k == pii.SECRET] == ([secret] if secret else [])
+    for i in range(5):
+        assert [(k, v) for k, w, v in got[10 + i] if w == "keyword"] == [(pii.TERM, "2")]
+        assert not [w for k, w, _ in got[20 + i] if k == pii.TERM]
+    assert not any(got[100 + i] for i in range(200))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_pii_flags_terms_on_the_tables(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    t = pii.spans(docs).join(docs.select("doc_id", "text"), "doc_id").select("text", F.explode("_all").alias("x")).where(f"x.k = {pii.TERM}")
+    assert "token" in {r.w for r in t.select(F.lower(F.substr("text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))).alias("w")).collect()}
+
+
 def test_pii_replaced(spark, docs):
     out = {(r.doc_id, r.source): r.text for r in pii.sanitised(frame(spark, docs)).collect()}
     assert out[200, "s1"] is None and out[201, None] == ""
