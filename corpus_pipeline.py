@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet in the shared folder and reads it again, so a lost
-executor costs a part of one stage.
+executor costs a part of one stage; what a stage has read is removed then.
+
+Defined results, in every stage: null texts count as empty ones and stay null;
+empty tables give empty ones; texts may be of any length; rows with a null or
+repeated doc_id pass through all stages but the second like others, which says
+what it does with them; columns of any name but those with two leading
+underscores pass through the stages that return documents, the last one
+returns its own. Ties are settled by doc_id and hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,12 +27,17 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id. Five-word shingles, four fifths alike."""
+    """One document of each group of linked ones: that with the smallest doc_id. Five-word shingles, four fifths alike.
+
+    Rows that repeat a doc_id and its text are one; rows of one doc_id with
+    different texts all stay if it stands for its group; rows without a doc_id
+    are in no group and all stay, as do empty and null texts.
+    """
     groups = ngram_join.ngram_join(docs.select("doc_id", "text"), n=5, least=80)
-    # a document that stands for its group, one row of it
-    keep = groups.where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    t = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return t.dropDuplicates(["doc_id"]).select(*docs.columns)
+    keep = groups.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    t = docs.join(keep, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    t = t.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    return t.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir))
+        common.drop(before)
     return docs
 
 
