@@ -6,10 +6,17 @@ of the parts together. Two sketches estimate resemblance, containment and,
 alone, the number of distinct shingles. A text with fewer than five words has
 its whole word sequence as one shingle; one without words an empty sketch.
 
-Defined results: null text is empty; two empty sketches have likeness 1, an
-empty and another one 0; repeated doc_ids are ordered by text; the last
-document is followed by the first, a lone document by itself. A null doc_id
-comes before all others.
+The document after each one is found in buckets of neighbouring doc_ids. Ids
+may lie anywhere: a bucket that got too many rows is split again, by its own
+range of ids, and rows of one id by the hash of their text.
+
+Defined results: null text is empty; texts of any length are whole; two empty
+sketches have likeness 1, an empty and another one 0; rows that share a doc_id
+are ordered by the hash of the text, then the text, so repeated rows follow
+each other; the last document is followed by the first, a lone document by
+itself; a null doc_id comes before all others; an empty table gives an empty
+result; followed() keeps extra columns of any name and replaces those named
+like its own.
 """
 
 from __future__ import annotations
@@ -74,17 +81,39 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.hex(h)), ".")
 
 
-def bucketed(docs: DataFrame, rows_a_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """docs with _b, a bucket of neighbouring ids, and the buckets: _fb, first_id and the bucket before."""
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    width = ids.select("lo", F.greatest(F.lit(1.0), (F.col("hi").cast("double") - F.col("lo") + 1) * rows_a_bucket / F.greatest(F.col("n"), F.lit(1))).alias("width"))
+#: Buckets that Spark is told to broadcast at most, as those that were split again.
+MOST_SPLIT = 100_000
+
+
+def bucketed(rows: DataFrame, rows_a_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """rows (__id, __h, ...) with __path, which orders buckets of neighbouring rows, and the buckets: path, n, first id and hash."""
+
+    def place(x: Column, low: Column, high: Column, n: Column) -> Column:
+        return F.floor((x - low) / F.greatest(F.lit(1.0), (high.cast("double") - low + 1) * rows_a_bucket / n)).cast("bigint")
+
     # one row, so the broadcast is bounded
-    t = docs.join(F.broadcast(width), how="left", on=F.lit(True))
-    t = t.withColumn("_b", F.coalesce(F.floor((F.col("doc_id") - F.col("lo")) / F.col("width")), F.lit(-1)).cast("bigint")).drop("lo", "width")
-    firsts = t.groupBy("_b").agg(F.min("doc_id").alias("first_id"))
-    # the one window over a whole table: a row for each bucket
-    before = F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.max("_b").over(Window.partitionBy()))
-    return t, common.cut(firsts.select(F.col("_b").alias("_fb"), "first_id", before.alias("before")))
+    ends = rows.agg(F.min("__id").alias("__lo"), F.max("__id").alias("__hi"), F.count("__id").alias("__n"))
+    t = rows.join(F.broadcast(ends), how="left", on=F.lit(True))
+    first = place(F.col("__id").cast("double"), F.col("__lo").cast("double"), F.col("__hi"), F.greatest(F.lit(1), F.col("__n")))
+    t = t.withColumn("__path", F.array(F.coalesce(first, F.lit(-1)))).drop("__lo", "__hi", "__n")
+    while True:
+        cells = common.cut(t.groupBy("__path").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("lo"), F.max("__id").alias("hi")))
+        full = cells.where(F.col("n") > 4 * rows_a_bucket).select(F.col("__path").alias("__p"), F.col("n").alias("__n"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+        same = full.where(F.coalesce(F.col("__lo") == F.col("__hi"), F.lit(True)))
+        if same.limit(1).count():
+            # one id, or none: by the hash of the text
+            hashes = t.join(same.select("__p"), F.col("__path") == F.col("__p"), "left_semi").groupBy(F.col("__path").alias("__q")).agg(F.min(F.shiftright("__h", 1)).alias("__l"), F.max(F.shiftright("__h", 1)).alias("__m"))
+            full = full.join(hashes, F.col("__p") == F.col("__q"), "left").drop("__q")
+        else:
+            full = full.withColumn("__l", F.lit(None).cast("bigint")).withColumn("__m", F.lit(None).cast("bigint"))
+        full = common.cut(full.where((F.col("__lo") < F.col("__hi")) | (F.col("__l") < F.col("__m"))))
+        n_full = full.count()
+        if not n_full:
+            return t, cells
+        common.drop(cells)
+        t = t.join(F.broadcast(full) if n_full <= MOST_SPLIT else full, F.col("__path") == F.col("__p"), "left")
+        deeper = F.coalesce(place(F.shiftright("__h", 1), F.col("__l"), F.col("__m"), F.col("__n")), place(F.col("__id"), F.col("__lo"), F.col("__hi"), F.col("__n")))
+        t = t.withColumn("__path", F.when(F.col("__p").isNull(), F.col("__path")).otherwise(F.array_append("__path", deeper))).drop("__p", "__n", "__lo", "__hi", "__l", "__m")
 
 
 def followed(docs: DataFrame, extra: list[str], rows_a_bucket: int = 256) -> DataFrame:
@@ -94,17 +123,24 @@ def followed(docs: DataFrame, extra: list[str], rows_a_bucket: int = 256) -> Dat
     bucket is also sent to the bucket before it. So one exchange of the rows
     is enough and no window spans the rows of the table.
     """
-    t, heads = bucketed(docs, rows_a_bucket)
-    marked = t.join(heads, F.col("_b") == F.col("_fb"), "left")
-    head = F.col("doc_id").eqNullSafe(F.col("first_id"))
-    own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("kind"))
-    lent = F.struct(F.col("before").alias("b"), F.lit(1).alias("kind"))
-    both = marked.withColumn("_to", F.explode(F.when(head, F.array(own, lent)).otherwise(F.array(own)))).drop("_fb", "first_id", "before", "_b")
-    both = both.withColumn("_bucket", F.col("_to.b")).withColumn("_kind", F.col("_to.kind")).drop("_to")
-    order = Window.partitionBy("_bucket").orderBy("_kind", F.col("doc_id").asc_nulls_first(), "text")
-    for c in ["text", *extra]:
-        both = both.withColumn(f"next_{c}", F.lead(c).over(order))
-    return both.where(F.col("_kind") == 0).drop("_kind", "_bucket")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"))
+    t, cells = bucketed(rows, rows_a_bucket)
+    common.drop(cells)
+    first = F.struct(F.col("__id").isNotNull().alias("set"), F.col("__id"), F.col("__h"))
+    heads = t.groupBy(F.col("__path").alias("__p")).agg(F.min(first).alias("__first"))
+    # the one window over a whole table: a row for each bucket
+    cells = common.cut(heads.withColumn("__before", F.coalesce(F.lag("__p").over(Window.orderBy("__p")), F.max("__p").over(Window.partitionBy()))))
+    marked = t.join(cells, F.col("__path") == F.col("__p"), "left")
+    # of equal rows at the head of a bucket any one may be lent
+    head = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__h") == F.col("__first.__h"))
+    own = F.struct(F.col("__path").alias("b"), F.lit(0).alias("kind"))
+    lent = F.struct(F.col("__before").alias("b"), F.lit(1).alias("kind"))
+    both = marked.select("__row", "__id", "__h", F.explode(F.when(head, F.array(own, lent)).otherwise(F.array(own))).alias("__to"))
+    order = Window.partitionBy("__to.b").orderBy("__to.kind", F.col("__id").asc_nulls_first(), "__h", "__row.text")
+    named = ["text", *extra]
+    both = both.select("__row", "__to", *[F.lead(f"__row.{c}").over(order).alias(f"__next_{c}") for c in named]).where(F.col("__to.kind") == 0)
+    keep = [F.col("__row")[c].alias(c) for c in docs.columns if c not in {f"next_{x}" for x in named}]
+    return both.select(*keep, *[F.col(f"__next_{c}").alias(f"next_{c}") for c in named])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

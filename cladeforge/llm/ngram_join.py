@@ -74,7 +74,7 @@ NEAR_BLOCK = 2_000
 #: Partners that a set is verified with before all remaining pairs are looked at.
 NEAREST = 3
 #: Shingles that a task holds before it hands them on, and about those of a bucket.
-TOKENS_HELD, TOKENS_IN_BUCKET = 2_000_000, 300_000
+TOKENS_HELD, TOKENS_IN_BUCKET = 1_000_000, 300_000
 #: A shingle that so many of the sets a task holds have is sent as a count.
 HOT = 16
 #: Ids of copies that are broadcast at most, to leave them out early.

@@ -277,6 +277,58 @@ def test_fingerprints(spark, docs, table):
     assert fingerprint.op10(spark, f"{table}/empty").count() == 0
 
 
+def naive_sketch(text):
+    """The k smallest 64-bit hashes of five-word shingles, words hashed first, hashes chained as seeds."""
+    import xxhash
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64(v if isinstance(v, bytes) else v.to_bytes(8, "little"), seed=seed).intdigest()
+        return seed
+
+    w = [chained([x.encode()]) for x in naive.words(text)]
+    found = {chained(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {chained(w)} if w else set()
+    return sorted(h - (1 << 64) if h >> 63 else h for h in found)[: fingerprint.K]
+
+
+def naive_likeness(a, b):
+    both = sorted(set(a) | set(b))[: fingerprint.K]
+    return sum(h in a and h in b for h in both) / len(both) if both else 1.0
+
+
+def test_fingerprints_by_brute_force(spark, docs, tmp_path):
+    rows = [r for r in {(d, t, s) for d, t, s in docs if d is not None}]
+    one = sorted({d: (d, t, s) for d, t, s in rows}.values(), key=lambda r: r[0])
+    frame(spark, one).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in fingerprint.op10(spark, str(tmp_path)).collect()}
+    as_text = lambda h: ".".join(f"{x & (1 << 64) - 1:X}" for x in h)
+    for i, (d, t, _) in enumerate(one):
+        t, n = t or "", one[(i + 1) % len(one)][1] or ""
+        half = len(t) // 2
+        mine, edited, other = (naive_sketch(x) for x in (t, t[: len(t) - half] + n[:half], n))
+        r = got[d]
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(mine), as_text(edited)), d
+        assert abs(r.near_edited - naive_likeness(mine, edited)) < 1e-12 and abs(r.near_next - naive_likeness(mine, other)) < 1e-12, d
+
+
+def test_followed_wherever_ids_lie(spark):
+    """Outliers, clusters, one id and no id in most rows; columns named like the operator's own."""
+    far = 2**62
+    ids = [*range(300), *range(10**12, 10**12 + 300), far, -far, *range(far - 40, far - 20), *[77_777] * 150, *[None] * 120]
+    RNG.shuffle(ids)
+    rows = [(d, f"t{RNG.randrange(10**6)}", i, i, i, "x", "y") for i, d in enumerate(ids)]
+    t = spark.createDataFrame(rows, "doc_id bigint, text string, lo int, width int, before int, first_id string, next_text string")
+    got = fingerprint.followed(t, ["lo"], rows_a_bucket=8)
+    assert got.columns == ["doc_id", "text", "lo", "width", "before", "first_id", "next_text", "next_lo"]
+    hashes = {r.text: r.h for r in t.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
+    want = Counter((a[0], a[1], a[2], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter((r.doc_id, r.text, r.lo, r.next_text) for r in got.collect()) == want
+    cells = fingerprint.bucketed(t.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h")), 8)[1]
+    assert cells.agg(F.max("n")).first()[0] <= 32 and cells.agg(F.sum("n")).first()[0] == len(rows)
+
+
 def test_sketches(spark):
     a = " ".join(f"w{i}" for i in range(3000))
     b = " ".join(f"w{i}" for i in range(1500, 4500))
