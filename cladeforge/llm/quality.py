@@ -11,12 +11,14 @@ a line are counted. Exact copies of a text count as one document, so a text
 is not judged by how often it was crawled. Lines above the host's limit are
 removed; a document that keeps too little is rejected.
 
-The limit is the larger of `least_docs` and `share` of the host's distinct
-documents.
+The limit is the same at every size: `LEAST_DOCS` distinct documents of a
+host. Callers may ask for the larger of that and a share of the host's
+distinct documents.
 
 Defined results: null text is empty (no words, base_failed); a null host is a
-host of its own; repeated rows of one doc_id get the same row each; an empty
-table gives an empty result; extra columns are ignored by quality() and kept
+host of its own; repeated rows of one doc_id get the same row each; lines that
+differ in case, digits or marks only are one line; texts and lines of any
+length are whole; an empty table gives an empty result; extra columns are ignored by quality() and kept
 by cleaned().
 """
 
@@ -29,6 +31,8 @@ from . import common
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: Distinct documents of a host in which a line may stand.
+LEAST_DOCS = 10
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -80,9 +84,11 @@ def doc_lines(docs: DataFrame, host_column: str) -> DataFrame:
 
 def frequent_lines(lines: DataFrame, least_docs: int, share: float) -> DataFrame:
     """host, line: those in more distinct documents of the host than its limit."""
-    docs = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     held = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("in_docs"))
     held = held.where(F.col("in_docs") > least_docs)
+    if not share:
+        return held.select("host", "line")
+    docs = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     both = held.join(docs.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), "inner")
     return both.where(F.col("in_docs") > F.greatest(F.lit(float(least_docs)), F.lit(share) * F.col("host_docs"))).select("host", "line")
 
@@ -102,7 +108,7 @@ def verdict(n_words: Column, n_removed: Column, base_failed: Column, least_words
     return ~base_failed & (left >= least_words) & (left >= least_left * n_words)
 
 
-def quality(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 5, least_left: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, host_column: str = "source", least_docs: int = LEAST_DOCS, share: float = 0.0, least_words: int = 5, least_left: float = 0.3) -> DataFrame:
     """One row for each row of docs: the base figures, n_line_words (words in removed lines) and kept."""
     removed = removed_lines(docs, host_column, least_docs, share).drop("places")
     t = base(docs.select("doc_id", "text")).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -112,7 +118,7 @@ def quality(docs: DataFrame, host_column: str = "source", least_docs: int = 50,
     return t.drop("_t", "r_doc", "r_text", "n_removed")
 
 
-def cleaned(docs: DataFrame, host_column: str = "source", least_docs: int = 50, share: float = 0.01, least_words: int = 5, least_left: float = 0.3) -> DataFrame:
+def cleaned(docs: DataFrame, host_column: str = "source", least_docs: int = LEAST_DOCS, share: float = 0.0, least_words: int = 5, least_left: float = 0.3) -> DataFrame:
     """docs that are kept, without the lines above their host's limit."""
     removed = removed_lines(docs, host_column, least_docs, share)
     t = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -127,16 +133,15 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return quality(common.documents(spark, sf_dir))
 
 
-OP6_SQL = r"""
+OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
 win AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1) GROUP BY rid),
 ln AS (SELECT * FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY rid),
-nl AS (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[^\p{L}\p{M}0]+', ' ', 'g')) AS line, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM ln),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM nl GROUP BY host),
-often AS (SELECT x.host, x.line FROM (SELECT host, line, count(DISTINCT text) AS c FROM nl GROUP BY host, line) x JOIN hosts h ON x.host IS NOT DISTINCT FROM h.host WHERE c > 50 AND c > greatest(50, 0.01 * docs)),
+nl AS (SELECT *, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[^\p{{L}}\p{{M}}0]+', ' ', 'g')) AS line, len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM ln),
+often AS (SELECT host, line FROM nl GROUP BY host, line HAVING count(DISTINCT text) > {LEAST_DOCS}),
 cut AS (SELECT rid, sum(n) AS n FROM nl JOIN often o ON nl.host IS NOT DISTINCT FROM o.host AND nl.line = o.line GROUP BY rid),
 f AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
              coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_line_words
