@@ -6,9 +6,12 @@ first: the longest one whose host is the URL's host or a parent domain of it,
 and whose path begins the URL's path, decides.
 
 Defined results: a null URL, or one without "://", has an empty host and path
-and no rule; the model judges it by the empty feature vector. Repeated rows
-are judged alike, an empty table gives an empty result, extra columns are
-kept by judge(); columns named like its own are replaced.
+and no rule; the model judges it by the few n-grams of empty parts. A URL
+without a path has an empty one, which begins with no rule's "/". Of rules
+that are as long, the one later in the alphabet decides. URLs of any length are
+whole. Repeated rows are judged alike, an empty table gives an empty result,
+extra columns of any name are kept by judge(), but for those named host, path,
+rule and verdict, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Rules are compiled into one expression, so their number is bounded.
 MOST_RULES = 2000
 
-#: The small labelled table: 1 stands for block.
+#: The small labelled table: 1 stands for block. Single URLs, and more made of a word in a host and a path.
 BLOCKED = """
 http://spam-farm.example/buy/cheap-pills https://cheap-pills.example/order?ref=mail http://win-casino.example/slots/bonus
 https://casino-bonus.example/play/free-spins http://adult-cams.example/live/show https://xxx-videos.example/free/watch
@@ -54,6 +57,26 @@ https://blog.station.invalid/en/142#top http://www.nation.invalid/fr/65.html htt
 https://tension.invalid/en/2?utm_source=feed http://blog.thistle.invalid/fr/31?page=2&ref=x https://www.anthem.invalid/es/440
 http://m.breath.invalid/en/77.html https://ration.invalid/de/8#top http://www.other.invalid/es/9 https://blog.rather.invalid/fr/10/
 """.split()
+TOPICS = {
+    1: "casino poker jackpot betting pills viagra pharmacy replica warez crack keygen torrent phishing malware spyware escort adult webcam loans payday lottery prize miracle slimming botnet clickbait backlinks linkfarm spam scam".split(),
+    0: "library museum university school weather recipes garden physics history music gallery theatre journal archive hospital railway council parliament forestry astronomy chess football travel kitchen poetry grammar biology chemistry geology language".split(),
+}
+HOSTS = ("{w}.example", "www.{w}{i}.example", "{w}-{v}.invalid", "my.{w}.example", "{v}.{w}.invalid")
+PATHS = {
+    1: ("/buy/now", "/free/{w}", "/win/bonus/{i}", "/cheap-{w}/offer", "/download/setup{i}.exe", "/login/verify", "/order.php", "/{w}/hot/{i}", "", "/{i}"),
+    0: ("/articles/{i}", "/about", "/guide/{w}.html", "/2021/{i}/{w}", "/courses/{i}", "/index.html", "/notes/{w}", "/{w}/chapter-{i}", "", "/{i}"),
+}
+
+
+def labelled_urls() -> list[tuple[str, float]]:
+    """(url, label): the single URLs, and 300 made ones of either label, each word in ten of them."""
+    rows = [(u, 1.0) for u in BLOCKED] + [(u, 0.0) for u in ALLOWED]
+    for label, words in TOPICS.items():
+        for i, w in enumerate(words):
+            for j, path in enumerate(PATHS[label]):
+                parts_of = {"w": w, "v": words[(i + j + 1) % len(words)], "i": (7 * i + 13 * j) % 97}
+                rows.append(("http://" + HOSTS[(i + j) % len(HOSTS)].format(**parts_of) + path.format(**parts_of), float(label)))
+    return rows
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -96,7 +119,7 @@ def featured(df: DataFrame, host: str, path: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(u, 1.0) for u in BLOCKED] + [(u, 0.0) for u in ALLOWED], "url string, label double")
+    return spark.createDataFrame(labelled_urls(), "url string, label double")
 
 
 def fit(table: DataFrame, reg: float = 0.01, rounds: int = 40) -> LogisticRegressionModel:
@@ -109,11 +132,12 @@ def fit(table: DataFrame, reg: float = 0.01, rounds: int = 40) -> LogisticRegres
 def judge(pages: DataFrame, model: LogisticRegressionModel, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """pages with host, path, rule and verdict (allow or block)."""
     host, path = parts(F.col("url"))
-    t = pages.withColumn("host", host).withColumn("path", path)
-    rule, action = matched_rule(F.col("host"), F.col("path"), rules)
-    t = model.transform(featured(t.withColumn("rule", rule).withColumn("_action", action), "host", "path"))
+    t = pages.select(F.struct(*pages.columns).alias("_row"), host.alias("_host"), path.alias("_path"))
+    rule, action = matched_rule(F.col("_host"), F.col("_path"), rules)
+    t = model.transform(featured(t.withColumn("_rule", rule).withColumn("_action", action), "_host", "_path"))
     learned = F.when(F.col("_said") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return t.withColumn("verdict", F.coalesce("_action", learned)).drop("_features", "_raw", "_probability", "_said", "_action")
+    made = [F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.coalesce("_action", learned).alias("verdict")]
+    return t.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")], *made)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,32 @@ def test_splitting_tree(spark):
 URLS = [None, "", "nothing", "http://Example.ORG", "http://example.org/es/1", "https://a.b.example.org/en/12?x=/y", "https://example.org/en/2#a/b", "http://x.com/fr/1", "http://x.com/de/", "http://com/de/q", "http://notexample.org/es/", "ftp://h?x", "a://b#c", "http://x.net/de/1", "x://://y"]
 
 
+def test_url_model_on_held_out_rows(spark):
+    """Every fourth labelled row is held out; and a row's score is the sum of its n-grams' weights."""
+    rows = urls.labelled_urls()
+    kept = spark.createDataFrame([r for i, r in enumerate(rows) if i % 4], "url string, label double")
+    model = urls.fit(kept)
+    held = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows) if i % 4 == 0], "page_id int, url string, label double")
+    got = urls.judge(held, model, ()).collect()
+    assert sum((r.verdict == "block") == (r.label == 1) for r in got) >= 0.95 * len(got)
+    index = {}
+    host, path = urls.parts(F.col("url"))
+    both = urls.featured(held.select("url", host.alias("h"), path.alias("p")), "h", "p")
+    index = {r.url: list(r._features.indices) for r in both.collect()}
+    weights = model.coefficients.toArray()
+    for r in got:
+        h, p = r.host, r.path.lower()
+        grams = {m + t[i : i + n] for m, t in (("h:", f"^{h}$"), ("p:", f"^{p}$")) for n in urls.GRAMS for i in range(len(t) - n + 1)}
+        assert len(index[r.url]) <= len(grams) <= len(index[r.url]) + 3
+        assert (r.verdict == "block") == (weights[index[r.url]].sum() + model.intercept >= 0)
+
+
+def test_url_columns_of_any_name(spark):
+    t = spark.createDataFrame([(1, "http://a.casino.example/" + "x" * 20000, 2, 3, 4, 5, "r")], "page_id int, url string, _features int, _raw int, _said int, _grams int, rule string")
+    r = urls.judge(t, urls.fit(urls.labelled(spark))).first()
+    assert (r._features, r._raw, r._said, r._grams, r.rule, r.host, len(r.path)) == (2, 3, 4, 5, None, "a.casino.example", 20001)
+
+
 def naive_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
