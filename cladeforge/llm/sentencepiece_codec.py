@@ -17,12 +17,14 @@ the ids are those of the model.
 
 Pieces never continue over a blank that follows other characters, so the
 search restarts there, and the ids of such stretches are kept in a bounded
-table.
+table. Models with a normaliser or other settings that change the text are
+refused.
 
 Defined results: null and empty texts have no ids; characters outside the
 vocabulary become byte pieces (or the unknown id where the model has none);
 decoding gives the text back, except that a literal U+2581 reads as a blank;
-repeated rows are encoded alike; extra columns are kept, and a column named
+of equal sums the one found first, from the boundary furthest back, stays;
+repeated rows are encoded alike; an empty table gives an empty result; extra columns are kept, and a column named
 like an output is replaced.
 """
 
@@ -42,26 +44,73 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches whose ids a worker remembers, and pairs of pieces.
 MOST_KEPT = 600_000
-#: Stretches of so many characters at most are remembered, and searched at once.
+#: Stretches of so many characters at most are remembered.
 SHORT = 64
 #: Bound of a vocabulary, so that it may be sent to every worker.
 MOST_PIECES = 2_000_000
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message, groups aside."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7)
+            size = varint() if size is None else size
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def settings(model: bytes) -> dict[str, int]:
+    """What of a model file's settings the codec depends on."""
+    out = {"type": 1, "suffix": 0, "charsmap": 0, "dummy_prefix": 1, "extra_blanks": 1, "user_pieces": 0}
+    for number, part in fields(model):
+        if number == 1:
+            out["user_pieces"] += any(f == (3, 4) for f in fields(part))
+        elif number == 2:
+            names = {3: "type", 24: "suffix"}
+            out |= {names[n]: v for n, v in fields(part) if n in names}
+        elif number == 3:
+            names = {3: "dummy_prefix", 4: "extra_blanks"}
+            out |= {names[n]: v for n, v in fields(part) if n in names} | {"charsmap": len(v) for n, v in fields(part) if n == 2}
+    return out
+
+
 def read_model(path: str) -> tuple[list[tuple[str, float, str]], str]:
-    """Pieces (text, score, kind) by id, and the type of the model, from a model file."""
+    """Pieces (text, score, kind) by id, and the type of the model, from a model file.
+
+    Models with settings that the codec does not follow are refused.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     if sp.get_piece_size() > MOST_PIECES:
         raise ValueError(f"at most {MOST_PIECES} pieces")
+    found = settings(sp.serialized_model_proto())
+    wanted = {"suffix": 0, "charsmap": 0, "dummy_prefix": 1, "extra_blanks": 0, "user_pieces": 0}
+    if found["type"] not in (1, 2) or any(found[k] != v for k, v in wanted.items()):
+        raise ValueError(f"a unigram or BPE model with {wanted} is needed, this one has {found}")
 
     def kind(i: int) -> str:
         return "byte" if sp.is_byte(i) else "unknown" if sp.is_unknown(i) else "none" if sp.is_control(i) or sp.is_unused(i) else "piece"
 
     pieces = [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
-    ranks = [s for _, s, k in pieces if k == "piece"]
-    return pieces, "bpe" if all(s == int(s) for s in ranks) else "unigram"
+    return pieces, "bpe" if found["type"] == 2 else "unigram"
 
 
 class Codec:
@@ -111,66 +160,64 @@ class Codec:
         return known
 
     def segments(self, text: str) -> Iterator[str]:
-        """Pieces of a text in order, committed as the paths of all live boundaries meet."""
-        back: dict[int, int] = {0: 0}
-        last: dict[int, str] = {0: ""}
-        best: dict[int, float] = {0: 0.0}
-        done, window = 0, self.longest
-        for i in range(1, len(text) + 1):
-            if self.kind == "bpe":
-                for j in range(max(done, i - window), i):
-                    piece = text[j:i]
-                    if (i - j == 1 or piece in self.ids and self.reachable(piece)) and j in last and (j == 0 or self.apart(last[j], piece)):
-                        back[i], last[i] = j, piece
-                        break
-            else:
-                for j in range(max(done, i - window), i):
-                    piece = text[j:i]
-                    score = self.scores.get(piece, self.least if i - j == 1 else None)
-                    if score is not None and j in best and (i not in best or best[j] + score > best[i]):
-                        best[i], back[i], last[i] = best[j] + score, j, piece
-            if i - done >= 2 * window or i == len(text):
-                live = {i} if i == len(text) else {j for j in range(i - window + 1, i + 1) if j in back}
-                while len(live) > 1:
-                    live.add(back[live_max := max(live)])
-                    live.remove(live_max)
-                meet = live.pop()
-                path = []
-                at = meet
-                while at > done:
-                    path.append(last[at])
-                    at = back[at]
-                yield from reversed(path)
-                for j in range(done, meet):
-                    back.pop(j, None), last.pop(j, None), best.pop(j, None)
-                done = meet
-
-    def short_segments(self, text: str) -> list[str]:
-        """segments() of a BPE model for a text that is committed as a whole: the same search, from each boundary ahead."""
-        n = len(text)
-        last: list[str | None] = [None] * (n + 1)
+        """Pieces of a text in order, committed as the paths of all live boundaries meet.
+
+        Each boundary that is reached is searched ahead; what it reaches gets
+        its backpointer. last[i - base] is the piece that ends at boundary i:
+        boundaries before base are committed.
+        """
+        n, window, bpe = len(text), self.longest, self.kind == "bpe"
+        ids, prefixes, pairs, whole, scores = self.ids, self.prefixes, self.pairs, self.whole, self.scores
+        base, check = 0, 2 * window
+        last: list[str | None] = [None] * (min(n, 3 * window) + 1)
         last[0] = ""
-        ids, prefixes, pairs, whole = self.ids, self.prefixes, self.pairs, self.whole
+        best: list[float] = [] if bpe else [0.0] + [-np.inf] * (len(last) - 1)
         for j in range(n):
-            left = last[j]
-            for i in range(j + 1, n + 1):
+            if j == check:
+                # the paths of all boundaries from here on that have a backpointer
+                live = {i for i in range(j, min(n, j + window) + 1) if last[i - base] is not None}
+                while len(live) > 1:
+                    far = max(live)
+                    live.remove(far)
+                    live.add(far - len(last[far - base]))
+                meet = live.pop()
+                yield from self.path(last, meet - base)
+                last, best = last[meet - base :], best[meet - base :]
+                base, check = meet, j + window
+                more = min(n, check + window) + 1 - base - len(last)
+                last += [None] * more
+                best += [] if bpe else [-np.inf] * more
+            left = last[j - base]
+            if left is None:
+                continue
+            for i in range(j + 1, min(n, j + window) + 1):
                 piece = text[j:i]
-                if last[i] is None and (i == j + 1 or piece in ids):
-                    fits = whole.get(piece)
-                    if fits is None:
-                        fits = self.reachable(piece)
-                    if fits and j:
-                        fits = pairs.get((left, piece))
+                if bpe:
+                    if last[i - base] is None and (i == j + 1 or piece in ids):
+                        fits = whole.get(piece)
                         if fits is None:
-                            fits = self.apart(left, piece)
-                    if fits:
-                        last[i] = piece
+                            fits = self.reachable(piece)
+                        if fits and j:
+                            fits = pairs.get((left, piece))
+                            if fits is None:
+                                fits = self.apart(left, piece)
+                        if fits:
+                            last[i - base] = piece
+                else:
+                    score = scores.get(piece, self.least if i == j + 1 else None)
+                    if score is not None and best[j - base] + score > best[i - base]:
+                        best[i - base], last[i - base] = best[j - base] + score, piece
                 if piece not in prefixes:
                     break
+        yield from self.path(last, n - base)
+
+    @staticmethod
+    def path(last: list[str | None], at: int) -> list[str]:
+        """The pieces up to a boundary."""
         out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
         return out[::-1]
 
     def ids_of(self, stretch: str) -> bytes:
@@ -178,8 +225,7 @@ class Codec:
         known = self.kept.get(stretch)
         if known is None:
             ids: list[int] = []
-            short = self.kind == "bpe" and len(stretch) <= SHORT
-            for piece in self.short_segments(stretch) if short else self.segments(stretch):
+            for piece in self.segments(stretch):
                 i = self.ids.get(piece)
                 if i is not None:
                     ids.append(i)
@@ -268,4 +314,4 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     t = encode(docs, codec(spark), check="round_trip")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    return t.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), ids.alias("ids_sha256"), "round_trip")
+    return t.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), ids.alias("ids_sha256"), "round_trip", "ids")
