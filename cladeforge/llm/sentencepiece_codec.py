@@ -42,8 +42,8 @@ from pyspark.sql import types as T
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Stretches whose ids a worker remembers, and pairs of pieces.
-MOST_KEPT = 600_000
+#: Stretches whose ids a worker remembers (half of them at least), and pairs of pieces.
+MOST_KEPT = 400_000
 #: Stretches of so many characters at most are remembered.
 SHORT = 64
 #: Bound of a vocabulary, so that it may be sent to every worker.
@@ -130,13 +130,21 @@ class Codec:
         self.stretch = re.compile(f"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p))}
+        self.edges: tuple[dict, dict] = ({}, {})
+        # the pieces as a trie: children by character, the piece that ends at a node under ""
+        self.root: dict = {}
+        for p in self.ids:
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """BPE by its definition: merge the best-scored pair, leftmost first, until none is a piece."""
+    def merged(self, text: str, until: int = 1) -> list[str]:
+        """BPE by its definition: merge the best-scored pair, leftmost first, until none is a piece (or so many parts are left)."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > until:
             best = max(((self.scores.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1)))
             if best[0] == -np.inf:
                 break
@@ -144,13 +152,31 @@ class Codec:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """What stands at the left (0) or right (1) edge of a piece while it is merged, the whole first, each with the score of the merge that ends it."""
+        known = self.edges[side].get(piece)
+        if known is None:
+            known = [(piece, -np.inf)]
+            while len(part := known[-1][0]) > 1 and len(halves := self.merged(part, 2)) == 2:
+                known.append((halves[side], self.scores[part]))
+            self.edges[side][piece] = known
+        return known
+
     def apart(self, left: str, right: str) -> bool:
-        """Whether BPE leaves two pieces apart when they meet."""
+        """Whether BPE leaves two pieces apart when they meet: no two edges that stand together merge before either is merged otherwise."""
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) > MOST_KEPT:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            score, others = self.scores.get, self.edge(right, 0)
+            known = True
+            for x, until in self.edge(left, 1):
+                for y, then in others:
+                    s = score(x + y)
+                    # of equal scores the leftmost goes first
+                    if s is not None and s > until and s >= then:
+                        known = False
+            self.pairs[left, right] = known
         return known
 
     def reachable(self, piece: str) -> bool:
@@ -167,7 +193,7 @@ class Codec:
         boundaries before base are committed.
         """
         n, window, bpe = len(text), self.longest, self.kind == "bpe"
-        ids, prefixes, pairs, whole, scores = self.ids, self.prefixes, self.pairs, self.whole, self.scores
+        root, pairs, whole, scores = self.root, self.pairs, self.whole, self.scores
         base, check = 0, 2 * window
         last: list[str | None] = [None] * (min(n, 3 * window) + 1)
         last[0] = ""
@@ -190,24 +216,30 @@ class Codec:
             left = last[j - base]
             if left is None:
                 continue
-            for i in range(j + 1, min(n, j + window) + 1):
-                piece = text[j:i]
-                if bpe:
-                    if last[i - base] is None and (i == j + 1 or piece in ids):
-                        fits = whole.get(piece)
-                        if fits is None:
-                            fits = self.reachable(piece)
-                        if fits and j:
-                            fits = pairs.get((left, piece))
+            node = root
+            for i in range(j + 1, n + 1):
+                node = node.get(text[i - 1])
+                piece = None if node is None else node.get("")
+                if piece is None and i == j + 1:
+                    # one character that is no piece
+                    piece = text[j]
+                if piece is not None:
+                    if bpe:
+                        if last[i - base] is None:
+                            fits = whole.get(piece)
                             if fits is None:
-                                fits = self.apart(left, piece)
-                        if fits:
-                            last[i - base] = piece
-                else:
-                    score = scores.get(piece, self.least if i == j + 1 else None)
-                    if score is not None and best[j - base] + score > best[i - base]:
-                        best[i - base], last[i - base] = best[j - base] + score, piece
-                if piece not in prefixes:
+                                fits = self.reachable(piece)
+                            if fits and j:
+                                fits = pairs.get((left, piece))
+                                if fits is None:
+                                    fits = self.apart(left, piece)
+                            if fits:
+                                last[i - base] = piece
+                    else:
+                        score = scores.get(piece, self.least)
+                        if best[j - base] + score > best[i - base]:
+                            best[i - base], last[i - base] = best[j - base] + score, piece
+                if node is None:
                     break
         yield from self.path(last, n - base)
 
@@ -224,19 +256,22 @@ class Codec:
         """The ids of a stretch, as 32-bit integers."""
         known = self.kept.get(stretch)
         if known is None:
-            ids: list[int] = []
-            for piece in self.segments(stretch):
-                i = self.ids.get(piece)
-                if i is not None:
-                    ids.append(i)
-                elif self.byte_ids:
-                    ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
-                else:
-                    ids.append(self.unknown)
-            known = array("i", ids).tobytes()
+            known = self.older.get(stretch)
+            if known is None:
+                ids: list[int] = []
+                for piece in self.segments(stretch):
+                    i = self.ids.get(piece)
+                    if i is not None:
+                        ids.append(i)
+                    elif self.byte_ids:
+                        ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
+                    else:
+                        ids.append(self.unknown)
+                known = array("i", ids).tobytes()
             if len(stretch) <= SHORT:
                 if len(self.kept) >= MOST_KEPT:
-                    self.kept.clear()
+                    # what is asked for again moves back from the older half
+                    self.older, self.kept = self.kept, {}
                 self.kept[stretch] = known
         return known
 
