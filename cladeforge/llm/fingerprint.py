@@ -123,7 +123,8 @@ def followed(docs: DataFrame, extra: list[str], rows_a_bucket: int = 256) -> Dat
     bucket is also sent to the bucket before it. So one exchange of the rows
     is enough and no window spans the rows of the table.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"))
+    own_names = [f"__c_{c}" for c in docs.columns]
+    rows = docs.select(*[F.col(c).alias(f"__c_{c}") for c in docs.columns], F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"))
     t, cells = bucketed(rows, rows_a_bucket)
     common.drop(cells)
     first = F.struct(F.col("__id").isNotNull().alias("set"), F.col("__id"), F.col("__h"))
@@ -135,11 +136,13 @@ def followed(docs: DataFrame, extra: list[str], rows_a_bucket: int = 256) -> Dat
     head = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__h") == F.col("__first.__h"))
     own = F.struct(F.col("__path").alias("b"), F.lit(0).alias("kind"))
     lent = F.struct(F.col("__before").alias("b"), F.lit(1).alias("kind"))
-    both = marked.select("__row", "__id", "__h", F.explode(F.when(head, F.array(own, lent)).otherwise(F.array(own))).alias("__to"))
-    order = Window.partitionBy("__to.b").orderBy("__to.kind", F.col("__id").asc_nulls_first(), "__h", "__row.text")
+    both = marked.select(*own_names, "__h", F.explode(F.when(head, F.array(own, lent)).otherwise(F.array(own))).alias("__to"))
+    both = both.select(*own_names, "__h", F.col("__to.b").alias("__b"), F.col("__to.kind").alias("__kind"))
+    # plain columns, so that nothing travels twice
+    order = Window.partitionBy("__b").orderBy("__kind", F.col("__c_doc_id").asc_nulls_first(), "__h", "__c_text")
     named = ["text", *extra]
-    both = both.select("__row", "__to", *[F.lead(f"__row.{c}").over(order).alias(f"__next_{c}") for c in named]).where(F.col("__to.kind") == 0)
-    keep = [F.col("__row")[c].alias(c) for c in docs.columns if c not in {f"next_{x}" for x in named}]
+    both = both.select(*own_names, "__kind", *[F.lead(f"__c_{c}").over(order).alias(f"__next_{c}") for c in named]).where(F.col("__kind") == 0)
+    keep = [F.col(f"__c_{c}").alias(c) for c in docs.columns if c not in {f"next_{x}" for x in named}]
     return both.select(*keep, *[F.col(f"__next_{c}").alias(f"next_{c}") for c in named])
 
 
