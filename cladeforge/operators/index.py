@@ -116,10 +116,21 @@ class MinimizerIndex:
         """Labelled taxa that no minimizer of the index has."""
         return labels.select("taxon").distinct().join(self.records.select("taxon").distinct(), "taxon", "left_anti")
 
-    def distinct_per_taxon(self, sequences: DataFrame, labels: DataFrame) -> DataFrame:
-        """taxon, n: distinct minimizers of each taxon's own sequences."""
+    def distinct_per_taxon(self, sequences: DataFrame, labels: DataFrame, taxa: DataFrame | None = None) -> DataFrame:
+        """taxon, n: distinct minimizers of each taxon's own sequences; of some taxa only, if they are given."""
+        if taxa is not None:
+            labels = labels.join(taxa.select("taxon").distinct(), "taxon", "left_semi")
         return self.of_genomes(sequences, labels).groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))
 
+    def largest(self, n: int) -> DataFrame:
+        """taxon, n of the taxa with most minimizers, most first."""
+        return self.counts_per_taxon().orderBy(F.desc("n"), "taxon").limit(n)
+
+    def coverage_summary(self, sequences: DataFrame, labels: DataFrame) -> DataFrame:
+        """One row: number, least, mean, deviation and most of the fractions of leaf_coverage()."""
+        f = F.col("fraction")
+        return self.leaf_coverage(sequences, labels).agg(F.count(f).alias("taxa"), F.min(f).alias("least"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("deviation"), F.max(f).alias("most"))
+
     def of_genomes(self, sequences: DataFrame, labels: DataFrame) -> DataFrame:
         """taxon, id1, n, kmers: each taxon's distinct minimizers, with its super-mers and k-mers that have them."""
         tagged = sequences.select("header", "nucleotides").join(labels.select("header", "taxon"), "header")

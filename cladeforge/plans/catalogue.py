@@ -36,10 +36,14 @@ def query(sql: str | None, extra: dict[str, str] | None = None) -> Callable[[Que
 
 
 def queries() -> dict[str, Query]:
+    from . import stored  # noqa: F401  registers itself
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import stored  # noqa: F401
+
     return dict(ORACLE)
 
 
@@ -421,7 +425,7 @@ def idx_genome_sizes(spark, sf):
     return fx.index(spark, sf).genome_sizes(fx.genomes(spark, sf), fx.labels(spark, sf))
 
 
-@query("SELECT header FROM reads WHERE header NOT IN (SELECT header FROM rk)")
+@query(f"SELECT header FROM reads WHERE NOT regexp_matches(nt, '[ACGT]{{{S.k}}}')")
 def idx_no_minimizers(spark, sf):
     return fx.index(spark, sf).without_minimizers(fx.reads(spark, sf))
 
@@ -481,7 +485,11 @@ def cls_hit_details(spark, sf):
     return g.select("title", classify.details(classify.merged_hits(F.col("hits"))).alias("details"))
 
 
-@query(f"SELECT header AS title, (coalesce(a, 0) + {S.k - 1}) || '|' || (coalesce(b, 0) + {S.k - 1}) AS length FROM reads LEFT JOIN (SELECT title AS header, sum(kmers) AS a FROM rspans GROUP BY title) USING (header) LEFT JOIN (SELECT header, count(*) AS b FROM mk GROUP BY header) USING (header)", kmers("mk", "(SELECT header, nt2 AS nt FROM reads)"))
+# letters of a stretch give its length less k - 1 k-mers; a first stretch of N that is long enough counts as many
+KMERS = f"list_sum(list_transform(string_split({{0}}, 'N'), lambda x: greatest(0, length(x) - {S.k - 1}))) + greatest(0, length(regexp_extract({{0}}, '^N+')) - {S.k - 1})"
+
+
+@query(f"SELECT header AS title, (CAST({KMERS.format('nt')} AS BIGINT) + {S.k - 1}) || '|' || (CAST({KMERS.format('nt2')} AS BIGINT) + {S.k - 1}) AS length FROM reads")
 def cls_length_string_paired(spark, sf):
     hits = classify.find_hits(minimizers.spans(fx.reads(spark, sf, paired=True), S), fx.index(spark, sf))
     g = classify.group_hits(hits)
@@ -534,15 +542,15 @@ def rpt_kraken_rows(spark, sf):
     return report.report_rows(t.groupBy("taxon").agg(F.count(F.lit(1)).alias("n")), fx.taxonomy(spark, sf))
 
 
-@query("""SELECT n.taxon, s1, CASE WHEN k IS NOT NULL THEN ks / kz ELSE s1 END AS s2 FROM nodes n
-    JOIN (SELECT a AS taxon, sum(size) / CAST(count(*) AS DOUBLE) AS s1 FROM sizes JOIN anc USING (taxon) GROUP BY a) USING (taxon)
+@query("""SELECT n.taxon, s1, CASE WHEN k IS NOT NULL THEN ks / kz ELSE s1 END AS s2, CASE WHEN k IS NOT NULL THEN (s1 * below + ks / kz * kz) / (below + kz) ELSE s1 END AS s3 FROM nodes n
+    JOIN (SELECT a AS taxon, sum(size) / CAST(count(*) AS DOUBLE) AS s1, count(*) AS below FROM sizes JOIN anc USING (taxon) GROUP BY a) USING (taxon)
     LEFT JOIN (SELECT parent AS taxon, count(*) AS k, count(*) AS kz, sum(s1) AS ks FROM nodes JOIN (SELECT a AS taxon, sum(size) / CAST(count(*) AS DOUBLE) AS s1 FROM sizes JOIN anc USING (taxon) GROUP BY a) USING (taxon) GROUP BY parent) USING (taxon)""",
     {"sizes": "SELECT CAST(c_custkey % (SELECT count(*) FROM part) + 10000 AS INTEGER) AS taxon, sum(c_custkey % 100 + 1) AS size FROM customer GROUP BY 1"})
 def rpt_tkc(spark, sf):
     n = fx.table(spark, sf, "part").count()
     sizes = fx.table(spark, sf, "customer").select((F.col("c_custkey") % n + 10000).cast("int").alias("taxon"), (F.col("c_custkey") % 100 + 1).alias("size"))
     t = report.kmer_averages(sizes, fx.taxonomy(spark, sf)).where("s1 is not null")
-    return t.select("taxon", "s1", "s2")
+    return t.select("taxon", "s1", "s2", "s3")
 
 
 @query("""SELECT (SELECT count(*) FROM lab WHERE taxon NOT IN (SELECT taxon FROM nodes)) AS unknown, (SELECT count(*) FROM lab WHERE taxon IN (SELECT parent FROM nodes)) AS inner_taxa, (SELECT count(*) FROM lab WHERE taxon IN (SELECT taxon FROM nodes)) AS valid,
@@ -649,12 +657,23 @@ def brk_short_reads(spark, sf):
     return bracken.weights(fx.genomes(spark, sf), fx.labels(spark, sf), fx.index(spark, sf), 40)
 
 
-@query(None)
+# windows of 100 letters by the spans that they overlap; those of a genome with equal k-mers by taxon are resolved once
+LONG = {
+    "ospans": "SELECT g.taxon AS source, s.location AS a, s.location + s.kmers AS z, i.taxon FROM gk_spans s JOIN genomes g USING (header) JOIN idx i ON i.id1 = s.mn",
+    "owindows": f"SELECT source, p, taxon, CAST(sum(least(z, p + {101 - S.k}) - greatest(a, p)) AS BIGINT) AS n, count(*) AS groups FROM (SELECT *, unnest(range(greatest(0, a - {100 - S.k}), least(z, {fx.GENOME - 99}))) AS p FROM ospans) GROUP BY source, p, taxon",
+    "okinds": "SELECT source, s, ok, count(*) AS times, row_number() OVER () AS title FROM (SELECT source, p, list({'taxon': taxon, 'n': n} ORDER BY taxon) AS s, sum(groups) >= 2 AS ok FROM owindows GROUP BY source, p) GROUP BY source, s, ok",
+    **renamed(("scores", "tops", "lcas"), {"per_taxon": "SELECT title, x.taxon AS taxon, x.n AS n FROM (SELECT title, unnest(s) AS x FROM okinds WHERE ok)"}, "o"),
+    "oweights": "SELECT CAST(coalesce(l.taxon, 0) AS INTEGER) AS dest, source, CAST(sum(times) AS BIGINT) AS n FROM okinds LEFT JOIN lcaso l USING (title) GROUP BY 1, 2",
+}
+
+
+@query("SELECT dest, source, n FROM oweights", LONG)
 def brk_source_dest(spark, sf):
     return bracken.weights(fx.genomes(spark, sf), fx.labels(spark, sf), fx.index(spark, sf), 100)
 
 
-@query(None)
+@query("""SELECT dest, dest || chr(9) || string_agg(source || ':' || n || ':' || total, ' ' ORDER BY source) AS line
+    FROM oweights JOIN (SELECT source, CAST(sum(n) AS BIGINT) AS total FROM oweights GROUP BY source) USING (source) WHERE dest <> 0 GROUP BY dest""", LONG)
 def brk_distrib_lines(spark, sf):
     return bracken.distribution_lines(bracken.weights(fx.genomes(spark, sf), fx.labels(spark, sf), fx.index(spark, sf), 100))
 

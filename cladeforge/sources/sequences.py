@@ -117,12 +117,23 @@ def is_fastq(path: str) -> bool:
     return name.endswith((".fq", ".fastq"))
 
 
-def read(spark: SparkSession, files: Sequence[str], paired_files: bool = False, k: int = 35, fraction: float | None = None, indexed: bool = False) -> DataFrame:
-    """Sequences of files, each by its name's format; paired_files: names in pairs of mates."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever storage it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read(spark: SparkSession, files: Sequence[str], paired_files: bool = False, k: int = 35, fraction: float | None = None, indexed: bool | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Sequences of files, each by its name's format; paired_files: names in pairs of mates.
+
+    A FASTA file with a .fai beside it is read in pieces (indexed: True or
+    False to say so instead).
+    """
     names = expanded(spark, files)
 
     def one(f: str) -> DataFrame:
-        t = fastq(spark, f) if is_fastq(f) else indexed_fasta(spark, f, k) if indexed else fasta(spark, f)
+        by_index = not is_fastq(f) and (exists(spark, f"{f}.fai") if indexed is None and "*" not in f else bool(indexed))
+        t = fastq(spark, f) if is_fastq(f) else indexed_fasta(spark, f, k, chunk) if by_index else fasta(spark, f)
         return t.select("header", "location", "nucleotides")
 
     if paired_files:
