@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from .functions.alphabet import Scheme
@@ -69,9 +70,12 @@ def _criterion(a: argparse.Namespace) -> dynamic.Criterion:
 
 
 def _write(classified, tax: Taxonomy, a: argparse.Namespace) -> None:
+    # one pass over the reads for all thresholds and files
+    classified = classified.persist(StorageLevel.DISK_ONLY)
     if not a.no_detailed:
         sinks.write_classified(classified, a.output, a.confidence)
     sinks.write_reports(classified, tax, a.output, a.confidence)
+    classified.unpersist()
 
 
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
@@ -95,10 +99,13 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         genomes, labels = _library(spark, a.library, loaded.scheme.k)
         gold = dynamic.gold_set(tables.gold(spark, a.gold_set), labels, tax, a.rank, a.promote_gold_set) if a.gold_set else None
         kept = gold if a.classify_with_gold and gold is not None else dynamic.supported(dynamic.counts(reads, loaded, _criterion(a), a.rank), tax, _criterion(a), a.rank)
+        kept = kept.persist(StorageLevel.DISK_ONLY)
         sinks.write_taxa(kept, f"{a.output}_taxonSet")
         if gold is not None:
             sinks.write_table(dynamic.set_metrics(kept, gold), f"{a.output}_set_metrics")
         second = dynamic.dynamic_index(genomes, labels, loaded, tax.closure_down(kept))
+        # read by the weights and by the second classification
+        second = MinimizerIndex(second.records.persist(StorageLevel.DISK_ONLY), second.scheme, second.taxonomy)
         if a.bracken_length:
             sinks.write_weights(bracken.weights(genomes, labels, second, a.bracken_length), f"{a.output}_database{a.bracken_length}mers")
         _write(classify.classify(reads, second, **options), tax, a)

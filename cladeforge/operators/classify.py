@@ -46,7 +46,10 @@ def gather(hits: DataFrame, index: MinimizerIndex, with_hits: bool) -> DataFrame
     dealt = hits.repartition("title")
     more = [F.collect_list(F.struct("ordinal", "count")).alias("at")] if with_hits else []
     per = dealt.groupBy("title", "taxon").agg(F.sum("count").cast("int").alias("n"), F.count_if(F.col("is_distinct") & (F.col("taxon") != NONE)).alias("d"), *more)
-    per = per.join(index.taxonomy.table.select("taxon", "path"), "taxon", "left")
+    # nearly every read has k-mers of no taxon: those keep to their reads instead of meeting under one key
+    paths = index.taxonomy.table.select(F.col("taxon").cast("bigint").alias("_taxon"), "path")
+    at = F.when(F.col("taxon") > 0, F.col("taxon").cast("bigint")).otherwise(-1 - F.pmod(F.xxhash64("title"), F.lit(1 << 40)))
+    per = per.withColumn("_at", at).join(paths, F.col("_at") == F.col("_taxon"), "left").drop("_at", "_taxon")
     total = F.sum(F.when(F.col("taxon") == BORDER_TAXON, 0).otherwise(F.col("n"))).alias("total")
     out = per.groupBy("title").agg(F.collect_list(F.struct("taxon", "n", "path", *(["at"] if with_hits else []))).alias("all"), total, F.sum("d").alias("n_distinct"))
     taxa = F.filter("all", lambda x: x["path"].isNotNull()).alias("taxa")

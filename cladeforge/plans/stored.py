@@ -218,6 +218,14 @@ def snk_depth_histogram(spark, sf):
     return spark.read.csv(at, sep="\t", header=True, schema="depth int, n bigint")
 
 
+@query("""SELECT taxon || '  ' || string_agg(depth || ':' || n, '|' ORDER BY depth) AS value FROM (
+    SELECT tax AS taxon, t.depth, count(*) AS n FROM gmin JOIN idx i ON i.id1 = mn JOIN tree t ON t.taxon = i.taxon GROUP BY tax, t.depth) GROUP BY taxon""")
+def snk_support_report(spark, sf):
+    at = folder(spark, "support")
+    sinks.write_support(fx.index(spark, sf).full_coverage(fx.genomes(spark, sf), fx.labels(spark, sf)), at)
+    return spark.read.text(at)
+
+
 @query("SELECT taxon, n FROM (SELECT taxon, count(*) AS n FROM idx GROUP BY taxon) ORDER BY n DESC, taxon LIMIT 20")
 def idx_largest_taxa(spark, sf):
     """The twenty taxa with most minimizers."""
