@@ -14,9 +14,9 @@ Free style: trees and features are numpy and Python on Arrow batches.
 Defined results: null text is an empty text, which has a score as all others;
 without usable labels, or with one class only, every score is the share of
 toxic labels (0 without labels); repeated labels of a document count as toxic
-if one does; repeated rows are scored alike; of terms that as many toxic
-documents hold, the first by code point go into a full lexicon; equal raw
-scores share one calibrated score; an empty table gives an empty result; extra
+if one does; repeated rows are scored alike; all terms above the odds are in
+the lexicon, whose size the bound on labelled rows limits; equal raw scores
+share one calibrated score; an empty table gives an empty result; extra
 columns are kept by scored(), and columns named score, predicted or held_out
 are replaced.
 """
@@ -35,8 +35,6 @@ from . import common
 
 #: Bound of the labelled rows that training takes.
 MOST_ROWS = 20_000
-#: Bound of the learned lexicon.
-MOST_TERMS = 4_000
 STEMS = (4, 5, 6)
 
 INSULTS = frozenset("idiot idiots moron morons loser losers scum trash stupid dumb pathetic worthless disgusting clown fool fools ugly filthy vermin imbecile cretin bastard jerk freak pig creep".split())
@@ -213,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_
     if bad and good:
         counted = first.select("text", "toxic").mapInPandas(found, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
         ratio = ((F.col("p") + 0.5) / (bad + 1)) / ((F.col("q") + 0.5) / (good + 1))
-        strong = counted.where((F.col("p") >= least_docs) & (ratio >= odds)).select("term", F.log(ratio).alias("w"), "p")
-        lexicon |= {r["term"]: r["w"] for r in strong.orderBy(F.desc("p"), "term").limit(MOST_TERMS).collect()}
+        strong = counted.where((F.col("p") >= least_docs) & (ratio >= odds)).select("term", F.log(ratio).alias("w"))
+        lexicon |= {r["term"]: r["w"] for r in strong.collect()}
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
