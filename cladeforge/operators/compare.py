@@ -88,6 +88,24 @@ def mapping_report_counts(mapping: DataFrame, taxonomy: Taxonomy, rank: str = "s
     return t.join(deep, "_primary", "left_semi").groupBy("taxon").agg(F.floor(F.count(F.lit(1)) / 2).alias("n"))
 
 
+def filtered_ids(mapping: DataFrame, taxonomy: Taxonomy, rank: str = "species") -> DataFrame:
+    """Distinct ids of a mapping (id, taxon) whose primary taxon is at the rank or below."""
+    t = taxonomy.primary(mapping, "taxon")
+    deep = taxonomy.table.where(F.col("depth") >= DEPTH[rank]).select(F.col("taxon").alias("_deep"))
+    return t.join(deep, F.col("taxon") == F.col("_deep"), "left_semi").select("id").distinct()
+
+
+def profile_sets(test: DataFrame, reference: DataFrame, column: str = "clade", pattern: str = r"(?:^|\|)s__([^|]+)$") -> DataFrame:
+    """One row: tp, fp, fn, precision and recall of the names that the pattern finds in two profiles; other levels are passed."""
+
+    def names(df: DataFrame, mark: str) -> DataFrame:
+        return df.where(F.col(column).rlike(pattern)).select(F.regexp_extract(column, pattern, 1).alias("_name")).distinct().withColumn(mark, F.lit(True))
+
+    t = names(test, "_t").join(names(reference, "_r"), "_name", "full")
+    out = t.agg(F.count_if(F.col("_t") & F.col("_r")).alias("tp"), F.count_if(F.col("_r").isNull()).alias("fp"), F.count_if(F.col("_t").isNull()).alias("fn"))
+    return out.withColumn("precision", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
+
+
 def outer_merge(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, a, b: two profiles side by side, 0 where one has none."""
     left, right = a.select(*keys, F.col(value).alias("a")), b.select(*keys, F.col(value).alias("b"))

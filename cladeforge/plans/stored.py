@@ -298,6 +298,26 @@ def cmp_all_ranks(spark, sf):
     return compare.all_metrics(t, t.select("ref_taxon"), fx.taxonomy(spark, sf)).where("rank = 'species'").select("rank", "read_tp", "read_fn", "reads")
 
 
+@query("SELECT CAST(id AS VARCHAR) AS value FROM assigned JOIN tree ON taxon = test_taxon WHERE depth >= 8")
+def snk_filtered_ids(spark, sf):
+    """Ids of reads whose taxon is a species or below, written one a line."""
+    at = folder(spark, "ids")
+    ids = compare.filtered_ids(fx.assigned(spark, sf).select("id", F.col("test_taxon").alias("taxon")), fx.taxonomy(spark, sf))
+    ids.select(F.col("id").cast("string").alias("value")).write.text(at)
+    return spark.read.text(at)
+
+
+@query("""SELECT tp, fp, fn, tp / CAST(tp + fp AS DOUBLE) AS "precision", tp / CAST(tp + fn AS DOUBLE) AS recall FROM (SELECT count(*) FILTER (t AND r) AS tp, count(*) FILTER (t AND NOT r) AS fp, count(*) FILTER (r AND NOT t) AS fn FROM (
+    SELECT spe, bool_or(tax % 3 = 0) AS t, bool_or(tax % 4 = 0) AS r FROM parts GROUP BY spe))""")
+def cmp_profile_sets(spark, sf):
+    """Species of two profiles that list all levels."""
+    p = fx.parts(spark, sf)
+    genus = F.concat(F.lit("f__"), "fam", F.lit("|g__"), "gen")
+    species = F.concat(genus, F.lit("|s__"), "spe")
+    t = p.select("tax", F.explode(F.array(genus, species, F.concat(species, F.lit("|t__"), "tax"))).alias("clade"))
+    return compare.profile_sets(t.where("tax % 3 = 0"), t.where("tax % 4 = 0"))
+
+
 @query("SELECT taxon, parent, depth FROM tree")
 def snk_taxonomy_copy(spark, sf):
     at = folder(spark, "taxonomy")
@@ -316,6 +336,15 @@ def tax_leaves(spark, sf):
     return fx.taxonomy(spark, sf).leaves()
 
 
+@query("""SELECT 'kraken:taxid|' || tax || '|G' || p_partkey AS id, tax AS taxon, 'G' || p_partkey AS accession FROM parts
+    UNION ALL SELECT 'NC_' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.1', NULL, 'NC_' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') FROM parts""")
+def prep_header_entries(spark, sf):
+    """Headers of sequences that several entries share."""
+    number = F.lpad(F.col("p_partkey").cast("string"), 6, "0")
+    header = F.concat(F.lit("kraken:taxid|"), "tax", F.lit("|G"), "p_partkey", F.lit(" a name\x01NC_"), number, F.lit(".1 other"))
+    return fx.parts(spark, sf).select(F.explode(sequences.header_entries(header)).alias("e")).select("e.*")
+
+
 # Words and their codes
 
 WORDS = "SELECT header, substr(nt, 1, 12) AS w, substr(nt, 101, 12) AS v FROM genomes"

@@ -185,6 +185,11 @@ def header_accession(header: Column) -> Column:
     return F.nullif(F.regexp_extract(header, ACCESSION, 1), F.lit(""))
 
 
+def header_entries(header: Column) -> Column:
+    """id, taxon and accession of each of the headers that a shared sequence joins by \\x01, in order."""
+    return F.transform(F.split(header, "\x01"), lambda h: F.struct(short_id(h).alias("id"), header_taxon(h).alias("taxon"), header_accession(h).alias("accession")))
+
+
 def accession_taxa(accessions: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """accession, taxon by tables (accession, taxon, place: the first place wins), and the accessions without one."""
     best = tables.groupBy("accession").agg(F.min_by("taxon", "place").alias("taxon"))
