@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts and packed rows are wide, and a batch is held by the JVM and the worker at once.
+BATCH = 1_000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """At most BATCH rows go to a Python worker at once, in this session, unless it asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a Parquet table in the shared folder and read it again.
 

@@ -736,6 +736,7 @@ def corners(points: DataFrame) -> DataFrame:
 
 def ngram_join(docs: DataFrame, n: int = 3, least: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    common.narrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = common.cut(digest(docs, n))

@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches whose ids a worker remembers (half of them at least), and pairs of pieces.
@@ -291,6 +293,7 @@ class Codec:
 
 def codec(spark: SparkSession, path: str = DEFAULT_MODEL):
     """A broadcast of the vocabulary of a model file."""
+    common.narrow_batches(spark)
     return spark.sparkContext.broadcast(read_model(path))
 
 

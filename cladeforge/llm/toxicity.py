@@ -191,6 +191,7 @@ def remainder(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_docs: int = 4, odds: float = 8.0) -> Model:
     """A model from the labelled rows of docs that are not held out; labels: (doc_id, toxic)."""
+    common.narrow_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     # the bound of the sample makes it fit for broadcasting
