@@ -36,6 +36,18 @@ def narrow_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+#: What this Python worker remembers from task to task of one operator. Workers go on to other operators.
+REMEMBERED: dict[object, object] = {}
+
+
+def remembered(key: object, make: Callable[[], object]) -> object:
+    """The value under a key, made where it is missing; what other keys hold is forgotten."""
+    if key not in REMEMBERED:
+        REMEMBERED.clear()
+        REMEMBERED[key] = make()
+    return REMEMBERED[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a Parquet table in the shared folder and read it again.
 

@@ -84,8 +84,8 @@ FEW_PAIRS = 4
 #: Ids that are broadcast at most, and bits of the map that stands for more of them (16 MB).
 FEW, BITS = 10_000, 1 << 27
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Word hashes, and sets seen, that a task remembers.
-MOST_KEPT = 300_000
+#: Sets seen that a task remembers, and word hashes that a worker does.
+MOST_KEPT, MOST_WORDS = 300_000, 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -99,13 +99,15 @@ class Shingler:
     """Sets of shingle hashes; remembers the hashes of words."""
 
     def __init__(self, n: int):
-        self.n, self.kept = n, {}
+        self.n = n
+        # the words of one task after the other; what another operator remembered goes
+        self.kept: dict[bytes, int] = common.remembered("words", dict)
 
     def word_hashes(self, text: str) -> np.ndarray:
         # bytes.lower() and bytes.split() know A-Z and the six ASCII blanks only, as the definition does
         words = text.encode("utf-8", "surrogatepass").lower().split()
         kept = self.kept
-        if len(kept) > MOST_KEPT:
+        if len(kept) > MOST_WORDS:
             kept.clear()
         try:
             return np.array([kept[w] for w in words], np.uint64)

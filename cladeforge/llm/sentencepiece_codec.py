@@ -297,16 +297,10 @@ def codec(spark: SparkSession, path: str = DEFAULT_MODEL):
     return spark.sparkContext.broadcast(read_model(path))
 
 
-_made: dict[int, Codec] = {}
-
-
 def _own(vocabulary) -> Codec:
     """This worker's codec of a broadcast vocabulary, with what it remembers."""
-    key = id(vocabulary.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Codec(*vocabulary.value)
-    return _made[key]
+    value = vocabulary.value
+    return common.remembered(("codec", id(value)), lambda: Codec(*value))
 
 
 def encode(df: DataFrame, vocabulary, column: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:

@@ -237,6 +237,7 @@ def score_column(model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        common.remembered("toxicity", dict)
         return pd.Series(model.scores(texts.tolist()), dtype="float64")
 
     return score
