@@ -32,8 +32,9 @@ verified links make components. Then, under keys that still have several
 components, an R-tree over the points finds for each set its nearest partners
 in other components; those are verified (where such keys have few points, this
 is left out, as the next step finds all). Last, the R-trees of the keys that
-are still open give every pair across components that passes the bound, and
-all of these are verified. Pairs within a component need no look, so a group
+are still open give every pair across components that passes the bound, once,
+under the least open key that its sets share (as far as the `EARLIER` keys
+tell), and all of these are verified. Pairs within a component need no look, so a group
 of near copies costs about as many pairs as it has members, not the square.
 Keys with very many points are split into blocks, and each pair of blocks is
 a task of its own.
@@ -81,6 +82,8 @@ HOT = 16
 MOST_COPIES = 200_000
 #: Pairs of points a row under open keys up to which all pairs are looked at without looking for nearest partners first.
 FEW_PAIRS = 4
+#: Keys of a set, the least ones, that travel with it, so that a pair is not told again under a later key.
+EARLIER = 64
 #: Ids that are broadcast at most, and bits of the map that stands for more of them (16 MB).
 FEW, BITS = 10_000, 1 << 27
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -613,6 +616,17 @@ def nearest(pairs: list[tuple[np.ndarray, np.ndarray]], points: np.ndarray, asks
     return p[place < most], q[place < most]
 
 
+def met_before(p: np.ndarray, q: np.ndarray, ends: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Whether the points of each index pair share one of their earlier keys: those of point i lie from ends[i] to ends[i + 1]."""
+    at = np.unique(np.concatenate([p, q]))
+    many = ends[at + 1] - ends[at]
+    flat = np.concatenate([earlier[ends[i] : ends[i + 1]] for i in at])
+    known, column = np.unique(flat, return_inverse=True)
+    holds = np.zeros((len(at), len(known)), bool)
+    holds[np.repeat(np.arange(len(at)), many), column] = True
+    return (holds[np.searchsorted(at, p)] & holds[np.searchsorted(at, q)]).any(1)
+
+
 def distinct(a_ids: list[np.ndarray], b_ids: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.concatenate(a_ids), np.concatenate(b_ids)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -623,8 +637,9 @@ def searched(rows: DataFrame, least: int, most: int | None) -> DataFrame:
     """a, b (a < b): pairs across components that the R-trees of the keys let through.
 
     rows: key, part (a pair of blocks), side, id, n, comp, asks, scale, point,
-    dealt by key and part and sorted by them. most: only so many nearest partners of
-    each point that asks; None: all pairs.
+    earlier (keys under which the id is too), dealt by key and part and sorted by
+    them. most: only so many nearest partners of each point that asks; None: all
+    pairs but those that share an earlier key, which tells them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -635,12 +650,17 @@ def searched(rows: DataFrame, least: int, most: int | None) -> DataFrame:
                 return
             key, part, side, ids, n, comp, asks, scale = (table.column(i).to_numpy() for i in range(8))
             points = np.asarray(table.column(8).combine_chunks().flatten()).reshape(-1, GROUPS) * scale.astype(np.int64)[:, None]
+            before = table.column(9).combine_chunks()
+            ends, earlier = np.r_[0, np.cumsum(before.value_lengths().to_numpy())], before.flatten().to_numpy()
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             a_ids, b_ids, size = [], [], 0
             for s, e in zip(new, [*new[1:], len(key)], strict=True):
                 if e - s > 1:
                     pairs = tree_pairs(points[s:e], n[s:e], comp[s:e], side[s:e], least)
                     for p, q in pairs if most is None else [nearest(list(pairs), points[s:e], asks[s:e], most)]:
+                        if most is None:
+                            fresh = ~met_before(s + p, s + q, ends, earlier)
+                            p, q = p[fresh], q[fresh]
                         a_ids.append(ids[s + p])
                         b_ids.append(ids[s + q])
                         size += len(p)
@@ -687,14 +707,17 @@ def dealt_rows(named: DataFrame, keys: DataFrame, spots: DataFrame, asking: Data
     rows = named.join(keys, "key")
     if asking is None:
         rows = rows.withColumn("asks", F.lit(True))
+        under = rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, EARLIER).alias("keys"))
+        spots = spots.join(under, "id")
     else:
+        spots = spots.withColumn("keys", F.array().cast("array<bigint>"))
         rows = rows.join(asking.withColumn("a", F.lit(True)), ["id", "key"], "left").withColumn("asks", F.coalesce("a", F.lit(False)))
     rows = rows.join(spots, "id")
     blocks = F.ceil(F.col("m") / (BLOCK if asking is None else NEAR_BLOCK)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if asking is None else F.col("own"))
     part = F.least("own", "other") * F.lit(1 << 16) + F.greatest("own", "other")
-    rows = rows.select("key", part.alias("part"), F.col("own").alias("side"), "id", "n", "comp", "asks", "scale", "point")
+    rows = rows.select("key", part.alias("part"), F.col("own").alias("side"), "id", "n", "comp", "asks", "scale", "point", F.filter("keys", lambda k: k < F.col("key")).alias("earlier"))
     return rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
 

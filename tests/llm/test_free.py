@@ -147,6 +147,23 @@ def test_tree_loses_nothing():
         assert found == want
 
 
+@pytest.mark.parametrize("block", [5, 20_000])
+def test_pairs_are_told_once(spark, monkeypatch, block):
+    """A pair that meets under many keys is one row, not one for each key; with few keys known to be earlier none is lost."""
+    monkeypatch.setattr(ngram_join, "HELD", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    held = {i: [k for k in range(-15, 15) if (k + i) % 3] if i < 12 else [100] for i in range(14)}
+    named = spark.createDataFrame([(k, i, i) for i, ks in held.items() for k in ks], "key bigint, id bigint, comp bigint")
+    spots = spark.createDataFrame([(i, 128, 1, [1] * ngram_join.GROUPS) for i in held], "id bigint, n bigint, scale int, point array<tinyint>")
+    keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    want = sorted([(a, b) for a in range(12) for b in range(a + 1, 12)] + [(12, 13)])
+    for earlier in (64, 4):
+        monkeypatch.setattr(ngram_join, "EARLIER", earlier, raising=False)
+        got = sorted(tuple(r) for r in ngram_join.searched(ngram_join.dealt_rows(named, keys, spots, None), 80, None).collect())
+        assert sorted(set(got)) == want
+        assert earlier == 4 or got == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
