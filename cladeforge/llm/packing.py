@@ -5,13 +5,14 @@ window and one shorter tail. Pieces of one length are alike for packing, so all
 that is planned on the driver is a histogram with a count for each length, at
 most `window` of them however many documents there are:
 
-1. shallow combinations of up to four lengths that fill a window exactly are
+1. shallow combinations of up to six lengths that fill a window exactly are
    enumerated (`exact_fills`);
 2. how often each is used solves a non-negative least squares problem against
-   the histogram (`repeat_counts`), by steps along the best coordinate, so few
+   the histogram (`repeat_counts`), by steps along the best coordinates, so few
    combinations are in use;
 3. counts are rounded down to what the histogram has, and what is left is
-   packed greedily, first by combinations that still fit, then end to end,
+   packed greedily, first by combinations that still fit (after which 1 to 3
+   are repeated for what is left), then end to end,
    longest first, cut where a window ends. The last window is cut into
    sequences whose lengths are powers of two, which need no padding.
 
@@ -32,6 +33,7 @@ columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -46,25 +48,32 @@ from . import common
 
 WINDOW = 2048
 END = 1
+#: Lengths in a combination at most; partners tried for each length; sweeps of a solution; how often what is left is solved again.
+DEPTH, PARTNERS, SWEEPS, TURNS = 6, 12, 150, 4
 #: Pieces of one length that are ranked in one bucket, about.
 IN_BUCKET = 50_000
 #: Keys of cut documents up to which Spark is told to broadcast them; beyond, it decides.
 FEW_CUT = 100_000
-#: Words a worker remembers the ids of.
-MOST_WORDS = 200_000
-#: Characters after which a long text is tokenised in parts.
-PART = 1 << 20
-
 #: The word pattern of byte-level BPE vocabularies of this kind (a fixed value of the format).
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts of these characters alone are cut into words here; all Unicode tables agree on their classes.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters alone go the fast way; all Unicode tables agree on what they are.
 USUAL = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ‐-‧€]*+")
-#: Where a long text may be divided: words never reach over a single blank.
-BETWEEN = regex.compile(r"(?<=\S) (?=\S)")
+
+
+def letters_of_bytes() -> dict[str, int]:
+    """The letter by which byte-level vocabularies write each byte: printable ones as they are, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(0x100 + i): x for i, x in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers, by the tokenizers library, word by word where that is the same."""
+    """Ids of texts as little-endian unsigned 32-bit numbers, those of the tokenizers library for the file.
+
+    Where a vocabulary's ids are its merges in order, texts of usual characters
+    are encoded with the same vocabulary by tiktoken, which takes a fifth of the
+    time; all others by the library itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,32 +81,26 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, text: str) -> bytes:
-        words, known = WORD.findall(text), self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        self.fast = self.ranked(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def ranked(told: dict):
+        """The same vocabulary as ranks, or None where it is of another kind."""
+        model, letters = told["model"], letters_of_bytes()
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", ())]
+        vocab, plain = model.get("vocab", {}), told["pre_tokenizer"] or {}
+        usual = model.get("type") == "BPE" and not told["normalizer"] and plain.get("type") == "ByteLevel" and plain.get("use_regex", True) and not plain.get("add_prefix_space")
+        if not usual or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) or [vocab.get(m.replace(" ", "")) for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        import tiktoken
+
+        ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("same vocabulary", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if not USUAL.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        out, at = [], 0
-        while at < len(text):
-            cut = BETWEEN.search(text, at + PART)
-            to = cut.start() if cut else len(text)
-            out.append(self.part(text[at:to]))
-            at = to
-        return b"".join(out)
+        if self.fast is None or not USUAL.fullmatch(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def default_tokenizer() -> str:
@@ -143,46 +146,67 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     return rows.mapInArrow(run, f"doc_id {kind}, h bigint, start bigint, length int, doc_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if ids else ""))
 
 
-def exact_fills(have: np.ndarray, window: int, firsts: int = 12, seconds: int = 5) -> np.ndarray:
-    """Rows of up to four lengths, ascending after zeros, whose sum is the window; have: pieces of each length, 0 to window.
+def exact_fills(have: np.ndarray, window: int, turn: int = 0, depth: int = DEPTH, partners: int = PARTNERS) -> np.ndarray:
+    """Rows of up to `depth` lengths, ascending after zeros, whose sum is the window; have: pieces of each length, 0 to window.
 
-    All pairs; triples with one of a few frequent lengths; fours with two of fewer still.
+    All pairs, and for each number of lengths and each length some partners,
+    spread evenly over the pieces that there are (with other ones each turn);
+    the last length is what the window lacks. All of it is fixed by the arguments.
     """
     there = have > 0
     there[0] = there[window] = False
     lengths = np.flatnonzero(there)
     if not len(lengths):
-        return np.zeros((0, 4), np.int64)
-    spread = np.cumsum(have[lengths])
-    grid = lambda n: np.unique(lengths[np.searchsorted(spread, spread[-1] * (np.arange(n) + 0.5) / n)])
-    two = [(int(a), int(b)) for k, a in enumerate(grid(seconds)) for b in grid(seconds)[k:]]
+        return np.zeros((0, depth), np.int64)
+    spread, rng = np.cumsum(have[lengths]), np.random.default_rng(turn)
     found = []
-    for chosen in [(), *[(int(g),) for g in grid(firsts)], *two]:
-        rest = window - sum(chosen) - lengths
-        ok = (rest > 0) & there[np.clip(rest, 0, window)]
-        row = np.zeros((ok.sum(), 4), np.int64)
-        row[:, 0], row[:, 1] = lengths[ok], rest[ok]
-        row[:, 2 : 2 + len(chosen)] = chosen
-        found.append(np.sort(row, axis=1))
+    for size in range(2, depth + 1):
+        row = np.zeros((len(lengths) * (partners if size > 2 else 1), depth), np.int64)
+        row[:, 0] = np.resize(lengths, len(row))
+        # partners of a window with more lengths are shorter ones
+        short = np.searchsorted(lengths, 2 * window // size)
+        for k in range(1, size - 1):
+            at = rng.random(len(row)) * spread[max(0, short - 1)]
+            row[:, k] = lengths[np.minimum(np.searchsorted(spread, at, side="right"), len(lengths) - 1)]
+        rest = window - row.sum(1)
+        row[:, size - 1] = rest
+        found.append(np.sort(row[(rest > 0) & there[np.clip(rest, 0, window)]], axis=1))
     return np.unique(np.concatenate(found), axis=0)
 
 
-def repeat_counts(fills: np.ndarray, have: np.ndarray, steps: int | None = None) -> np.ndarray:
-    """Non-negative least squares: how often each fill is used so that the lengths used come nearest to those there are."""
+def apart(fills: np.ndarray, order: np.ndarray, window: int) -> list[int]:
+    """Of fills in order, each that shares no length with one before it."""
+    met, out = bytearray(window + 1), []
+    for j, row in zip(order.tolist(), fills[order].tolist(), strict=True):
+        if not any(met[v] for v in row if v):
+            out.append(j)
+            for v in row:
+                met[v] = 1
+    return out
+
+
+def repeat_counts(fills: np.ndarray, have: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """Non-negative least squares: how often each fill is used so that the lengths used come nearest to those there are.
+
+    Each sweep takes the exact step along the coordinates with the greatest
+    gain that share no length, so few fills are in use.
+    """
     x, left = np.zeros(len(fills)), have.astype(float)
     left[0] = 0.0
     if not len(fills):
         return x
     norm = ((fills[:, :, None] == fills[:, None, :]) & (fills > 0)[:, :, None]).sum((1, 2)).astype(float)
-    for _ in range(4 * len(np.unique(fills)) if steps is None else steps):
+    for _ in range(sweeps):
         slope = left[fills].sum(1)
         step = np.maximum(slope / norm, -x)
         gain = step * (slope - 0.5 * norm * step)
-        j = int(gain.argmax())
-        if gain[j] < 0.05:
+        top = np.argpartition(-gain, min(2000, len(gain) - 1))[:2000]
+        top = top[gain[top] > 0.05]
+        if not len(top):
             break
-        x[j] += step[j]
-        np.subtract.at(left, fills[j], step[j])
+        chosen = apart(fills, top[np.argsort(-gain[top], kind="stable")], len(have) - 1)
+        x[chosen] += step[chosen]
+        np.subtract.at(left, fills[chosen], step[chosen][:, None])
         left[0] = 0.0
     return x
 
@@ -190,49 +214,51 @@ def repeat_counts(fills: np.ndarray, have: np.ndarray, steps: int | None = None)
 def rounded(fills: np.ndarray, x: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole counts that the histogram has, those of the solution first, then greedily more; and what is left of the histogram."""
     counts, left = np.zeros(len(fills), np.int64), have.astype(np.int64).copy()
-    left[0] = np.iinfo(np.int64).max // 8
     if not len(fills):
-        left[0] = 0
         return counts, left
-    often = np.maximum(1, (fills[:, :, None] == fills[:, None, :]).sum(2))
-    often[fills == 0] = 1
+    left[0] = np.iinfo(np.int64).max // 8
+    often = np.where(fills == 0, 1, (fills[:, :, None] == fills[:, None, :]).sum(2))
 
     def take(j: int, most: int) -> None:
         n = min(most, int((left[fills[j]] // often[j]).min()))
         if n > 0:
             counts[j] += n
-            for v in fills[j][fills[j] > 0]:
-                left[v] -= n
+            for v in set(fills[j].tolist()) - {0}:
+                left[v] -= n * int((fills[j] == v).sum())
 
     for j in np.argsort(-x, kind="stable"):
         if x[j] < 1:
             break
         take(j, int(x[j]))
     while (room := (left[fills] // often).min(1)).max() > 0:
-        take(int(room.argmax()), int(room.max()))
+        top = np.argsort(-room, kind="stable")[:2000]
+        for j in apart(fills, top[room[top] > 0], len(have) - 1):
+            take(j, int(room[j]))
     left[0] = 0
     return counts, left
 
 
-def planned(have: np.ndarray, window: int = WINDOW) -> tuple[dict[int, list[tuple[int, int, int]]], np.ndarray, int]:
+def planned(have: np.ndarray, window: int = WINDOW, turns: int = TURNS) -> tuple[dict[int, list[tuple[int, int, int]]], np.ndarray, int]:
     """Slots (first rank, sequence, offset) of each length; how many of each length are left; the first sequence of these.
 
-    A slot holds the ranks from its first one to that of the next slot, in as many sequences in a row.
+    A slot holds the ranks from its first one to that of the next slot, in as
+    many sequences in a row. What a turn leaves is enumerated and solved again.
     """
-    fills = exact_fills(have.copy(), window)
-    counts, left = rounded(fills, repeat_counts(fills, np.where(np.arange(len(have)) < window, have, 0)), np.where(np.arange(len(have)) < window, have, 0))
     slots: dict[int, list[tuple[int, int, int]]] = {}
-    used, sequence = np.zeros(len(have), np.int64), 0
+    used, sequence, left = np.zeros(len(have), np.int64), 0, have.astype(np.int64).copy()
     if have[window]:
         slots[window], sequence = [(0, 0, 0)], int(have[window])
-        used[window] = have[window]
-    for fill, n in zip(fills, counts, strict=True):
-        offset = 0
-        for v in map(int, fill[fill > 0] if n else ()):
-            slots.setdefault(v, []).append((int(used[v]), sequence, offset))
-            used[v] += n
-            offset += v
-        sequence += int(n)
+    left[window] = 0
+    for turn in range(turns):
+        fills = exact_fills(left, window, turn)
+        counts, left = rounded(fills, repeat_counts(fills, left), left)
+        for j in np.flatnonzero(counts):
+            offset, n = 0, int(counts[j])
+            for v in fills[j][fills[j] > 0].tolist():
+                slots.setdefault(v, []).append((int(used[v]), sequence, offset))
+                used[v] += n
+                offset += v
+            sequence += n
     return slots, left, sequence
 
 
