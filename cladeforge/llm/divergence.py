@@ -134,8 +134,8 @@ def leading_terms(found: DataFrame, most: int = MOST) -> DataFrame:
 def distances(found: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
     """lang, source, item, value: summed differences of every two groups of a language, both ways."""
     blocks = langs.select("lang", F.greatest(F.lit(1), F.ceil(F.col("kept") / IN_BLOCK)).cast("int").alias("blocks"))
-    dealt = found.join(F.broadcast(blocks), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
-    own = groups.join(F.broadcast(blocks), "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "z")
+    dealt = found.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
+    own = groups.join(blocks, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "z")
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = sorted(right["source"])

@@ -19,7 +19,7 @@ def test_rows(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
