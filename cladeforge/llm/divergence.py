@@ -35,7 +35,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,20 +136,19 @@ def distances(found: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFram
     dealt = found.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "p")
     own = groups.join(blocks, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", "z")
 
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(right["source"])
-        z = right.set_index("source")["z"].reindex(names).to_numpy(np.int64)
-        terms, columns = np.unique(left["term"].to_numpy(object), return_inverse=True) if len(left) else ([], [])
-        p = np.repeat(z[:, None], len(terms), axis=1)
-        if len(left):
-            p[pd.Index(names).get_indexer(left["source"]), columns] = left["p"].to_numpy(np.int64)
-        out = []
-        for a in range(len(names) - 1):
-            value = np.abs(p[a + 1 :] - p[a]).sum(1)
-            out.append(pd.DataFrame({"lang": right["lang"].iloc[0], "source": names[a], "item": names[a + 1 :], "value": value}))
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
-
-    half = dealt.groupBy("lang", "block").cogroup(own.groupBy("lang", "block")).applyInPandas(block, "lang string, source string, item string, value bigint")
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = sorted(right["source"].to_pylist())
+        row, z = {name: i for i, name in enumerate(names)}, dict(zip(right["source"].to_pylist(), right["z"].to_pylist(), strict=True))
+        terms = {term: i for i, term in enumerate(dict.fromkeys(left["term"].to_pylist()))}
+        p = np.repeat(np.array([[z[name]] for name in names], np.int64), len(terms), axis=1)
+        p[[row[x] for x in left["source"].to_pylist()], [terms[x] for x in left["term"].to_pylist()]] = left["p"].to_numpy()
+        first = [a for a in range(len(names)) for _ in range(a + 1, len(names))]
+        second = [b for a in range(len(names)) for b in range(a + 1, len(names))]
+        values = np.concatenate([np.zeros(0, np.int64), *(np.abs(p[a + 1 :] - p[a]).sum(1) for a in range(len(names)))])
+        lang = [right["lang"][0].as_py()] * len(first)
+        return pa.table({"lang": pa.array(lang, pa.string()), "source": pa.array([names[a] for a in first], pa.string()), "item": pa.array([names[b] for b in second], pa.string()), "value": pa.array(values, pa.int64())})
+
+    half = dealt.groupBy("lang", "block").cogroup(own.groupBy("lang", "block")).applyInArrow(block, "lang string, source string, item string, value bigint")
     half = half.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     return half.select("lang", "value", ways.alias("way")).select("lang", "way.source", "way.item", "value")
