@@ -3,19 +3,23 @@
 Features of a text: densities of a lexicon, how near its words stand to the
 second person, shares of capitals and punctuation, rates of disguised
 spelling. The lexicon is a few plain insults and what is learned from
-labelled documents: words and word beginnings that toxic ones hold far more
-often. Training takes at most `MOST_ROWS` labelled rows, those with the lowest
-hash of their doc_id: half of them teach the lexicon, three tenths the trees,
-a fifth the isotonic calibration. Scoring is one narrow pass over all texts,
-whole, without a shuffle; only the model, of bounded size, is sent out.
+labelled documents: words and word beginnings that toxic ones hold more often
+than chance explains, by a log-likelihood ratio against the number of terms
+tried. Training takes at most `MOST_ROWS` labelled rows, those with the lowest
+hash of their doc_id, in folds. A row is described by the lexicon of the other
+folds, so trees do not trust what a row itself taught; the calibration takes
+scores that trees of the other folds give, of all rows. The model's `told` has
+class counts, sizes, the highest calibrated score, and the recall in each
+fold. Scoring is one narrow pass over all texts, whole, without a shuffle; only
+the model, of bounded size, is sent out.
 
 Free style: trees and features are numpy and Python on Arrow batches.
 
 Defined results: null text is an empty text, which has a score as all others;
 without usable labels, or with one class only, every score is the share of
 toxic labels (0 without labels); repeated labels of a document count as toxic
-if one does; repeated rows are scored alike; all terms above the odds are in
-the lexicon, whose size the bound on labelled rows limits; equal raw scores
+if one does; repeated rows are scored alike; all terms that pass the test are
+in the lexicon, whose size the bound on labelled rows limits; equal raw scores
 share one calibrated score; an empty table gives an empty result; extra
 columns are kept by scored(), and columns named score, predicted or held_out
 are replaced.
@@ -23,11 +27,14 @@ are replaced.
 
 from __future__ import annotations
 
+import logging
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +42,10 @@ from . import common
 
 #: Bound of the labelled rows that training takes.
 MOST_ROWS = 20_000
+#: Folds of the labelled rows; how likely any chance term is to pass; terms a task holds before it sends their counts.
+FOLDS, CHANCE, HELD = 3, 0.05, 200_000
 STEMS = (4, 5, 6)
+LOG = logging.getLogger(__name__)
 
 INSULTS = frozenset("idiot idiots moron morons loser losers scum trash stupid dumb pathetic worthless disgusting clown fool fools ugly filthy vermin imbecile cretin bastard jerk freak pig creep".split())
 SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein deine deiner deinen euch euer ihr tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros vuestro".split())
@@ -175,8 +185,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Lexicon, trees and calibration; constant where there was nothing to learn."""
 
-    def __init__(self, lexicon: dict[str, float], constant: float = 0.0, trees: Trees | None = None, knots: tuple[np.ndarray, np.ndarray] | None = None):
-        self.lexicon, self.constant, self.trees, self.knots = lexicon, constant, trees, knots
+    def __init__(self, lexicon: dict[str, float], constant: float = 0.0, trees: Trees | None = None, knots: tuple[np.ndarray, np.ndarray] | None = None, told: dict | None = None):
+        self.lexicon, self.constant, self.trees, self.knots, self.told = lexicon, constant, trees, knots, told or {}
 
     def scores(self, texts) -> np.ndarray:
         if self.trees is None:
@@ -189,47 +199,105 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, least_docs: int = 4, odds: float = 8.0) -> Model:
-    """A model from the labelled rows of docs that are not held out; labels: (doc_id, toxic)."""
-    common.narrow_batches(docs.sparkSession)
+def known_rows(docs: DataFrame, labels: DataFrame, most_rows: int, folds: int) -> DataFrame:
+    """text, toxic, fold of the labelled rows that are not held out, those with the lowest hashes; written to the shared folder."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     # the bound of the sample makes it fit for broadcasting
     known = known.orderBy("h", "doc_id").limit(most_rows)
-    part = F.pmod(F.shiftright("h", 6), F.lit(10)).cast("int").alias("part")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", part)
-    rows = common.cut(rows)
+    fold = F.pmod(F.shiftright("h", 6), F.lit(folds)).cast("int").alias("fold")
+    toxic = (F.col("toxic") > 0).cast("int").alias("toxic")
+    return common.cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", toxic, fold))
+
+
+def counted_terms(rows: DataFrame) -> DataFrame:
+    """term, fold, toxic, n: the documents of each fold and label that hold a term."""
+    names = ["term", "fold", "toxic", "n"]
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sent(held: dict[tuple[int, int], Counter]) -> pa.RecordBatch:
+        parts = [(t, fold, toxic, n) for (fold, toxic), c in held.items() for t, n in c.items()]
+        columns = zip(*parts, strict=True) if parts else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], Counter] = {}
         for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                yield pd.DataFrame({"term": list(terms(text)), "toxic": int(toxic)})
-
-    first = rows.where("part < 5")
-    sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    lexicon = dict.fromkeys(sorted(INSULTS), 1.0)
-    if bad and good:
-        counted = first.select("text", "toxic").mapInPandas(found, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
-        ratio = ((F.col("p") + 0.5) / (bad + 1)) / ((F.col("q") + 0.5) / (good + 1))
-        strong = counted.where((F.col("p") >= least_docs) & (ratio >= odds)).select("term", F.log(ratio).alias("w"))
-        lexicon |= {r["term"]: r["w"] for r in strong.collect()}
+            for text, toxic, fold in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                held.setdefault((fold, toxic), Counter()).update(terms(text))
+            if sum(map(len, held.values())) > HELD:
+                yield sent(held)
+                held = {}
+        yield sent(held)
+
+    return rows.mapInArrow(run, "term string, fold int, toxic int, n bigint").groupBy(*names[:3]).agg(F.sum("n").alias("n"))
+
+
+def telling(p: Column, q: Column, bad: float, good: float, tried: float) -> Column:
+    """Whether p of bad toxic and q of good other documents are too many for chance: log-likelihood ratio against all terms tried."""
+    share = (p + q) / (bad + good)
+
+    def part(seen: Column, wanted: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(0.0)
+
+    ratio = 2 * (part(p, bad * share) + part(q, good * share) + part(bad - p, bad * (1 - share)) + part(good - q, good * (1 - share)))
+    return (p * good > q * bad) & (ratio >= 2 * float(np.log(max(tried, 1.0) / CHANCE)))
+
+
+def lexicons(counts: DataFrame, sizes: dict[tuple[int, int], int], folds: int, odds: float) -> list[dict[str, float]]:
+    """For each fold what the others teach, and last what all of them do: terms that are no chance, with the log of their odds."""
+    told = common.cut(counts)
+    tried = float(told.select("term").distinct().count())
+    sums = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") != f), F.col("n")).otherwise(0)).cast("double").alias(f"{'qp'[y]}{f}") for f in range(folds + 1) for y in (0, 1)]
+    t = told.groupBy("term").agg(*sums)
+    weights = []
+    for f in range(folds + 1):
+        bad, good = (float(sum(n for (g, y), n in sizes.items() if y == label and g != f)) for label in (1, 0))
+        p, q = F.col(f"p{f}"), F.col(f"q{f}")
+        ratio = ((p + 0.5) / (bad + 1)) / ((q + 0.5) / (good + 1))
+        good_one = telling(p, q, bad, good, tried) & (ratio >= odds) if bad and good else F.lit(False)
+        weights.append(F.when(good_one, F.log(ratio)).alias(f"w{f}"))
+    t = t.select("term", *weights).where(F.coalesce(*[f"w{f}" for f in range(folds + 1)]).isNotNull())
+    out: list[dict[str, float]] = [dict.fromkeys(sorted(INSULTS), 1.0) for _ in range(folds + 1)]
+    # terms of a bounded number of documents, few of which pass the test
+    for r in t.orderBy("term").collect():
+        for f in range(folds + 1):
+            if r[f"w{f}"] is not None:
+                out[f][r["term"]] = r[f"w{f}"]
+    common.drop(told)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, odds: float = 3.0, folds: int = FOLDS) -> Model:
+    """A model from the labelled rows of docs that are not held out; labels: (doc_id, toxic)."""
+    common.narrow_batches(docs.sparkSession)
+    rows = known_rows(docs, labels, most_rows, folds)
+    sizes = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = (sum(n for (_, y), n in sizes.items() if y == label) for label in (1, 0))
+    if not bad or not good:
+        return Model(dict.fromkeys(sorted(INSULTS), 1.0), float(bad > 0), told={"toxic": bad, "other": good})
+    lexicon = lexicons(counted_terms(rows), sizes, folds, odds)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, lexicon) for t in b["text"]], "toxic": b["toxic"].astype("int32"), "part": b["part"]})
+            yield pd.DataFrame({"x": [features(t, lexicon[f]) for t, f in zip(b["text"], b["fold"], strict=True)], "toxic": b["toxic"].astype("int32"), "fold": b["fold"]})
 
-    table = rows.where("part >= 5").mapInPandas(described, "x array<double>, toxic int, part int").toPandas()
+    table = rows.mapInPandas(described, "x array<double>, toxic int, fold int").toPandas()
     # an order that does not depend on how tasks finished
-    table = table.iloc[sorted(range(len(table)), key=lambda i: (table["part"].iloc[i], table["toxic"].iloc[i], tuple(table["x"].iloc[i])))]
-    y, part_of = table["toxic"].to_numpy(float), table["part"].to_numpy()
-    tree_rows, last_rows = part_of < 8, part_of >= 8
-    if min(len(set(y[tree_rows])), len(set(y[last_rows]))) < 2:
-        every = rows.agg(F.avg("toxic")).first()[0]
-        return Model(lexicon, float(every or 0.0))
-    x = np.array(table["x"].tolist(), float)
-    trees = Trees().fit(x[tree_rows], y[tree_rows])
-    return Model(lexicon, 0.0, trees, isotonic(trees.raw(x[last_rows]), y[last_rows]))
+    table = table.iloc[sorted(range(len(table)), key=lambda i: (table["fold"].iloc[i], table["toxic"].iloc[i], tuple(table["x"].iloc[i])))]
+    x, y, fold = np.array(table["x"].tolist(), float), table["toxic"].to_numpy(float), table["fold"].to_numpy()
+    common.drop(rows)
+    # every row has a raw score of trees that did not see it, for the calibration
+    raw = np.zeros(len(y))
+    for f in range(folds):
+        own = fold == f
+        if own.any():
+            raw[own] = Trees().fit(x[~own], y[~own]).raw(x[own]) if (~own).any() else 0.0
+    knots = isotonic(raw, y)
+    said = np.interp(raw, *knots) >= 0.5
+    told = {"toxic": bad, "other": good, "lexicon": [len(d) for d in lexicon], "top": float(knots[1][-1])}
+    told |= {"recall": [round(float(said[(fold == f) & (y == 1)].mean()), 4) if ((fold == f) & (y == 1)).any() else None for f in range(folds)], "false_alarms": round(float(said[y == 0].mean()), 4)}
+    LOG.info("toxicity: %s", told)
+    return Model(lexicon[-1], 0.0, Trees().fit(x, y), knots, told)
 
 
 def score_column(model: Model):

@@ -372,3 +372,41 @@ def test_pipeline_edges(spark, docs, tmp_path):
             after.write.mode("overwrite").parquet(f"{tmp_path}/{name}-{len(some)}")
             kept = spark.read.parquet(f"{tmp_path}/{name}-{len(some)}")
         assert bool(some) == bool(kept.count())
+
+
+def labelled_texts(n, seed, insults, rare=0.1, wrong=0.0):
+    """Texts of words that are mostly rare, a share with insults of their own; some labels are wrong."""
+    rng = random.Random(seed)
+    rows, labels, truth = [], [], {}
+    for i in range(n):
+        words = [f"{rng.choice('abcdefg')}{rng.randrange(40 if rng.random() < 0.5 else 30_000)}x{rng.choice('pqrst')}" for _ in range(rng.randrange(20, 90))]
+        bad = rng.random() < rare
+        for _ in range(rng.randrange(3, 7) if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(insults))
+        rows.append((i, " ".join(words), "s"))
+        truth[i] = int(bad)
+        labels.append((i, 1, int(bad) ^ (rng.random() < wrong)))
+    return rows, labels, truth
+
+
+@pytest.mark.parametrize(("seed", "rare", "wrong", "most"), [(1, 0.1, 0.0, 900), (2, 0.1, 0.03, 1200), (3, 0.03, 0.0, 1200), (4, 0.3, 0.1, 900), (5, 0.1, 0.02, 2000)])
+def test_toxicity_labels_beyond_the_bound(spark, seed, rare, wrong, most):
+    """More labelled rows than training takes; insults that no list has; rare and wrong labels."""
+    rows, labels, truth = labelled_texts(3000, seed, [f"zork{c}" for c in "abcdef"], rare, wrong)
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").select("doc_id", "toxic"), most_rows=most)
+    assert model.told["toxic"] + model.told["other"] == most and model.told["top"] >= 0.5
+    got = toxicity.scored(docs, model).where("held_out").collect()
+    caught = [r.predicted for r in got if truth[r.doc_id]]
+    alarms = [r.predicted for r in got if not truth[r.doc_id]]
+    assert sum(caught) >= 0.9 * len(caught) and sum(alarms) <= 0.02 * len(alarms)
+    # no term that only chance explains
+    assert all(t in toxicity.INSULTS or t.startswith("zork") for t in model.lexicon)
+
+
+def test_toxicity_conflicting_labels(spark):
+    """Labels that say nothing: no score says toxic with certainty, and nothing fails."""
+    rows, labels, _ = labelled_texts(600, 9, ["zork"], 0.5, 0.5)
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([*labels, *[(i, 1, 1 - t) for i, _, t in labels[:50]]], "doc_id bigint, quality int, toxic int").select("doc_id", "toxic"))
+    assert all(0 <= r.score <= 1 for r in toxicity.scored(docs, model).collect())
