@@ -1,7 +1,9 @@
 """URL filters (operator 8): rules by host and path, else a logistic regression.
 
 The model sees character n-grams (3 to 5) of host and path, hashed to
-`FEATURES` places, and is fitted on a small labelled table of URLs. Rules come
+`FEATURES` places, and is fitted on a small labelled table of URLs made from
+word lists: unwanted and plain words among names of random letters, with the
+same surroundings on both sides. Rules come
 first: the longest one whose host is the URL's host or a parent domain of it,
 and whose path begins the URL's path, decides.
 
@@ -16,6 +18,7 @@ rule and verdict, which are replaced.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -32,50 +35,49 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Rules are compiled into one expression, so their number is bounded.
 MOST_RULES = 2000
 
-#: The small labelled table: 1 stands for block. Single URLs, and more made of a word in a host and a path.
-BLOCKED = """
-http://spam-farm.example/buy/cheap-pills https://cheap-pills.example/order?ref=mail http://win-casino.example/slots/bonus
-https://casino-bonus.example/play/free-spins http://adult-cams.example/live/show https://xxx-videos.example/free/watch
-http://free-movies-torrent.example/download/1 https://torrent-crack.example/keygen/full http://phish-login.example/bank/verify
-https://verify-account.example/login/secure http://link-farm.example/en/links/77 https://seo-links.example/buy/backlinks
-http://replica-watches.example/shop/cheap https://payday-loans.example/apply/fast http://malware-host.example/setup.exe
-https://poker-online.example/jackpot/win http://spam-blog.example/viagra/offer https://click-bait.example/you-wont-believe/9
-http://spam.pills.example/en/3 https://farm.links.example/de/4 http://hot-singles.example/date/now https://warez.example/crack/serial
-http://sexy-girls.example/cams https://lottery-winner.example/claim/prize http://crypto-doubler.example/invest/now
-https://spam-farm.invalid/en/1 http://spam-farm.invalid/fr/20?page=2 https://www.spam-farm.invalid/de/301.html http://m.link-farm.invalid/es/12
-https://blog.casino.invalid/en/45#top http://blog.porn.invalid/fr/8 https://www.pills.invalid/es/650?utm_source=feed
-""".split()
-ALLOWED = """
-http://library.example/catalogue/history https://news.example/world/2021/05/story http://university.example/research/papers
-https://museum.example/exhibitions/art http://weather.example/forecast/today https://recipes.example/soup/tomato
-http://docs.example/manual/install.html https://school.example/courses/algebra http://city.example/services/water
-https://garden.example/plants/roses http://journal.example/articles/44 https://travel.example/guide/lisbon
-http://science.example/physics/lectures https://music.example/theory/harmony http://health.example/topics/sleep
-https://blog.writer.example/en/667 http://www.reader.example/fr/825?page=2&ref=x https://m.theatre.example/de/317.html
-http://forum.example/threads/99#top https://maps.example/trails/north http://books.example/reviews/12
-https://blog.station.invalid/en/142#top http://www.nation.invalid/fr/65.html https://m.thread.invalid/es/588 http://theron.invalid/de/912/
-https://tension.invalid/en/2?utm_source=feed http://blog.thistle.invalid/fr/31?page=2&ref=x https://www.anthem.invalid/es/440
-http://m.breath.invalid/en/77.html https://ration.invalid/de/8#top http://www.other.invalid/es/9 https://blog.rather.invalid/fr/10/
-""".split()
-TOPICS = {
-    1: "casino poker jackpot betting pills viagra pharmacy replica warez crack keygen torrent phishing malware spyware escort adult webcam loans payday lottery prize miracle slimming botnet clickbait backlinks linkfarm spam scam".split(),
-    0: "library museum university school weather recipes garden physics history music gallery theatre journal archive hospital railway council parliament forestry astronomy chess football travel kitchen poetry grammar biology chemistry geology language".split(),
-}
-HOSTS = ("{w}.example", "www.{w}{i}.example", "{w}-{v}.invalid", "my.{w}.example", "{v}.{w}.invalid")
-PATHS = {
-    1: ("/buy/now", "/free/{w}", "/win/bonus/{i}", "/cheap-{w}/offer", "/download/setup{i}.exe", "/login/verify", "/order.php", "/{w}/hot/{i}", "", "/{i}"),
-    0: ("/articles/{i}", "/about", "/guide/{w}.html", "/2021/{i}/{w}", "/courses/{i}", "/index.html", "/notes/{w}", "/{w}/chapter-{i}", "", "/{i}"),
-}
-
-
-def labelled_urls() -> list[tuple[str, float]]:
-    """(url, label): the single URLs, and 300 made ones of either label, each word in ten of them."""
-    rows = [(u, 1.0) for u in BLOCKED] + [(u, 0.0) for u in ALLOWED]
-    for label, words in TOPICS.items():
-        for i, w in enumerate(words):
-            for j, path in enumerate(PATHS[label]):
-                parts_of = {"w": w, "v": words[(i + j + 1) % len(words)], "i": (7 * i + 13 * j) % 97}
-                rows.append(("http://" + HOSTS[(i + j) % len(HOSTS)].format(**parts_of) + path.format(**parts_of), float(label)))
+#: The small labelled table is made of these lists: words that mark a host as unwanted, plain ones, and what stands around them.
+UNWANTED = (
+    "casino poker jackpot betting bets bet slots roulette gambling pills viagra cialis pharmacy steroid replica fakewatch warez crack keygen serial torrent phish phishing malware spyware trojan botnet ransom "
+    "escort adult webcam cams porn xxx sexy nude hookup singles loans payday lottery prize winner miracle slimming dietpill clickbait backlinks linkfarm seo spam scam doubler followers"
+).split()
+PLAIN = (
+    "library museum university school weather recipes garden physics history music gallery theatre journal archive hospital railway council parliament forestry astronomy chess football travel kitchen poetry grammar "
+    "biology chemistry geology language news report market street bridge river mountain coffee bakery studio design software cloud research science college market council village town water energy transport housing books"
+).split()
+AROUND = "my the best top free cheap online web go get new daily super world easy all".split()
+ENDS = "com net org info example io co eu de fr es invalid".split()
+SUBDOMAINS = ("", "", "www.", "m.", "blog.", "shop.", "forum.")
+PLAIN_PATHS = ("", "/", "/{i}", "/en/{i}", "/de/{i}.html", "/fr/{i}?page=2", "/es/{i}#top", "/about", "/articles/{i}", "/{r}/{i}", "/index.html", "/{p}/{r}", "/2021/{i}/{p}", "/guide/{p}.html")
+UNWANTED_PATHS = ("/buy/{u}", "/free/{u}", "/win/{u}/{i}", "/cheap-{u}/offer", "/{u}.php")
+LETTERS = (("th", "wh", "sh", "st", "n", "r", "l", "m", "t", "d", "s", "k", "b", "p", "g", "f", "v", "h", "ch", "nd"), ("a", "e", "i", "o", "u", "ea", "io", "ou", "y"), ("", "", "n", "r", "s", "ng", "t", "l", "ll", "th"))
+
+
+def random_name(rng: random.Random) -> str:
+    """A name that no list has: a few syllables, or letters in any order."""
+    if rng.random() < 0.3:
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 11)))
+    return "".join(rng.choice(part) for _ in range(rng.randrange(1, 5)) for part in LETTERS) or "name"
+
+
+def labelled_urls(unwanted: Sequence[str] = UNWANTED, plain: Sequence[str] = PLAIN, each: int = 36, seed: int = 1) -> list[tuple[str, float]]:
+    """(url, label 1 for block): `each` URLs of every word, and three times as many of random hosts as of unwanted ones.
+
+    What surrounds a word (other words, random names, subdomains, ends, most
+    paths) is the same on both sides, so that only the words themselves tell.
+    """
+    rng = random.Random(seed)
+
+    def url(host: str, paths: Sequence[str]) -> str:
+        path = rng.choice(paths).format(i=rng.randrange(1000), r=random_name(rng), p=rng.choice(plain), u=rng.choice(unwanted))
+        return f"http{rng.choice(('', 's'))}://{rng.choice(SUBDOMAINS)}{host}.{rng.choice(ENDS)}{path}"
+
+    def hosts(word: str) -> str:
+        other, name = rng.choice(AROUND), random_name(rng)
+        return rng.choice((word, f"{word}{rng.randrange(99)}", f"{other}-{word}", f"{other}{word}", f"{word}-{other}", f"{name}-{word}", f"{word}-{name}", f"{word}.{name}", f"{word}{name}"))
+
+    rows = [(url(hosts(w), PLAIN_PATHS if k % 4 else UNWANTED_PATHS), 1.0) for w in unwanted for k in range(each)]
+    rows += [(url(hosts(w), PLAIN_PATHS), 0.0) for w in plain for _ in range(each)]
+    rows += [(url(rng.choice(("{n}", "{n}", "{n}.{m}", "{n}-{m}", "{o}-{n}")).format(n=random_name(rng), m=random_name(rng), o=rng.choice(AROUND)), PLAIN_PATHS), 0.0) for _ in range(3 * each * len(unwanted))]
     return rows
 
 
