@@ -68,7 +68,7 @@ STAGES = [
     ("SentencePiece encoding", pieces_encoded),
 ]
 
-#: Learned scores and piece search are beyond SQL; tests hold run() against a brute-force version.
+#: Learned scores and piece search are beyond SQL; the whole has no brute-force twin, tests hold its stages one by one (README).
 ORACLE_SQL = None
 
 
