@@ -66,6 +66,19 @@ def src_fastq_mates(spark, sf):
     return sequences.read(spark, [f"{at}/1.fastq", f"{at}/2.fastq"], paired_files=True)
 
 
+@query("SELECT header, CAST(1 AS BIGINT) AS location, nt AS nucleotides FROM reads")
+def src_fastq_split(spark, sf):
+    """Plain FASTQ files read in splits of 20 kB, so that records, and lines, lie across their borders."""
+    at, t = folder(spark, "fastq"), fx.reads(spark, sf)
+    quality = F.repeat(F.lit("@+"), (F.length("nucleotides") / 2).cast("int"))
+    t.select(F.concat_ws("\n", F.concat(F.lit("@"), "header", F.lit(" lane 1")), "nucleotides", F.lit("+"), quality).alias("value")).coalesce(2).write.text(f"{at}/all.fastq")
+    small = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        small.conf.set(key, spark.conf.get(key))
+    small.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    return sequences.read(small, [f"{at}/all.fastq"])
+
+
 @query(f"""SELECT header, CAST(b + 1 AS BIGINT) AS location, substr(nt, CAST(b + 1 AS INTEGER), CAST(least({fx.GENOME}, b + 128 + {S.k - 1}) - b AS INTEGER)) AS nucleotides
     FROM (SELECT header, nt, unnest(range(0, {fx.GENOME - S.k + 1}, 128)) AS b FROM genomes)""")
 def src_indexed_fasta(spark, sf):

@@ -6,9 +6,12 @@ All reading goes through Spark, so any storage that Spark knows will do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +51,77 @@ def parse_fastq(lines: DataFrame, file: str, order: str) -> DataFrame:
     return t.select(short_id(F.substr("value", F.lit(2))).alias("header"), F.lit(1).cast("bigint").alias("location"), F.regexp_replace("seq", "\r", "").alias("nucleotides"))
 
 
+def records_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """head, seq of the records whose first three lines lie in one split (value, file, split), in Arrow arrays."""
+    held, place = pa.array([], pa.string()), None
+    for b in batches:
+        for key, lines in runs(b):
+            lines = pa.concat_arrays([held, lines]) if key == place else lines
+            place, n = key, max(0, len(lines) - 2)
+            starts = pc.and_(pc.starts_with(lines.slice(0, n), "@"), pc.starts_with(lines.slice(2, n), "+"))
+            yield pa.RecordBatch.from_arrays([lines.slice(0, n).filter(starts), lines.slice(1, n).filter(starts)], ["head", "seq"])
+            held = lines.slice(n)
+
+
+def split_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, split, n (lines), at, value: the first two and last two lines of each split."""
+
+    def told(key: tuple, n: int, first: list, last: list) -> pa.RecordBatch:
+        lines = dict(enumerate(first)) | {n - len(last) + i: v for i, v in enumerate(last)}
+        return pa.RecordBatch.from_pydict({"file": [key[0]] * len(lines), "split": pa.array([key[1]] * len(lines), pa.int64()), "n": pa.array([n] * len(lines), pa.int64()), "at": pa.array(list(lines), pa.int64()), "value": pa.array(list(lines.values()), pa.string())})
+
+    place, n, first, last = None, 0, [], []
+    for b in batches:
+        for key, lines in runs(b):
+            if key != place:
+                if place is not None:
+                    yield told(place, n, first, last)
+                place, n, first, last = key, 0, [], []
+            n += len(lines)
+            first += lines.slice(0, 2 - len(first)).to_pylist()
+            last = [*last, *lines.slice(max(0, len(lines) - 2)).to_pylist()][-2:]
+    if place is not None:
+        yield told(place, n, first, last)
+
+
+def runs(b: pa.RecordBatch) -> Iterator[tuple[tuple, pa.Array]]:
+    """((file, split), lines) of a batch's stretches of one split; a task has the lines of a split in a row."""
+    files, splits = b.column("file").dictionary_encode(), b.column("split").to_numpy()
+    codes = files.indices.to_numpy()
+    at = [0, *(np.flatnonzero(np.diff(codes) | np.diff(splits)) + 1).tolist(), len(codes)] if len(codes) else []
+    for i, j in zip(at, at[1:], strict=False):
+        yield (files.dictionary[int(codes[i])].as_py(), int(splits[i])), b.column("value").slice(i, j - i)
+
+
 def fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """FASTQ files, plain or compressed. A record may cross splits, so a file is put in order by a window."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return parse_fastq(lines, "file", "at")
+    """FASTQ files, plain or compressed, read by splits however large a file is.
+
+    A record is a line that begins with @ and two lines later one with +, as in
+    parse_fastq(). Records inside a split are put together as it is read, and
+    their lines are not shuffled. Each split also tells its first and last two
+    lines and how many it has; sums of these counts number the lines at the
+    borders, and records that begin before a border meet their other lines by
+    number. Files of a format that Spark does not split have no borders, and
+    are read once; others are read twice.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    inside = lines.mapInArrow(records_inside, "head string, seq string")
+    if all(p.lower().endswith(".gz") for p in ([path] if isinstance(path, str) else path)):
+        return named_records(inside)
+    edges = lines.mapInArrow(split_edges, "file string, split bigint, n bigint, at bigint, value string")
+    # four rows for each split
+    so_far = Window.partitionBy("file").orderBy("split", "at").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).over(so_far) - F.col("n") + F.col("at")
+    t = edges.withColumn("number", number).withColumn("late", F.col("at") >= F.col("n") - 2)
+    t = t.select("file", "number", "late", "value", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("place"))
+    line = lambda i: F.max(F.when(F.col("place") == i, F.col("value")))
+    t = t.groupBy("file", (F.col("number") - F.col("place")).alias("first")).agg(F.bool_or(F.col("late") & (F.col("place") == 0)).alias("late"), line(0).alias("head"), line(1).alias("seq"), line(2).alias("plus"))
+    return named_records(inside.unionByName(t.where(F.col("late") & F.col("head").startswith("@") & F.col("plus").startswith("+")).select("head", "seq")))
+
+
+def named_records(t: DataFrame) -> DataFrame:
+    """header, location, nucleotides of head and seq lines."""
+    return t.select(short_id(F.substr("head", F.lit(2))).alias("header"), F.lit(1).cast("bigint").alias("location"), F.regexp_replace("seq", "\r", "").alias("nucleotides"))
 
 
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:

@@ -125,3 +125,19 @@ def test_taxonomy_is_written(spark, tmp_path):
     sinks.write_taxonomy(tax, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/nodes")).count() == 1 and spark.read.parquet(str(tmp_path / "t/merged")).count() == 1
     assert tax.primary(spark.createDataFrame([(7,), (1,)], "taxon int")).agg(F.sum("taxon")).first()[0] == 2
+
+
+@pytest.mark.parametrize(("size", "end"), [(13, "\n"), (64, "\r\n"), (300, "\n"), (1000, "\r\n"), (5000, "\n")])
+def test_fastq_in_splits(spark, tmp_path, size, end):
+    """Splits smaller than a line or a record, and larger; qualities that look like headers; a file cut short."""
+    for name, n in (("a.fq", 9), ("b c.fq", 3), ("empty.fq", 0)):
+        text = "".join(f"@{name[0]}{h}{i} x{end}{s}{end}+{h}{end}{'@+'[i % 2] * len(s)}{end}" for i in range(n) for h, s in RECORDS[:4])
+        (tmp_path / name).write_bytes((text + (f"@cut{end}ACGT{end}+" if n else "")).encode())
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    small.conf.set("spark.sql.shuffle.partitions", "2")
+    read = sequences.fastq(small, [str(tmp_path / n) for n in ("a.fq", "b c.fq", "empty.fq")])
+    assert sorted((r.header, r.nucleotides) for r in read.collect()) == sorted([(f"{c}{h}{i}", s) for c, n in (("a", 9), ("b", 3)) for i in range(n) for h, s in RECORDS[:4]] + [("cut", "ACGT")] * 2)
+    # two narrow passes, and a window over the edges alone
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("Window [") < plan.index("MapInArrow split_edges")
