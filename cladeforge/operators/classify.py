@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import AMBIGUOUS, AMBIGUOUS_TAXON, BORDER, BORDER_TAXON, NONE, SEQUENCE
 from . import minimizers
-from .index import KEY, MinimizerIndex
+from .index import MinimizerIndex
 
 
 def find_hits(spans: DataFrame, index: MinimizerIndex, with_minimizer: bool = False) -> DataFrame:
@@ -24,7 +24,7 @@ def find_hits(spans: DataFrame, index: MinimizerIndex, with_minimizer: bool = Fa
     so that they do not gather in one partition.
     """
     more = ["minimizer"] if with_minimizer else []
-    sound = spans.where(F.col("flag") == SEQUENCE).join(index.records.withColumnRenamed(KEY, "minimizer"), "minimizer", "left")
+    sound = index.looked_up(spans.where(F.col("flag") == SEQUENCE), "minimizer")
     sound = sound.select("title", "ordinal", "is_distinct", F.coalesce("taxon", F.lit(NONE)).cast("int").alias("taxon"), F.col("kmers").alias("count"), *more)
     taxon = F.when(F.col("flag") == AMBIGUOUS, AMBIGUOUS_TAXON).when(F.col("flag") == BORDER, BORDER_TAXON)
     other = spans.where(F.col("flag") != SEQUENCE).select("title", "ordinal", "is_distinct", taxon.cast("int").alias("taxon"), F.col("kmers").alias("count"), *more)

@@ -25,10 +25,33 @@ def signed(word: int) -> int:
 
 
 class MinimizerIndex:
-    """records: id1 (bigint, or array<bigint> of wide minimizers), taxon int. Files have a column id1, id2 ... for each word."""
+    """records: id1 (bigint, or array<bigint> of wide minimizers), taxon int. Files have a column id1, id2 ... for each word.
 
-    def __init__(self, records: DataFrame, scheme: Scheme, taxonomy: Taxonomy):
-        self.records, self.scheme, self.taxonomy = records, scheme, taxonomy
+    stored: of a wide index, the same records as columns id1, id2 ..., taxon in
+    their buckets: an array of them is an expression, by which no bucket is known.
+    """
+
+    def __init__(self, records: DataFrame, scheme: Scheme, taxonomy: Taxonomy, stored: DataFrame | None = None):
+        self.records, self.scheme, self.taxonomy, self.stored = records, scheme, taxonomy, stored
+
+    def looked_up(self, df: DataFrame, column: str) -> DataFrame:
+        """df with the taxon of a minimizer column, null where the index has none; a stored index stays where it lies."""
+        if self.stored is None:
+            return df.join(self.records.withColumnRenamed(KEY, column), column, "left")
+        ids = id_columns(self.scheme)
+        words = df.withColumns({f"__{c}": F.get(column, F.lit(j)) for j, c in enumerate(ids)})
+        held = self.stored.select(*[F.col(c).alias(f"_{c}") for c in ids], "taxon")
+        return words.join(held, [F.col(f"__{c}") == F.col(f"_{c}") for c in ids], "left").drop(*[f"{u}{c}" for u in ("_", "__") for c in ids])
+
+    def in_both(self, other: MinimizerIndex) -> DataFrame:
+        """t1, t2: taxa here and there of the minimizers that both have; two stored indexes with as many buckets are joined as they lie."""
+        if self.stored is not None and other.stored is not None:
+            ids, a, b = id_columns(self.scheme), self.stored, other.stored
+        else:
+            ids, a, b = [KEY], self.records, other.records
+        mine = a.select(*ids, F.col("taxon").alias("t1"))
+        theirs = b.select(*[F.col(c).alias(f"_{c}") for c in ids], F.col("taxon").alias("t2"))
+        return mine.join(theirs, [F.col(c) == F.col(f"_{c}") for c in ids]).select("t1", "t2")
 
     # building
 
@@ -85,7 +108,9 @@ class MinimizerIndex:
         ids = id_columns(scheme)
         spark.sql(f"CREATE TABLE {name} ({', '.join(f'{c} BIGINT' for c in ids)}, taxon INT) USING PARQUET CLUSTERED BY ({', '.join(ids)}) INTO {params['buckets']} BUCKETS LOCATION '{path}'")
         records = spark.table(name)
-        return cls(records.select(F.array(*ids).alias(KEY), "taxon") if scheme.wide else records, scheme, taxonomy)
+        if scheme.wide:
+            return cls(records.select(F.array(*ids).alias(KEY), "taxon"), scheme, taxonomy, records)
+        return cls(records, scheme, taxonomy)
 
     def compatible(self, other: MinimizerIndex, strict: bool = True) -> bool:
         a, b = self.scheme, other.scheme
@@ -169,7 +194,7 @@ class MinimizerIndex:
         """
         if not self.compatible(reference, strict=False):
             raise ValueError("the indexes have other k or m")
-        t = self.records.select(KEY, F.col("taxon").alias("t1")).join(reference.records.select(F.col(KEY).alias("_r"), F.col("taxon").alias("t2")), F.col(KEY).eqNullSafe(F.col("_r")))
+        t = self.in_both(reference)
         deep = reference.taxonomy.table
         t = t.join(deep.select(F.col("taxon").alias("t1"), F.col("depth").alias("d1")), "t1", "left").join(deep.select(F.col("taxon").alias("t2"), F.col("depth").alias("d2")), "t2", "left")
         steps = F.when(F.col("d1").isNull(), -100).when(F.col("d2").isNull(), -200).otherwise(F.col("d1") - F.col("d2"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet
 from ..functions.alphabet import Scheme
-from ..operators import bracken, classify, compare, dynamic, kmers as kmer_tables, minimizers, report
+from ..operators import bracken, classify, compare, dynamic, kmers as kmer_tables, masking, minimizers, report
 from ..operators.taxonomy import DEPTH, Taxonomy, rank_table
 from ..sources import sequences
 from . import fixtures as fx
@@ -449,6 +449,31 @@ def idx_migration(spark, sf):
     return half.migration(fx.index(spark, sf)).groupBy("steps").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Masking
+
+#: A repeat of one to four letters, in the middle of other ones.
+REPEATED = "translate(md5('c' || c_custkey), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS k, substr(g, 1, 16) || CASE WHEN c_custkey % 9 = 0 THEN 'N' ELSE '' END || repeat(substr(g, 20, CAST(1 + c_custkey % 4 AS INTEGER)), CAST(c_custkey % 19 AS INTEGER)) || substr(g, 17) AS nt
+        FROM (SELECT c_custkey, {REPEATED} AS g FROM customer)),
+    t AS (SELECT k, nt, list_transform(range(1, length(nt) - 1), lambda i: substr(nt, i, 3)) AS t FROM s),
+    ends AS (SELECT k, a, unnest(range(a + 1, least(len(t), a + 61) + 1)) AS b, t FROM (SELECT k, t, unnest(range(1, len(t) + 1)) AS a FROM t)),
+    found AS (SELECT k, a, b, sum(len(list_filter(t[a : b - 1], lambda x: x = t[b])) ) OVER w AS pairs, max(CASE WHEN contains(t[a], 'N') OR contains(t[b], 'N') THEN 1 ELSE 0 END) OVER w AS unsound
+        FROM ends WINDOW w AS (PARTITION BY k, a ORDER BY b)),
+    high AS (SELECT k, a, b, pairs / (b - a) AS score FROM found WHERE unsound = 0 AND pairs > 2 * (b - a)),
+    perfect AS (SELECT DISTINCT k, a, b FROM high AS h WHERE NOT EXISTS (SELECT 1 FROM high AS o WHERE o.k = h.k AND o.a >= h.a AND o.b <= h.b AND o.score > h.score)),
+    covered AS (SELECT DISTINCT k, unnest(range(a, b + 3)) AS i FROM perfect),
+    letters AS (SELECT k, nt, unnest(range(1, length(nt) + 1)) AS i FROM s)
+    SELECT 'C' || k AS header, string_agg(CASE WHEN c.i IS NULL THEN substr(nt, l.i, 1) ELSE 'x' END, '' ORDER BY l.i) AS nucleotides FROM letters AS l LEFT JOIN covered AS c USING (k, i) GROUP BY k""")
+def seq_mask_low_complexity(spark, sf):
+    c, g = F.col("c_custkey"), fx.segment(F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    t = fx.table(spark, sf, "customer").select(F.concat(F.lit("C"), c).alias("header"), c, g.alias("g"))
+    inner = F.repeat(F.substr("g", F.lit(20), (1 + c % 4).cast("int")), (c % 19).cast("int"))
+    whole = F.concat(F.substr("g", F.lit(1), F.lit(16)), F.when(c % 9 == 0, "N").otherwise(""), inner, F.substr("g", F.lit(17)))
+    return masking.masked(t.select("header", whole.alias("nucleotides")))
+
+
 # Classification
 
 def _hits(spark, sf):

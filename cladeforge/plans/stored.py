@@ -224,6 +224,16 @@ def idx_load_classify(spark, sf):
     return classify.classify(fx.reads(spark, sf), _stored(spark, sf), [0.15], with_details=False).select("title", "taxon")
 
 
+@same_rows("idx_migration")
+def idx_load_migration(spark, sf):
+    """As idx_migration, of two stored indexes, whose buckets are joined as they lie."""
+    half = MinimizerIndex.build(fx.genomes(spark, sf), fx.labels(spark, sf).where("taxon % 2 = 0"), fx.taxonomy(spark, sf), S)
+    at = folder(spark, "half")
+    half.write(at, buckets=8)
+    both = MinimizerIndex.load(spark, at, fx.taxonomy(spark, sf)).migration(_stored(spark, sf))
+    return both.groupBy("steps").agg(F.count(F.lit(1)).alias("n"))
+
+
 @same_rows("idx_depth_histogram")
 def snk_depth_histogram(spark, sf):
     at = folder(spark, "histogram")

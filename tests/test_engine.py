@@ -2,14 +2,17 @@
 
 import math
 import random
+from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from naive import Tree, encode, priority, revcomp, spans, supermers
 from pyspark.sql import functions as F
 
 from cladeforge.functions import alphabet
 from cladeforge.functions.alphabet import Scheme
-from cladeforge.operators import bracken, classify, compare, dynamic, minimizers, report
+from cladeforge.operators import bracken, classify, compare, dynamic, masking, minimizers, report
 from cladeforge.operators.index import MinimizerIndex
 from cladeforge.operators.taxonomy import DEPTH, RANKS, Taxonomy
 
@@ -307,3 +310,63 @@ def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         classify.classify_gathered(spark.createDataFrame([], "title string, taxa array<struct<taxon:int,n:int,path:array<int>>>, total bigint, n_distinct bigint"), 35, [1.5])
     assert classify.threshold_texts([0, 0.15, 0.5]) == ["0.00", "0.15", "0.50"]
+
+
+def dust(text, window, threshold):
+    """Letters in intervals whose score is over the threshold and that no part of scores higher, by all intervals."""
+    scores = {}
+    for a in range(len(text)):
+        for b in range(a + 4, min(len(text), a + window) + 1):
+            part = text[a:b]
+            if set(part) <= set("ACGT"):
+                n = Counter(part[i : i + 3] for i in range(len(part) - 2))
+                scores[a, b] = Fraction(sum(x * (x - 1) // 2 for x in n.values()), b - a - 3)
+    out = set()
+    for (a, b), s in scores.items():
+        if s > Fraction(threshold, 10) and all(o <= s for (c, d), o in scores.items() if c >= a and d <= b):
+            out.update(range(a, b))
+    return "".join("x" if i in out else c for i, c in enumerate(text))
+
+
+@pytest.mark.parametrize(("window", "threshold"), [(64, 20), (12, 12), (20, 5)])
+def test_low_complexity(spark, window, threshold, monkeypatch):
+    rng = random.Random(window)
+    seqs = ["", "A", "ACG", "AAAA", "A" * 30, "ACGTNNNNNNNNACGT", "x" * 20, "AT" * 12 + "N" + "TA" * 9]
+    seqs += ["".join(rng.choice("ACGT") for _ in range(10)) + rng.choice(["A", "AC", "ACG", "TTG"]) * rng.randrange(3, 9) + "".join(rng.choice("ACGTN") for _ in range(15)) for _ in range(12)]
+    df = spark.createDataFrame([(f"s{i}", s, s[::-1], i) for i, s in enumerate(seqs)] + [("none", None, None, 0)], "header string, nucleotides string, nucleotides2 string, other int")
+    want = {f"s{i}": dust(s, window, threshold) for i, s in enumerate(seqs)} | {"none": None}
+    got = masking.masked(df, window=window, threshold=threshold).collect()
+    assert {r.header: r.nucleotides for r in got} == want
+    assert all(r.nucleotides2 is None or r.nucleotides2 == dust(seqs[int(r.header[1:])][::-1], window, threshold) for r in got)
+    monkeypatch.setattr(masking, "PIECE", 17)
+    whole = "N".join(seqs).encode()
+    hit = masking.low_complexity(np.frombuffer(whole, np.uint8), window, threshold)
+    monkeypatch.undo()
+    assert (hit == masking.low_complexity(np.frombuffer(whole, np.uint8), window, threshold)).all()
+
+
+@pytest.mark.parametrize("m", [20, 40])
+def test_stored_indexes_are_joined_as_they_lie(spark, m, tmp_path):
+    """Neither index is dealt anew, narrow or wide, when two are compared or reads are looked up."""
+    scheme, rng = Scheme(m + 8, m, 5), random.Random(m)
+    df = spark.createDataFrame([(f"s{i}", "".join(rng.choice("ACGT") for _ in range(200))) for i in range(6)], "header string, nucleotides string")
+    tax = Taxonomy.from_nodes(spark.createDataFrame([(1, 1, "root", ""), *[(2 + i, 1, "species", "") for i in range(6)]], NODES))
+    labels = spark.createDataFrame([(f"s{i}", 2 + i) for i in range(6)], "header string, taxon int")
+    loaded = []
+    for name, some in (("a", labels), ("b", labels.where("taxon > 3"))):
+        built = MinimizerIndex.build(df, some, tax, scheme)
+        built.write(str(tmp_path / name), 4)
+        loaded.append(MinimizerIndex.load(spark, str(tmp_path / name), tax))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        both = loaded[1].in_both(loaded[0])
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert both.where("t1 = t2").count() == both.count() == loaded[1].records.count()
+        hits = loaded[0].looked_up(minimizers.spans(df, scheme), "minimizer")
+        assert hits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert loaded[1].migration(loaded[0]).where("steps <> 0").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
