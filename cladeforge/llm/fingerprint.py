@@ -116,6 +116,28 @@ def bucketed(rows: DataFrame, rows_a_bucket: int) -> tuple[DataFrame, DataFrame]
         t = t.withColumn("__path", F.when(F.col("__p").isNull(), F.col("__path")).otherwise(F.array_append("__path", deeper))).drop("__p", "__n", "__lo", "__hi", "__l", "__m")
 
 
+#: Cells of a range, about: what one task puts in order.
+IN_RANGE = 100_000
+
+
+def ranges_before(heads: DataFrame) -> DataFrame:
+    """heads (__p, ...) with __before: the greatest __p below its own, for the least one the greatest of all.
+
+    Cells are dealt to ranges of __p of like size, whatever ids there are; each
+    is put in order alone, and only the last cells of the ranges are put in
+    order together.
+    """
+    heads = common.cut(heads)
+    ranged = common.cut(heads.repartitionByRange(heads.count() // IN_RANGE + 1, "__p").withColumn("__g", F.spark_partition_id()))
+    common.drop(heads)
+    ends = ranged.groupBy("__g").agg(F.max("__p").alias("__end"))
+    ends = ends.select("__g", F.coalesce(F.lag("__end").over(Window.orderBy("__g")), F.max("__end").over(Window.partitionBy())).alias("__end"))
+    before = F.coalesce(F.lag("__p").over(Window.partitionBy("__g").orderBy("__p")), F.col("__end"))
+    out = common.cut(ranged.join(ends, "__g").withColumn("__before", before).drop("__g", "__end"))
+    common.drop(ranged)
+    return out
+
+
 def followed(docs: DataFrame, extra: list[str], rows_a_bucket: int = 256) -> DataFrame:
     """docs (doc_id, text, ...) with next_text and next_<extra> of the following row by doc_id, text; the last has the first.
 
@@ -129,8 +151,7 @@ def followed(docs: DataFrame, extra: list[str], rows_a_bucket: int = 256) -> Dat
     common.drop(cells)
     first = F.struct(F.col("__id").isNotNull().alias("set"), F.col("__id"), F.col("__h"))
     heads = t.groupBy(F.col("__path").alias("__p")).agg(F.min(first).alias("__first"))
-    # the one window over a whole table: a row for each bucket
-    cells = common.cut(heads.withColumn("__before", F.coalesce(F.lag("__p").over(Window.orderBy("__p")), F.max("__p").over(Window.partitionBy()))))
+    cells = ranges_before(heads)
     marked = t.join(cells, F.col("__path") == F.col("__p"), "left")
     # of equal rows at the head of a bucket any one may be lent
     head = F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__h") == F.col("__first.__h"))
