@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import NONE, ROOT
+from . import treelayout
 
 # Rank titles, codes and depths of the report format.
 RANKS = (
@@ -29,8 +30,8 @@ RANKS = (
 )
 DEPTH = {title: depth for title, _, depth in RANKS}
 CODE = {depth: code for _, code, depth in RANKS}
-#: Nodes that the driver lays out; taxonomies in use have a few million.
-MOST_NODES = 20_000_000
+#: Nodes up to which the driver lays out the tree, in less time than Spark's jobs take to start; larger trees are laid out by Spark.
+AT_DRIVER = 100_000
 
 
 def code_of(depth: Column) -> Column:
@@ -63,15 +64,24 @@ class Taxonomy:
         self.table, self.merged, self.spark = table, merged, table.sparkSession
 
     @classmethod
-    def from_nodes(cls, nodes: DataFrame, merged: DataFrame | None = None) -> Taxonomy:
-        """nodes: taxon, parent, rank, name. merged: secondary, primary. Unknown ranks become null; nodes off the tree are dropped."""
+    def from_nodes(cls, nodes: DataFrame, merged: DataFrame | None = None, at_driver: int = AT_DRIVER) -> Taxonomy:
+        """nodes: taxon, parent, rank, name. merged: secondary, primary.
+
+        Unknown ranks become null. Nodes off the tree (of unknown parents, on
+        circles) and null ids are dropped; of rows with one id the least
+        (parent, rank, name) counts. Trees of more than at_driver nodes are laid
+        out by Spark, with the same result.
+        """
         spark = nodes.sparkSession
-        rows = nodes.select(F.col("taxon").cast("int"), F.col("parent").cast("int"), "rank", "name").limit(MOST_NODES + 1).collect()
-        if len(rows) > MOST_NODES:
-            raise ValueError(f"more than {MOST_NODES} nodes")
-        info = {r[0]: (r[2] if r[2] in DEPTH else None, r[3]) for r in rows}
-        if ROOT in info:
-            info[ROOT] = ("root", info[ROOT][1])
+        one = F.min(F.struct(F.col("parent").cast("int").alias("parent"), "rank", "name"))
+        nodes = nodes.where("taxon IS NOT NULL").groupBy(F.col("taxon").cast("int").alias("taxon")).agg(one.alias("_one")).select("taxon", "_one.*")
+        rank = F.when(F.col("taxon") == ROOT, F.lit("root")).when(F.col("rank").isin(*DEPTH), F.col("rank"))
+        nodes = nodes.withColumn("rank", rank)
+        rows = nodes.limit(at_driver + 1).collect()
+        if len(rows) > at_driver:
+            depths = F.create_map(*[F.lit(x) for pair in DEPTH.items() for x in pair])
+            return cls(treelayout.laid_out(nodes.withColumn("own", depths[F.col("rank")])), merged)
+        info = {r[0]: (r[2], r[3]) for r in rows}
         below: dict[int, list[int]] = {}
         for taxon, parent, _, _ in rows:
             if taxon != ROOT:

@@ -59,6 +59,14 @@ def tax_depths(spark, sf):
     return fx.taxonomy(spark, sf).table.select("taxon", "depth", "level")
 
 
+@query("""SELECT t.taxon, t.parent, t.depth, t.level, string_agg(a.a, '.' ORDER BY a.steps DESC) AS path, (SELECT count(*) FROM anc d WHERE d.a = t.taxon) AS size
+    FROM tree t JOIN anc a USING (taxon) GROUP BY ALL""")
+def tax_layout(spark, sf):
+    """The tree laid out by Spark's jobs, whatever its size."""
+    t = Taxonomy.from_nodes(fx.nodes(spark, sf), at_driver=0).table
+    return t.select("taxon", "parent", "depth", "level", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), (F.col("end") - F.col("pre") + 1).cast("bigint").alias("size"))
+
+
 @query("SELECT parent AS taxon, array_to_string(list(taxon ORDER BY taxon DESC), '.') AS children FROM nodes WHERE parent > 0 GROUP BY parent")
 def tax_children(spark, sf):
     return fx.taxonomy(spark, sf).children().select("taxon", F.array_join(F.col("children").cast("array<string>"), ".").alias("children"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,21 +10,12 @@ from ..functions import alphabet
 from ..operators import bracken, classify, compare, minimizers, report
 from ..operators.index import MinimizerIndex
 from ..sources import sequences, sinks, tables
+from ..sources.shared import folder
 from . import fixtures as fx
 from .catalogue import ORACLE, QUERIES, query
 from .oracle import S, code, resolved
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place below the folder that all executors share; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='stored-')}"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def same_rows(as_query: str):
     """Registers a query that gives the rows of another one by way of files."""
 

@@ -57,6 +57,35 @@ def test_taxonomy_columns(tree):
         assert r.sublevel == n - 1
 
 
+def test_layout_by_spark_equals_the_drivers(tree, spark):
+    nodes, _, tax = tree
+    laid = Taxonomy.from_nodes(spark.createDataFrame(nodes, NODES), at_driver=0)
+    assert laid.table.schema.simpleString() == tax.table.schema.simpleString()
+    assert {r.taxon: r for r in laid.table.collect()} == {r.taxon: r for r in tax.table.collect()}
+
+
+@pytest.mark.parametrize("at_driver", [0, 100])
+def test_layout_of_odd_nodes(spark, at_driver):
+    """A long chain, ids far apart under one parent, orphans, circles, a node that is its own parent, repeated rows, nulls."""
+    chain = [(10 + i, 9 + i if i else 1, "clade", None) for i in range(37)]
+    wide = [(2_000_000_000 - i * 70_000, 1, "species", f"w{i}") for i in range(5)]
+    off = [(301, 999, "species", "orphan"), (302, 301, None, "below"), (303, 304, None, ""), (304, 303, None, ""), (305, 304, None, ""), (306, 306, None, "self"), (307, None, None, ""), (None, 1, None, "")]
+    nodes = [(1, 1, "no rank", "root"), *chain, *wide, *off, (10, 1, "clade", "second"), chain[3]]
+    rows = {r.taxon: r for r in Taxonomy.from_nodes(spark.createDataFrame(nodes, NODES), at_driver=at_driver).table.collect()}
+    assert set(rows) == {1, *(n[0] for n in chain), *(n[0] for n in wide)}
+    assert (rows[1].rank, rows[1].parent, rows[1].pre, rows[1].end) == ("root", 0, 0, 42)
+    last = rows[46]
+    assert last.path == [1, *range(10, 47)] and last.level == last.below_rank == last.sublevel == 37 and last.leaf and last.name is None
+    # siblings in descending order of ids
+    assert [rows[n[0]].pre for n in wide] == [1, 2, 3, 4, 5] and rows[10].pre == 6 and last.pre == last.end == 42
+
+
+@pytest.mark.parametrize("at_driver", [0, 100])
+def test_layout_without_a_root(spark, at_driver):
+    for nodes in ([], [(5, 1, "species", ""), (6, 5, "species", "")]):
+        assert Taxonomy.from_nodes(spark.createDataFrame(nodes, NODES), at_driver=at_driver).table.count() == 0
+
+
 def test_ancestors_and_closures(tree, spark):
     _, naive, tax = tree
     taxa = sorted(naive.parent)
