@@ -2,13 +2,15 @@
 
 Every window of `read_length` letters of every genome is classified as a read
 of its own, with no confidence threshold and two hit groups. A window is a
-run of consecutive k-mers, so its hits come from one pass over the genome:
-k-mers with their taxa, grouped in runs, and differences of running counts.
+run of consecutive k-mers, so its hits come from one sweep over the genome, in
+which taxa enter and leave the window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,63 +40,117 @@ def fragments(sequences: DataFrame, read_length: int, most: int = FRAGMENT) -> D
     return t.select(*others, F.col("at").cast("bigint").alias("location"), F.substr("nucleotides", F.col("at") + 1, F.lit(most)).alias("nucleotides"))
 
 
-class Tree:
-    """Parents and levels of the taxa that a task meets, from their paths."""
-
-    def __init__(self) -> None:
-        self.paths: dict[int, list[int]] = {NONE: []}
-
-    def resolve(self, counts: dict[int, int]) -> int:
-        """The taxon with most k-mers on its way to the root; the common ancestor of those that tie."""
-        best, path = 0, []
-        for taxon in counts:
-            way = self.paths[taxon]
-            score = sum(counts.get(t, 0) for t in way)
-            if way and score > best:
-                best, path = score, way
-            elif way and score == best:
-                path = [a for a, b in zip(path, way) if a == b]  # noqa: B905
-        return path[-1] if path else NONE
-
-
-def simulated(fragment: bytes, hits: dict[int, int], tree: Tree, scheme, read_length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Taxa and numbers of windows of one fragment."""
-    n_windows = len(fragment) - read_length + 1
+class Ways:
+    """The ways from the root to the taxa that a fragment meets."""
+
+    def __init__(self, paths: dict[int, list[int]]):
+        self.paths = paths
+        #: of each taxon, those of the fragment's taxa that are on its way, itself included
+        self.above = {t: frozenset(x for x in way if x in paths) for t, way in paths.items()}
+
+    def change(self, counts: dict[int, int], scores: dict[int, int], taxon: int, n: int) -> None:
+        """n more k-mers of a taxon; scores has the k-mers on the ways of the taxa in counts."""
+        if taxon == NONE:
+            return
+        for t in scores:
+            if taxon in self.above[t]:
+                scores[t] += n
+        counts[taxon] = counts.get(taxon, 0) + n
+        if not counts[taxon]:
+            del counts[taxon], scores[taxon]
+        elif taxon not in scores:
+            scores[taxon] = self.score(counts, taxon)
+
+    def score(self, counts: dict[int, int], taxon: int) -> int:
+        return sum(counts.get(x, 0) for x in self.above[taxon])
+
+    def best(self, counts: dict[int, int], scores: dict[int, int], leaves: int, enters: int, windows: int) -> Iterator[tuple[int, int]]:
+        """(taxon, number) of neighbouring windows: in each next one, a k-mer of `leaves` is gone and one of `enters` there.
+
+        A taxon's score, the k-mers on its way, grows, stays or shrinks by one
+        from window to window, so the best of each kind is a line, and the
+        answer changes only where two of three lines meet. Taxa without k-mers
+        in a window do no harm: one on their way has the same score.
+        """
+        lines: dict[int, tuple[int, list[int]]] = {}
+        coming = [(enters, self.score(counts, enters))] if enters != NONE and enters not in scores else []
+        for t, score in [*scores.items(), *coming]:
+            above = self.above[t]
+            slope = (enters in above) - (leaves in above)
+            if slope not in lines or score > lines[slope][0]:
+                lines[slope] = score, self.paths[t]
+            elif score == lines[slope][0]:
+                lines[slope] = score, shared_way(lines[slope][1], self.paths[t])
+        cuts = {0, windows}
+        for (s, (x, _)), (r, (y, _)) in combinations(lines.items(), 2):
+            meet = (x - y) // (r - s)
+            cuts |= {meet, meet + 1}
+        for start, end in pairwise(sorted(c for c in cuts if 0 <= c <= windows)):
+            top = max((x + s * start for s, (x, _) in lines.items()), default=0)
+            ways = [way for s, (x, way) in lines.items() if x + s * start == top] if top > 0 else []
+            yield reduce(shared_way, ways)[-1] if ways else NONE, end - start
+
+
+def shared_way(a: list[int], b: list[int]) -> list[int]:
+    return [x for x, y in zip(a, b) if x == y]  # noqa: B905
+
+
+def simulated(fragment: bytes, taxa_of: Callable[[np.ndarray, np.ndarray], np.ndarray], ways: Ways, scheme, read_length: int) -> dict[int, int]:
+    """Number of windows of one fragment by taxon. taxa_of: taxa of the kernel's minimizers (minimizer, words), NONE of unknown ones.
+
+    Windows are swept by stretches in which the k-mer that leaves and the one
+    that enters keep their taxa; the counts of the taxa in a window are all that
+    is carried along.
+    """
+    n_windows, per_read = len(fragment) - read_length + 1, read_length - (scheme.k - 1)
     if n_windows <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return {}
+    if per_read <= 0:
+        return {NONE: n_windows}
     s = minimizers.supermers([fragment], scheme)
     ok = s["flag"] == 1
     at, length, rank = s["location"][ok], s["kmers"][ok], s["minimizer"][ok]
-    taxa = np.array([hits.get(int(r), NONE) for r in rank], np.int64)
-    per_read = read_length - (scheme.k - 1)
-    distinct = np.r_[True, rank[1:] != rank[:-1]] if len(rank) else np.zeros(0, bool)
-    kinds = [int(t) for t in np.unique(taxa) if t != NONE]
-    # running numbers of k-mers of each taxon, and of hit groups that begin or end
+    taxa = taxa_of(rank, s["words"])
     size = len(fragment) - (scheme.k - 1)
-    kmer_taxon = np.zeros(size, np.int64)
-    for a, c, t in zip(at, length, taxa, strict=True):
-        kmer_taxon[a : a + c] = t
-    window = np.arange(n_windows)
-    numbers = []
-    for t in kinds:
-        run = np.r_[0, np.cumsum(kmer_taxon == t)]
-        numbers.append(run[window + per_read] - run[window])
-    real = distinct & (taxa != NONE)
-    begun = np.r_[0, np.cumsum(np.bincount(at[real], minlength=size)[:size])]
-    ended = np.r_[0, np.cumsum(np.bincount(at[real] + length[real], minlength=size + 1)[: size + 1])]
-    groups = begun[np.minimum(window + per_read, size)] - ended[np.minimum(window + 1, size + 1)]
-    if not kinds:
-        return np.array([NONE]), np.array([n_windows])
-    table = np.stack(numbers, 1)
-    table[groups < MIN_HIT_GROUPS] = 0
-    # windows with equal counts are classified once
-    change = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]).any(1)])
+    kmer_taxon = np.zeros(size, np.int32)
+    kmer_taxon[np.repeat(at - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())] = np.repeat(taxa, length)
+    # hit groups of a window: those begun before its end, less those ended before its start
+    real = np.r_[True, rank[1:] != rank[:-1]][: len(rank)] & (taxa != NONE)
+    begun = np.r_[0, np.cumsum(np.bincount(at[real], minlength=size)[:size], dtype=np.int32)]
+    ended = np.r_[0, np.cumsum(np.bincount(at[real] + length[real], minlength=size + 1)[: size + 1], dtype=np.int32)]
+    enough = begun[per_read : per_read + n_windows] - ended[1 : 1 + n_windows] >= MIN_HIT_GROUPS
+    leaves, enters = kmer_taxon[:n_windows], np.r_[kmer_taxon[per_read:], np.int32(NONE)]
+    change = np.flatnonzero(np.r_[True, (leaves[1:] != leaves[:-1]) | (enters[1:] != enters[:-1]) | (enough[1:] != enough[:-1])])
+    counts: dict[int, int] = {}
+    scores: dict[int, int] = {}
+    for t, n in zip(*np.unique(kmer_taxon[:per_read], return_counts=True), strict=True):
+        ways.change(counts, scores, int(t), int(n))
     out: dict[int, int] = {}
-    for start, end in zip(change, [*change[1:], n_windows], strict=True):
-        found = {t: int(c) for t, c in zip(kinds, table[start], strict=True) if c}
-        taxon = tree.resolve(found)
-        out[taxon] = out.get(taxon, 0) + int(end - start)
-    return np.array(list(out), np.int64), np.array(list(out.values()), np.int64)
+    for start, end in pairwise([*change.tolist(), n_windows]):
+        gone, new, n = int(leaves[start]), int(enters[start]), end - start
+        for taxon, m in ways.best(counts, scores, gone, new, n) if enough[start] else ((NONE, n),):
+            out[taxon] = out.get(taxon, 0) + m
+        if gone != new and end < n_windows:
+            ways.change(counts, scores, gone, -n)
+            ways.change(counts, scores, new, n)
+    return out
+
+
+def lookup(ids: np.ndarray, taxa: np.ndarray, scheme) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Taxa of the kernel's minimizers by a fragment's known ones (ids: a number, or a row of words where they are wide)."""
+
+    def narrow(minimizer: np.ndarray, words: np.ndarray) -> np.ndarray:
+        if not len(ids):
+            return np.zeros(len(minimizer), np.int32)
+        order = np.argsort(ids)
+        place = np.minimum(np.searchsorted(ids, minimizer, sorter=order), len(ids) - 1)
+        return np.where(ids[order[place]] == minimizer, taxa[order[place]], NONE).astype(np.int32)
+
+    def wide(minimizer: np.ndarray, words: np.ndarray) -> np.ndarray:
+        known = {row.tobytes(): t for row, t in zip(ids, taxa.tolist(), strict=True)}
+        return np.array([known.get(row.tobytes(), NONE) for row in words], np.int32)[minimizer]
+
+    return wide if scheme.wide else narrow
 
 
 def weights(sequences: DataFrame, labels: DataFrame, index: MinimizerIndex, read_length: int = 100, most: int = FRAGMENT) -> DataFrame:
@@ -110,14 +166,14 @@ def weights(sequences: DataFrame, labels: DataFrame, index: MinimizerIndex, read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                tree = Tree()
-                tree.paths |= {p["taxon"]: p["path"] for p in r["paths"] or ()}
-                for path in list(tree.paths.values()):
-                    for i, t in enumerate(path):
-                        tree.paths.setdefault(t, path[: i + 1])
-                dest, n = simulated(r["nucleotides"].encode(), dict(zip(r["minimizers"] or (), r["taxa"] or (), strict=True)), tree, scheme, read_length)
-                yield pa.RecordBatch.from_arrays([pa.array(dest.astype(np.int32)), pa.array([r["taxon"]] * len(dest), pa.int32()), pa.array(n)], ["dest", "source", "n"])
+            for i in range(b.num_rows):
+                # one fragment's lists at a time, the long ones as arrays
+                source, letters, ids, taxa, paths = (b.column(c)[i] for c in range(5))
+                flat = (ids.values.flatten() if scheme.wide else ids.values).to_numpy() if ids.is_valid else np.zeros(0, np.int64)
+                known = taxa.values.to_numpy() if taxa.is_valid else np.zeros(0, np.int32)
+                ways = Ways({p["taxon"]: p["path"] for p in paths.as_py() or ()})
+                n = simulated(letters.as_py().encode(), lookup(flat.reshape(len(known), -1) if scheme.wide else flat, known, scheme), ways, scheme, read_length)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array([source.as_py()] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["dest", "source", "n"])
 
     return rows.mapInArrow(run, "dest int, source int, n bigint").groupBy("dest", "source").agg(F.sum("n").alias("n"))
 

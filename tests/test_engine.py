@@ -321,6 +321,44 @@ def test_weights_match_classification_of_each_window(spark, library):
     assert all(":" in r.line for r in lines)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_window_sweep(seed):
+    """Windows of random letters, repeats and gaps against each window on its own, with taxa in lineages so that scores tie and cross."""
+    rng = random.Random(seed)
+    scheme = Scheme(9, 5, 0)
+    nodes = random_nodes(rng, 40)
+    naive = Tree(nodes)
+    taxa = rng.sample([t for t, *_ in nodes], 12)
+    unit = "".join(rng.choice("ACGT") for _ in range(30))
+    text = "".join(rng.choice([unit, unit[::-1], "N" * rng.randint(1, 14), "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 60)))]) for _ in range(14))
+    index = {x[3]: rng.choice(taxa) for x in spans(text, None, scheme) if x[0] == 1 and rng.random() < 0.8}
+    ids, known = np.array(list(index), np.int64), np.array(list(index.values()), np.int32)
+    ways = bracken.Ways({t: naive.path(t)[::-1] for t in taxa})
+    for length in (8, 9, 10, 20, 45, len(text), len(text) + 1):
+        expected = Counter()
+        for i in range(len(text) - length + 1):
+            found = [x for x in spans(text[i : i + length], None, scheme) if x[0] == 1]
+            counts, groups = Counter(), 0
+            for _, new, n, rank in found:
+                taxon = index.get(rank, 0)
+                groups += bool(new and taxon)
+                if taxon:
+                    counts[taxon] += n
+            expected[naive.resolve(counts, 0) if groups >= 2 else 0] += 1
+        assert Counter(bracken.simulated(text.encode(), bracken.lookup(ids, known, scheme), ways, scheme, length)) == expected
+
+
+def test_weights_of_wide_minimizers(spark, library):
+    """A word of over 31 letters stands for itself as one of 31 does: equal genomes give equal weights by both."""
+    _, _, tax, genomes, seqs, labels = library
+    sums = []
+    for scheme in (Scheme(40, 33, 0), Scheme(40, 31, 0)):
+        rows = bracken.weights(seqs, labels, MinimizerIndex.build(seqs, labels, tax, scheme), 80).collect()
+        sums.append(sum(r.n for r in rows))
+        assert any(r.dest == r.source for r in rows)
+    assert sums[0] == sums[1] == sum(len(s) - 79 for _, s, _ in genomes)
+
+
 def test_hit_categories(spark):
     nodes = [(1, 1, "root", ""), (2, 1, "genus", ""), (3, 2, "species", ""), (4, 3, "species", ""), (5, 4, "species", ""), (6, 2, "species", "")]
     tax = Taxonomy.from_nodes(spark.createDataFrame(nodes, NODES))
