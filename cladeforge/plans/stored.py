@@ -165,6 +165,21 @@ def snk_written_counts(spark, sf):
     return tables.written_counts(spark, f"{_written(spark, sf)}/out_c0.50/sample=S2")
 
 
+@query(
+    "SELECT substr(title, 1, 2) AS sample, '0.15' AS threshold, taxon, count(*) AS n FROM c1 GROUP BY ALL UNION ALL SELECT substr(title, 1, 2), '0.50', taxon, count(*) FROM c2 GROUP BY ALL",
+    resolved(0.15, "c1") | resolved(0.5, "c2"),
+)
+def snk_sample_reports(spark, sf):
+    """Reads of each taxon itself, from the reports of all samples and thresholds, which one job wrote."""
+    at = folder(spark, "reports")
+    t = classify.classify(fx.reads(spark, sf), fx.index(spark, sf), [0.15, 0.5], sample_regex="^(S[0-9])", with_details=False)
+    sinks.write_reports(t, fx.taxonomy(spark, sf), f"{at}/out", [0.15, 0.5])
+    part = F.split("value", "\t")
+    lines = spark.read.text(f"{at}/out_c*/*_kreport").where(~F.col("value").startswith("#")).withColumn("file", F.col("_metadata.file_path"))
+    t = lines.select(F.regexp_extract("file", r"/([^/]*)_kreport/", 1).alias("sample"), F.regexp_extract("file", r"_c([^/]*)/", 1).alias("threshold"), part[4].cast("int").alias("taxon"), part[2].cast("bigint").alias("n"))
+    return t.where("n > 0")
+
+
 NATION_LINES = ORACLE["rpt_nation_rows"]
 
 

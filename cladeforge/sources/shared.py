@@ -28,3 +28,21 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, marks and hidden files left out; none if there is no folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if n[0] not in "_.")
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A folder to another name, in place of what is there; an empty folder where the source is missing."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    fs.mkdirs(b.getParent() if fs.exists(a) else b)
+    if fs.exists(a) and not fs.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")

@@ -101,6 +101,35 @@ def test_command_line(spark, tmp_path):
     assert weights[1] == "3\t3:701:701" and weights[2] == "4\t4:701:701"
 
 
+def test_reports_of_many_samples(spark, tmp_path):
+    from cladeforge.operators import classify, report
+    from cladeforge.operators.taxonomy import Taxonomy
+    from cladeforge.sources import sinks
+
+    tax = Taxonomy.from_nodes(spark.createDataFrame([(1, 1, "root", ""), *[(2 + i, 1 + i // 3, "genus" if i < 9 else "species", f"n{i}") for i in range(40)]], "taxon int, parent int, rank string, name string"))
+    names = [*(f"S{i}" for i in range(23)), "a b:c", "x/y", ""]
+    rows = [(f"t{i}", names[i % 26], (0.0, 0.15)[i % 7 == 0], i % 5 > 0, i * i % 41, "100", "d") for i in range(900)]
+    t = spark.createDataFrame(rows, "title string, sample string, threshold double, classified boolean, taxon int, length string, details string")
+    at = str(tmp_path / "out")
+    for _ in range(2):
+        # the second time in place of the first
+        sinks.write_reports(t, tax, at, [0.0, 0.15, 0.5])
+    counts = classify.taxon_counts(t)
+    for threshold, text in ((0.0, "0.00"), (0.15, "0.15")):
+        for name in names:
+            rows = report.report_rows(counts.where((F.col("threshold") == threshold) & (F.col("sample") == name)), tax)
+            files = list((tmp_path / f"out_c{text}" / f"{name.replace('/', '%2F')}_kreport").glob("part-*"))
+            assert len(files) == 1, (name, files)
+            if name in ("S3", "x/y", ""):
+                assert files[0].read_text().splitlines() == [r.value for r in sinks.report_text(rows).collect()]
+    assert not list(tmp_path.glob("*writing*"))
+    sinks.write_classified(t, at, [0.0, 0.15, 0.5], files=2)
+    for threshold, text in ((0.0, "0.00"), (0.15, "0.15"), (0.5, "0.50")):
+        lines = sorted(r.value for r in spark.read.text(f"{at}_c{text}").collect())
+        assert lines == sorted("\t".join(("C" if r[3] else "U", r[0], str(r[4]), r[5], r[6])) for r in t.collect() if r[2] == threshold)
+    assert len(list((tmp_path / "out_c0.00/sample=S1").glob("part-*"))) <= 2 and not list(tmp_path.glob("*writing*"))
+
+
 def test_stream(spark, tmp_path):
     from cladeforge.functions.alphabet import Scheme
     from cladeforge.operators.index import MinimizerIndex
