@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     command("stats", index, ("--library", {}), ("--histogram", {}))
     command("inspect", index, output, ("--library", {}), ("--labels", {}))
     command("compare-index", index, output, ("--reference", {"required": True}))
-    command("compare", output, ("--reference", {"required": True}), ("--id-col", {"type": int, "default": 2}), ("--taxon-col", {"type": int, "default": 3}), ("--header", {"action": "store_true"}), ("files", {"nargs": "+"}))
+    command("compare", output, ("--reference", {"required": True}), ("--id-col", {"type": int, "default": 2}), ("--taxon-col", {"type": int, "default": 3}), ("--header", {"action": "store_true"}), ("--multi-dirs", {"action": "store_true", "help": "files are folders of samples, --reference their folder of mappings"}), ("--title-regex", {"default": compare.TITLE, "help": "groups are the parts of a result folder's name"}), ("--title-fields", {"nargs": "+", "default": compare.TITLE_FIELDS}), ("files", {"nargs": "+"}))
     command("input-check", ("--labels", {"required": True}))
     return p
 
@@ -134,6 +134,10 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         sinks.write_table(moved.groupBy("steps").agg({"count": "sum"}).orderBy("steps"), f"{a.output}_steps")
         rooted = moved.where("t2 = 1 and t1 <> 1").groupBy("t1").agg({"count": "sum"}).toDF("taxon", "n")
         sinks.write_lines(sinks.report_text(report.report_rows(rooted, tax)), f"{a.output}_taxaToRoot_report")
+    elif a.command == "compare" and a.multi_dirs:
+        reference = tax.defined(tables.mapping_of_samples(spark, a.reference, a.id_col, a.taxon_col, a.header, tax), "ref_taxon")
+        metrics = compare.many_metrics(tables.classifications_of_samples(spark, a.files, tax), reference, tax)
+        sinks.write_table(compare.with_title_fields(metrics, a.title_regex, a.title_fields).orderBy("title", "rank"), f"{a.output}_metrics.tsv")
     elif a.command == "compare":
         reference = tax.defined(tables.mapping(spark, a.reference, a.id_col, a.taxon_col, a.header, tax), "ref_taxon")
         for f in a.files:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,48 +38,73 @@ def hit_categories(pairs: DataFrame, taxonomy: Taxonomy, rank: str | None = None
     return t.select(*pairs.columns, "category", "index")
 
 
-def per_read_metrics(pairs: DataFrame, taxonomy: Taxonomy, rank: str | None = None) -> DataFrame:
-    """One row: reads, classified, tp, fp, vp, fn, ppv, sensitivity, mean_index."""
+def per_read_metrics(pairs: DataFrame, taxonomy: Taxonomy, rank: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each value of the keys, columns of pairs (one row without keys): reads, classified, tp, fp, vp, fn, ppv, sensitivity, mean_index."""
     t = hit_categories(pairs, taxonomy, rank)
 
     def n(c: str) -> Column:
         return F.count_if(F.col("category") == c)
 
-    t = t.agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("test_taxon") != NONE).alias("classified"), n("TruePos").alias("tp"), n("FalsePos").alias("fp"), n("VaguePos").alias("vp"), n("FalseNeg").alias("fn"), F.avg("index").alias("mean_index"))
+    t = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("test_taxon") != NONE).alias("classified"), n("TruePos").alias("tp"), n("FalsePos").alias("fp"), n("VaguePos").alias("vp"), n("FalseNeg").alias("fn"), F.avg("index").alias("mean_index"))
     ppv = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     return t.withColumn("ppv", ppv).withColumn("sensitivity", F.try_divide("tp", "reads"))
 
 
-def per_taxon_metrics(pairs: DataFrame, reference: DataFrame, taxonomy: Taxonomy, rank: str | None = "species", least: int = 10) -> DataFrame:
-    """One row: classified taxa, reference taxa, tp, fp, vp, fn, precision, recall of the taxa at a rank.
+def per_taxon_metrics(pairs: DataFrame, reference: DataFrame, taxonomy: Taxonomy, rank: str | None = "species", least: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each value of the keys: classified taxa, reference taxa, tp, fp, vp, fn, precision, recall of the taxa at a rank.
 
-    reference: ref_taxon of all reference reads. Ancestors of reference taxa
-    are vague: neither right nor wrong.
+    reference: keys and ref_taxon of all reference reads. Ancestors of reference
+    taxa are vague: neither right nor wrong.
     """
     level = Taxonomy.standard_at_level(DEPTH[rank]) if rank else F.col("taxon")
     at = taxonomy.table.select(F.col("taxon").alias("_x"), level.alias("at"), F.col("depth").alias("_d"))
-    ref = reference.join(at, F.col("ref_taxon") == F.col("_x")).where(F.col("at").isNotNull()).select(F.col("at").alias("taxon")).distinct()
-    vague = taxonomy.closure_up(ref).join(ref, "taxon", "left_anti")
-    found = pairs.join(at, F.col("test_taxon") == F.col("_x")).where(F.col("at").isNotNull() & (F.col("at") != NONE)).groupBy(F.col("at").alias("taxon")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("taxon")
+    on = [*keys, "taxon"]
+    ref = reference.select(*keys, "ref_taxon").distinct().join(at, F.col("ref_taxon") == F.col("_x")).where(F.col("at").isNotNull()).select(*keys, F.col("at").alias("taxon")).distinct()
+    vague = taxonomy.closure_up(ref, keys=keys).join(ref, on, "left_anti")
+    found = pairs.join(at, F.col("test_taxon") == F.col("_x")).where(F.col("at").isNotNull() & (F.col("at") != NONE)).groupBy(*keys, F.col("at").alias("taxon")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*on)
     if rank is None:
         found = found.join(taxonomy.table.where(F.col("depth") >= DEPTH["species"]).select("taxon"), "taxon", "left_semi")
-    t = ref.withColumn("r", F.lit(1)).join(found.withColumn("f", F.lit(1)), "taxon", "full").join(vague.withColumn("v", F.lit(1)), "taxon", "left")
+    t = ref.withColumn("r", F.lit(1)).join(found.withColumn("f", F.lit(1)), on, "full").join(vague.withColumn("v", F.lit(1)), on, "left")
     r, f, v = (F.col(c).isNotNull() for c in "rfv")
-    t = t.agg(F.count_if(f).alias("classified_taxa"), F.count_if(r).alias("reference_taxa"), F.count_if(r & f).alias("tp"), F.count_if(f & ~r & ~v).alias("fp"), F.count_if(f & v).alias("vp"), F.count_if(r & ~f).alias("fn"))
+    t = t.groupBy(*keys).agg(F.count_if(f).alias("classified_taxa"), F.count_if(r).alias("reference_taxa"), F.count_if(r & f).alias("tp"), F.count_if(f & ~r & ~v).alias("fp"), F.count_if(f & v).alias("vp"), F.count_if(r & ~f).alias("fn"))
     return t.withColumn("precision", F.try_divide(F.col("tp"), F.col("classified_taxa") - F.col("vp"))).withColumn("recall", F.try_divide("tp", "reference_taxa"))
 
 
-def all_metrics(pairs: DataFrame, reference: DataFrame, taxonomy: Taxonomy, ranks: tuple[str, ...] = ("genus", "species"), least: int = 10) -> DataFrame:
-    """The metrics of both kinds, a row for each rank."""
+def all_metrics(pairs: DataFrame, reference: DataFrame, taxonomy: Taxonomy, ranks: tuple[str, ...] = ("genus", "species"), least: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """The metrics of both kinds, a row for each rank and value of the keys that pairs have."""
     out = None
     for rank in ranks:
-        a = per_read_metrics(pairs, taxonomy, rank).withColumnsRenamed({c: f"read_{c}" for c in ("tp", "fp", "vp", "fn")})
-        b = per_taxon_metrics(pairs, reference, taxonomy, rank, least).withColumnsRenamed({c: f"taxon_{c}" for c in ("tp", "fp", "vp", "fn")})
-        row = a.crossJoin(b).withColumn("rank", F.lit(rank))  # one row each
+        a = per_read_metrics(pairs, taxonomy, rank, keys).withColumnsRenamed({c: f"read_{c}" for c in ("tp", "fp", "vp", "fn")})
+        b = per_taxon_metrics(pairs, reference, taxonomy, rank, least, keys).withColumnsRenamed({c: f"taxon_{c}" for c in ("tp", "fp", "vp", "fn")})
+        counts = ["classified_taxa", "reference_taxa", *(f"taxon_{c}" for c in ("tp", "fp", "vp", "fn"))]
+        both = a.join(b, list(keys), "left").na.fill(0, counts) if keys else a.crossJoin(b)  # without keys, one row each
+        row = both.withColumn("rank", F.lit(rank))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+# Fixed value: how result folders are named, and what their parts are.
+TITLE = r"([^/]*)/([^/]*)/([^/]+)_(\d+)_(\d+)_s(\d+)_c([\d.]+)(?:_classified)?/sample=([^/]*)$"
+TITLE_FIELDS = ("family", "group", "library", "k", "m", "s", "c", "sample")
+
+
+def many_metrics(found: DataFrame, reference: DataFrame, taxonomy: Taxonomy, ranks: tuple[str, ...] = ("genus", "species"), least: int = 10) -> DataFrame:
+    """all_metrics() of many result folders at once, by title and sample: a fixed number of jobs, however many folders.
+
+    found: title, sample, id, test_taxon; reference: sample, id, ref_taxon, each
+    sample's own. Samples without a reference are left out.
+    """
+    pairs = found.join(reference, ["sample", "id"])
+    of_titles = reference.select("sample", "ref_taxon").distinct().join(found.select("title", "sample").distinct(), "sample")
+    return all_metrics(pairs, of_titles, taxonomy, ranks, least, ["title", "sample"])
+
+
+def with_title_fields(metrics: DataFrame, pattern: str = TITLE, fields: Sequence[str] = TITLE_FIELDS) -> DataFrame:
+    """metrics with the parts of their titles as columns; rows whose titles do not match are left out."""
+    t = metrics.where(F.col("title").rlike(pattern))
+    return t.withColumns({f: F.regexp_extract("title", pattern, i) for i, f in enumerate(fields, 1)})
+
+
 def mapping_report_counts(mapping: DataFrame, taxonomy: Taxonomy, rank: str = "species") -> DataFrame:
     """taxon, n: pairs of mates by their taxon, for reads whose primary taxon is at the rank or below.
 

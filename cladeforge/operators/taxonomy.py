@@ -8,6 +8,8 @@ its first and last member. `path` holds the ids from the root down.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,9 +159,10 @@ class Taxonomy:
         last = F.when(F.size(over) > 0, F.element_at(over, -1)).otherwise(F.lit(-1))
         return F.get("path", last + 1)
 
-    def closure_up(self, taxa: DataFrame, column: str = "taxon") -> DataFrame:
-        """Distinct taxa with all their ancestors."""
-        return taxa.select(F.col(column).alias("_t")).distinct().join(self.table.select(F.col("taxon").alias("_t"), "path"), "_t").select(F.explode("path").alias("taxon")).distinct()
+    def closure_up(self, taxa: DataFrame, column: str = "taxon", keys: Sequence[str] = ()) -> DataFrame:
+        """Distinct taxa with all their ancestors, apart for each value of the keys."""
+        own = taxa.select(*keys, F.col(column).alias("_t")).distinct()
+        return own.join(self.table.select(F.col("taxon").alias("_t"), "path"), "_t").select(*keys, F.explode("path").alias("taxon")).distinct()
 
     def closure_down(self, taxa: DataFrame, column: str = "taxon") -> DataFrame:
         """Distinct taxa with all their descendants: nodes one of whose ancestors is among them."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import alphabet
 from ..operators import bracken, classify, compare, minimizers, report
 from ..operators.index import MinimizerIndex
-from ..sources import sequences, sinks, tables
+from ..sources import sequences, shared, sinks, tables
 from ..sources.shared import folder
 from . import fixtures as fx
 from .catalogue import ORACLE, QUERIES, query
@@ -307,6 +307,21 @@ def cmp_joined_files(spark, sf):
     return compare.hit_categories(pairs, fx.taxonomy(spark, sf), "species").select(F.col("id").cast("bigint").alias("id"), "ref_taxon", "test_taxon", "category")
 
 
+@query("""SELECT library, sample, count(*) AS reads, count(*) FILTER (c = 'TruePos') AS tp, count(*) FILTER (c = 'FalsePos') AS fp, count(*) FILTER (c = 'VaguePos') AS vp, count(*) FILTER (c = 'FalseNeg') AS fn FROM (
+    SELECT 'all' AS library, CAST(id % 3 AS VARCHAR) AS sample, category AS c FROM cats UNION ALL SELECT 'half', CAST(id % 3 AS VARCHAR), CASE WHEN id % 2 = 1 THEN 'FalseNeg' ELSE category END FROM cats) GROUP BY ALL""")
+def cmp_multi_dirs(spark, sf):
+    """Two result folders of three samples each, compared at once with the samples' own references."""
+    at, t = folder(spark, "results"), fx.assigned(spark, sf).withColumn("sample", (F.col("id") % 3).cast("string"))
+    for library, taxon in (("all", F.col("test_taxon")), ("half", F.when(F.col("id") % 2 == 1, 0).otherwise(F.col("test_taxon")))):
+        t.select("sample", F.lit("C"), "id", taxon, F.lit("100"), F.lit("")).write.partitionBy("sample").csv(f"{at}/f/g/{library}_35_31_s7_c0.15", sep="\t")
+    t.select("sample", F.lit("x"), "id", "ref_taxon").repartition("sample").write.partitionBy("sample").csv(f"{at}/written", sep="\t")
+    for i in range(3):
+        shared.move(spark, f"{at}/written/sample={i}", f"{at}/ref/sample{i}/reads_mapping.tsv")
+    found = tables.classifications_of_samples(spark, [f"{at}/f/g/{x}_35_31_s7_c0.15" for x in ("all", "half")])
+    m = compare.many_metrics(found, tables.mapping_of_samples(spark, f"{at}/ref"), fx.taxonomy(spark, sf), ("species",))
+    return compare.with_title_fields(m).select("library", "sample", "reads", *[F.col(f"read_{c}").alias(c) for c in ("tp", "fp", "vp", "fn")])
+
+
 @same_rows("cmp_per_read")
 def snk_metrics_file(spark, sf):
     """Metrics written with a header line, two files read as one: equal rows once."""

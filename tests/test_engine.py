@@ -370,6 +370,27 @@ def test_hit_categories(spark):
     assert {r["rank"] for r in m} == {"genus", "species"}
 
 
+def test_metrics_of_many_results_equal_those_of_each(spark):
+    rng = random.Random(3)
+    nodes = random_nodes(rng, 40)
+    tax = Taxonomy.from_nodes(spark.createDataFrame(nodes, NODES))
+    taxa = [n[0] for n in nodes]
+    truth = {(s, str(i)): rng.choice(taxa) for s in "ab" for i in range(40)}
+    found = [(f"x/{t}/sample={s}", s, i, rng.choice([0, ref, *rng.sample(taxa, 2)])) for t in range(3) for (s, i), ref in truth.items()]
+    found += [("x/0/sample=none", "none", "1", 1)]
+    found = spark.createDataFrame(found, "title string, sample string, id string, test_taxon int")
+    reference = spark.createDataFrame([(*k, v) for k, v in truth.items()], "sample string, id string, ref_taxon int")
+    got = {(r.title, r.sample, r["rank"]): r.asDict() for r in compare.many_metrics(found, reference, tax, least=2).collect()}
+    assert len(got) == 12
+    for title, sample in (("x/0/sample=a", "a"), ("x/2/sample=b", "b")):
+        own = reference.where(F.col("sample") == sample)
+        for r in compare.all_metrics(found.where(F.col("title") == title).drop("title", "sample").join(own, "id"), own, tax, least=2).collect():
+            one = r.asDict()
+            assert {k: v for k, v in got[title, sample, r["rank"]].items() if k in one} == one
+    m = compare.with_title_fields(spark.createDataFrame([("f/g/lib_x_35_31_s7_c0.15_classified/sample=S1",), ("other",)], "title string")).collect()
+    assert [tuple(r)[1:] for r in m] == [("f", "g", "lib_x", "35", "31", "7", "0.15", "S1")]
+
+
 def test_bad_arguments(spark):
     for a in ((150, 129, 7), (5, 6, 0), (35, 31, 16)):
         with pytest.raises(ValueError):

@@ -90,10 +90,19 @@ def test_command_line(spark, tmp_path):
         cli.run(spark, ["--partitions", "2", "respace", *common, "--spaces", "9", "--output", str(tmp_path / "idx2")])
         cli.run(spark, ["--partitions", "2", "compare-index", *common, "--reference", str(tmp_path / "idx2_s9"), "--output", str(tmp_path / "cmp")])
         cli.run(spark, ["--partitions", "2", "stats", *common])
+        for sample in ("S3", "S4"):
+            (tmp_path / f"ref/sample{sample}").mkdir(parents=True)
+            titles = [r.id for r in tables.classifications(spark, str(tmp_path / f"out_c0.15/sample={sample}")).collect()]
+            (tmp_path / f"ref/sample{sample}/reads_mapping.tsv").write_text("".join(f"x\t{t}\t{sample[1]}\n" for t in titles))
+        many = ["--multi-dirs", "--reference", str(tmp_path / "ref"), "--title-regex", "([^/]*)/sample=([^/]*)$", "--title-fields", "run", "name", "--output", str(tmp_path / "many")]
+        cli.run(spark, ["--partitions", "2", "compare", *common[:2], str(tmp_path / "out_c0.00"), str(tmp_path / "out_c0.15"), *many])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     lines = [r.value for r in spark.read.text(str(tmp_path / "out_c0.15/S3_kreport")).collect()]
     assert lines[0].startswith("#Perc") and any(x.split("\t")[4] == "3" and int(x.split("\t")[2]) == 20 for x in lines[1:])
+    metrics = spark.read.csv(str(tmp_path / "many_metrics.tsv"), sep="\t", header=True).collect()
+    assert {(r.run, r.name, r["rank"]) for r in metrics} == {(f"out_c{c}", s, k) for c in ("0.00", "0.15") for s in ("S3", "S4") for k in ("genus", "species")}
+    assert all(int(r.read_tp) == 20 for r in metrics if r["rank"] == "species")
     got = tables.classifications(spark, str(tmp_path / "out_c0.00/sample=S4"))
     assert {r.test_taxon for r in got.collect()} == {4} and got.count() == 20
     assert {r.value for r in spark.read.text(str(tmp_path / "two_taxonSet")).collect()} == {"3", "4"}
