@@ -105,6 +105,29 @@ def decode(code: Column, length: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), length, "0"), "0123", "ACGT")
 
 
+def reverse_complement_code(code: Column, length: int) -> Column:
+    """Code of the reverse complement of a coded word: letters turned over by swapping ever larger halves."""
+    x = F.bitwise_not(code)
+    # The lower ones of neighbouring groups of 2, 4, 8, 16 bits.
+    for bits, lower in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        x = F.shiftrightunsigned(x, bits).bitwiseAND(F.lit(lower)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(lower)), bits))
+    return F.shiftrightunsigned(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32)), 64 - 2 * length)
+
+
+def unpacked(letters: Column, length: Column) -> Column:
+    """Letters of an array of bigints that hold 32 each, left aligned."""
+    texts = F.transform(letters, lambda w: F.translate(F.lpad(F.conv(F.hex(w), 16, 4), 32, "0"), "0123", "ACGT"))
+    return F.substr(F.array_join(texts, ""), F.lit(1), length.cast("int"))
+
+
+def code_at(letters: str, place: str, length: int) -> Column:
+    """Code of the word of at most 31 letters at a place (from 0) of such an array; names of columns."""
+    shift = f"2 * ({place} % 32)"
+    first, second = f"get({letters}, {place} div 32)", f"coalesce(get({letters}, {place} div 32 + 1), 0L)"
+    both = f"shiftleft({first}, {shift}) | shiftrightunsigned(shiftrightunsigned({second}, 1), 63 - {shift})"
+    return F.expr(f"shiftrightunsigned({both}, {64 - 2 * length})")
+
+
 def priority(word: Column, scheme: Scheme) -> Column:
     """What minimizers are compared by: the (canonical) code, toggled, with its spaces cleared."""
     w = canonical(word) if scheme.canonical else word

@@ -19,13 +19,27 @@ def kmers(sequences: DataFrame, k: int, forward_only: bool = False) -> DataFrame
 
 
 def counts(sequences: DataFrame, k: int, canonical: bool = True, abundance: str | None = None) -> DataFrame:
-    """word, n: k-mers with how often they occur, each sequence counting as often as its abundance says."""
-    t = minimizers.words(sequences, k)
-    word = alphabet.canonical(F.col("word")) if canonical else F.col("word")
-    if abundance is None:
-        return t.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    weight = sequences.groupBy("header").agg(F.sum(abundance).alias("w"))
-    return t.join(weight, "header").groupBy(word.alias("word")).agg(F.sum("w").alias("n"))
+    """word, n: k-mers with how often they occur, each sequence counting as often as its abundance says.
+
+    Super-mers are dealt by minimizer, with their letters packed; k-mers are
+    made where all that can be equal meet, and counted there, so no k-mer is
+    shuffled. k-mers with other letters than A, C, G, T, U are left out; lower
+    case counts as upper, U as T. A null abundance counts as none. Words of
+    over 31 letters are cut out of the same super-mers as text.
+    """
+    scheme = alphabet.Scheme(k, max(1, min(15, k - k // 3)), 0, canonical)
+    weighted = sequences.select(F.lit(1).cast("bigint").alias("w") if abundance is None else F.col(abundance).cast("bigint").alias("w"), "nucleotides")
+    t = minimizers.counted_supermers(weighted, "w", scheme).repartition("minimizer")
+    if k <= 31:
+        t = t.select("minimizer", "letters", "n", F.explode(F.sequence(F.lit(0), F.col("kmers") - 1)).alias("at"))
+        t = t.select("minimizer", "n", alphabet.code_at("letters", "at", k).alias("code"))
+        if canonical:
+            t = t.select("minimizer", "n", F.least("code", alphabet.reverse_complement_code(F.col("code"), k)).alias("code"))
+        return t.groupBy("minimizer", "code").agg(F.sum("n").alias("n")).select(alphabet.decode(F.col("code"), k).alias("word"), "n")
+    t = t.select("minimizer", alphabet.unpacked(F.col("letters"), F.col("kmers") + (k - 1)).alias("text"), "n", F.explode(F.sequence(F.lit(1), F.col("kmers"))).alias("at"))
+    word = F.substr("text", F.col("at"), F.lit(k))
+    t = t.groupBy("minimizer", (alphabet.canonical(word) if canonical else word).alias("word")).agg(F.sum("n").alias("n"))
+    return t.select("word", "n")
 
 
 def table_priorities(motifs: DataFrame, letters: int) -> DataFrame:

@@ -91,7 +91,8 @@ def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
 
     text: index of the sequence; flag; location: offset of its first letter,
     white space left out; kmers; minimizer (0 where ambiguous). Wide
-    minimizers are numbers here, and `words` has the codes by number.
+    minimizers are numbers here, and `words` has the codes by number. codes:
+    those of all letters but white space; at: where in them a super-mer begins.
     """
     k, m = scheme.k, scheme.m
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -102,7 +103,7 @@ def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
         codes, owner = codes[keep], owner[keep]
     none, words = np.zeros(0, np.int64), np.zeros((1, len(scheme.rests)), np.int64)
     if not len(codes):
-        return {"text": none, "flag": none, "location": none, "kmers": none, "minimizer": none, "words": words}
+        return {"text": none, "flag": none, "location": none, "kmers": none, "minimizer": none, "words": words, "codes": codes, "at": none}
     first = np.searchsorted(owner, np.arange(len(texts)))
     good = codes < 4
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (good[1:] != good[:-1])])
@@ -124,12 +125,25 @@ def supermers(texts: list[bytes], scheme: Scheme) -> dict[str, np.ndarray]:
         # positions of all k-mers of sound stretches
         at = np.repeat(start - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         least = rank[at]
-        head = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])
+        begins = np.zeros(len(at), bool)
+        begins[np.cumsum(count) - count] = True
+        head = np.flatnonzero(begins | np.r_[True, least[1:] != least[:-1]])
         out.append((owner[at[head]], np.full(len(head), SEQUENCE), at[head], np.diff(np.r_[head, len(at)]), least[head]))
     text, flag, location, kmers, minimizer = (np.concatenate(c) for c in zip(*out, strict=True))
     order = np.argsort(location, kind="stable")
-    text = text[order]
-    return {"text": text, "flag": flag[order], "location": location[order] - first[text], "kmers": kmers[order], "minimizer": minimizer[order], "words": words}
+    text, location = text[order], location[order]
+    return {"text": text, "flag": flag[order], "location": location - first[text], "kmers": kmers[order], "minimizer": minimizer[order], "words": words, "codes": codes, "at": location}
+
+
+def packed_letters(codes: np.ndarray, at: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The given number of letters (0 to 32) from each place on, 2 bits each, left aligned, the rest 0."""
+    full = (codes & 3).astype(np.uint64)
+    for half in (1, 2, 4, 8, 16):
+        full = (full << np.uint64(2 * half)) | np.r_[full[half:], np.zeros(min(half, len(full)), np.uint64)][: len(full)]
+    unused = (2 * (32 - letters)).astype(np.uint64)
+    word = np.where(letters > 0, full[np.minimum(at, len(codes) - 1)], np.uint64(0))
+    # in two steps: a shift by 64 is not defined
+    return (word >> (unused >> np.uint64(1)) >> (unused - (unused >> np.uint64(1))) << (unused >> np.uint64(1)) << (unused - (unused >> np.uint64(1)))).view(np.int64)
 
 
 def key_type(scheme: Scheme) -> str:
@@ -238,6 +252,62 @@ def positions(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     return sequences.select("header", "nucleotides").mapInArrow(run, f"header string, location bigint, length bigint, kmers bigint, minimizer {key_type(scheme)}")
 
 
+def supermers_with_letters(sequences: DataFrame, scheme: Scheme) -> DataFrame:
+    """header, location, kmers, minimizer, letters: the super-mers of positions() with their letters, 32 in a bigint (alphabet.unpacked() reads them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in parts(batch, [1]):
+                s = supermers([t or b"" for t in texts[0]], scheme)
+                ok = s["flag"] == SEQUENCE
+                kmers, length = s["kmers"][ok], s["kmers"][ok] + scheme.k - 1
+                n = (length + 31) // 32
+                ends = np.r_[0, np.cumsum(n)]
+                done = 32 * (np.arange(ends[-1]) - np.repeat(ends[:-1], n))
+                words = packed_letters(s["codes"], np.repeat(s["at"][ok], n) + done, np.minimum(np.repeat(length, n) - done, 32)) if len(done) else done
+                letters = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(s["text"][ok])), pa.array(s["location"][ok]), pa.array(kmers), key_column(s["minimizer"][ok], s["words"], scheme), letters], ["header", "location", "kmers", "minimizer", "letters"])
+
+    return sequences.select("header", "nucleotides").mapInArrow(run, f"header string, location bigint, kmers bigint, minimizer {key_type(scheme)}, letters array<bigint>")
+
+
+def counted_supermers(sequences: DataFrame, weight: str, scheme: Scheme) -> DataFrame:
+    """minimizer, kmers, letters, n: distinct super-mers of sequences (weight, nucleotides) with the sum of their weights.
+
+    Equal ones are put together within a batch. A super-mer of more letters
+    than one k-mer's minimizer can span (a repeat) is cut into pieces of so
+    many, so all have as many words of letters.
+    """
+    k, width = scheme.k, -(-(2 * scheme.k - scheme.m) // 32)
+    most = 32 * width - (k - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in parts(batch, [1]):
+                s = supermers([t or b"" for t in texts[0]], scheme)
+                ok = np.flatnonzero(s["flag"] == SEQUENCE)
+                if not len(ok):
+                    continue
+                n = -(-s["kmers"][ok] // most)
+                piece = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+                of = np.repeat(ok, n)
+                kmers = np.minimum(s["kmers"][of] - piece * most, most)
+                at = (s["at"][of] + piece * most)[:, None] + 32 * np.arange(width)
+                left = np.clip((kmers + k - 1)[:, None] - 32 * np.arange(width), 0, 32)
+                words = packed_letters(s["codes"], at.ravel(), left.ravel()).reshape(-1, width)
+                weights = part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[s["text"][of]]
+                columns = [kmers, *words.T, s["minimizer"][of]]
+                order = np.lexsort(columns)
+                same = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+                head = np.flatnonzero(np.r_[True, ~same])
+                kept = order[head]
+                ends = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * width)
+                letters = pa.ListArray.from_arrays(ends, pa.array(words[kept].ravel()))
+                yield pa.RecordBatch.from_arrays([key_column(s["minimizer"][of][kept], s["words"], scheme), pa.array(kmers[kept].astype(np.int32)), letters, pa.array(np.add.reduceat(weights[order], head))], ["minimizer", "kmers", "letters", "n"])
+
+    return sequences.select(weight, "nucleotides").mapInArrow(run, f"minimizer {key_type(scheme)}, kmers int, letters array<bigint>, n bigint")
+
+
 # The same as DataFrame operations, for words of A, C, G, T only.
 
 

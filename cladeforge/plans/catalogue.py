@@ -255,6 +255,26 @@ def seq_supermers_window(spark, sf):
     return minimizers.supermers_by_window(fx.genomes(spark, sf), S)
 
 
+@query(f"SELECT header, location, substr(nt, CAST(location + 1 AS BIGINT), kmers + {S.k - 1}) AS letters, mn AS minimizer FROM gk_spans JOIN genomes USING (header)")
+def seq_supermers_letters(spark, sf):
+    """Super-mers with their letters, packed by the kernel and unpacked here."""
+    t = minimizers.supermers_with_letters(fx.genomes(spark, sf), S)
+    return t.select("header", "location", alphabet.unpacked(F.col("letters"), F.col("kmers") + (S.k - 1)).alias("letters"), "minimizer")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS word FROM (SELECT substr(nt, pos, 45) AS w FROM (SELECT nt, unnest(range(1, length(nt) - 43)) AS pos FROM genomes))) GROUP BY word")
+def seq_kmer_counts_wide(spark, sf):
+    """k-mers of over 31 letters."""
+    return kmer_tables.counts(fx.genomes(spark, sf), 45)
+
+
+@query("SELECT DISTINCT w AS word, reverse(translate(w, 'ACGT', 'TGCA')) AS other FROM (SELECT substr(nt, pos, 23) AS w FROM (SELECT nt, unnest(range(1, length(nt) - 21)) AS pos FROM genomes))")
+def seq_code_revcomp(spark, sf):
+    """Reverse complements of words as codes."""
+    t = _words(spark, sf, 23).select("word").distinct()
+    return t.select("word", alphabet.decode(alphabet.reverse_complement_code(alphabet.encode(F.col("word")), 23), 23).alias("other"))
+
+
 @query("SELECT header, CAST(pos AS BIGINT) AS pos, motif FROM (SELECT header, pos, substr(nt, pos, 31) AS motif FROM (SELECT header, nt, unnest(range(1, length(nt) - 29)) AS pos FROM genomes))")
 def seq_motif_roundtrip(spark, sf):
     """Words through the priority and back: code and decode, toggled twice."""

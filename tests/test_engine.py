@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.functions import alphabet
 from cladeforge.functions.alphabet import Scheme
-from cladeforge.operators import bracken, classify, compare, dynamic, masking, minimizers, report
+from cladeforge.operators import bracken, classify, compare, dynamic, kmers as kmer_tables, masking, minimizers, report
 from cladeforge.operators.index import MinimizerIndex
 from cladeforge.operators.taxonomy import DEPTH, RANKS, Taxonomy
 
@@ -191,6 +191,40 @@ def test_wide_minimizers(spark, m, tmp_path):
     assert loaded.respace(9).records.count() <= loaded.records.count()
 
 
+@pytest.mark.parametrize(("k", "canonical"), [(1, True), (4, False), (12, True), (21, False), (31, True), (32, True), (33, False), (70, True)])
+def test_counts_through_supermers(spark, k, canonical):
+    """k-mers against counting word by word: other letters, lower case, repeats longer than a piece, equal rows, abundances."""
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGT" if rng.random() < 0.98 else "NacgU") for _ in range(rng.randrange(0, 300))) for _ in range(40)]
+    seqs += ["", "A" * 900, "AT" * 300, "ACG" * 120, "ACG" * 120, None]
+    rows = [(f"h{i % 30}", s, i % 4 if i % 9 else None) for i, s in enumerate(seqs)]
+    want = Counter()
+    for _, s, a in rows:
+        text = (s or "").upper().replace("U", "T")
+        for i in range(len(text) - k + 1):
+            w = text[i : i + k]
+            if "N" not in w and a is not None:
+                want[min(w, revcomp(w)) if canonical else w] += a
+    df = spark.createDataFrame(rows, "header string, nucleotides string, a int")
+    got = {r.word: r.n for r in kmer_tables.counts(df, k, canonical, "a").collect()}
+    assert {w: n for w, n in got.items() if n} == {w: n for w, n in want.items() if n}
+    plain = kmer_tables.counts(df, k, canonical)
+    assert plain.count() == plain.select("word").distinct().count()
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+
+
+def test_letters_of_supermers(spark):
+    scheme = Scheme(9, 5, 2)
+    seqs = ["ACGTACGGTTACGACNNACGTTGCAAACCA", "A" * 100, "ACG\nTACGGTT", "ACG", ""]
+    df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(seqs)], "header string, nucleotides string")
+    got = minimizers.supermers_with_letters(df, scheme).select("header", "location", "kmers", alphabet.unpacked(F.col("letters"), F.col("kmers") + 8).alias("x")).collect()
+    for r in got:
+        text = seqs[int(r.header[1:])].replace("\n", "")
+        assert r.x == text[r.location : r.location + r.kmers + 8]
+    assert sum(r.kmers for r in got) == 7 + 5 + 92 + 2
+
+
 def test_whitespace_is_skipped():
     s = Scheme(9, 5, 2)
     a, b = minimizers.supermers([b"ACGTACGGTTACGAC"], s), minimizers.supermers([b"ACGTA\nCGGTT\r\nACGAC\n"], s)
