@@ -6,6 +6,7 @@ import argparse
 
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions.alphabet import Scheme
 from .operators import bracken, classify, compare, dynamic, report
@@ -45,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     command(
         "classify2", index, library, *reading,
         ("--rank", {"default": "species"}), ("--min-count", {"type": int}), ("--min-distinct", {"type": int}), ("--min-fraction", {"type": float}), ("--reads", {"type": int}),
-        ("--init-confidence", {"type": float, "default": 0.15}), ("--bracken-length", {"type": int}), ("--gold-set", {}), ("--classify-with-gold", {"action": "store_true"}), ("--promote-gold-set", {}),
+        ("--init-confidence", {"type": float, "default": 0.15}), ("--bracken-length", {"type": int}), ("--gold-set", {}), ("--classify-with-gold", {"action": "store_true"}), ("--promote-gold-set", {}), ("--index-reports", {"action": "store_true", "help": "also report what supports the taxa, and the coverage of the library by the index"}),
     )
     command("bracken-build", index, library, output, ("--read-len", {"type": int, "default": 100}))
     command("stats", index, ("--library", {}), ("--histogram", {}))
@@ -101,6 +102,12 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         kept = gold if a.classify_with_gold and gold is not None else dynamic.supported(dynamic.counts(reads, loaded, _criterion(a), a.rank), tax, _criterion(a), a.rank)
         kept = kept.persist(StorageLevel.DISK_ONLY)
         sinks.write_taxa(kept, f"{a.output}_taxonSet")
+        if a.index_reports:
+            sinks.write_kinds(report.report_rows(dynamic.support_counts(reads, loaded, a.rank, a.min_hits), tax, ["kind"]), f"{a.output}_support_report")
+            coverage = loaded.full_coverage(genomes, labels).persist(StorageLevel.DISK_ONLY)
+            sinks.write_support(coverage, f"{a.output}_support_report_minimizerCoverage")
+            sinks.write_support(coverage, f"{a.output}_support_report_minimizerDistinctCoverage", "distinct_coverage")
+            coverage.unpersist()
         if gold is not None:
             sinks.write_table(dynamic.set_metrics(kept, gold), f"{a.output}_set_metrics")
         second = dynamic.dynamic_index(genomes, labels, loaded, tax.closure_down(kept))
@@ -121,14 +128,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         if a.library:
             loaded.leaf_coverage(*_library(spark, a.library, loaded.scheme.k)).select("fraction", "total").summary().show()
     elif a.command == "inspect":
-        sinks.write_lines(sinks.report_text(report.report_rows(loaded.counts_per_taxon(), tax)), f"{a.output}_min_report")
+        labels = tables.labels(spark, a.labels) if a.labels else None
+        rows = report.report_rows(report.index_counts(loaded.counts_per_taxon(), labels), tax, ["kind"]).withColumn("kind", F.concat("kind", F.lit("_report")))
+        # with a library, the first report tells average sizes of genomes too
+        sinks.write_kinds(rows.where("kind <> 'min_report'") if a.library else rows, a.output)
         if a.library:
-            genomes, labels = _library(spark, a.library, loaded.scheme.k)
-            sizes = loaded.genome_sizes(genomes, labels)
+            genomes, of_genomes = _library(spark, a.library, loaded.scheme.k)
+            sizes = loaded.genome_sizes(genomes, of_genomes)
             sinks.write_table(report.kmer_averages(sizes, tax), f"{a.output}_genome_sizes")
-            sinks.write_lines(sinks.report_text(report.report_rows(sizes.withColumnRenamed("size", "n"), tax)), f"{a.output}_genome_report")
-        if a.labels:
-            sinks.write_taxa(loaded.missing_taxa(tables.labels(spark, a.labels)), f"{a.output}_missing_report")
+            averages = report.averages_report(loaded.counts_per_taxon(), sizes, tax).withColumn("kind", F.lit("min_report"))
+            sinks.write_kinds(averages, a.output, ["s1", "s2", "s3"])
     elif a.command == "compare-index":
         moved = loaded.migration(MinimizerIndex.load(spark, a.reference, tax)).groupBy("t1", "t2", "steps").count()
         sinks.write_table(moved.groupBy("steps").agg({"count": "sum"}).orderBy("steps"), f"{a.output}_steps")
@@ -144,8 +153,10 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             pairs = tables.classifications(spark, f, tax).join(reference, "id")
             sinks.write_table(compare.all_metrics(pairs, reference, tax), f"{a.output}_{f.strip('/').split('/')[-1]}_metrics")
     elif a.command == "input-check":
-        tax.unknown(tables.labels(spark, a.labels)).show(truncate=False)
-        tax.missing_levels().show()
+        labels = tables.labels(spark, a.labels)
+        tax.unknown(labels).show(truncate=False)
+        report.label_stats(labels, tax).show()
+        report.label_levels(labels, tax).orderBy("level").show()
 
 
 if __name__ == "__main__":

@@ -152,9 +152,10 @@ class MinimizerIndex:
         return self.counts_per_taxon().orderBy(F.desc("n"), "taxon").limit(n)
 
     def coverage_summary(self, sequences: DataFrame, labels: DataFrame) -> DataFrame:
-        """One row: number, least, mean, deviation and most of the fractions of leaf_coverage()."""
+        """One row: number, least, mean, deviation, quartiles and most of the fractions of leaf_coverage(); a quartile is one of the fractions."""
         f = F.col("fraction")
-        return self.leaf_coverage(sequences, labels).agg(F.count(f).alias("taxa"), F.min(f).alias("least"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("deviation"), F.max(f).alias("most"))
+        quartiles = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY fraction)").alias(name) for q, name in ((0.25, "quarter"), (0.5, "half"), (0.75, "three_quarters"))]
+        return self.leaf_coverage(sequences, labels).agg(F.count(f).alias("taxa"), F.min(f).alias("least"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("deviation"), *quartiles, F.max(f).alias("most"))
 
     def of_genomes(self, sequences: DataFrame, labels: DataFrame) -> DataFrame:
         """taxon, id1, n, kmers: each taxon's distinct minimizers, with its super-mers and k-mers that have them."""

@@ -99,6 +99,19 @@ def averages_report(counts: DataFrame, sizes: DataFrame, taxonomy: Taxonomy) ->
     return report_rows(counts, taxonomy).join(averages, "taxon", "left")
 
 
+def index_counts(per_taxon: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """kind, taxon, n of the reports that describe an index, from its minimizers by taxon (taxon, n).
+
+    min: minimizers; genome: one for each taxon that has any; missing: one for
+    each labelled taxon that has none.
+    """
+    t = per_taxon.select(F.explode(F.create_map(F.lit("min"), F.col("n"), F.lit("genome"), F.lit(1).cast("bigint"))).alias("kind", "n"), "taxon").select("kind", "taxon", "n")
+    if labels is None:
+        return t
+    missing = labels.select("taxon").distinct().join(per_taxon.select("taxon"), "taxon", "left_anti")
+    return t.unionByName(missing.select(F.lit("missing").alias("kind"), "taxon", F.lit(1).cast("bigint").alias("n")))
+
+
 def filtered(rows: DataFrame, taxonomy: Taxonomy, depth: int | None = None, least_percent: float = 0.0, clade: int | None = None) -> DataFrame:
     """Report rows down to a depth, of at least a percentage, in the clade of a taxon."""
     t = rows.where(F.col("percent") >= least_percent)
@@ -111,6 +124,13 @@ def filtered(rows: DataFrame, taxonomy: Taxonomy, depth: int | None = None, leas
     return t
 
 
+def label_levels(labels: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """level, n: of the labelled taxa, how many lack a standard level on their way to the root."""
+    taxa = labels.select("taxon").distinct()
+    missing = taxonomy.missing_levels().join(taxa, "taxon", "left_semi").select(F.explode("missing").alias("level"))
+    return missing.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_stats(labels: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """One row: unknown taxa of labels, those inside the tree, valid ones, nodes of the tree they imply."""
     taxa = labels.select("taxon").distinct()

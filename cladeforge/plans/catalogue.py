@@ -606,13 +606,34 @@ def rpt_tkc(spark, sf):
     return t.select("taxon", "s1", "s2", "s3")
 
 
+@query(f"""SELECT t.taxon, c.clade, c.own, CAST(round(t.s1) AS BIGINT) AS s1, CAST(round(t.s2) AS BIGINT) AS s2, CAST(round(t.s3) AS BIGINT) AS s3 FROM ({ORACLE["rpt_tkc"]}) t JOIN (
+    SELECT x.a AS taxon, CAST(sum(z.size) AS BIGINT) AS clade, CAST(sum(CASE WHEN z.taxon = x.a THEN z.size ELSE 0 END) AS BIGINT) AS own
+    FROM (SELECT CAST(c_custkey % (SELECT count(*) FROM part) + 10000 AS INTEGER) AS taxon, c_custkey % 100 + 1 AS size FROM customer) z JOIN anc x ON x.taxon = z.taxon GROUP BY x.a) c ON c.taxon = t.taxon""")
+def rpt_averages(spark, sf):
+    """The report of sizes with average sizes of the genomes below each node."""
+    n = fx.table(spark, sf, "part").count()
+    sizes = fx.table(spark, sf, "customer").select((F.col("c_custkey") % n + 10000).cast("int").alias("taxon"), (F.col("c_custkey") % 100 + 1).alias("size"))
+    t = report.averages_report(sizes.withColumnRenamed("size", "n"), sizes, fx.taxonomy(spark, sf))
+    return t.select("taxon", "clade", "own", "s1", "s2", "s3")
+
+
+LABELLED = {"lab": "SELECT DISTINCT CAST(CASE WHEN s_suppkey % 3 = 0 THEN 100 + s_suppkey % 25 WHEN s_suppkey % 3 = 1 THEN 10000 + s_suppkey ELSE 70000 + s_suppkey END AS INTEGER) AS taxon FROM supplier"}
+
+
+def _labelled(spark, sf):
+    k = F.col("s_suppkey")
+    return fx.table(spark, sf, "supplier").select(F.when(k % 3 == 0, 100 + k % 25).when(k % 3 == 1, 10000 + k).otherwise(70000 + k).cast("int").alias("taxon")).distinct()
+
+
 @query("""SELECT (SELECT count(*) FROM lab WHERE taxon NOT IN (SELECT taxon FROM nodes)) AS unknown, (SELECT count(*) FROM lab WHERE taxon IN (SELECT parent FROM nodes)) AS inner_taxa, (SELECT count(*) FROM lab WHERE taxon IN (SELECT taxon FROM nodes)) AS valid,
-    (SELECT count(DISTINCT a) FROM lab JOIN anc USING (taxon)) AS tree_size""", {"lab": "SELECT DISTINCT CAST(CASE WHEN s_suppkey % 3 = 0 THEN 100 + s_suppkey % 25 WHEN s_suppkey % 3 = 1 THEN 10000 + s_suppkey ELSE 70000 + s_suppkey END AS INTEGER) AS taxon FROM supplier"})
+    (SELECT count(DISTINCT a) FROM lab JOIN anc USING (taxon)) AS tree_size""", LABELLED)
 def rpt_label_stats(spark, sf):
-    k = F.col("s_suppkey")
-    tax = fx.taxonomy(spark, sf)
-    lab = fx.table(spark, sf, "supplier").select(F.when(k % 3 == 0, 100 + k % 25).when(k % 3 == 1, 10000 + k).otherwise(70000 + k).cast("int").alias("taxon")).distinct()
-    return report.label_stats(lab, tax)
+    return report.label_stats(_labelled(spark, sf), fx.taxonomy(spark, sf))
+
+
+@query("SELECT CAST(level AS INTEGER) AS level, count(*) AS n FROM (SELECT taxon, unnest(range(1, 9)) AS level FROM lab JOIN nodes USING (taxon)) x WHERE NOT EXISTS (SELECT 1 FROM anc JOIN tree t ON t.taxon = a WHERE anc.taxon = x.taxon AND t.depth = x.level) GROUP BY level", LABELLED)
+def rpt_label_levels(spark, sf):
+    return report.label_levels(_labelled(spark, sf), fx.taxonomy(spark, sf))
 
 
 @query("SELECT CAST(x.a AS INTEGER) AS taxon, count(*) AS clade FROM cls c JOIN anc x USING (taxon) WHERE x.a IN (SELECT taxon FROM anc WHERE a = 12) AND x.a IN (SELECT taxon FROM tree WHERE depth <= 7) GROUP BY x.a", resolved(0.15))

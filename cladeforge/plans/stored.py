@@ -7,12 +7,12 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet
-from ..operators import bracken, classify, compare, minimizers, report
+from ..operators import bracken, classify, compare, dynamic, minimizers, report
 from ..operators.index import MinimizerIndex
 from ..sources import sequences, shared, sinks, tables
 from ..sources.shared import folder
 from . import fixtures as fx
-from .catalogue import ORACLE, QUERIES, query
+from .catalogue import ORACLE, QUERIES, SUPPORT, query
 from .oracle import S, code, resolved
 
 
@@ -252,6 +252,39 @@ def snk_support_report(spark, sf):
     return spark.read.text(at)
 
 
+def _kinds(spark, at: str):
+    """kind, taxon, clade, own from reports at <at>_<kind>; lines of reads of no taxon and headers left out."""
+    part = F.split("value", "\t")
+    lines = spark.read.text(f"{at}_*").where(~F.col("value").startswith("#")).withColumn("kind", F.regexp_extract(F.col("_metadata.file_path"), r"/out_([^/]*)/", 1))
+    return lines.select("kind", part[4].cast("int").alias("taxon"), part[1].cast("bigint").alias("clade"), part[2].cast("bigint").alias("own"))
+
+
+def _kinds_sql(counts: str) -> str:
+    """The same from SQL for kind, taxon, n."""
+    return f"""SELECT c.kind, CAST(x.a AS INTEGER) AS taxon, CAST(sum(c.n) AS BIGINT) AS clade, CAST(sum(CASE WHEN c.taxon = x.a THEN c.n ELSE 0 END) AS BIGINT) AS own
+        FROM ({counts}) c JOIN anc x ON x.taxon = c.taxon GROUP BY c.kind, x.a"""
+
+
+@query(
+    _kinds_sql("SELECT 'totalKmerCount' AS kind, taxon, kmers AS n FROM sup UNION ALL SELECT 'distinctMinimizerCount', taxon, d FROM sup UNION ALL SELECT 'totalMinimizerCount', taxon, h FROM sup UNION ALL SELECT 'classifiedReadCount', taxon, count(*) FROM cls WHERE taxon <> 0 GROUP BY taxon"),
+    resolved(0.0) | {"sup": SUPPORT},
+)
+def snk_support_counts(spark, sf):
+    """The four reports of support for the taxa of an index, written by one job and read back."""
+    at, tax = f"{folder(spark, 'support')}/out", fx.taxonomy(spark, sf)
+    sinks.write_kinds(report.report_rows(dynamic.support_counts(fx.reads(spark, sf), fx.index(spark, sf)), tax, ["kind"]), at)
+    return _kinds(spark, at)
+
+
+@query(_kinds_sql("SELECT 'min' AS kind, taxon, count(*) AS n FROM idx GROUP BY taxon UNION ALL SELECT DISTINCT 'genome', taxon, 1 FROM idx UNION ALL SELECT 'missing', tax, 1 FROM parts WHERE tax NOT IN (SELECT taxon FROM idx WHERE taxon % 2 = 0)").replace("FROM idx", "FROM half_idx"), {"half_idx": "SELECT * FROM idx WHERE taxon % 2 = 0"})
+def snk_index_reports(spark, sf):
+    """The three reports on an index: its minimizers, its taxa, and labelled taxa that it lacks. Of the index only taxa with even ids are kept, so that some are missing."""
+    at, tax = f"{folder(spark, 'inspect')}/out", fx.taxonomy(spark, sf)
+    counts = report.index_counts(fx.index(spark, sf).counts_per_taxon().where("taxon % 2 = 0"), fx.labels(spark, sf))
+    sinks.write_kinds(report.report_rows(counts, tax, ["kind"]), at)
+    return _kinds(spark, at)
+
+
 @query("SELECT taxon, n FROM (SELECT taxon, count(*) AS n FROM idx GROUP BY taxon) ORDER BY n DESC, taxon LIMIT 20")
 def idx_largest_taxa(spark, sf):
     """The twenty taxa with most minimizers."""
@@ -265,7 +298,7 @@ def idx_distinct_of_requested(spark, sf):
     return fx.index(spark, sf).distinct_per_taxon(fx.genomes(spark, sf), fx.labels(spark, sf), asked)
 
 
-@query("""SELECT count(*) AS taxa, min(f) AS least, avg(f) AS mean, stddev_samp(f) AS deviation, max(f) AS most FROM (
+@query("""SELECT count(*) AS taxa, min(f) AS least, avg(f) AS mean, stddev_samp(f) AS deviation, quantile_disc(f, 0.25) AS quarter, quantile_disc(f, 0.5) AS half, quantile_disc(f, 0.75) AS three_quarters, max(f) AS most FROM (
     SELECT tax, count(*) FILTER (i.taxon = tax) / CAST(count(*) AS DOUBLE) AS f FROM gmin JOIN idx i ON i.id1 = mn GROUP BY tax)""")
 def idx_coverage_summary(spark, sf):
     return fx.index(spark, sf).coverage_summary(fx.genomes(spark, sf), fx.labels(spark, sf))

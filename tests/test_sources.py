@@ -85,10 +85,12 @@ def test_command_line(spark, tmp_path):
     try:
         cli.run(spark, ["--partitions", "2", "build", *common, "--library", str(tmp_path / "lib"), "-k", "35"])
         cli.run(spark, ["--partitions", "2", "classify", *common, str(tmp_path / "r.fq"), "--sample-regex", "(S[0-9])", "--confidence", "0", "0.15", "--output", str(tmp_path / "out")])
-        cli.run(spark, ["--partitions", "2", "classify2", *common, "--library", str(tmp_path / "lib"), str(tmp_path / "r.fq"), "--reads", "2", "--bracken-length", "100", "--output", str(tmp_path / "two")])
+        cli.run(spark, ["--partitions", "2", "classify2", *common, "--library", str(tmp_path / "lib"), str(tmp_path / "r.fq"), "--reads", "2", "--bracken-length", "100", "--index-reports", "--output", str(tmp_path / "two")])
         cli.run(spark, ["--partitions", "2", "inspect", *common, "--library", str(tmp_path / "lib"), "--labels", str(tmp_path / "lib/seqid2taxid.map"), "--output", str(tmp_path / "ins")])
         cli.run(spark, ["--partitions", "2", "respace", *common, "--spaces", "9", "--output", str(tmp_path / "idx2")])
         cli.run(spark, ["--partitions", "2", "compare-index", *common, "--reference", str(tmp_path / "idx2_s9"), "--output", str(tmp_path / "cmp")])
+        cli.run(spark, ["--partitions", "2", "inspect", *common, "--output", str(tmp_path / "bare")])
+        cli.run(spark, ["--partitions", "2", "input-check", *common[:2], "--labels", str(tmp_path / "lib/seqid2taxid.map")])
         cli.run(spark, ["--partitions", "2", "stats", *common])
         for sample in ("S3", "S4"):
             (tmp_path / f"ref/sample{sample}").mkdir(parents=True)
@@ -106,6 +108,15 @@ def test_command_line(spark, tmp_path):
     got = tables.classifications(spark, str(tmp_path / "out_c0.00/sample=S4"))
     assert {r.test_taxon for r in got.collect()} == {4} and got.count() == 20
     assert {r.value for r in spark.read.text(str(tmp_path / "two_taxonSet")).collect()} == {"3", "4"}
+    for name in ("totalKmerCount", "distinctMinimizerCount", "totalMinimizerCount", "classifiedReadCount"):
+        lines = [r.value for r in spark.read.text(str(tmp_path / f"two_support_report_{name}")).collect()]
+        assert lines[0].startswith("#Perc") and {x.split("\t")[4] for x in lines[1:] if int(x.split("\t")[2])} >= {"3", "4"}
+    for name in ("minimizerCoverage", "minimizerDistinctCoverage"):
+        assert {r.value.split("  ")[0] for r in spark.read.text(str(tmp_path / f"two_support_report_{name}")).collect()} == {"3", "4"}
+    averages = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "ins_min_report")).collect()]
+    assert averages[0][-3:] == ["s1", "s2", "s3"] and len({len(x) for x in averages}) == 1
+    for name in ("ins_genome_report", "bare_genome_report", "bare_min_report"):
+        assert len(spark.read.text(str(tmp_path / name)).collect()) > 2
     weights = [r.value for r in spark.read.text(str(tmp_path / "two_database100mers")).collect()]
     assert weights[1] == "3\t3:701:701" and weights[2] == "4\t4:701:701"
 
