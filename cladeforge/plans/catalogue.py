@@ -636,12 +636,12 @@ def rpt_label_levels(spark, sf):
     return report.label_levels(_labelled(spark, sf), fx.taxonomy(spark, sf))
 
 
-@query("SELECT CAST(x.a AS INTEGER) AS taxon, count(*) AS clade FROM cls c JOIN anc x USING (taxon) WHERE x.a IN (SELECT taxon FROM anc WHERE a = 12) AND x.a IN (SELECT taxon FROM tree WHERE depth <= 7) GROUP BY x.a", resolved(0.15))
+@query("SELECT CAST(x.a AS INTEGER) AS taxon, count(*) AS clade, count(*) FILTER (c.taxon = x.a) AS own FROM cls c JOIN anc x USING (taxon) WHERE x.a IN (SELECT taxon FROM anc WHERE a = 12) AND x.a IN (SELECT taxon FROM tree WHERE depth <= 7) GROUP BY x.a", resolved(0.15))
 def rpt_filtered(spark, sf):
     """The report of one family, down to genus."""
     t = classify.classify(fx.reads(spark, sf), fx.index(spark, sf), [0.15], with_details=False)
     rows = report.report_rows(t.groupBy("taxon").agg(F.count(F.lit(1)).alias("n")), fx.taxonomy(spark, sf))
-    return report.filtered(rows, fx.taxonomy(spark, sf), DEPTH["genus"], 0.0, 12).select("taxon", "clade")
+    return report.filtered(rows, fx.taxonomy(spark, sf), DEPTH["genus"], 0.0, 12).select("taxon", "clade", "own")
 
 
 # Two steps
@@ -654,9 +654,9 @@ def dyn_support(spark, sf):
     return dynamic.support(fx.reads(spark, sf), fx.index(spark, sf))
 
 
-@query("SELECT taxon, d / CAST(n AS DOUBLE) AS fraction FROM sup JOIN (SELECT taxon, count(*) AS n FROM idx GROUP BY taxon) USING (taxon)", {"sup": SUPPORT})
+@query("SELECT taxon, CAST(kmers AS BIGINT) AS kmers, d AS distinct_minimizers, h AS hits, n AS in_index, d / CAST(n AS DOUBLE) AS fraction FROM sup JOIN (SELECT taxon, count(*) AS n FROM idx GROUP BY taxon) USING (taxon)", {"sup": SUPPORT})
 def dyn_support_fraction(spark, sf):
-    return dynamic.support_report(fx.reads(spark, sf), fx.index(spark, sf)).select("taxon", "fraction")
+    return dynamic.support_report(fx.reads(spark, sf), fx.index(spark, sf))
 
 
 LEAST = 5
