@@ -55,7 +55,8 @@ def minimizers_by_table(sequences: DataFrame, motifs: DataFrame, k: int, letters
     A k-mer none of whose words is in the table has no minimizer (null).
     """
     table = table_priorities(motifs, letters).withColumnRenamed("motif", "word")
-    t = minimizers.words(sequences, letters).join(table, "word", "left")
+    # sent to all tasks: joined by word, all words of a table of a few would meet in as few tasks, and be dealt by header again after that
+    t = minimizers.words(sequences, letters).join(F.broadcast(table), "word", "left")
     frame = Window.partitionBy("header").orderBy("pos").rowsBetween(0, k - letters)
     t = t.withColumn("minimizer", F.min("rank").over(frame)).withColumn("n", F.count(F.lit(1)).over(frame))
     return t.where(F.col("n") == k - letters + 1).select("header", "pos", "minimizer")

@@ -41,5 +41,5 @@ def test_words_stay_with_their_genome(spark):
     from __spark_entry__ import queries
 
     # the windows over a genome's words take the genome's task: none of its words is shuffled
-    for name in ("seq_minimizers", "seq_supermers_window"):
+    for name in ("seq_minimizers", "seq_supermers_window", "seq_minimizers_by_table"):
         assert not [line for line in plan(queries()[name](spark, SF)) if "Exchange hashpartitioning(header#" in line]
