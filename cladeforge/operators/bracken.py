@@ -8,6 +8,7 @@ which taxa enter and leave the window.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations, pairwise
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import NONE
+from ..functions.alphabet import NONE, SEQUENCE
 from . import minimizers
 from .index import KEY, MinimizerIndex
 
@@ -47,6 +48,10 @@ class Ways:
         self.paths = paths
         #: of each taxon, those of the fragment's taxa that are on its way, itself included
         self.above = {t: frozenset(x for x in way if x in paths) for t, way in paths.items()}
+        #: the longest way, if all taxa are on it, as where the genome is in the index itself; None otherwise
+        self.chain = max(paths.values(), key=len, default=[])
+        if not set(self.chain).issuperset(paths):
+            self.chain = None
 
     def change(self, counts: dict[int, int], scores: dict[int, int], taxon: int, n: int) -> None:
         """n more k-mers of a taxon; scores has the k-mers on the ways of the taxa in counts."""
@@ -98,27 +103,40 @@ def shared_way(a: list[int], b: list[int]) -> list[int]:
 def simulated(fragment: bytes, taxa_of: Callable[[np.ndarray, np.ndarray], np.ndarray], ways: Ways, scheme, read_length: int) -> dict[int, int]:
     """Number of windows of one fragment by taxon. taxa_of: taxa of the kernel's minimizers (minimizer, words), NONE of unknown ones.
 
-    Windows are swept by stretches in which the k-mer that leaves and the one
-    that enters keep their taxa; the counts of the taxa in a window are all that
-    is carried along.
+    Where the taxa are on one way, a window is of the lowest among them. Others
+    are swept by stretches in which the k-mer that leaves and the one that enters
+    keep their taxa; the counts of the taxa in a window are all that is carried
+    along.
     """
-    n_windows, per_read = len(fragment) - read_length + 1, read_length - (scheme.k - 1)
+    s = minimizers.supermers([fragment], scheme)
+    ok = s["flag"] == SEQUENCE
+    return swept(len(fragment), s["location"][ok], s["kmers"][ok], s["minimizer"][ok], taxa_of(s["minimizer"][ok], s["words"]), ways, scheme, read_length)
+
+
+def swept(letters: int, at: np.ndarray, length: np.ndarray, rank: np.ndarray, taxa: np.ndarray, ways: Ways, scheme, read_length: int) -> dict[int, int]:
+    """As simulated(), of a fragment of so many letters with super-mers of `length` k-mers from `at` on, their minimizers and taxa."""
+    n_windows, per_read = letters - read_length + 1, read_length - (scheme.k - 1)
     if n_windows <= 0:
         return {}
     if per_read <= 0:
         return {NONE: n_windows}
-    s = minimizers.supermers([fragment], scheme)
-    ok = s["flag"] == 1
-    at, length, rank = s["location"][ok], s["kmers"][ok], s["minimizer"][ok]
-    taxa = taxa_of(rank, s["words"])
-    size = len(fragment) - (scheme.k - 1)
-    kmer_taxon = np.zeros(size, np.int32)
-    kmer_taxon[np.repeat(at - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())] = np.repeat(taxa, length)
+    size = letters - (scheme.k - 1)
+    places = np.repeat(at - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
     # hit groups of a window: those begun before its end, less those ended before its start
     real = np.r_[True, rank[1:] != rank[:-1]][: len(rank)] & (taxa != NONE)
     begun = np.r_[0, np.cumsum(np.bincount(at[real], minlength=size)[:size], dtype=np.int32)]
     ended = np.r_[0, np.cumsum(np.bincount(at[real] + length[real], minlength=size + 1)[: size + 1], dtype=np.int32)]
     enough = begun[per_read : per_read + n_windows] - ended[1 : 1 + n_windows] >= MIN_HIT_GROUPS
+    if ways.chain is not None:
+        # on one way, the k-mers of the lowest taxon in a window are all that it needs to have the best score
+        kinds, kind = np.unique(taxa, return_inverse=True)
+        level = np.array([ways.chain.index(t) + 1 if t != NONE else 0 for t in kinds.tolist()], np.int64)
+        levels = np.zeros(size, np.int64)
+        levels[places] = np.repeat(level[kind], length)
+        lowest = np.where(enough, -minimizers.least_in_windows(-levels, per_read), 0)
+        return {ways.chain[x - 1] if x else NONE: n for x, n in enumerate(np.bincount(lowest).tolist()) if n}
+    kmer_taxon = np.zeros(size, np.int32)
+    kmer_taxon[places] = np.repeat(taxa, length)
     leaves, enters = kmer_taxon[:n_windows], np.r_[kmer_taxon[per_read:], np.int32(NONE)]
     change = np.flatnonzero(np.r_[True, (leaves[1:] != leaves[:-1]) | (enters[1:] != enters[:-1]) | (enough[1:] != enough[:-1])])
     counts: dict[int, int] = {}
@@ -148,14 +166,17 @@ def lookup(ids: np.ndarray, taxa: np.ndarray, scheme) -> Callable[[np.ndarray, n
 
     def wide(minimizer: np.ndarray, words: np.ndarray) -> np.ndarray:
         known = {row.tobytes(): t for row, t in zip(ids, taxa.tolist(), strict=True)}
-        return np.array([known.get(row.tobytes(), NONE) for row in words], np.int32)[minimizer]
+        used, place = np.unique(minimizer, return_inverse=True)
+        return np.array([known.get(row.tobytes(), NONE) for row in words[used]], np.int32)[place]
 
     return wide if scheme.wide else narrow
 
 
 def weights(sequences: DataFrame, labels: DataFrame, index: MinimizerIndex, read_length: int = 100, most: int = FRAGMENT) -> DataFrame:
     """dest, source, n: windows of the genomes of `source` that are classified as `dest`."""
-    tagged = index.taxonomy.defined(sequences.select("header", "nucleotides").join(labels.select("header", F.col("taxon").cast("int").alias("taxon")), "header"))
+    # labels are looked up in the tree before sequences are joined, which stay in their tasks
+    known_labels = index.taxonomy.defined(labels.select("header", F.col("taxon").cast("int").alias("taxon")))
+    tagged = sequences.select("header", "nucleotides").join(known_labels, "header")
     pieces = fragments(tagged, read_length, most).withColumn("fragment", F.concat_ws(":", "header", "location"))
     asked = minimizers.tagged_minimizers(pieces, "fragment", index.scheme)
     known = asked.join(index.records.withColumnRenamed(KEY, "minimizer"), "minimizer").join(index.taxonomy.table.select("taxon", "path"), "taxon")
@@ -166,14 +187,24 @@ def weights(sequences: DataFrame, labels: DataFrame, index: MinimizerIndex, read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                # one fragment's lists at a time, the long ones as arrays
-                source, letters, ids, taxa, paths = (b.column(c)[i] for c in range(5))
-                flat = (ids.values.flatten() if scheme.wide else ids.values).to_numpy() if ids.is_valid else np.zeros(0, np.int64)
-                known = taxa.values.to_numpy() if taxa.is_valid else np.zeros(0, np.int32)
-                ways = Ways({p["taxon"]: p["path"] for p in paths.as_py() or ()})
-                n = simulated(letters.as_py().encode(), lookup(flat.reshape(len(known), -1) if scheme.wide else flat, known, scheme), ways, scheme, read_length)
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array([source.as_py()] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["dest", "source", "n"])
+            # windows by (dest, source) over the batch: one small batch out for each that comes in
+            found: Counter[tuple[int, int]] = Counter()
+            for part, (texts,) in minimizers.parts(b, [1], FRAGMENT):
+                s = minimizers.supermers([t or b"" for t in texts], scheme)
+                ok = s["flag"] == SEQUENCE
+                at, length, rank = s["location"][ok], s["kmers"][ok], s["minimizer"][ok]
+                ends = np.searchsorted(s["text"][ok], np.arange(part.num_rows + 1))
+                for i in range(part.num_rows):
+                    # one fragment's lists at a time, the long ones as arrays
+                    source, _, ids, taxa, paths = (part.column(c)[i] for c in range(5))
+                    flat = (ids.values.flatten() if scheme.wide else ids.values).to_numpy() if ids.is_valid else np.zeros(0, np.int64)
+                    known = taxa.values.to_numpy() if taxa.is_valid else np.zeros(0, np.int32)
+                    ways, own = Ways({p["taxon"]: p["path"] for p in paths.as_py() or ()}), slice(ends[i], ends[i + 1])
+                    taxa_of, of = lookup(flat.reshape(len(known), -1) if scheme.wide else flat, known, scheme), source.as_py()
+                    for dest, n in swept(len(texts[i] or b""), at[own], length[own], rank[own], taxa_of(rank[own], s["words"]), ways, scheme, read_length).items():
+                        found[dest, of] += n
+            dests, sources = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(dests, pa.int32()), pa.array(sources, pa.int32()), pa.array(list(found.values()), pa.int64())], ["dest", "source", "n"])
 
     return rows.mapInArrow(run, "dest int, source int, n bigint").groupBy("dest", "source").agg(F.sum("n").alias("n"))
 

@@ -159,13 +159,13 @@ def key_column(minimizer: np.ndarray, words: np.ndarray, scheme: Scheme, absent:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()), mask=None if absent is None else pa.array(absent))
 
 
-def parts(batch: pa.RecordBatch, columns: list[int]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes | None]]]]:
-    """A batch in parts of about BATCH letters, with the bytes of its text columns."""
+def parts(batch: pa.RecordBatch, columns: list[int], most: int = BATCH) -> Iterator[tuple[pa.RecordBatch, list[list[bytes | None]]]]:
+    """A batch in parts of about `most` letters, with the bytes of its text columns."""
     texts = [batch.column(c).cast(pa.binary()).to_pylist() for c in columns]
     at, size = 0, 0
     for i in range(batch.num_rows):
         size += sum(len(t[i] or b"") for t in texts)
-        if size >= BATCH or i + 1 == batch.num_rows:
+        if size >= most or i + 1 == batch.num_rows:
             yield batch.slice(at, i + 1 - at), [t[at : i + 1] for t in texts]
             at, size = i + 1, 0
 
