@@ -18,6 +18,11 @@ def kmers(sequences: DataFrame, k: int, forward_only: bool = False) -> DataFrame
     return t.where(F.col("word") <= alphabet.reverse_complement(F.col("word"))) if forward_only else t
 
 
+def coded_kmers(sequences: DataFrame, k: int, forward_only: bool = False) -> DataFrame:
+    """header, pos, code: as kmers(), of at most 31 letters, without making text of each."""
+    return minimizers.coded_words(sequences, k, forward_only)
+
+
 def counts(sequences: DataFrame, k: int, canonical: bool = True, abundance: str | None = None) -> DataFrame:
     """word, n: k-mers with how often they occur, each sequence counting as often as its abundance says.
 
@@ -32,7 +37,7 @@ def counts(sequences: DataFrame, k: int, canonical: bool = True, abundance: str
     t = minimizers.counted_supermers(weighted, "w", scheme).repartition("minimizer")
     if k <= 31:
         t = t.select("minimizer", "letters", "n", F.explode(F.sequence(F.lit(0), F.col("kmers") - 1)).alias("at"))
-        t = t.select("minimizer", "n", alphabet.code_at("letters", "at", k).alias("code"))
+        t = t.select("minimizer", "n", alphabet.code_in(F.col("letters"), F.col("at"), k).alias("code"))
         if canonical:
             t = t.select("minimizer", "n", F.least("code", alphabet.reverse_complement_code(F.col("code"), k)).alias("code"))
         return t.groupBy("minimizer", "code").agg(F.sum("n").alias("n")).select(alphabet.decode(F.col("code"), k).alias("word"), "n")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alphabet
@@ -318,19 +318,56 @@ def words(sequences: DataFrame, width: int) -> DataFrame:
     return t.select("header", "pos", F.substr("nucleotides", F.col("pos"), F.lit(width)).alias("word"))
 
 
+def coded_words(sequences: DataFrame, width: int, forward_only: bool = False) -> DataFrame:
+    """header, pos (from 1), code: as words(), of at most 31 letters; a sequence is packed once, and a word's code is two shifts.
+
+    forward_only: those that are not above their reverse complement, which is a word of the sequence's.
+    """
+    t = sequences.select("header", F.col("nucleotides").alias("text"), F.length("nucleotides").alias("n"), *([alphabet.reverse_complement(F.col("nucleotides")).alias("other")] if forward_only else []))
+    # a select of its own: beside explode() it would be packed again for each word
+    t = t.select("header", "n", *[alphabet.packed(F.col(c)).alias(c) for c in (("text", "other") if forward_only else ("text",))])
+    starts = F.when(F.col("n") >= width, F.sequence(F.lit(1), F.col("n") - (width - 1))).otherwise(F.array().cast("array<int>"))
+    t = t.select("*", F.explode(starts).alias("pos"))
+    code = alphabet.code_in(F.col("text"), F.col("pos") - 1, width)
+    if forward_only:
+        t = t.where(code <= alphabet.code_in(F.col("other"), F.col("n") - width + 1 - F.col("pos"), width))
+    return t.select("header", "pos", code.alias("code"))
+
+
+def window_minimizers(sequences: DataFrame, scheme: Scheme) -> DataFrame:
+    """header, minimizers: an array of the minimizers of all k-mers of a sequence, in order; m of at most 31 letters.
+
+    Windows are within a sequence's array of priorities, so no word is a row that has to be sorted.
+    """
+    k, m, n = scheme.k, scheme.m, F.col("n")
+    t = sequences.select("header", F.length("nucleotides").alias("n"), F.col("nucleotides").alias("text"), alphabet.reverse_complement(F.col("nucleotides")).alias("other"))
+    t = t.select("header", "n", *[alphabet.packed(F.col(c)).alias(c) for c in (("text", "other") if scheme.canonical else ("text",))])
+
+    def rank(i: Column) -> Column:
+        # a word's reverse complement is a word of the reverse complement
+        own = alphabet.code_in(F.col("text"), i, m)
+        return alphabet.toggled(F.least(own, alphabet.code_in(F.col("other"), n - m - i, m)) if scheme.canonical else own, scheme)
+
+    def places(width: int) -> Column:
+        return F.when(n >= k, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
+
+    t = t.select("header", "n", F.transform(places(m), rank).alias("ranks"))
+    least = F.transform(places(k), lambda i: F.least(*[F.get("ranks", i + j) for j in range(k - m + 1)]) if k > m else F.get("ranks", i))
+    return t.select("header", least.alias("minimizers"))
+
+
 def minimizers_by_window(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     """header, pos, minimizer for each k-mer, by a window over its m-mers."""
-    w = scheme.k - scheme.m
-    t = words(sequences, scheme.m).withColumn("rank", alphabet.priority(F.col("word"), scheme))
-    frame = Window.partitionBy("header").orderBy("pos").rowsBetween(0, w)
-    t = t.withColumn("minimizer", F.min("rank").over(frame)).withColumn("n", F.count("rank").over(frame))
-    return t.where(F.col("n") == w + 1).select("header", "pos", "minimizer")
+    # outer: for a plain one Spark adds a filter on the array's size, in which the array is made anew for each of its elements
+    t = window_minimizers(sequences, scheme).select("header", F.posexplode_outer("minimizers").alias("i", "minimizer")).where("i IS NOT NULL")
+    return t.select("header", (F.col("i") + 1).alias("pos"), "minimizer")
 
 
 def supermers_by_window(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     """header, location, length, kmers, minimizer: runs of k-mers with one minimizer."""
-    order = Window.partitionBy("header").orderBy("pos")
-    t = minimizers_by_window(sequences, scheme).withColumn("before", F.lag("minimizer").over(order))
-    t = t.withColumn("run", F.sum(F.when(F.col("before") == F.col("minimizer"), 0).otherwise(1)).over(order))
-    t = t.groupBy("header", "run").agg((F.min("pos") - 1).cast("bigint").alias("location"), F.count(F.lit(1)).alias("kmers"), F.first("minimizer").alias("minimizer"))
+    places = F.when(F.size("minimizers") > 0, F.sequence(F.lit(0), F.size("minimizers") - 1)).otherwise(F.array().cast("array<int>"))
+    t = window_minimizers(sequences, scheme).withColumn("heads", F.filter(places, lambda i: (i == 0) | (F.get("minimizers", i) != F.get("minimizers", i - 1))))
+    t = t.select("header", "minimizers", "heads", F.posexplode_outer("heads").alias("i", "head")).where("i IS NOT NULL")
+    kmers = (F.coalesce(F.get("heads", F.col("i") + 1), F.size("minimizers")) - F.col("head")).cast("bigint")
+    t = t.select("header", F.col("head").cast("bigint").alias("location"), kmers.alias("kmers"), F.get("minimizers", F.col("head")).alias("minimizer"))
     return t.select("header", "location", (F.col("kmers") + (scheme.k - 1)).alias("length"), "kmers", "minimizer")

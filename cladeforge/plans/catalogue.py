@@ -177,7 +177,7 @@ GW = f"(SELECT header, pos, substr(nt, pos, {S.m}) AS w FROM (SELECT header, nt,
 
 
 def _words(spark, sf, m=S.m):
-    return minimizers.words(fx.genomes(spark, sf), m)
+    return minimizers.coded_words(fx.genomes(spark, sf), m)
 
 
 @query(f"SELECT least(w, {revcomp('w')}) AS word, count(*) AS n FROM {GW} GROUP BY 1")
@@ -192,7 +192,8 @@ def seq_kmer_counts(spark, sf):
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT substr(nt, pos, 9) AS word FROM (SELECT nt, unnest(range(1, length(nt) - 7)) AS pos FROM genomes)) WHERE word <= {revcomp('word')} GROUP BY word")
 def seq_kmers_forward(spark, sf):
-    return kmer_tables.kmers(fx.genomes(spark, sf), 9, forward_only=True).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    t = kmer_tables.coded_kmers(fx.genomes(spark, sf), 9, forward_only=True).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return t.select(alphabet.decode(F.col("code"), 9).alias("word"), "n")
 
 
 @query("SELECT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS word, CAST(sum(a) AS BIGINT) AS n FROM (SELECT substr(nt, pos, 12) AS w, a FROM (SELECT nt, taxon % 7 + 1 AS a, unnest(range(1, length(nt) - 10)) AS pos FROM genomes)) GROUP BY 1")
@@ -221,12 +222,12 @@ def _ranks(scheme):
 
 @query(_ranks(NOSPACE))
 def seq_priority_xor(spark, sf):
-    return _words(spark, sf).groupBy(alphabet.priority(F.col("word"), NOSPACE).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    return _words(spark, sf).groupBy(alphabet.code_priority(F.col("code"), NOSPACE).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_ranks(S))
 def seq_priority_spaced(spark, sf):
-    return _words(spark, sf).groupBy(alphabet.priority(F.col("word"), S).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+    return _words(spark, sf).groupBy(alphabet.code_priority(F.col("code"), S).alias("rank")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LEXI = Scheme(9, 5, 0, canonical=False, toggle=0)
@@ -271,15 +272,15 @@ def seq_kmer_counts_wide(spark, sf):
 @query("SELECT DISTINCT w AS word, reverse(translate(w, 'ACGT', 'TGCA')) AS other FROM (SELECT substr(nt, pos, 23) AS w FROM (SELECT nt, unnest(range(1, length(nt) - 21)) AS pos FROM genomes))")
 def seq_code_revcomp(spark, sf):
     """Reverse complements of words as codes."""
-    t = _words(spark, sf, 23).select("word").distinct()
-    return t.select("word", alphabet.decode(alphabet.reverse_complement_code(alphabet.encode(F.col("word")), 23), 23).alias("other"))
+    t = _words(spark, sf, 23).select("code").distinct()
+    return t.select(alphabet.decode(F.col("code"), 23).alias("word"), alphabet.decode(alphabet.reverse_complement_code(F.col("code"), 23), 23).alias("other"))
 
 
 @query("SELECT header, CAST(pos AS BIGINT) AS pos, motif FROM (SELECT header, pos, substr(nt, pos, 31) AS motif FROM (SELECT header, nt, unnest(range(1, length(nt) - 29)) AS pos FROM genomes))")
 def seq_motif_roundtrip(spark, sf):
     """Words through the priority and back: code and decode, toggled twice."""
     plain = Scheme(S.k, S.m, 0, canonical=False)
-    return _words(spark, sf).select("header", F.col("pos").cast("bigint").alias("pos"), alphabet.motif(alphabet.priority(F.col("word"), plain), plain).alias("motif"))
+    return _words(spark, sf).select("header", F.col("pos").cast("bigint").alias("pos"), alphabet.motif(alphabet.code_priority(F.col("code"), plain), plain).alias("motif"))
 
 
 @query("SELECT title, ordinal, flag, is_distinct, kmers, minimizer FROM spans")

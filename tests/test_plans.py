@@ -43,3 +43,37 @@ def test_words_stay_with_their_genome(spark):
     # the windows over a genome's words take the genome's task: none of its words is shuffled
     for name in ("seq_minimizers", "seq_supermers_window", "seq_minimizers_by_table"):
         assert not [line for line in plan(queries()[name](spark, SF)) if "Exchange hashpartitioning(header#" in line]
+
+
+def test_no_word_is_sorted(spark):
+    from __spark_entry__ import queries
+
+    # minimizers are found within a sequence's row: its words are not sorted as rows
+    for name in ("seq_minimizers", "seq_supermers_window"):
+        assert not [line for line in plan(queries()[name](spark, SF)) if "Window" in line]
+
+
+def test_words_are_coded_not_text(spark):
+    from __spark_entry__ import queries
+
+    # a number is not made of each word by way of text: what is counted or made distinct is the number
+    for name in ("seq_kmers_forward", "seq_priority_xor", "seq_priority_spaced", "seq_code_revcomp"):
+        dealt = [line for line in plan(queries()[name](spark, SF)) if "Exchange hashpartitioning(" in line and "pos" not in line]
+        assert not [line for line in dealt if "hashpartitioning(word#" in line]
+        assert not [line for line in queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "conv(translate(" in line and " 4, 10" in line]
+
+
+def test_packed_letters(spark):
+    from pyspark.sql import functions as F
+
+    from cladeforge.functions import alphabet
+
+    texts = ["", "A", "T" * 32, "T" * 33, "ACGT" * 20 + "CU", "acgtu" * 13, "G" * 31 + "C", "T" + "A" * 63]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", alphabet.packed(F.col("t")))
+    plain = [t.upper().replace("U", "T") for t in texts]
+    assert [r[0] for r in df.select(alphabet.unpacked(F.col("p"), F.length("t"))).collect()] == plain
+    for n in (1, 5, 12, 31):
+        rows = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.length("t")))).select("t", "i", alphabet.decode(alphabet.code_in(F.col("p"), F.col("i"), n), n).alias("w")).collect()
+        for r in rows:
+            want = r.t.upper().replace("U", "T")[r.i : r.i + n]
+            assert len(want) < n or r.w == want
