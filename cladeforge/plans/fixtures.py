@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf: str) -> int:
+    """Tasks that what comes of the parts is dealt to."""
+    return max(1, -(-table(spark, sf, "part").count() // TASK))
+
+
 def segment(seed: Column) -> Column:
     """32 letters from a seed."""
     return F.translate(F.md5(seed), "0123456789abcdef", "ACGTACGTACGTACGT")
@@ -42,7 +47,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
     must not choose by them what to send to the driver: hence the hint.
     """
     rows = table(spark, sf, "part")
-    p = rows.repartition(max(1, -(-rows.count() // TASK)), header()).select("p_partkey", "p_name", F.substr("p_brand", F.lit(7)).cast("int").alias("brand"), "p_type")
+    p = rows.repartition(tasks(spark, sf), header()).select("p_partkey", "p_name", F.substr("p_brand", F.lit(7)).cast("int").alias("brand"), "p_type")
     # one row; a hash table of it would take 34 MB of the driver for each use
     types = rows.agg(F.array_sort(F.collect_set("p_type")).alias("types"))
     p = p.crossJoin(F.broadcast(types)).withColumn("typ", F.array_position("types", F.col("p_type")).cast("int")).where("p_type IS NOT NULL")

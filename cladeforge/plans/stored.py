@@ -210,9 +210,14 @@ def rpt_zeros(spark, sf):
 
 # Indexes
 
-def _stored(spark, sf, buckets: int = 8) -> MinimizerIndex:
+def _buckets(spark, sf) -> int:
+    """Buckets of an index: a bucket is one task where it is written, sorted and joined, so there are more of them for more genomes."""
+    return max(8, fx.tasks(spark, sf))
+
+
+def _stored(spark, sf) -> MinimizerIndex:
     at = folder(spark, "index")
-    fx.index(spark, sf).write(at, buckets)
+    fx.index(spark, sf).write(at, _buckets(spark, sf))
     return MinimizerIndex.load(spark, at, fx.taxonomy(spark, sf))
 
 
@@ -232,7 +237,7 @@ def idx_load_migration(spark, sf):
     """As idx_migration, of two stored indexes, whose buckets are joined as they lie."""
     half = MinimizerIndex.build(fx.genomes(spark, sf), fx.labels(spark, sf).where("taxon % 2 = 0"), fx.taxonomy(spark, sf), S)
     at = folder(spark, "half")
-    half.write(at, buckets=8)
+    half.write(at, _buckets(spark, sf))
     both = MinimizerIndex.load(spark, at, fx.taxonomy(spark, sf)).migration(_stored(spark, sf))
     return both.groupBy("steps").agg(F.count(F.lit(1)).alias("n"))
 

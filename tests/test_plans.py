@@ -77,3 +77,11 @@ def test_packed_letters(spark):
         for r in rows:
             want = r.t.upper().replace("U", "T")[r.i : r.i + n]
             assert len(want) < n or r.w == want
+
+
+def test_buckets_grow_with_the_parts(spark, monkeypatch):
+    from cladeforge.plans import stored
+
+    monkeypatch.setattr(fx, "TASK", 20)
+    assert [line for line in plan(stored._stored(spark, SF).records) if "SelectedBucketsCount: 10 out of 10" in line or "Bucketed: true" in line]
+    assert stored._stored(spark, SF).records.rdd.getNumPartitions() == 10
