@@ -18,6 +18,8 @@ SCHEME = Scheme()
 GENOME, READ = 320, 100
 #: Parts of one task: a part's row is small, and so is its file, but not the sequence and the words that come of it.
 TASK = 4096
+#: Reads of one task, for the same reason.
+READS_TASK = 16384
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,15 +41,16 @@ def header() -> Column:
     return F.concat(F.lit("G"), F.col("p_partkey"))
 
 
-def parts(spark: SparkSession, sf: str) -> DataFrame:
+def parts(spark: SparkSession, sf: str, by: Column | None = None, among: int | None = None) -> DataFrame:
     """p_partkey, name and the taxa on the way to the root: fam, gen, spe, tax.
 
     Dealt by the header of the part's genome, so that what is asked for by header
-    stays in its task. Sizes of files tell nothing of what is derived, so Spark
-    must not choose by them what to send to the driver: hence the hint.
+    stays in its task; or by another column among some other number of tasks.
+    Sizes of files tell nothing of what is derived, so Spark must not choose by
+    them what to send to the driver: hence the hint.
     """
     rows = table(spark, sf, "part")
-    p = rows.repartition(tasks(spark, sf), header()).select("p_partkey", "p_name", F.substr("p_brand", F.lit(7)).cast("int").alias("brand"), "p_type")
+    p = rows.repartition(among or tasks(spark, sf), header() if by is None else by).select("p_partkey", "p_name", F.substr("p_brand", F.lit(7)).cast("int").alias("brand"), "p_type")
     # one row; a hash table of it would take 34 MB of the driver for each use
     types = rows.agg(F.array_sort(F.collect_set("p_type")).alias("types"))
     p = p.crossJoin(F.broadcast(types)).withColumn("typ", F.array_position("types", F.col("p_type")).cast("int")).where("p_type IS NOT NULL")
@@ -72,11 +75,15 @@ def taxonomy(spark: SparkSession, sf: str) -> Taxonomy:
     return Taxonomy.from_nodes(nodes(spark, sf))
 
 
-def genomes(spark: SparkSession, sf: str) -> DataFrame:
-    """header, location, nucleotides, taxon: three segments of the genus, three of the species, four of the part."""
-    p = parts(spark, sf)
+def letters() -> Column:
+    """Of a part: its genome, three segments of the genus, three of the species, four of the part."""
     seeds = [F.concat_ws(":", F.lit(c[0]), c, F.lit(i)) for c, n in (("gen", 3), ("spe", 3), ("tax", 4)) for i in range(n)]
-    return p.select(header().alias("header"), F.lit(1).cast("bigint").alias("location"), F.concat(*[segment(s) for s in seeds]).alias("nucleotides"), F.col("tax").alias("taxon"))
+    return F.concat(*[segment(s) for s in seeds])
+
+
+def genomes(spark: SparkSession, sf: str) -> DataFrame:
+    """header, location, nucleotides, taxon."""
+    return parts(spark, sf).select(header().alias("header"), F.lit(1).cast("bigint").alias("location"), letters().alias("nucleotides"), F.col("tax").alias("taxon"))
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,10 +91,15 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf: str, paired: bool = False) -> DataFrame:
-    """header, location, nucleotides (, nucleotides2), truth: one read for each order."""
-    n = table(spark, sf, "part").count()
-    g = genomes(spark, sf).select((F.col("taxon") - 10000).cast("bigint").alias("at"), F.col("nucleotides").alias("g"), F.col("taxon").alias("truth"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("o"), (F.col("o_orderkey") % n).alias("at"))
+    """header, location, nucleotides (, nucleotides2), truth: one read for each order.
+
+    Orders and parts are dealt by the part before letters are made, so no letter is
+    shuffled, and there are as many tasks as reads ask for, whatever their shuffle's size.
+    """
+    n, orders = table(spark, sf, "part").count(), table(spark, sf, "orders")
+    among = max(tasks(spark, sf), -(-orders.count() // READS_TASK))
+    g = parts(spark, sf, F.col("p_partkey"), among).select(F.col("p_partkey").alias("at"), letters().alias("g"), F.col("tax").alias("truth"))
+    o = orders.select(F.col("o_orderkey").alias("o"), (F.col("o_orderkey") % n).alias("at")).repartition(among, "at")
     t = o.join(g, "at").withColumn("off", ((F.col("o") * 37) % (GENOME - READ + 1) + 1).cast("int"))
     r = F.substr("g", F.col("off"), F.lit(READ))
     r = F.when(F.col("o") % 3 == 1, F.reverse(F.translate(r, "ACGT", "TGCA"))).otherwise(r)

@@ -85,3 +85,11 @@ def test_buckets_grow_with_the_parts(spark, monkeypatch):
     monkeypatch.setattr(fx, "TASK", 20)
     # one file a bucket
     assert len(stored._stored(spark, SF).records.inputFiles()) == 10
+
+
+def test_reads_are_dealt_before_their_letters(spark, monkeypatch):
+    # tasks go by the number of reads, and neither side's letters are shuffled
+    monkeypatch.setattr(fx, "READS_TASK", 100, raising=False)
+    df = fx.reads(spark, SF, paired=True)
+    assert len([line for line in plan(df) if "Exchange hashpartitioning(" in line]) == 2
+    assert df.rdd.getNumPartitions() == -(-fx.table(spark, SF, "orders").count() // 100)
