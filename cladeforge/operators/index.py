@@ -185,8 +185,7 @@ class MinimizerIndex:
 
     def without_minimizers(self, sequences: DataFrame) -> DataFrame:
         """Headers of sequences that give no minimizer."""
-        some = minimizers.positions(sequences, self.scheme).select("header").distinct()
-        return sequences.select("header").distinct().join(some, "header", "left_anti")
+        return minimizers.with_any(sequences, self.scheme).groupBy("header").agg(F.bool_or("any").alias("any")).where("NOT any").select("header")
 
     def migration(self, reference: MinimizerIndex) -> DataFrame:
         """t1, t2, steps for minimizers of both indexes: by how many levels the taxon here is deeper.

@@ -252,6 +252,20 @@ def positions(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     return sequences.select("header", "nucleotides").mapInArrow(run, f"header string, location bigint, length bigint, kmers bigint, minimizer {key_type(scheme)}")
 
 
+def with_any(sequences: DataFrame, scheme: Scheme) -> DataFrame:
+    """header, any: whether a sequence (header, nucleotides) gives a minimizer; a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in parts(batch, [1]):
+                s = supermers([t or b"" for t in texts[0]], scheme)
+                some = np.zeros(part.num_rows, bool)
+                some[s["text"][s["flag"] == SEQUENCE]] = True
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(some)], ["header", "any"])
+
+    return sequences.select("header", "nucleotides").mapInArrow(run, "header string, any boolean")
+
+
 def supermers_with_letters(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     """header, location, kmers, minimizer, letters: the super-mers of positions() with their letters, 32 in a bigint (alphabet.unpacked() reads them)."""
 

@@ -93,3 +93,11 @@ def test_reads_are_dealt_before_their_letters(spark, monkeypatch):
     df = fx.reads(spark, SF, paired=True)
     assert len([line for line in plan(df) if "Exchange hashpartitioning(" in line]) == 2
     assert df.rdd.getNumPartitions() == -(-fx.table(spark, SF, "orders").count() // 100)
+
+
+def test_sequences_without_minimizers_are_read_once(spark):
+    index = fx.index(spark, SF)
+    assert len([line for line in plan(index.without_minimizers(fx.reads(spark, SF))) if "o_orderkey" in line and "FileScan" in line]) == 1
+    rows = [("a", "ACGTT" * 9), ("a", "N" * 50), ("b", "N" * 50), ("b", None), ("c", "ACGT"), ("d", "GATTC" * 8)]
+    found = index.without_minimizers(spark.createDataFrame(rows, "header string, nucleotides string"))
+    assert sorted(r.header for r in found.collect()) == ["b", "c"]
