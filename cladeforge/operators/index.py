@@ -177,8 +177,10 @@ class MinimizerIndex:
     def full_coverage(self, sequences: DataFrame, labels: DataFrame) -> DataFrame:
         """taxon, coverage, distinct_coverage: depth:count of the ancestors of its minimizers, joined by |, by depth."""
         depths = self.taxonomy.table.select(F.col("taxon").alias("lca"), "depth")
-        t = self.of_genomes(sequences, labels).join(self.records.withColumnRenamed("taxon", "lca"), KEY).join(depths, "lca")
-        t = t.groupBy("taxon", "depth").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+        t = self.of_genomes(sequences, labels).join(self.records.withColumnRenamed("taxon", "lca"), KEY)
+        # few ancestors of a taxon meet the depths, instead of all its minimizers
+        t = t.groupBy("taxon", "lca").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).join(depths, "lca")
+        t = t.groupBy("taxon", "depth").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
         t = t.groupBy("taxon").agg(F.array_sort(F.collect_list(F.struct("depth", "n", "d"))).alias("a"))
         text = [F.array_join(F.transform("a", f), "|") for f in (lambda x: F.concat_ws(":", x["depth"], x["n"]), lambda x: F.concat_ws(":", x["depth"], x["d"]))]
         return t.select("taxon", text[0].alias("coverage"), text[1].alias("distinct_coverage"))

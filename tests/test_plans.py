@@ -101,3 +101,9 @@ def test_sequences_without_minimizers_are_read_once(spark):
     rows = [("a", "ACGTT" * 9), ("a", "N" * 50), ("b", "N" * 50), ("b", None), ("c", "ACGT"), ("d", "GATTC" * 8)]
     found = index.without_minimizers(spark.createDataFrame(rows, "header string, nucleotides string"))
     assert sorted(r.header for r in found.collect()) == ["b", "c"]
+
+
+def test_coverage_meets_depths_by_ancestor(spark):
+    # a taxon's few ancestors are joined with their depths, not all its minimizers
+    index = fx.index(spark, SF)
+    assert [line for line in plan(index.full_coverage(fx.genomes(spark, SF), fx.labels(spark, SF))) if "HashAggregate(keys=[taxon#" in line and ", lca#" in line]
