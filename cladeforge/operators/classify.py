@@ -96,15 +96,21 @@ def sample_of(title: Column, regex: str | None) -> Column:
 
 def merged_hits(hits: Column) -> Column:
     """Neighbouring hits of one taxon put together: array of (taxon, count)."""
-    start = F.array().cast("array<struct<taxon:int,count:int>>")
 
-    def step(acc: Column, h: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        same = (F.size(acc) > 0) & (last["taxon"] == h["taxon"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(h["taxon"].alias("taxon"), (last["count"] + h["count"]).alias("count"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(h["taxon"].alias("taxon"), h["count"].alias("count")))))
+    def taxon(i: Column) -> Column:
+        return F.get(hits, i)["taxon"]
 
-    return F.aggregate(hits, start, step)
+    def runs(heads: Column) -> Column:
+        def run(head: Column, j: Column) -> Column:
+            part = F.slice(hits, head + 1, F.coalesce(F.get(heads, j + 1), F.size(hits)) - head)
+            return F.struct(taxon(head).alias("taxon"), F.aggregate(part, F.lit(0), lambda acc, h: acc + h["count"]).alias("count"))
+
+        return F.transform(heads, run)
+
+    places = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
+    heads = F.filter(places, lambda i: (i == 0) | (taxon(i) != taxon(i - 1)))
+    # an array of the one array of heads: it would be made anew wherever it is named
+    return F.get(F.transform(F.array(heads), runs), F.lit(0))
 
 
 def details(pairs: Column) -> Column:
@@ -113,14 +119,19 @@ def details(pairs: Column) -> Column:
 
 
 def lengths(pairs: Column, k: int) -> Column:
-    """Length of a read from its k-mers, or first|second for mates."""
-    def summed(part: Column) -> Column:
-        return (F.aggregate(part, F.lit(0), lambda acc, p: acc + p["count"]) + (k - 1)).cast("string")
+    """Length of a read from its k-mers, or first|second for mates; of hits or of merged ones, in one pass over them."""
+    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(False).alias("mated"))
+
+    def step(acc: Column, p: Column) -> Column:
+        border = p["taxon"] == BORDER_TAXON
+        first = acc["first"] + F.when(acc["mated"] | border, 0).otherwise(p["count"])
+        second = acc["second"] + F.when(acc["mated"], p["count"]).otherwise(0)
+        return F.struct(first.alias("first"), second.alias("second"), (acc["mated"] | border).alias("mated"))
+
+    def text(n: Column) -> Column:
+        return (n + (k - 1)).cast("string")
 
-    border = F.array_position(F.transform(pairs, lambda p: p["taxon"]), F.lit(BORDER_TAXON))
-    cut = F.coalesce(border, F.lit(0)).cast("int")
-    both = F.concat_ws("|", summed(F.slice(pairs, F.lit(1), F.greatest(F.lit(0), cut - 1))), summed(F.slice(pairs, cut + 1, F.size(pairs))))
-    return F.when(cut == 0, summed(pairs)).otherwise(both)
+    return F.aggregate(pairs, start, step, lambda acc: F.when(acc["mated"], F.concat_ws("|", text(acc["first"]), text(acc["second"]))).otherwise(text(acc["first"])))
 
 
 def classify_gathered(gathered: DataFrame, k: int, thresholds: Sequence[float] = (0.0,), min_hit_groups: int = 2, sample_regex: str | None = None, with_details: bool = True) -> DataFrame:
@@ -132,7 +143,7 @@ def classify_gathered(gathered: DataFrame, k: int, thresholds: Sequence[float] =
     t = gathered.withColumn("_steps", F.when(enough, ladder(F.col("taxa"))))
     if with_details:
         pairs = F.col("_pairs")
-        t = t.withColumn("_pairs", merged_hits(F.col("hits"))).withColumn("length", lengths(pairs, k)).withColumn("details", details(pairs)).drop("_pairs")
+        t = t.withColumn("_pairs", merged_hits(F.col("hits"))).withColumn("length", lengths(F.col("hits"), k)).withColumn("details", details(pairs)).drop("_pairs")
     t = t.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
     taxon = resolve(F.col("_steps"), F.ceil(F.col("threshold") * F.col("total")))
     t = t.withColumn("taxon", taxon.cast("int")).withColumn("classified", F.col("taxon") != NONE).withColumn("sample", sample_of(F.col("title"), sample_regex))

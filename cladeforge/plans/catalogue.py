@@ -547,7 +547,7 @@ KMERS = f"list_sum(list_transform(string_split({{0}}, 'N'), lambda x: greatest(0
 def cls_length_string_paired(spark, sf):
     hits = classify.find_hits(minimizers.spans(fx.reads(spark, sf, paired=True), S), fx.index(spark, sf))
     g = classify.group_hits(hits)
-    return g.select("title", classify.lengths(classify.merged_hits(F.col("hits")), S.k).alias("length"))
+    return g.select("title", classify.lengths(F.col("hits"), S.k).alias("length"))
 
 
 @query("SELECT taxon, count(*) AS n FROM cls GROUP BY taxon", resolved(0.15))

@@ -107,3 +107,28 @@ def test_coverage_meets_depths_by_ancestor(spark):
     # a taxon's few ancestors are joined with their depths, not all its minimizers
     index = fx.index(spark, SF)
     assert [line for line in plan(index.full_coverage(fx.genomes(spark, SF), fx.labels(spark, SF))) if "HashAggregate(keys=[taxon#" in line and ", lca#" in line]
+
+
+def test_hits_are_merged_once(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cladeforge.functions.alphabet import BORDER_TAXON
+    from cladeforge.operators import classify
+
+    random.seed(1)
+    reads = [[]] + [[(random.choice((0, 5, 7)), random.randint(1, 9)) for _ in range(random.randint(1, 12))] for _ in range(40)]
+    reads += [a + [(BORDER_TAXON, -34)] + b for a, b in zip(reads, reads[5:], strict=False)]
+    df = spark.createDataFrame([(i, [(j, *h) for j, h in enumerate(r)]) for i, r in enumerate(reads)], "i int, hits array<struct<ordinal:int,taxon:int,count:int>>")
+    both = df.select("i", classify.merged_hits(F.col("hits")).alias("pairs"), classify.lengths(F.col("hits"), 35).alias("length"), classify.lengths(classify.merged_hits(F.col("hits")), 35).alias("same"))
+    for row in both.collect():
+        hits = reads[row.i]
+        assert [tuple(p) for p in row.pairs] == [(t, sum(c for _, c in g)) for t, g in itertools.groupby(hits, lambda h: h[0])]
+        at = next((j for j, h in enumerate(hits) if h[0] == BORDER_TAXON), None)
+        parts = [hits] if at is None else [hits[:at], hits[at + 1 :]]
+        assert row.length == row.same == "|".join(str(sum(c for _, c in p) + 34) for p in parts)
+    # each read's hits are gone through once for its length
+    text = df.select(classify.lengths(classify.merged_hits(F.col("hits")), 35).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("filter(") == 1
