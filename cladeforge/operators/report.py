@@ -22,38 +22,75 @@ def clade_totals(counts: DataFrame, taxonomy: Taxonomy, keys: list[str] | None =
     return spread.groupBy(*keys, F.col("above").alias("taxon")).agg(F.sum("n").alias("clade"), F.sum("o").alias("own"))
 
 
+#: Siblings with one clade count whose ids agree above this bit are numbered together.
+RANGE_BITS = 16
+
+
+def rooted_totals(counts: DataFrame, taxonomy: Taxonomy, keys: list[str]) -> DataFrame:
+    """As clade_totals(), with a row of the root for each group, also where no taxon of its counts is in the tree."""
+    own = counts.groupBy(*keys, "taxon").agg(F.sum("n").cast("bigint").alias("n"))
+    if not keys:
+        own = own.unionByName(counts.sparkSession.createDataFrame([(ROOT, 0)], "taxon int, n bigint"))
+    spread = own.join(taxonomy.table.select("taxon", "path"), "taxon", "left")
+    above = F.when(F.col("taxon") == NONE, F.array(F.lit(NONE), F.lit(ROOT))).otherwise(F.coalesce("path", F.array(F.lit(ROOT))))
+    spread = spread.select(*keys, F.col("path").isNotNull().alias("_known"), "taxon", "n", F.explode(above).alias("above"))
+    n = F.when(F.col("_known") | (F.col("above") == NONE), F.col("n")).otherwise(0)
+    return spread.groupBy(*keys, F.col("above").alias("taxon")).agg(F.sum(n).alias("clade"), F.sum(F.when(F.col("taxon") == F.col("above"), n).otherwise(0)).alias("own"))
+
+
+def lines_ahead(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, step, ahead: lines of the siblings with larger clades, or as large ones and larger ids. nodes: keys, step, up, clade, lines.
+
+    Siblings are numbered within and between groups of one clade count and a range
+    of ids, so those of one parent are not one task; as their clades do not overlap,
+    their different counts are few.
+    """
+    t = nodes.withColumn("_range", F.shiftright("step", RANGE_BITS))
+    group = [*keys, "up", "clade", "_range"]
+    rows = (Window.unboundedPreceding, -1)
+    totals = t.groupBy(*group).agg(F.sum("lines").alias("_all"))
+    totals = totals.select(*group, F.sum("_all").over(Window.partitionBy(*keys, "up").orderBy(F.desc("clade"), F.desc("_range")).rowsBetween(*rows)).alias("_between"))
+    t = t.withColumn("_within", F.sum("lines").over(Window.partitionBy(*group).orderBy(F.desc("step")).rowsBetween(*rows)))
+    t = t.join(totals.hint("merge"), group)
+    return t.select(*keys, "step", (F.coalesce("_within", F.lit(0)) + F.coalesce("_between", F.lit(0))).alias("ahead"))
+
+
 def report_rows(counts: DataFrame, taxonomy: Taxonomy, keys: list[str] | None = None, zeros: bool = False) -> DataFrame:
     """keys, line, percent, clade, own, rank, taxon, name: the report, line by line.
 
     Children follow their parent, larger clades first, larger ids first among
-    equals. That order is the order of the nodes' paths with each step given
-    as (-clade, -taxon). The line of NONE comes first and only if it has
-    counts (or zeros are asked for); the root always has a line.
+    equals. A node's line is one after its parent's and after those of the
+    siblings before it, so lines are sums along paths and no task sorts a whole
+    report. The line of NONE comes first and only if it has counts (or zeros are
+    asked for); the root always has a line. Shuffled totals are small and their
+    rows are not, so joins are by merging: Spark would send them through the driver.
     """
     keys = keys or []
-    totals = clade_totals(counts, taxonomy, keys)
+    totals = rooted_totals(counts, taxonomy, keys)
     nodes = taxonomy.table.select("taxon", "path", "depth", "below_rank", "level", "name")
-    groups = counts.select(*keys).distinct() if keys else None
     if zeros:
-        every = nodes.crossJoin(groups) if keys else nodes  # a report line for each node and group is what is asked for
-        t = every.join(totals, [*keys, "taxon"], "left").na.fill(0, ["clade", "own"])
+        every = nodes.crossJoin(counts.select(*keys).distinct()) if keys else nodes  # a report line for each node and group is what is asked for
+        t = every.join(totals.hint("merge"), [*keys, "taxon"], "left").na.fill(0, ["clade", "own"])
     else:
-        t = nodes.join(totals, "taxon")
-        root = nodes.where(F.col("taxon") == ROOT)
-        lone = (root.crossJoin(groups).join(totals, [*keys, "taxon"], "left_anti") if keys else root.join(totals, "taxon", "left_anti")).withColumn("clade", F.lit(0)).withColumn("own", F.lit(0))
-        t = t.unionByName(lone)
-    steps = t.select(*keys, F.col("taxon").alias("step"), F.col("clade").alias("c"))
-    along = t.select(*keys, "taxon", F.posexplode("path").alias("at", "step")).join(steps, [*keys, "step"])
-    order = along.groupBy(*keys, "taxon").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("c")).alias("c"), (-F.col("step")).alias("s")))).alias("order"))
-    t = t.join(order, [*keys, "taxon"])
+        t = nodes.join(totals.hint("merge"), "taxon")
+    along = t.where(F.col("taxon") != ROOT).select(*keys, "taxon", "clade", F.element_at("path", -2).alias("up"), F.explode(F.slice("path", F.lit(2), F.size("path"))).alias("step"))
+    own = F.col("taxon") == F.col("step")
+    below = along.groupBy(*keys, "step").agg(F.max(F.when(own, F.col("up"))).alias("up"), F.max(F.when(own, F.col("clade"))).alias("clade"), F.count(F.lit(1)).alias("lines"))
+    lines = along.select(*keys, "taxon", "step").join(lines_ahead(below, keys).hint("merge"), [*keys, "step"]).groupBy(*keys, "taxon").agg(F.sum(F.col("ahead") + 1).alias("_below_root"))
+    t = t.join(lines.hint("merge"), [*keys, "taxon"], "left")
+    t = t.select(*keys, "taxon", "clade", "own", F.concat(code_of(F.col("depth")), F.when(F.col("below_rank") > 0, F.col("below_rank").cast("string")).otherwise("")).alias("rank"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("_below_root", F.lit(0)).alias("_at"))
     none = totals.where(F.col("taxon") == NONE)
     if zeros and not keys:
         none = none.unionByName(totals.sparkSession.createDataFrame([(NONE, 0, 0)], "taxon int, clade bigint, own bigint")).groupBy("taxon").agg(F.max("clade").alias("clade"), F.max("own").alias("own"))
-    t = t.select(*keys, "taxon", "clade", "own", F.concat(code_of(F.col("depth")), F.when(F.col("below_rank") > 0, F.col("below_rank").cast("string")).otherwise("")).alias("rank"), F.concat(F.repeat(F.lit("  "), F.col("level")), F.coalesce("name", F.lit(""))).alias("name"), "order")
-    n = none.select(*keys, "taxon", "clade", "own", F.lit("U").alias("rank"), F.lit("").alias("name"), F.array().cast(t.schema["order"].dataType).alias("order"))
-    t = t.unionByName(n)
-    group = Window.partitionBy(*keys)
-    t = t.withColumn("all", F.sum("own").over(group)).withColumn("line", F.row_number().over(group.orderBy("order")))
+    t = t.unionByName(none.select(*keys, "taxon", "clade", "own", F.lit("U").alias("rank"), F.lit("").alias("name"), F.lit(-1).cast("bigint").alias("_at")))
+    # a row for each report
+    first = F.lit(1) if zeros and not keys else F.coalesce(F.max(F.when(F.col("taxon") == NONE, 1)), F.lit(0))
+    whole = totals.where(F.col("taxon").isin(ROOT, NONE)).groupBy(*keys).agg(F.sum("clade").alias("all"), first.alias("_first")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    if keys:
+        t = t.join(whole.hint("broadcast"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    else:
+        t = t.crossJoin(F.broadcast(whole))
+    t = t.withColumn("line", (1 + F.col("_at") + F.col("_first")).cast("int"))
     percent = F.when(F.col("all") > 0, F.round(100.0 * F.col("clade") / F.col("all"), 2)).otherwise(0.0)
     return t.select(*keys, "line", percent.alias("percent"), "clade", "own", "rank", "taxon", "name")
 

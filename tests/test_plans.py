@@ -132,3 +132,53 @@ def test_hits_are_merged_once(spark):
     # each read's hits are gone through once for its length
     text = df.select(classify.lengths(classify.merged_hits(F.col("hits")), 35).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("filter(") == 1
+
+
+def test_reports_are_numbered_along_paths(spark, monkeypatch):
+    import random
+    from collections import defaultdict
+
+    from cladeforge.operators import report
+
+    random.seed(4)
+    monkeypatch.setattr(report, "RANGE_BITS", 2, raising=False)
+    up = {1: 1} | {i: random.choice([1, 2, *range(1, i)]) for i in range(2, 80)}
+    tax = Taxonomy.from_nodes(spark.createDataFrame([(t, u, "no rank" if t % 3 else "genus", f"n{t}") for t, u in up.items()], "taxon int, parent int, rank string, name string"), at_driver=0)
+    sets = {"a": {t: random.randint(1, 3) for t in random.sample(range(2, 80), 40)} | {0: 5, 999: 2}, "b": {0: 4}, "c": {999: 1}, "d": {t: 1 for t in range(1, 80, 2)}}
+    counts = spark.createDataFrame([(k, t, n) for k, x in sets.items() for t, n in x.items()], "kind string, taxon int, n bigint")
+
+    def lines(own: dict, zeros: bool, none: bool) -> list:
+        clade, below = defaultdict(int), defaultdict(list)
+        for t, u in up.items():
+            below[u].append(t)
+            at = t
+            while t in own or zeros:
+                clade[at] += own.get(t, 0)
+                if at == 1:
+                    break
+                at = up[at]
+        out = [(0, own.get(0, 0), own.get(0, 0))] if none else []
+
+        def visit(t: int) -> None:
+            out.append((t, clade[t], own.get(t, 0)))
+            for c in sorted((c for c in below[t] if c != t and c in clade), key=lambda c: (-clade[c], -c)):
+                visit(c)
+
+        visit(1)
+        return [(i + 1, *x) for i, x in enumerate(out)]
+
+    for zeros in (False, True):
+        rows = report.report_rows(counts, tax, ["kind"], zeros)
+        found = sorted((r.kind, r.line, r.taxon, r.clade, r.own) for r in rows.collect())
+        assert found == [(k, *x) for k, own in sets.items() for x in lines(own, zeros, 0 in own)]
+        for k in "ab":
+            own = sets[k]
+            one = report.report_rows(counts.where(f"kind = '{k}'").drop("kind"), tax, zeros=zeros)
+            assert sorted((r.line, r.taxon, r.clade, r.own) for r in one.collect()) == lines(own, zeros, zeros or 0 in own)
+    empty = report.report_rows(counts.where("kind = 'no'").drop("kind"), tax)
+    assert [tuple(r) for r in empty.collect()] == [(1, 0.0, 0, 0, "R", 1, "n1")]
+    # as executed: no table goes through the driver for a hash table (the broadcast rows are one a report), and no window holds a whole report
+    one = report.report_rows(counts.where("kind = 'a'").drop("kind"), tax)
+    one.collect()
+    final = "\n".join(plan(one)).split("Initial Plan")[0]
+    assert "BroadcastHashJoin" not in final and "row_number" not in final
