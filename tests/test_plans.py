@@ -182,3 +182,12 @@ def test_reports_are_numbered_along_paths(spark, monkeypatch):
     one.collect()
     final = "\n".join(plan(one)).split("Initial Plan")[0]
     assert "BroadcastHashJoin" not in final and "row_number" not in final
+
+
+def test_pairs_of_ends_are_not_broadcast(spark):
+    tax = Taxonomy.from_nodes(fx.nodes(spark, SF), at_driver=0)
+    index = MinimizerIndex.build(fx.genomes(spark, SF), fx.labels(spark, SF), tax)
+    same = sorted(tuple(r) for r in index.records.collect())
+    assert same == sorted(tuple(r) for r in fx.index(spark, SF).records.collect())
+    final = "\n".join(plan(index.records)).split("Initial Plan")[0]
+    assert "isFinalPlan=true" in final and "BroadcastHashJoin" not in final
