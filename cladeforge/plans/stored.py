@@ -59,7 +59,7 @@ def src_fastq_split(spark, sf):
     """Plain FASTQ files read in splits of 20 kB, so that records, and lines, lie across their borders."""
     at, t = folder(spark, "fastq"), fx.reads(spark, sf)
     quality = F.repeat(F.lit("@+"), (F.length("nucleotides") / 2).cast("int"))
-    t.select(F.concat_ws("\n", F.concat(F.lit("@"), "header", F.lit(" lane 1")), "nucleotides", F.lit("+"), quality).alias("value")).coalesce(2).write.text(f"{at}/all.fastq")
+    t.select(F.concat_ws("\n", F.concat(F.lit("@"), "header", F.lit(" lane 1")), "nucleotides", F.lit("+"), quality).alias("value")).write.text(f"{at}/all.fastq")
     small = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         small.conf.set(key, spark.conf.get(key))

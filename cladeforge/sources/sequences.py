@@ -20,6 +20,8 @@ from .ranges import read_ranges
 
 #: Bytes of an indexed sequence that one row takes at most.
 CHUNK = 4 << 20
+#: Bytes of FASTQ files that one task reads at least, in as many splits as they have.
+TASK_BYTES = 16 << 20
 
 
 def short_id(header: Column) -> Column:
@@ -53,44 +55,62 @@ def parse_fastq(lines: DataFrame, file: str, order: str) -> DataFrame:
 
 def records_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """head, seq of the records whose first three lines lie in one split (value, file, split), in Arrow arrays."""
-    held, place = pa.array([], pa.string()), None
+    held = None
     for b in batches:
-        for key, lines in runs(b):
-            lines = pa.concat_arrays([held, lines]) if key == place else lines
-            place, n = key, max(0, len(lines) - 2)
-            starts = pc.and_(pc.starts_with(lines.slice(0, n), "@"), pc.starts_with(lines.slice(2, n), "+"))
-            yield pa.RecordBatch.from_arrays([lines.slice(0, n).filter(starts), lines.slice(1, n).filter(starts)], ["head", "seq"])
-            held = lines.slice(n)
+        b = b if held is None else pa.concat_batches([held, b])
+        n = max(0, b.num_rows - 2)
+        lines, run = b.column("value"), np.zeros(b.num_rows, np.int64)
+        run[run_starts(b)[1:]] = 1
+        run = np.cumsum(run)
+        starts = pc.and_(pc.and_(pc.starts_with(lines.slice(0, n), "@"), pc.starts_with(lines.slice(2, n), "+")), pa.array(run[:n] == run[2 : n + 2]))
+        yield pa.RecordBatch.from_arrays([lines.slice(0, n).filter(starts), lines.slice(1, n).filter(starts)], ["head", "seq"])
+        held = b.slice(n)
 
 
 def split_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """file, split, n (lines), at, value: the first two and last two lines of each split."""
+    rows: list[tuple] = []
 
-    def told(key: tuple, n: int, first: list, last: list) -> pa.RecordBatch:
+    def told(key: tuple, n: int, first: list, last: list) -> None:
         lines = dict(enumerate(first)) | {n - len(last) + i: v for i, v in enumerate(last)}
-        return pa.RecordBatch.from_pydict({"file": [key[0]] * len(lines), "split": pa.array([key[1]] * len(lines), pa.int64()), "n": pa.array([n] * len(lines), pa.int64()), "at": pa.array(list(lines), pa.int64()), "value": pa.array(list(lines.values()), pa.string())})
+        rows.extend((*key, n, at, v) for at, v in lines.items())
+
+    def batch() -> pa.RecordBatch:
+        kinds = {"file": pa.string(), "split": pa.int64(), "n": pa.int64(), "at": pa.int64(), "value": pa.string()}
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+        rows.clear()
+        return out
 
     place, n, first, last = None, 0, [], []
     for b in batches:
         for key, lines in runs(b):
             if key != place:
                 if place is not None:
-                    yield told(place, n, first, last)
+                    told(place, n, first, last)
                 place, n, first, last = key, 0, [], []
             n += len(lines)
             first += lines.slice(0, 2 - len(first)).to_pylist()
             last = [*last, *lines.slice(max(0, len(lines) - 2)).to_pylist()][-2:]
+        yield batch()
     if place is not None:
-        yield told(place, n, first, last)
+        told(place, n, first, last)
+        yield batch()
+
+
+def run_starts(b: pa.RecordBatch) -> np.ndarray:
+    """Where a batch's stretches of lines of one split begin; a task has the lines of a split in a row."""
+    if not b.num_rows:
+        return np.zeros(0, np.int64)
+    codes = b.column("file").dictionary_encode().indices.to_numpy()
+    return np.r_[0, np.flatnonzero(np.diff(codes) | np.diff(b.column("split").to_numpy())) + 1]
 
 
 def runs(b: pa.RecordBatch) -> Iterator[tuple[tuple, pa.Array]]:
-    """((file, split), lines) of a batch's stretches of one split; a task has the lines of a split in a row."""
-    files, splits = b.column("file").dictionary_encode(), b.column("split").to_numpy()
-    codes = files.indices.to_numpy()
-    at = [0, *(np.flatnonzero(np.diff(codes) | np.diff(splits)) + 1).tolist(), len(codes)] if len(codes) else []
+    """((file, split), lines) of a batch's stretches of one split."""
+    at = [*run_starts(b).tolist(), b.num_rows]
     for i, j in zip(at, at[1:], strict=False):
-        yield (files.dictionary[int(codes[i])].as_py(), int(splits[i])), b.column("value").slice(i, j - i)
+        yield (b.column("file")[i].as_py(), b.column("split")[i].as_py()), b.column("value").slice(i, j - i)
 
 
 def fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -102,9 +122,13 @@ def fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     lines and how many it has; sums of these counts number the lines at the
     borders, and records that begin before a border meet their other lines by
     number. Files of a format that Spark does not split have no borders, and
-    are read once; others are read twice.
+    are read once; others are read twice. Small splits are read one after
+    another by one task: a task for each would take longer than its lines.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    text = spark.read.text(path)
+    size = int(str(text._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    lines = lines.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     inside = lines.mapInArrow(records_inside, "head string, seq string")
     if all(p.lower().endswith(".gz") for p in ([path] if isinstance(path, str) else path)):
         return named_records(inside)

@@ -190,3 +190,21 @@ def test_fastq_in_splits(spark, tmp_path, size, end):
     # two narrow passes, and a window over the edges alone
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2 and plan.index("Window [") < plan.index("MapInArrow split_edges")
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10000])
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch, rows):
+    """Hundreds of splits are read in a few tasks, also where Arrow batches end within a record."""
+    want = [(f"r{i}", "ACGTN"[i % 5] * (i % 90 + 1)) for i in range(400)]
+    for part in (0, 1):
+        (tmp_path / f"{part}.fq").write_text("".join(f"@{h} x\n{s}\n+\n{'@+'[len(s) % 2] * len(s)}\n" for h, s in want[part::2]))
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    small.conf.set("spark.sql.shuffle.partitions", "2")
+    small.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    read = sequences.fastq(small, [str(tmp_path / "0.fq"), str(tmp_path / "1.fq")])
+    assert sorted((r.header, r.nucleotides) for r in read.collect()) == sorted(want)
+    assert read.rdd.getNumPartitions() <= small.sparkContext.defaultParallelism + 2
+    # tasks grow with the files
+    monkeypatch.setattr(sequences, "TASK_BYTES", 2000, raising=False)
+    assert sequences.fastq(small, [str(tmp_path / "0.fq"), str(tmp_path / "1.fq")]).rdd.getNumPartitions() > 10
