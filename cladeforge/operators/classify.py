@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import AMBIGUOUS, AMBIGUOUS_TAXON, BORDER, BORDER_TAXON, NONE, SEQUENCE
+from ..functions.alphabet import AMBIGUOUS, AMBIGUOUS_TAXON, BORDER, BORDER_TAXON, NONE, SEQUENCE, Scheme
 from . import minimizers
 from .index import MinimizerIndex
 
@@ -134,6 +134,12 @@ def lengths(pairs: Column, k: int) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: F.when(acc["mated"], F.concat_ws("|", text(acc["first"]), text(acc["second"]))).otherwise(text(acc["first"])))
 
 
+def read_lengths(reads: DataFrame, scheme: Scheme) -> DataFrame:
+    """title, length: what lengths() tells of the hits of each read, from its own spans: no taxon has a part in it, so nothing is looked up or shuffled."""
+    first, second = ((F.col(c) + (scheme.k - 1)).cast("string") for c in ("first", "second"))
+    return minimizers.counted_kmers(reads, scheme).select("title", F.concat_ws("|", first, second).alias("length"))
+
+
 def classify_gathered(gathered: DataFrame, k: int, thresholds: Sequence[float] = (0.0,), min_hit_groups: int = 2, sample_regex: str | None = None, with_details: bool = True) -> DataFrame:
     """title, sample, threshold, classified, taxon (and length, details) for each read and threshold, in one pass."""
     if any(not 0 <= t <= 1 for t in thresholds):

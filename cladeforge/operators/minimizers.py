@@ -266,6 +266,26 @@ def with_any(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     return sequences.select("header", "nucleotides").mapInArrow(run, "header string, any boolean")
 
 
+def counted_kmers(reads: DataFrame, scheme: Scheme) -> DataFrame:
+    """title, first, second: k-mers of each read (header, nucleotides, nucleotides2 or none) and of its mate, null without one, as spans() gives them; reads without any are left out."""
+    paired = "nucleotides2" in reads.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in parts(batch, [1, 2] if paired else [1]):
+                sums, some = [], np.zeros(part.num_rows, bool)
+                for column in texts:
+                    s = supermers([t or b"" for t in column], scheme)
+                    sums.append(np.bincount(s["text"], s["kmers"], part.num_rows).astype(np.int64))
+                    some[s["text"]] = True
+                mated = np.array([t is not None for t in texts[1]], bool) if paired else np.zeros(part.num_rows, bool)
+                second = pa.array(sums[1] if paired else sums[0], mask=~mated)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums[0]), second], ["title", "first", "second"]).filter(pa.array(some | mated))
+
+    columns = ["header", "nucleotides", *(["nucleotides2"] if paired else [])]
+    return reads.select(*columns).mapInArrow(run, "title string, first bigint, second bigint")
+
+
 def supermers_with_letters(sequences: DataFrame, scheme: Scheme) -> DataFrame:
     """header, location, kmers, minimizer, letters: the super-mers of positions() with their letters, 32 in a bigint (alphabet.unpacked() reads them)."""
 

@@ -545,9 +545,7 @@ KMERS = f"list_sum(list_transform(string_split({{0}}, 'N'), lambda x: greatest(0
 
 @query(f"SELECT header AS title, (CAST({KMERS.format('nt')} AS BIGINT) + {S.k - 1}) || '|' || (CAST({KMERS.format('nt2')} AS BIGINT) + {S.k - 1}) AS length FROM reads")
 def cls_length_string_paired(spark, sf):
-    hits = classify.find_hits(minimizers.spans(fx.reads(spark, sf, paired=True), S), fx.index(spark, sf))
-    g = classify.group_hits(hits)
-    return g.select("title", classify.lengths(F.col("hits"), S.k).alias("length"))
+    return classify.read_lengths(fx.reads(spark, sf, paired=True), S)
 
 
 @query("SELECT taxon, count(*) AS n FROM cls GROUP BY taxon", resolved(0.15))

@@ -191,3 +191,20 @@ def test_pairs_of_ends_are_not_broadcast(spark):
     assert same == sorted(tuple(r) for r in fx.index(spark, SF).records.collect())
     final = "\n".join(plan(index.records)).split("Initial Plan")[0]
     assert "isFinalPlan=true" in final and "BroadcastHashJoin" not in final
+
+
+def test_lengths_need_no_lookup(spark):
+    from __spark_entry__ import queries
+    from pyspark.sql import functions as F
+
+    from cladeforge.operators import classify, minimizers
+
+    # lengths come of the reads alone: no hit is dealt by its minimizer or read
+    assert not [line for line in plan(queries()["cls_length_string_paired"](spark, SF)) if "Exchange hashpartitioning(" in line and ("title" in line or "minimizer" in line)]
+    texts = ["", "ACGT", "GATTC" * 20, "N" * 50, "ACGTT" * 9 + "N" + "GGATC" * 9, "N" * 40 + "AACGT" * 12 + "\n" + "CCA" * 9, None]
+    reads = spark.createDataFrame([(f"r{i}.{j}", a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "header string, nucleotides string, nucleotides2 string")
+    index = fx.index(spark, SF)
+    for rows in (reads, reads.drop("nucleotides2")):
+        hits = classify.group_hits(classify.find_hits(minimizers.spans(rows, index.scheme), index))
+        want = hits.select("title", classify.lengths(F.col("hits"), index.scheme.k).alias("length"))
+        assert sorted(tuple(r) for r in classify.read_lengths(rows, index.scheme).collect()) == sorted(tuple(r) for r in want.collect())
