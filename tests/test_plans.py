@@ -208,3 +208,36 @@ def test_lengths_need_no_lookup(spark):
         hits = classify.group_hits(classify.find_hits(minimizers.spans(rows, index.scheme), index))
         want = hits.select("title", classify.lengths(F.col("hits"), index.scheme.k).alias("length"))
         assert sorted(tuple(r) for r in classify.read_lengths(rows, index.scheme).collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_hits_stay_with_their_reads(spark):
+    import random
+    from types import SimpleNamespace
+
+    from cladeforge.operators import classify
+
+    random.seed(6)
+    up = {1: 1, 2: 1, 3: 2, 4: 2, 5: 3}
+    tax = Taxonomy.from_nodes(spark.createDataFrame([(t, u, "no rank", f"n{t}") for t, u in up.items()], "taxon int, parent int, rank string, name string"), at_driver=0)
+    path = {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 4], 5: [1, 2, 3, 5]}
+    # 9 is a taxon that the tree lacks; a title may be missing; an ordinal may be large
+    reads = {t: [(i if i < 9 else 2**31 - 10 + i, random.random() < 0.7, random.choice((-1, 0, 1, 3, 4, 5, 9)), random.randint(1, 2**20)) for i in range(random.randint(1, 10))] for t in [None, "", *map(str, range(30))]}
+    reads["mates"] = [(0, True, 3, 5), (1, False, -2, -34), (2, True, 0, 7)]
+    reads["long"] = [(0, True, 5, 2**31 - 1)]
+    hits = spark.createDataFrame([(t, *h) for t, x in reads.items() for h in x], "title string, ordinal int, is_distinct boolean, taxon int, count int")
+    for with_hits in (True, False):
+        t = classify.gather(hits, SimpleNamespace(taxonomy=tax), with_hits)
+        found = {r.title: r for r in t.collect()}
+        assert found.keys() == reads.keys()
+        for title, x in reads.items():
+            r, sums = found[title], {}
+            for _, _, taxon, n in x:
+                sums[taxon] = sums.get(taxon, 0) + n
+            assert sorted((y.taxon, y.n, y.path) for y in r.taxa) == sorted((y, n, path[y]) for y, n in sums.items() if y in path)
+            assert r.total == sum(n for y, n in sums.items() if y != -2) and r.n_distinct == sum(d and y != 0 for _, d, y, _ in x)
+            assert not with_hits or [tuple(h) for h in r.hits] == [(o, y, n) for o, _, y, n in x]
+        # hits are dealt by read once, and none of them goes to the taxonomy and back
+        final = "\n".join(plan(t)).split("Initial Plan")[0].splitlines()
+        assert len([line for line in final if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]) == 1
+        assert [line for line in final if "REPARTITION_BY_COL" in line and "ReusedExchange" in line]
+        assert not [line for line in final if "collect_list(struct(ordinal" in line and "_taxon" in line]
