@@ -241,3 +241,16 @@ def test_hits_stay_with_their_reads(spark):
         assert len([line for line in final if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]) == 1
         assert [line for line in final if "REPARTITION_BY_COL" in line and "ReusedExchange" in line]
         assert not [line for line in final if "collect_list(struct(ordinal" in line and "_taxon" in line]
+
+
+def test_reference_of_a_sample_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from cladeforge.plans import stored
+
+    monkeypatch.setattr(stored, "folder", lambda s, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored.cmp_multi_dirs(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for i in range(3):
+        assert len(list((tmp_path / f"results/ref/sample{i}/reads_mapping.tsv").glob("part-*"))) > 1
